@@ -39,7 +39,7 @@ def _points(c: str) -> list[str]:
     """The code points that one code point is compared by."""
     if ord(c) in NO_INK or unicodedata.category(c) == "Cf":
         return []
-    if unicodedata.category(c) == "Zs" or c in "\t\v\f\r\x85  ":
+    if unicodedata.category(c) == "Zs" or c in "\t\v\f\r\x85\u2028\u2029":
         return [" "]
     if c in LOOK_ALIKE:
         return [LOOK_ALIKE[c]]
