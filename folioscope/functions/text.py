@@ -135,9 +135,15 @@ def html_escape(c: Column) -> Column:
     return out
 
 
+#: Code points of Windows-1252 beyond Latin-1, and the bytes that they stand for.
+_BEYOND = [(b, bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+
+
 def repair_encoding(c: Column) -> Column:
     """Undo UTF-8 read as Windows-1252, only where its signature is present."""
-    return F.when(c.rlike("[ÃÂ][\\x{80}-\\x{BF}€-™]|â€"), F.decode(F.encode(c, "windows-1252"), "utf-8")).otherwise(c)
+    as_bytes = F.translate(c, "".join(x for _, x in _BEYOND if x), "".join(chr(b) for b, x in _BEYOND if x))
+    signature = as_bytes.rlike(r"[\x{C3}\x{C2}][\x{80}-\x{BF}]|\x{E2}\x{80}") & ~as_bytes.rlike(r"[^\x{00}-\x{FF}]")
+    return F.when(signature, F.decode(F.encode(as_bytes, "iso-8859-1"), "utf-8")).otherwise(c)
 
 
 def roman(c: Column) -> Column:
