@@ -23,6 +23,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.plans.session import cut
+
 #: Letters of other scripts that are drawn like a Latin letter.
 CYRILLIC = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J"}
 GREEK = {"ο": "o", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X"}
@@ -89,17 +91,20 @@ def _stable(rows: list, pairs: dict[str, str]) -> set[str]:
 
 @cache
 def odd_pattern() -> str:
-    """A pattern that finds a code point or a spacing for which a text must be exploded."""
-    rows = mapping()
-    stable = _stable(rows, compositions())
-    points = sorted(ord(c) for c, _ in rows if c not in stable)
-    ranges, start = [], None
-    for a, b in zip(points, points[1:] + [-1]):
-        start = a if start is None else start
-        if b != a + 1:
-            ranges.append((start, a))
+    """A pattern that finds a spacing or a code point for which a text must be exploded.
+
+    It names the code points below U+2070 that stand for themselves, with ASCII first, as a class is tried range by range.
+    """
+    made = {c for c, _ in mapping()} - _stable(mapping(), compositions())
+    ranges, start = [(0x20, 0x7E)], None
+    for n in range(0xA0, 0x2071):
+        plain = chr(n) not in made and not 0x300 <= n < 0x2010
+        if plain and start is None:
+            start = n
+        if not plain and start is not None:
+            ranges.append((start, n - 1))
             start = None
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" if a != b else f"\\x{{{a:x}}}" for a, b in ranges) + "]|  |^ | $"
+    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]|  |^ | $"
 
 
 def _compose(base: Column, marks: Column, pairs: Column) -> Column:
@@ -152,14 +157,14 @@ def same_looking(df: DataFrame) -> DataFrame:
     """
     rows = df.where("text is not null and id is not null").withColumn("source_file", F.coalesce("source_file", F.lit("\0")))
     made = forms(rows).withColumnRenamed("form", "_form")
-    formed = rows.join(made, "text").select("kind", "source_file", F.col("_form").alias("form"), "id", "text")
+    formed = cut(rows.join(made, "text").select("kind", "source_file", F.col("_form").alias("form"), "id", "text").distinct())
     active = formed.select("kind", "source_file", "form").distinct()
     odd = odd_pattern()
     plain = rows.where(~F.col("text").rlike(odd)).withColumn("form", F.col("text")).join(active, ["kind", "source_file", "form"], "left_semi")
-    every = formed.unionByName(plain.select(*formed.columns)).distinct()
+    every = cut(formed.unionByName(plain.select(*formed.columns).distinct()))
     key = ["kind", "source_file", "form"]
     many = every.groupBy(*key).agg(F.count("*").alias("_n"), F.count_distinct("text").alias("_texts")).where("_texts > 1").withColumn("_salts", F.ceil(F.col("_n") / HOT).cast("int")).drop("_n", "_texts")
-    keyed = every.join(many, key)
+    keyed = cut(every.join(many, key))
     a = keyed.select(*key, F.col("id").alias("a_id"), F.col("text").alias("_a"), F.pmod(F.xxhash64("id"), F.col("_salts")).cast("int").alias("_salt"))
     b = keyed.select(*key, F.col("id").alias("b_id"), F.col("text").alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
     return a.join(b, [*key, "_salt"]).where("a_id < b_id and _a <> _b").select("kind", "a_id", "b_id").distinct()
