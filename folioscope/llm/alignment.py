@@ -130,9 +130,9 @@ def candidates(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame
     got = shared.groupBy("report_id", "lb", "a", "b").agg(F.sum(F.col("p") * (F.col("_ia") + F.col("_ib"))).alias("_got"))
     sum_a, sum_b = (x.groupBy(F.col("sid").alias(name)).agg(F.sum("idf").alias(f"size_{name}")) for x, name in ((a, "a"), (b, "b")))
     scored = got.join(sum_a, "a").join(sum_b, "b").withColumn("score", F.col("_got") / (F.col("size_a") + F.col("size_b")))
-    numbers = [rows.select(F.col("sid").alias(name), F.nullif(F.lower(F.regexp_replace("num", r"[^\p{L}\p{N}]", "")), F.lit("")).alias(f"num_{name}"), F.col("block_id").alias(f"block_{name}"), F.col("seq").alias(f"seq_{name}"), F.col("idx").alias(f"idx_{name}")) for rows, name in ((left, "a"), (right, "b"))]
+    numbers = [rows.select(F.col("sid").alias(name), F.nullif(F.lower(F.regexp_replace("num", r"[^\p{L}\p{N}]", "")), F.lit("")).alias(f"num_{name}"), F.col("block_id").alias(f"block_{name}"), F.col("seq").alias(f"seq_{name}")) for rows, name in ((left, "a"), (right, "b"))]
     full = scored.join(numbers[0], "a").join(numbers[1], "b")
-    return full.withColumn("score", F.col("score") + F.when(F.col("num_a") == F.col("num_b"), SAME_NUMBER).otherwise(0.0)).select("report_id", "lb", "a", "b", "size_a", "size_b", "score", "block_a", "block_b", "seq_a", "seq_b", "idx_a", "idx_b")
+    return full.withColumn("score", F.col("score") + F.when(F.col("num_a") == F.col("num_b"), SAME_NUMBER).otherwise(0.0)).select("report_id", "lb", "a", "b", "size_a", "size_b", "score", "block_a", "block_b", "seq_a", "seq_b")
 
 
 def hungarian(weight: np.ndarray) -> list[tuple[int, int]]:
@@ -168,8 +168,11 @@ def hungarian(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(int(match[c]), c) for c in range(m) if match[c] < n and weight[match[c], c] > 0]
 
 
+PAIR = ["report_id", "lb", "a", "b", "size_a", "size_b", "score", "block_a", "block_b", "seq_a", "seq_b"]
+
+
 def solve(frame: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of one report and language pair, or of one group of its candidates."""
+    """The one-to-one pairs of one report and language pair, or of one group of its candidates."""
     strong = frame[frame.score > NULL_COST].sort_values(["a", "b"])
     parent: dict[str, str] = {}
 
@@ -180,36 +183,35 @@ def solve(frame: pd.DataFrame) -> pd.DataFrame:
 
     for a, b in zip(strong.a, strong.b):
         parent[root("a" + a)] = root("b" + b)
-    chosen = []
+    chosen = set()
     for _, part in strong.groupby([root("a" + a) for a in strong.a], sort=True):
         if len(part) == 1:
-            chosen.append((part.a.iloc[0], part.b.iloc[0]))
+            chosen.add((part.a.iloc[0], part.b.iloc[0]))
             continue
         rows, columns = sorted(set(part.a)), sorted(set(part.b))
         weight = np.zeros((len(rows), len(columns)))
         weight[[rows.index(x) for x in part.a], [columns.index(x) for x in part.b]] = part.score.to_numpy() - NULL_COST
-        chosen += [(rows[i], columns[j]) for i, j in hungarian(weight)]
-    info = {(r.a, r.b): r for r in frame.itertuples(index=False)}
-    place = {("a", r.a): (r.seq_a, r.idx_a) for r in info.values()} | {("b", r.b): (r.seq_b, r.idx_b) for r in info.values()}
-    out = [info[p] for p in chosen]
-    taken = {("a", a) for a, _ in chosen} | {("b", b) for _, b in chosen}
+        chosen |= {(rows[i], columns[j]) for i, j in hungarian(weight)}
+    return strong[[p in chosen for p in zip(strong.a, strong.b)]][PAIR]
+
+
+def merged(chosen: DataFrame, weak: DataFrame) -> DataFrame:
+    """Candidates by which a sentence left alone joins a pair near it, each sentence at most one.
+
+    The merged span shares with the partner what both share, and has the words of both.
+    """
+    out = None
     for side, other in (("a", "b"), ("b", "a")):
-        of_other = {p[other == "b"]: info[p] for p in chosen}
-        for r in info.values():
-            mine, theirs = getattr(r, side), getattr(r, other)
-            if (side, mine) in taken or (other, theirs) not in taken:
-                continue
-            main = of_other.get(theirs)
-            if main is None:
-                continue
-            # The merged span shares what both share and has the words of both.
-            size_main, size_mine, size_other = getattr(main, f"size_{side}"), getattr(r, f"size_{side}"), getattr(r, f"size_{other}")
-            merged = (main.score * (size_main + size_other) + r.score * (size_mine + size_other)) / (size_main + size_mine + size_other)
-            near = place[(side, mine)][0] - place[(side, getattr(main, side))][0]
-            if merged >= main.score + MERGE_GAIN and merged > NULL_COST and abs(near) <= 2:
-                taken.add((side, mine))
-                out.append(r)
-    return pd.DataFrame([(r.report_id, r.lb, r.a, r.b, r.block_a, r.block_b, r.score) for r in out], columns=["report_id", "lb", "a", "b", "block_a", "block_b", "score"])
+        key = ["report_id", "lb", other]
+        main = chosen.select(*key, F.col("score").alias("_score"), F.col(f"size_{side}").alias("_size"), F.col(f"seq_{side}").alias("_seq"))
+        alone = weak.join(chosen.select("report_id", "lb", side), ["report_id", "lb", side], "left_anti").join(main, key)
+        size, partner, more = F.col("_size"), F.col(f"size_{other}"), F.col(f"size_{side}")
+        span = (F.col("_score") * (size + partner) + F.col("score") * (more + partner)) / (size + more + partner)
+        fit = alone.withColumn("_span", span).where((F.col("_span") >= F.col("_score") + MERGE_GAIN) & (F.col("_span") > NULL_COST) & (F.abs(F.col(f"seq_{side}") - F.col("_seq")) <= 2))
+        best = F.row_number().over(Window.partitionBy("report_id", "lb", side).orderBy(F.desc("_span"), "a", "b"))
+        rows = fit.withColumn("_n", best).where("_n = 1").select(*PAIR)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _grouped(pairs: DataFrame) -> DataFrame:
@@ -228,9 +230,7 @@ def _grouped(pairs: DataFrame) -> DataFrame:
         label = new.drop("_old")
         if not changed:
             break
-    # A weak candidate, which can only join a pair, goes with the sentence that it would join.
-    sides = label.select("report_id", "lb", "a", "part").distinct(), label.select("report_id", "lb", "b", F.col("part").alias("_other")).distinct()
-    placed = inside.join(sides[0], ["report_id", "lb", "a"], "left").join(sides[1], ["report_id", "lb", "b"], "left").withColumn("part", F.coalesce("part", "_other")).where("part is not null").drop("_other")
+    placed = inside.join(label, ["report_id", "lb", "a", "b"])
     return pairs.join(large, ["report_id", "lb"], "left_anti").withColumn("part", F.lit("")).unionByName(placed.select(*pairs.columns, "part"))
 
 
@@ -240,7 +240,9 @@ def align(blocks: DataFrame) -> DataFrame:
     left, right = _sides(rows)
     pairs = candidates(left, right, cut(lexicon(left, right)))
     weak = cut(pairs.where(F.col("score") > NULL_COST / 3))
-    return _grouped(weak).groupBy("report_id", "lb", "part").applyInPandas(lambda f: solve(f), "report_id string, lb string, a string, b string, block_a long, block_b long, score double")
+    schema = weak.select(*PAIR).schema
+    chosen = cut(_grouped(weak.where(F.col("score") > NULL_COST)).groupBy("report_id", "lb", "part").applyInPandas(lambda f: solve(f), schema))
+    return chosen.unionByName(merged(chosen, weak)).select("report_id", "lb", "a", "b", "block_a", "block_b", "score")
 
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:

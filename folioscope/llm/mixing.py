@@ -74,6 +74,11 @@ def fit(lengths: list[int], counts: list[int], budget: int, seed: int) -> list[i
             n = min(counts[i] - taken[i], rest // lengths[i])
             taken[i] += n
             rest -= n * lengths[i]
+    # Some of what is taken is given back, one of each length, so that the last step has something to choose from.
+    for i in order:
+        if taken[i] and rest + lengths[i] <= DP_CAPACITY:
+            taken[i] -= 1
+            rest += lengths[i]
     if rest <= DP_CAPACITY:
         more = knapsack([lengths[i] for i in order], [counts[i] - taken[i] for i in order], rest)
         for i, n in zip(order, more):
