@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.operators import graph, lexicon, packing
 from folioscope.plans.session import ensure_checkpoint_dir
+from folioscope.queries.relational import typed
 from folioscope.sources import markup
 from folioscope.sources.tables import first_delivery, table
 from folioscope.streaming import streams
@@ -224,3 +225,4 @@ ORACLES = {
     "SNK10_csv_round_trip": "SELECT item_key, any_value(title) AS title, any_value(item_date) AS item_date FROM zotero GROUP BY item_key",
     "SNK01_upsert": "SELECT doc_id, md5(coalesce(text, '')) AS hash FROM documents",
 }
+ORACLES = {name: typed(s) for name, s in ORACLES.items()}

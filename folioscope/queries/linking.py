@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.queries.relational import BLOCKS, NODES, PAGES, PARAS, SPANS, SPELLINGS, _query, oracle
+from folioscope.queries.relational import BLOCKS, NODES, PAGES, PARAS, SPANS, SPELLINGS, _query, oracle, typed
 
 SPELLINGS.update({
     "explode_alts": ("explode(alt_labels)", "unnest(alt_labels)"),
@@ -59,8 +59,8 @@ STATEMENTS = {
     "AGG08_casing_mode": "WITH w AS (SELECT w, lower(w) AS k, count(*) AS n FROM (SELECT {words_of_text} AS w FROM {documents} WHERE lang = 'fr') x WHERE length(w) > 3 GROUP BY w), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, w) AS place, sum(n) OVER (PARTITION BY k) AS total FROM w) SELECT k, w, n FROM r WHERE place = 1 AND total >= 3 AND n * 2 > total",
     "AGG19_catalogue_block": f"SELECT report_id, count(*) AS decisions, [[substring(text, 1, 30) ; / ; seq]] AS listing FROM {BLOCKS} b WHERE lang = 'en' AND (text LIKE 'Approves%' OR text LIKE 'Requests%' OR text LIKE 'Decides%') GROUP BY report_id",
     "AGG29_spelling_vote": "WITH s AS (SELECT lower(w) AS w, count(*) AS n FROM (SELECT {explode_title_words} AS w FROM {zotero}) x WHERE length(w) >= 8 GROUP BY lower(w)) SELECT a.w AS rare, min_by(b.w, CAST(-b.n AS DOUBLE) * 1000 + length(b.w)) AS usual FROM s a JOIN s b ON substring(a.w, 1, 4) = substring(b.w, 1, 4) AND a.w <> b.w AND b.n >= 5 AND a.n = 1 AND levenshtein(a.w, b.w) = 1 GROUP BY a.w",
-    "WIN17_group_by_mark": f"SELECT source_file, grp, count(*) AS members FROM (SELECT source_file, sum(CASE WHEN text LIKE '%section%' THEN 1 ELSE 0 END) OVER (PARTITION BY source_file ORDER BY seq, block_id ROWS UNBOUNDED PRECEDING) AS grp FROM {BLOCKS} b WHERE kind = 'para') x GROUP BY source_file, grp",
-    "WIN20_split_sections": f"WITH h AS (SELECT source_file, seq, block_id, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY source_file ORDER BY seq, block_id ROWS UNBOUNDED PRECEDING) AS section, kind FROM {BLOCKS} b) SELECT source_file, section, count(*) AS blocks, min(block_id) AS first_block FROM h GROUP BY source_file, section",
+    "WIN17_group_by_mark": f"SELECT source_file, grp, count(*) AS members FROM (SELECT source_file, CAST(sum(CASE WHEN text LIKE '%section%' THEN 1 ELSE 0 END) OVER (PARTITION BY source_file ORDER BY seq, block_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM {BLOCKS} b WHERE kind = 'para') x GROUP BY source_file, grp",
+    "WIN20_split_sections": f"WITH h AS (SELECT source_file, seq, block_id, CAST(sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY source_file ORDER BY seq, block_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section, kind FROM {BLOCKS} b) SELECT source_file, section, count(*) AS blocks, min(block_id) AS first_block FROM h GROUP BY source_file, section",
     "WIN21_table_title": f"SELECT block_id, title FROM (SELECT block_id, kind, lag(text) OVER (PARTITION BY source_file ORDER BY seq, block_id) AS title FROM {BLOCKS} b) x WHERE kind = 'table'",
     "SRT05_gap_sort": "SELECT doc_id, row_number() OVER (ORDER BY coalesce(chapter, -1) DESC, coalesce(assessment, ''), doc_id) AS place FROM {documents} WHERE source = 'knowledge_gaps'",
     "SRT06_guidance_sort": "SELECT doc_id, row_number() OVER (ORDER BY coalesce(assessment, ''), CASE WHEN text LIKE '%platform%' THEN 0 ELSE 1 END, doc_id) AS place FROM {documents} WHERE source = 'guidance_notes'",
@@ -108,7 +108,7 @@ def _both(statement: str) -> str:
     """Spellings may stand inside spellings' own statements, so names are put in before tables."""
     for name, both in SPELLINGS.items():
         statement = statement.replace("{" + name + "}", both[1])
-    return oracle(statement).replace("sha2(", "sha256(").replace("LEFT ANTI JOIN", "ANTI JOIN").replace("LEFT SEMI JOIN", "SEMI JOIN")
+    return typed(oracle(statement)).replace("sha2(", "sha256(").replace("LEFT ANTI JOIN", "ANTI JOIN").replace("LEFT SEMI JOIN", "SEMI JOIN")
 
 
 QUERIES = {name: _query(s) for name, s in STATEMENTS.items()}

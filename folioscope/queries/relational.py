@@ -19,6 +19,21 @@ def run(spark: SparkSession, sf: str, statement: str) -> DataFrame:
     return spark.sql(_ORDERED.sub(r"listagg(\1, '\2') WITHIN GROUP (ORDER BY \3)", statement), **{n: spark.read.parquet(f"{sf}/{n}.parquet") for n in names})
 
 
+def typed(statement: str) -> str:
+    """The checking engine's counts and row numbers with the types that Spark gives them."""
+    for start, kind in (("count_if(", "BIGINT"), ("row_number() OVER (", "INTEGER")):
+        at = 0
+        while (at := statement.find(start, at)) >= 0:
+            end, depth = at + len(start), 1
+            while depth:
+                depth += {"(": 1, ")": -1}.get(statement[end], 0)
+                end += 1
+            inside = statement[at + len(start) : end - 1]
+            statement = f"{statement[:at]}CAST({start}{inside}) AS {kind}){statement[end:]}"
+            at += len("CAST(") + len(start)
+    return re.sub(r"row_number\(\) OVER (\w+)", r"CAST(row_number() OVER \1 AS INTEGER)", statement)
+
+
 def oracle(statement: str) -> str:
     return _ORDERED.sub(r"string_agg(\1, '\2' ORDER BY \3)", re.sub(r"\{(\w+)\}", r"\1", statement))
 
@@ -105,9 +120,9 @@ STATEMENTS = {
     "WIN09_sequence_gaps": f"SELECT source_file, seq, before FROM (SELECT source_file, seq, lag(seq) OVER (PARTITION BY source_file ORDER BY seq) AS before FROM {BLOCKS} b) WHERE seq > before + 1",
     "WIN11_unique_suffix": f"SELECT block_id, CASE WHEN n = 1 THEN num ELSE concat(num, '_', CAST(n AS STRING)) END AS eid FROM (SELECT block_id, num, row_number() OVER (PARTITION BY source_file, num ORDER BY seq, block_id) AS n FROM {BLOCKS} b WHERE num <> '')",
     "WIN12_first_seen": "SELECT doc_id, source, min(doc_id) OVER (PARTITION BY source) AS first_seen FROM {documents}",
-    "WIN14_cell_clustering": f"SELECT para_id, sum(fresh) OVER (PARTITION BY source_file, page ORDER BY y0, para_id ROWS UNBOUNDED PRECEDING) AS cell FROM (SELECT para_id, source_file, page, y0, CASE WHEN y0 - lag(y0) OVER (PARTITION BY source_file, page ORDER BY y0, para_id) < 60 THEN 0 ELSE 1 END AS fresh FROM {PARAS} p)",
-    "WIN16_paragraph_joining": f"SELECT source_file, page, block, grp, [[text ; / ; seq]] AS joined FROM (SELECT source_file, page, block, seq, text, sum(fresh) OVER (PARTITION BY source_file ORDER BY seq ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT source_file, page, block, seq, text, CASE WHEN lag(text) OVER (PARTITION BY source_file ORDER BY seq) LIKE '%.' OR lag(block) OVER (PARTITION BY source_file ORDER BY seq) <> block THEN 1 ELSE 0 END AS fresh FROM {SPANS} s WHERE text IS NOT NULL)) GROUP BY source_file, page, block, grp",
-    "WIN22_run_merge": f"SELECT source_file, line, run, [[text ; / ; seq]] AS merged, count(*) AS spans FROM (SELECT source_file, line, seq, text, sum(change) OVER (PARTITION BY source_file ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT source_file, line, seq, text, CASE WHEN lag(font) OVER (PARTITION BY source_file ORDER BY seq) = font AND lag(bold) OVER (PARTITION BY source_file ORDER BY seq) = bold AND lag(line) OVER (PARTITION BY source_file ORDER BY seq) = line THEN 0 ELSE 1 END AS change FROM {SPANS} s WHERE text IS NOT NULL)) GROUP BY source_file, line, run",
+    "WIN14_cell_clustering": f"SELECT para_id, CAST(sum(fresh) OVER (PARTITION BY source_file, page ORDER BY y0, para_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cell FROM (SELECT para_id, source_file, page, y0, CASE WHEN y0 - lag(y0) OVER (PARTITION BY source_file, page ORDER BY y0, para_id) < 60 THEN 0 ELSE 1 END AS fresh FROM {PARAS} p)",
+    "WIN16_paragraph_joining": f"SELECT source_file, page, block, grp, [[text ; / ; seq]] AS joined FROM (SELECT source_file, page, block, seq, text, CAST(sum(fresh) OVER (PARTITION BY source_file ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM (SELECT source_file, page, block, seq, text, CASE WHEN lag(text) OVER (PARTITION BY source_file ORDER BY seq) LIKE '%.' OR lag(block) OVER (PARTITION BY source_file ORDER BY seq) <> block THEN 1 ELSE 0 END AS fresh FROM {SPANS} s WHERE text IS NOT NULL)) GROUP BY source_file, page, block, grp",
+    "WIN22_run_merge": f"SELECT source_file, line, run, [[text ; / ; seq]] AS merged, count(*) AS spans FROM (SELECT source_file, line, seq, text, CAST(sum(change) OVER (PARTITION BY source_file ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM (SELECT source_file, line, seq, text, CASE WHEN lag(font) OVER (PARTITION BY source_file ORDER BY seq) = font AND lag(bold) OVER (PARTITION BY source_file ORDER BY seq) = bold AND lag(line) OVER (PARTITION BY source_file ORDER BY seq) = line THEN 0 ELSE 1 END AS change FROM {SPANS} s WHERE text IS NOT NULL)) GROUP BY source_file, line, run",
     "WIN23_group_break": "SELECT doc_id, assessment, coalesce(lag(assessment) OVER (ORDER BY assessment, doc_id) <> assessment, true) AS new_group FROM {documents} WHERE assessment IS NOT NULL",
     "WIN24_per_kind_counter": f"SELECT block_id, row_number() OVER (PARTITION BY source_file, kind ORDER BY seq, block_id) AS component FROM {BLOCKS} b WHERE kind IN ('annex_header', 'annex_title', 'table')",
     "WIN18_last_n_events": "SELECT user_id, event_id, back FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM {events}) WHERE back <= 6 AND event_type <> 'error'",
@@ -158,4 +173,4 @@ def _query(statement: str):
 
 
 QUERIES = {name: _query(s) for name, s in STATEMENTS.items()}
-ORACLES = {name: oracle(_spell(s, 1)).replace("sha2(", "sha256(").replace("LEFT ANTI JOIN", "ANTI JOIN") for name, s in STATEMENTS.items()}
+ORACLES = {name: typed(oracle(_spell(s, 1))).replace("sha2(", "sha256(").replace("LEFT ANTI JOIN", "ANTI JOIN") for name, s in STATEMENTS.items()}

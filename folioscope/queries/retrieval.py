@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators import context, vectors
+from folioscope.queries.relational import typed
 from folioscope.sources.tables import first_delivery, table
 
 _E = "embeddings"
@@ -110,3 +111,4 @@ ORACLES = {
     "WIN03_budget_share": "WITH d AS (SELECT doc_id, CASE source WHEN 'plenary_reports' THEN 'a' ELSE 'b' END AS side, n_chars + 2 AS size FROM documents WHERE n_chars > 0 AND source IN ('plenary_reports', 'web_crawl_a')), r AS (SELECT *, sum(size) OVER (PARTITION BY side ORDER BY doc_id) AS running FROM d), n AS (SELECT least(coalesce(max(running) FILTER (side = 'b'), 0), 20000) AS reserved FROM r), u AS (SELECT coalesce(max(running), 0) AS used FROM r, n WHERE side = 'a' AND running <= 60000 - reserved), k AS (SELECT doc_id, side, CASE side WHEN 'a' THEN running <= 60000 - reserved ELSE running <= 60000 - used END AS kept FROM r, n, u) SELECT doc_id, side, kept, row_number() OVER (ORDER BY NOT kept, side, doc_id) AS place FROM k",
     "JOIN04_neighbour_offset": f"WITH {_PARAS}, h AS (SELECT * FROM b WHERE contains(text, 'households') OR contains(text, 'ménages')), w AS (SELECT h.block_id AS hit, h.source_file, h.seq + o AS seq, o FROM h, (SELECT unnest([-1, 0, 1]) AS o)), f AS (SELECT b.block_id, b.source_file, b.seq, w.hit AS hit_order, CASE WHEN o <> 0 THEN w.hit END AS neighbour_of, row_number() OVER (PARTITION BY b.block_id ORDER BY w.hit, o) AS n FROM w JOIN b USING (source_file, seq)) SELECT block_id, source_file, seq, hit_order, neighbour_of FROM f WHERE n = 1",
 }
+ORACLES = {name: typed(s) for name, s in ORACLES.items()}
