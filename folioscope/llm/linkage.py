@@ -1,9 +1,10 @@
 """p4: matching works across sources without keys.
 
-Each record's attributes (title; its head with first author and year; DOI) become q-gram bit vectors of fixed length.
-Pairs of records within RADIUS bits of each other in one of them are found exactly by multi-index Hamming hashing: a
-vector is cut into RADIUS + 1 chunks, of which close vectors share at least one, so an equality join on (vector, chunk
-number, chunk) finds them all, and a population count verifies. Field-weighted Dice scores of the pairs become
+Each record's attributes (title with first author and year; title; author and year; DOI) become q-gram bit vectors of
+fixed length. Pairs of records within a radius of each other in one of them are found exactly by multi-index Hamming
+hashing: a vector is cut into one chunk more than the radius, of which close vectors share at least one, so an equality
+join on (chunk number, chunk) finds them all, and a population count verifies. The radius is 0 for author and year and
+for the DOI, which leaves one chunk, the whole attribute. Field-weighted Dice scores of the pairs become
 confidences by isotonic calibration against the pairs whose two DOIs agree or disagree, over all such pairs. An exact
 check then removes works that resemble each other: another part, edition, reply or erratum, another year, other authors,
 a title that differs by more than misprints or a missing end.
@@ -26,10 +27,9 @@ from pyspark.sql import functions as F
 
 from folioscope.plans.session import cut
 
-#: Bits of a vector, and bits by which close vectors may differ; there are RADIUS + 1 chunks of 32 bits.
-BITS, RADIUS = 384, 11
-#: Code points of a title that its head takes in.
-HEAD = 32
+#: Bits of a chunk; and, for titles with author and year and for titles alone, the bits by which close vectors may differ.
+#: A vector has one chunk more than that. Two misprints are within the first, one within the second.
+WIDTH, RADIUS, BARE_RADIUS = 48, 11, 7
 #: Weights of the fields' Dice scores, and the confidence of a match.
 WEIGHTS = {"title": 4.0, "author": 2.0, "year": 2.0, "doi": 3.0}
 CONFIDENT = 0.5
@@ -72,25 +72,26 @@ def grams(text: str) -> list[str]:
     return [text[i : i + 2] for i in range(len(text) - 1)]
 
 
-def vector(parts: list[str]) -> list[int]:
-    """The bits of the parts' hashes, as chunks of 32."""
-    bits = np.zeros(BITS, np.uint8)
+def vector(parts: list[str], chunks: int) -> list[int]:
+    """The bits of the parts' hashes, as chunks of WIDTH bits."""
+    bits = np.zeros(chunks * WIDTH, np.uint8)
     if parts:
-        bits[pd.util.hash_array(np.array(parts, object), categorize=False) % np.uint64(BITS)] = 1
-    return np.packbits(bits).view(">u4").astype(np.int64).tolist()
+        bits[pd.util.hash_array(np.array(parts, object), categorize=False) % np.uint64(len(bits))] = 1
+    padded = np.zeros((chunks, 64), np.uint8)
+    padded[:, 64 - WIDTH :] = bits.reshape(chunks, WIDTH)
+    return np.packbits(padded, axis=1).view(">u8").astype(np.int64).ravel().tolist()
 
 
-COLUMNS = "id string, title string, tags string, cut_off boolean, names array<string>, year int, doi string, by_title array<long>, by_head array<long>"
+COLUMNS = "id string, title string, tags string, cut_off boolean, names array<string>, year int, doi string, by_title array<long>, by_all array<array<long>>, bare boolean"
 
 
 def _row(key, title, names, year, doi) -> tuple:
     letters, tags, cut_off = read_title(title)
     m = _YEAR.search(year or "")
     y = int(m.group()) if m else None
-    head = None
-    if letters and names and y:
-        head = vector([f"t{i // 8}{g}" for i, g in enumerate(grams(letters[:HEAD]))] + [f"n{g}" for g in grams("^" + names[0] + "$")] + [f"y{g}" for g in grams(str(y))])
-    return (str(key), letters, tags, cut_off, names, y, doi, vector(grams(letters)) if letters else None, head)
+    # An inserted first name is common, so either of the first two names may be the first.
+    full = [vector([*grams(letters), *[f"n{g}" for g in grams("^" + n + "$")], *[f"y{g}" for g in grams(str(y))]], RADIUS + 1) for n in names[:2]] if letters and y else []
+    return (str(key), letters, tags, cut_off, names, y, doi, vector(grams(letters), BARE_RADIUS + 1) if letters else None, full, not full)
 
 
 def items(df: DataFrame) -> DataFrame:
@@ -126,28 +127,47 @@ def cited(df: DataFrame) -> DataFrame:
     return df.select("source_id", *[first(v).alias(k) for k, v in KEYS.items()]).where("source_id is not null").dropDuplicates(["source_id"]).mapInPandas(run, COLUMNS)
 
 
-def close_pairs(a: DataFrame, b: DataFrame, code: str) -> DataFrame:
-    """(id_a, id_b): all pairs of records whose vectors `code` differ in at most RADIUS bits."""
+def _bits(n: int, word) -> Column:
+    """Set bits over n chunks, spelled out chunk by chunk so that the sum is compiled."""
+    return sum((F.bit_count(word(i)) for i in range(1, n)), F.bit_count(word(0)))
+
+
+def close_pairs(a: DataFrame, b: DataFrame, code: str, radius: int) -> DataFrame:
+    """(id_a, id_b): all pairs of records whose vectors `code`, of radius + 1 chunks, differ in at most radius bits."""
     def chunks(rows: DataFrame, side: str) -> DataFrame:
         return rows.where(F.col(code).isNotNull()).select(F.col("id").alias(f"id_{side}"), F.col(code).alias(f"v_{side}"), F.posexplode(code).alias("i", "chunk"))
 
-    distance = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return chunks(a, "a").join(chunks(b, "b"), ["i", "chunk"]).where(distance <= RADIUS).select("id_a", "id_b").distinct()
+    distance = _bits(radius + 1, lambda i: F.get("v_a", F.lit(i)).bitwiseXOR(F.get("v_b", F.lit(i))))
+    return chunks(a, "a").join(chunks(b, "b"), ["i", "chunk"]).where(distance <= radius).select("id_a", "id_b").distinct()
 
 
-def _dice(x: Column, y: Column) -> Column:
-    """Dice score of two bit vectors."""
-    def ones(v: Column) -> Column:
-        return F.aggregate(F.transform(v, lambda c: F.bit_count(c)), F.lit(0), lambda s, n: s + n)
+def same_people(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id_a, id_b): records with one of their first two names in common and years at most one apart, whose titles overlap.
+
+    Author and year are few q-grams, so their vectors are compared at radius 0, that is, for equality.
+    """
+    def keyed(rows: DataFrame, side: str, years) -> DataFrame:
+        return rows.where("title <> '' and year is not null and size(names) > 0").select(F.col("id").alias(f"id_{side}"), F.col("by_title").alias(f"v_{side}"), F.explode(F.slice("names", 1, 2)).alias("who"), years.alias("when"))
+
+    left = keyed(a, "a", F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).withColumn("when", F.explode("when"))
+    right = keyed(b, "b", F.col("year"))
+    return left.join(right, ["who", "when"]).where(_dice(F.col("v_a"), F.col("v_b")) >= 0.5).select("id_a", "id_b").distinct()
 
-    both = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda s, n: s + n)
-    return 2 * both / F.nullif(ones(x) + ones(y), F.lit(0))
+
+def _dice(x: Column, y: Column) -> Column:
+    """Dice score of two title vectors."""
+    n = BARE_RADIUS + 1
+    both = _bits(n, lambda i: F.get(x, F.lit(i)).bitwiseAND(F.get(y, F.lit(i))))
+    return 2 * both / F.nullif(_bits(n, lambda i: F.get(x, F.lit(i))) + _bits(n, lambda i: F.get(y, F.lit(i))), F.lit(0))
 
 
 def scored(a: DataFrame, b: DataFrame) -> DataFrame:
     """Close pairs with the Dice score of each field (null if unknown on a side) and their weighted mean."""
     same_doi = a.where("doi is not null").select(F.col("id").alias("id_a"), "doi").join(b.where("doi is not null").select(F.col("id").alias("id_b"), "doi"), "doi").select("id_a", "id_b")
-    pairs = close_pairs(a, b, "by_title").unionByName(close_pairs(a, b, "by_head")).unionByName(same_doi).distinct()
+    full = [rows.select("id", F.explode("by_all").alias("by_all")) for rows in (a, b)]
+    # Titles alone are compared where a side lacks author or year.
+    alone = close_pairs(a.where("bare"), b, "by_title", BARE_RADIUS).unionByName(close_pairs(a.where("not bare"), b.where("bare"), "by_title", BARE_RADIUS))
+    pairs = cut(close_pairs(*full, "by_all", RADIUS).unionByName(same_people(a, b)).unionByName(alone).unionByName(same_doi).distinct())
     sides = [rows.select(*[F.col(c).alias("id_" + s if c == "id" else f"{c}_{s}") for c in rows.columns]) for rows, s in ((a, "a"), (b, "b"))]
     full = pairs.join(sides[0], "id_a").join(sides[1], "id_b")
     shorter = F.least(F.length("title_a"), F.length("title_b"))
@@ -205,7 +225,7 @@ def calibrated(pairs: DataFrame) -> DataFrame:
 def match(library: DataFrame, sources: DataFrame) -> DataFrame:
     """(id_a, id_b, score, confidence, same): close pairs of records, and whether they are the same work."""
     a, b = cut(items(library)), cut(cited(sources))
-    pairs = calibrated(cut(scored(a, b).drop("by_title_a", "by_title_b", "by_head_a", "by_head_b")))
+    pairs = calibrated(cut(scored(a, b).drop("by_title_a", "by_title_b", "by_all_a", "by_all_b")))
     tags = (F.col("tags_a") == F.col("tags_b")) | ((F.col("cut_off_a") | F.col("cut_off_b")) & ((F.col("tags_a") == "") | (F.col("tags_b") == "")))
     year = F.coalesce(F.col("gap") <= 1, F.lit(True))
     author = F.coalesce(F.col("first_author"), F.lit(True))
