@@ -16,26 +16,18 @@ reference key of a third of their length and are reported as unmatched.
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.functions.text import ACCENTED, PLAIN
 
-#: Edits that a key may be away, by its length: one below 9, two below 15, else three.
-K = "CASE WHEN length(key) < 9 THEN 1 WHEN length(key) < 15 THEN 2 ELSE 3 END"
-#: Words that stand for nothing.
-FILLERS = ["other", "to be checked", "n a", "misc", "see notes", "ditto", "none", "unknown", "tbd", "various", "null", "na"]
+#: Edits that a key may be away, by its length: a misprint or two a word.
+K = "CASE WHEN length(key) < 9 THEN 1 WHEN length(key) < 13 THEN 2 WHEN length(key) < 18 THEN 3 WHEN length(key) < 24 THEN 4 ELSE 5 END"
+#: Entries of the reference list up to which its segments are sent to every executor; a longer list is shuffled.
+BROADCAST_ENTRIES = 50_000
 #: Abbreviations that are no beginnings of the word.
 SHORT_FORMS = {"mgmt": "management", "mgt": "management", "fw": "freshwater", "govce": "governance", "prog": "programme", "progr": "programme"}
 
-
-def _latin() -> tuple[str, str]:
-    """Accented Latin letters and the letters under their accents."""
-    pairs = [(chr(c), d[0]) for c in range(0xC0, 0x250) if (d := unicodedata.normalize("NFD", chr(c)))[0].isascii() and len(d) > 1]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-ACCENTED, PLAIN = _latin()
-
 SPELLED = f"""
 SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(
     lower(regexp_replace(translate(label, '{ACCENTED}', '{PLAIN}'), '\\\\p{{M}}', '')),
@@ -49,7 +41,7 @@ FROM {{labels}}
 ORDERED = """
 SELECT DISTINCT label, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(words,
     '^[ ,]+|[ ,]+$', ''),
-    '^use of ', ''),
+    '^(?:use of |the )+', ''),
     '^([^,]+?) ?, ?([^,]+)$', '$2 $1'),
     '^(.+?) of (?:the )?(.+)$', '$2 $1'),
     ' *, *', ' ')) AS phrase
@@ -147,8 +139,13 @@ def map_labels(spark: SparkSession, labels: DataFrame, thesaurus: DataFrame) ->
     )
     label_keys = _sql(spark, "SELECT * FROM {k} WHERE length(key) > 3", k=label_keys)
     segments = _sql(spark, SEGMENTS, keys=_sql(spark, "SELECT DISTINCT key FROM {r} WHERE length(key) > 3", r=reference))
-    probes = _sql(spark, PROBES, queries=_sql(spark, "SELECT DISTINCT key FROM {k}", k=label_keys), segments=segments)
-    verified = _sql(spark, VERIFIED, pairs=_sql(spark, PAIRS, probes=probes, segments=segments))
+    if thesaurus.count() <= BROADCAST_ENTRIES:
+        segments = F.broadcast(segments)
+    # Keys that the list spells alike need no search.
+    own_keys, ref_keys = _sql(spark, "SELECT DISTINCT key FROM {k}", k=label_keys), _sql(spark, "SELECT DISTINCT key FROM {r}", r=reference)
+    exact = _sql(spark, "SELECT q.key, r.key AS ref_key, 0 AS edits FROM {q} q JOIN {r} r ON r.key = q.key", q=own_keys, r=ref_keys)
+    probes = _sql(spark, PROBES, queries=_sql(spark, "SELECT q.key FROM {q} q LEFT ANTI JOIN {r} r ON r.key = q.key", q=own_keys, r=ref_keys), segments=segments)
+    verified = _sql(spark, "SELECT * FROM {e} UNION ALL SELECT * FROM {v}", e=exact, v=_sql(spark, VERIFIED, pairs=_sql(spark, PAIRS, probes=probes, segments=segments)))
     plausible = _plausible(spark, verified, label_keys, reference)
     best = _sql(spark, BEST, plausible=plausible)
     abbreviations = _sql(spark, "SELECT label AS short, min(canon_id) AS canon_id FROM {l} WHERE label RLIKE '^\\\\p{Lu}{2,8}$' GROUP BY label HAVING count(DISTINCT canon_id) = 1", l=listed)
