@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.ranking import global_rank
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -52,7 +54,7 @@ def knn_per_group(df: DataFrame, query: Column, k: int, key: str, group: str) ->
 
 def interleave(df: DataFrame, group: str, key: str, rank: str = "rank") -> DataFrame:
     """Best of each group, then second of each: position over (rank in group, group)."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(rank, group, key)))
+    return global_rank(df, [F.col(rank), F.col(group), F.col(key)], "position")
 
 
 def rerank(df: DataFrame, score: Column, alpha: float, group: str | None, key: str) -> DataFrame:

@@ -68,7 +68,6 @@ STATEMENTS = {
     "SRT11_quality_max": "WITH k AS (SELECT {strip} AS k, title, concat(CASE WHEN title LIKE '%...%' THEN '0' ELSE '1' END, CASE WHEN upper(title) = title THEN '0' ELSE '1' END, lpad(CAST(length(title) AS STRING), 4, '0'), title) AS quality FROM {zotero}) SELECT k, max_by(title, quality) AS best, count(*) AS variants FROM k GROUP BY k",
     "SRT13_examples": "SELECT source, [[CAST(doc_id AS STRING) ; / ; doc_id]] AS examples FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM {documents}) x WHERE place <= 3 GROUP BY source",
     "SRT14_plan_k": "SELECT source, CASE source WHEN 'reference_lists' THEN 30 WHEN 'knowledge_gaps' THEN 100 ELSE 3 END AS k FROM (SELECT DISTINCT source FROM {documents}) x",
-    "SET02_interleave": "SELECT row_number() OVER (ORDER BY place, source, doc_id) AS position, source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM {documents} WHERE source IS NOT NULL) x WHERE place <= 4",
     "SET07_subset_test": "WITH w AS (SELECT DISTINCT canon_id, {explode_words} AS w FROM {thesaurus}), n AS (SELECT canon_id, count(*) AS n FROM w GROUP BY canon_id), b AS (SELECT a.canon_id AS part, c.canon_id AS whole, count(*) AS common FROM w a JOIN w c ON c.w = a.w AND c.canon_id <> a.canon_id GROUP BY a.canon_id, c.canon_id) SELECT b.part, b.whole FROM b JOIN n ON n.canon_id = b.part AND n.n = b.common",
     "STR15_dehyphenate": "SELECT doc_id, length({dehyphenate}) AS size FROM {documents} WHERE text IS NOT NULL",
     "STR18_superscripts": f"SELECT span_id, translate(text, '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789') AS lowered, sup FROM {SPANS} s WHERE sup OR text <> translate(text, '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789')",

@@ -123,7 +123,7 @@ STATEMENTS = {
     "WIN14_cell_clustering": f"SELECT para_id, CAST(sum(fresh) OVER (PARTITION BY source_file, page ORDER BY y0, para_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cell FROM (SELECT para_id, source_file, page, y0, CASE WHEN y0 - lag(y0) OVER (PARTITION BY source_file, page ORDER BY y0, para_id) < 60 THEN 0 ELSE 1 END AS fresh FROM {PARAS} p)",
     "WIN16_paragraph_joining": f"SELECT source_file, page, block, grp, [[text ; / ; seq]] AS joined FROM (SELECT source_file, page, block, seq, text, CAST(sum(fresh) OVER (PARTITION BY source_file ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM (SELECT source_file, page, block, seq, text, CASE WHEN lag(text) OVER (PARTITION BY source_file ORDER BY seq) LIKE '%.' OR lag(block) OVER (PARTITION BY source_file ORDER BY seq) <> block THEN 1 ELSE 0 END AS fresh FROM {SPANS} s WHERE text IS NOT NULL)) GROUP BY source_file, page, block, grp",
     "WIN22_run_merge": f"SELECT source_file, line, run, [[text ; / ; seq]] AS merged, count(*) AS spans FROM (SELECT source_file, line, seq, text, CAST(sum(change) OVER (PARTITION BY source_file ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM (SELECT source_file, line, seq, text, CASE WHEN lag(font) OVER (PARTITION BY source_file ORDER BY seq) = font AND lag(bold) OVER (PARTITION BY source_file ORDER BY seq) = bold AND lag(line) OVER (PARTITION BY source_file ORDER BY seq) = line THEN 0 ELSE 1 END AS change FROM {SPANS} s WHERE text IS NOT NULL)) GROUP BY source_file, line, run",
-    "WIN23_group_break": "SELECT doc_id, assessment, coalesce(lag(assessment) OVER (ORDER BY assessment, doc_id) <> assessment, true) AS new_group FROM {documents} WHERE assessment IS NOT NULL",
+    "WIN23_group_break": "SELECT doc_id, assessment, row_number() OVER (PARTITION BY assessment ORDER BY doc_id) = 1 AS new_group FROM {documents} WHERE assessment IS NOT NULL",
     "WIN24_per_kind_counter": f"SELECT block_id, row_number() OVER (PARTITION BY source_file, kind ORDER BY seq, block_id) AS component FROM {BLOCKS} b WHERE kind IN ('annex_header', 'annex_title', 'table')",
     "WIN18_last_n_events": "SELECT user_id, event_id, back FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM {events}) WHERE back <= 6 AND event_type <> 'error'",
     "WIN19_recent_first_cap": "SELECT user_id, place FROM (SELECT user_id, row_number() OVER (ORDER BY last_ts DESC, user_id) AS place FROM (SELECT user_id, max(ts) AS last_ts FROM {events} GROUP BY user_id)) WHERE place <= 50",
@@ -132,9 +132,7 @@ STATEMENTS = {
     "SRT04_identifier": "SELECT s_suppkey, row_number() OVER (ORDER BY regexp_extract(s_name, '^([A-Za-z]+)', 1), CAST(regexp_extract(s_name, '([0-9]+)$', 1) AS BIGINT)) AS place FROM {supplier}",
     "SRT07_expert_sort": "SELECT s_suppkey, place FROM (SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_acctbal < 0 THEN 0 ELSE 1 END, n_name, s_name, s_suppkey) AS place FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey) WHERE place <= 500",
     "SRT08_part_rank": f"SELECT block_id, CASE kind WHEN 'para' THEN 0 WHEN 'annex_title' THEN 1 WHEN 'annex_header' THEN 1 ELSE 2 END AS part_rank FROM {BLOCKS} b",
-    "SRT09_longest_label": "SELECT canon_id, row_number() OVER (ORDER BY length(pref_label) DESC, pref_label) AS place FROM {thesaurus}",
     "SRT12_trailing_number": "SELECT item_key, coalesce(CAST(nullif(regexp_extract({first_collection}, '([0-9]+)$', 1), '') AS INT), 1000000) AS place FROM {zotero}",
-    "SRT15_offset_paging": "SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 250) AS INT) AS page FROM {documents}",
     # sets
     "SET04_intersect": f"SELECT report_id, num FROM {BLOCKS} b WHERE lang = 'en' AND num <> '' INTERSECT SELECT report_id, num FROM {BLOCKS} b WHERE lang <> 'en' AND num <> ''",
     "SET05_except": f"SELECT report_id, num FROM {BLOCKS} b WHERE lang = 'en' AND num <> '' EXCEPT SELECT report_id, num FROM {BLOCKS} b WHERE lang <> 'en' AND num <> ''",

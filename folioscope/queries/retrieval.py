@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators import context, vectors
+from folioscope.operators.ranking import global_rank
 from folioscope.queries.relational import typed
 from folioscope.sources.tables import first_delivery, table
 
@@ -90,17 +91,40 @@ def neighbour_offset(spark, sf):
     return context.neighbours(hits.withColumn("hit_order", F.col("block_id")), blocks, "source_file", "seq", "block_id", "hit_order").select("block_id", "source_file", "seq", "hit_order", "neighbour_of")
 
 
+def longest_label(spark, sf):
+    rows = table(spark, sf, "thesaurus", ["canon_id", "pref_label"])
+    return global_rank(rows, [F.desc(F.length("pref_label")), F.col("pref_label")], "place").select("canon_id", "place")
+
+
+def offset_paging(spark, sf):
+    rows = global_rank(table(spark, sf, "documents", ["doc_id"]), [F.col("doc_id")], "place")
+    return rows.select("doc_id", F.floor((F.col("place") - 1) / 250).cast("int").alias("page"))
+
+
+def interleave_sources(spark, sf):
+    """The first four documents of each source, best of each first."""
+    from pyspark.sql import Window
+
+    docs = table(spark, sf, "documents", ["doc_id", "source"]).where("source is not null")
+    top = docs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rank <= 4")
+    return vectors.interleave(top, "source", "doc_id").select("position", "source", "doc_id")
+
+
 QUERIES = {
     "JOIN01_knn": knn_topk, "JOIN02_knn_per_group": knn_per_group, "JOIN03_knn_overfetch": knn_overfetch, "JOIN04_neighbour_offset": neighbour_offset, "SRT01_topk_distance": typed_knn, "SRT02_rerank": rerank,
     "SET01_concat_results": concat_results, "SET03_keep_first": keep_first, "MATH_unit_vectors": unit_vectors, "WIN02_budget_prefix": budget_prefix, "WIN03_budget_share": budget_share, "PRJ14_used_prefix": used_prefix,
+    "SRT09_longest_label": longest_label, "SRT15_offset_paging": offset_paging, "SET02_interleave": interleave_sources,
 }
 _D = "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)), 6) AS distance FROM embeddings)"
 _SCORE = "least(vec_id % 7, 4) / 4.0"
 _PARAS = "b AS (SELECT block_id, any_value(source_file) AS source_file, any_value(seq) AS seq, any_value(text) AS text FROM blocks WHERE kind = 'para' GROUP BY block_id)"
 ORACLES = {
+    "SRT09_longest_label": "SELECT canon_id, CAST(rank() OVER (ORDER BY length(pref_label) DESC, pref_label) AS BIGINT) AS place FROM thesaurus",
+    "SRT15_offset_paging": "SELECT doc_id, CAST((rank() OVER (ORDER BY doc_id) - 1) // 250 AS INTEGER) AS page FROM documents",
+    "SET02_interleave": "SELECT CAST(rank() OVER (ORDER BY place, source, doc_id) AS BIGINT) AS position, source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents WHERE source IS NOT NULL) WHERE place <= 4",
     "JOIN01_knn": f"{_D} SELECT *, CAST(row_number() OVER (ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d ORDER BY distance, vec_id LIMIT 25",
     "SRT01_topk_distance": f"{_D} SELECT *, CAST(row_number() OVER (ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d WHERE label IN (1, 2) ORDER BY distance, vec_id LIMIT 10",
-    "JOIN02_knn_per_group": f"{_D}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank_in_group FROM d QUALIFY rank_in_group <= 3) SELECT vec_id, label, rank_in_group, row_number() OVER (ORDER BY rank_in_group, label, vec_id) AS merged_rank, distance FROM r",
+    "JOIN02_knn_per_group": f"{_D}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank_in_group FROM d QUALIFY rank_in_group <= 3) SELECT vec_id, label, rank_in_group, CAST(rank() OVER (ORDER BY rank_in_group, label, vec_id) AS BIGINT) AS merged_rank, distance FROM r",
     "JOIN03_knn_overfetch": f"{_D}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 9), s AS (SELECT *, round(0.75 * greatest(0, 1 - distance) + 0.25 * {_SCORE}, 6) AS combined FROM r) SELECT vec_id, label, distance, combined, row_number() OVER (PARTITION BY label ORDER BY combined DESC, rank, vec_id) AS new_rank FROM s QUALIFY new_rank <= 3",
     "SRT02_rerank": f"{_D}, r AS (SELECT *, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 40), s AS (SELECT *, round(0.75 * greatest(0, 1 - distance) + 0.25 * {_SCORE}, 6) AS combined FROM r) SELECT vec_id, rank, combined, row_number() OVER (ORDER BY combined DESC, rank, vec_id) AS new_rank FROM s",
     "SET01_concat_results": f"{_D}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank FROM d WHERE label IN (0, 1) QUALIFY rank <= 5) SELECT row_number() OVER (ORDER BY label, rank) AS position, vec_id, label AS branch FROM r",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import context, graph, lexicon, packing, vectors
+from folioscope.operators.ranking import global_rank
 from folioscope.sources import markup
 from folioscope.streaming import streams
 
@@ -104,6 +105,15 @@ def test_ranking_and_budget(spark):
     assert {r.id for r in big} == {0, 1}
 
 
+def test_global_rank(spark):
+    rng = random.Random(9)
+    values = [(rng.randrange(50), i) for i in range(300)]
+    df = spark.createDataFrame(values, "v long, i long").repartition(7)
+    got = sorted((r["rank"], r.v, r.i) for r in global_rank(df, [F.col("v"), F.col("i")], partitions=5).collect())
+    assert got == [(n, v, i) for n, (v, i) in enumerate(sorted(values), 1)]
+    assert global_rank(df.limit(0), [F.col("v")]).count() == 0
+
+
 def test_mentions(spark):
     thesaurus = spark.createDataFrame([("u1", "Coral Reef", ["CRX"]), ("u2", "reef", None)], "uri string, pref_label string, alt_labels array<string>")
     texts = spark.createDataFrame([(1, "The coral reef, and CRX."), (2, "reefs"), (3, None)], "id long, text string")
