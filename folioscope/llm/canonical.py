@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import ACCENTED, PLAIN
+from folioscope.plans.session import cut
 
 #: Edits that a key may be away, by its length: a misprint or two a word.
 K = "CASE WHEN length(key) < 9 THEN 1 WHEN length(key) < 13 THEN 2 WHEN length(key) < 18 THEN 3 WHEN length(key) < 24 THEN 4 ELSE 5 END"
@@ -109,7 +110,8 @@ def _keys(spark: SparkSession, labels: DataFrame, vocabulary: DataFrame | None)
     short = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SHORT_FORMS.items())
     cut_off = _sql(spark, CUT_OFF, vocabulary=vocabulary)
     words = _sql(spark, f"SELECT label, pos, {WORD_KEY.format(token=f'(CASE token {short} ELSE token END)')} AS word FROM {{tokens}}", tokens=tokens)
-    return _sql(spark, 
+    return _sql(
+        spark,
         "SELECT w.label, w.pos, CASE WHEN v.word IS NULL AND c.word IS NOT NULL THEN c.word ELSE w.word END AS word, v.word IS NOT NULL OR c.word IS NOT NULL AS known"
         " FROM {words} w LEFT JOIN {vocabulary} v ON v.word = w.word LEFT JOIN {cut_off} c ON c.cut = w.word",
         words=words, vocabulary=vocabulary, cut_off=cut_off,
@@ -121,33 +123,38 @@ def map_labels(spark: SparkSession, labels: DataFrame, thesaurus: DataFrame) ->
 
     thesaurus is the reference list, whose size is that of the list and not of the data.
     """
-    listed = _sql(spark, 
+    listed = _sql(
+        spark,
         "SELECT DISTINCT canon_id, label, hidden FROM (SELECT canon_id, pref_label AS label, false AS hidden FROM {t} UNION ALL SELECT canon_id, explode(alt_labels), false FROM {t} UNION ALL SELECT canon_id, explode(hidden_labels), true FROM {t})"
         " WHERE label IS NOT NULL AND trim(label) <> ''",
         t=thesaurus,
     )
     capitals = "regexp_extract(label, '^[^\\\\p{L}]*(?i:term:\\\\s*|use of\\\\s+)?[^\\\\p{L}]*(\\\\p{Lu}\\\\p{L}{1,7})(?:[^\\\\p{L}]*|[^\\\\p{L}].*(?i:term:|@en|draft|etc|pl)[^\\\\p{L}]*)$', 1)"
     ref_words = _keys(spark, _sql(spark, "SELECT DISTINCT label FROM {l} WHERE NOT label RLIKE '^\\\\p{Lu}+$'", l=listed), None)
+    ref_words = cut(ref_words)
     vocabulary = _sql(spark, "SELECT DISTINCT word FROM {w} JOIN (SELECT DISTINCT label FROM {l} WHERE NOT hidden) USING (label) WHERE length(word) > 2", w=ref_words, l=listed)
+    vocabulary = cut(vocabulary)
     by_label = "SELECT label, transform(array_sort(collect_list(struct(pos, word))), x -> x.word) AS tokens, array_join(transform(array_sort(collect_list(struct(pos, word))), x -> x.word), '') AS key FROM {w} GROUP BY label"
     reference = _sql(spark, "SELECT l.canon_id, k.tokens, k.key FROM {l} l JOIN {k} k USING (label)", l=listed, k=_sql(spark, by_label, w=ref_words))
+    reference = cut(reference)
     own = _sql(spark, "SELECT DISTINCT label FROM {l} WHERE label IS NOT NULL", l=labels)
     words = _keys(spark, own, vocabulary)
-    label_keys = _sql(spark, 
+    label_keys = _sql(
+        spark,
         "SELECT label, transform(x, y -> y.word) AS tokens, transform(x, y -> y.known) AS known, array_join(transform(x, y -> y.word), '') AS key FROM (SELECT label, array_sort(collect_list(struct(pos, word, known))) AS x FROM {w} GROUP BY label)",
         w=words,
     )
-    label_keys = _sql(spark, "SELECT * FROM {k} WHERE length(key) > 3", k=label_keys)
-    segments = _sql(spark, SEGMENTS, keys=_sql(spark, "SELECT DISTINCT key FROM {r} WHERE length(key) > 3", r=reference))
+    label_keys = cut(_sql(spark, "SELECT * FROM {k} WHERE length(key) > 3", k=label_keys))
+    segments = cut(_sql(spark, SEGMENTS, keys=_sql(spark, "SELECT DISTINCT key FROM {r} WHERE length(key) > 3", r=reference)))
     if thesaurus.count() <= BROADCAST_ENTRIES:
         segments = F.broadcast(segments)
     # Keys that the list spells alike need no search.
     own_keys, ref_keys = _sql(spark, "SELECT DISTINCT key FROM {k}", k=label_keys), _sql(spark, "SELECT DISTINCT key FROM {r}", r=reference)
     exact = _sql(spark, "SELECT q.key, r.key AS ref_key, 0 AS edits FROM {q} q JOIN {r} r ON r.key = q.key", q=own_keys, r=ref_keys)
     probes = _sql(spark, PROBES, queries=_sql(spark, "SELECT q.key FROM {q} q LEFT ANTI JOIN {r} r ON r.key = q.key", q=own_keys, r=ref_keys), segments=segments)
-    verified = _sql(spark, "SELECT * FROM {e} UNION ALL SELECT * FROM {v}", e=exact, v=_sql(spark, VERIFIED, pairs=_sql(spark, PAIRS, probes=probes, segments=segments)))
+    verified = cut(_sql(spark, "SELECT * FROM {e} UNION ALL SELECT * FROM {v}", e=exact, v=_sql(spark, VERIFIED, pairs=_sql(spark, PAIRS, probes=probes, segments=segments))))
     plausible = _plausible(spark, verified, label_keys, reference)
-    best = _sql(spark, BEST, plausible=plausible)
+    best = cut(_sql(spark, BEST, plausible=plausible))
     abbreviations = _sql(spark, "SELECT label AS short, min(canon_id) AS canon_id FROM {l} WHERE label RLIKE '^\\\\p{Lu}{2,8}$' GROUP BY label HAVING count(DISTINCT canon_id) = 1", l=listed)
     in_capitals = _sql(spark, f"SELECT o.label, a.canon_id, -1 AS edits FROM (SELECT label, {capitals} AS short FROM {{o}}) o JOIN {{a}} a ON a.short = upper(o.short)", o=own, a=abbreviations)
     return _sql(spark, "SELECT label, canon_id, edits FROM {b} UNION ALL SELECT c.* FROM {c} c LEFT ANTI JOIN {b} b2 ON b2.label = c.label", b=best, b2=best, c=in_capitals)
@@ -155,11 +162,13 @@ def map_labels(spark: SparkSession, labels: DataFrame, thesaurus: DataFrame) ->
 
 def _plausible(spark: SparkSession, verified: DataFrame, label_keys: DataFrame, reference: DataFrame) -> DataFrame:
     """Word by word where both have as many words; words run together may have fewer edits."""
-    joined = _sql(spark, 
+    joined = _sql(
+        spark,
         "SELECT l.label, r.canon_id, v.edits, v.ref_key, l.tokens AS lt, l.known, r.tokens AS rt FROM {v} v JOIN {l} l ON l.key = v.key JOIN {r} r ON r.key = v.ref_key",
         v=verified, l=label_keys, r=reference,
     )
-    return _sql(spark, 
+    return _sql(
+        spark,
         "SELECT label, canon_id, min(edits) AS edits FROM {j} WHERE edits = 0 OR CASE WHEN size(lt) = size(rt)"
         " THEN forall(sequence(0, size(lt) - 1), i -> lt[i] = rt[i] OR (NOT known[i] AND levenshtein(lt[i], rt[i]) <= greatest(1, length(rt[i]) DIV 3)))"
         " ELSE edits <= length(ref_key) DIV 8 AND NOT forall(known, y -> y) END GROUP BY label, canon_id",
@@ -184,6 +193,7 @@ WHERE place = 1 AND ties = 1
 def _mapped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     concepts = spark.read.parquet(f"{sf}/concepts.parquet").select("concept_id", "pref_label", "alt_labels", "hidden_labels")
     labels = _sql(spark, CONCEPT_LABELS, c=concepts)
+    labels = cut(labels)
     mapped = map_labels(spark, labels, spark.read.parquet(f"{sf}/thesaurus.parquet"))
     return concepts, labels, _sql(spark, FOUND, l=labels, m=mapped)
 
