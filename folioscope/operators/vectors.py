@@ -52,8 +52,13 @@ def knn_per_group(df: DataFrame, query: Column, k: int, key: str, group: str) ->
     return with_distance(df, query).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def interleave(df: DataFrame, group: str, key: str, rank: str = "rank") -> DataFrame:
-    """Best of each group, then second of each: position over (rank in group, group)."""
+def interleave(df: DataFrame, group: str, key: str, rank: str = "rank", per_group: int | None = None) -> DataFrame:
+    """Best of each group, then second of each: position over (rank in group, group).
+
+    Results that hold at most per_group rows of each group are short and numbered by one window; any others side by side.
+    """
+    if per_group is not None:
+        return df.where(F.col(rank) <= per_group).withColumn("position", F.row_number().over(Window.orderBy(rank, group, key)))
     return global_rank(df, [F.col(rank), F.col(group), F.col(key)], "position")
 
 

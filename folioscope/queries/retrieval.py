@@ -30,7 +30,7 @@ def typed_knn(spark, sf):
 
 def knn_per_group(spark, sf):
     rows, q = _embeddings(spark, sf)
-    return vectors.interleave(vectors.knn_per_group(rows, q, 3, "vec_id", "label"), "label", "vec_id").select("vec_id", "label", F.col("rank").alias("rank_in_group"), F.col("position").alias("merged_rank"), "distance")
+    return vectors.interleave(vectors.knn_per_group(rows, q, 3, "vec_id", "label"), "label", "vec_id", per_group=3).select("vec_id", "label", F.col("rank").alias("rank_in_group"), F.col("position").alias("merged_rank"), "distance")
 
 
 def knn_overfetch(spark, sf):
@@ -124,7 +124,7 @@ ORACLES = {
     "SET02_interleave": "SELECT CAST(rank() OVER (ORDER BY place, source, doc_id) AS BIGINT) AS position, source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents WHERE source IS NOT NULL) WHERE place <= 4",
     "JOIN01_knn": f"{_D} SELECT *, CAST(row_number() OVER (ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d ORDER BY distance, vec_id LIMIT 25",
     "SRT01_topk_distance": f"{_D} SELECT *, CAST(row_number() OVER (ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d WHERE label IN (1, 2) ORDER BY distance, vec_id LIMIT 10",
-    "JOIN02_knn_per_group": f"{_D}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank_in_group FROM d QUALIFY rank_in_group <= 3) SELECT vec_id, label, rank_in_group, CAST(rank() OVER (ORDER BY rank_in_group, label, vec_id) AS BIGINT) AS merged_rank, distance FROM r",
+    "JOIN02_knn_per_group": f"{_D}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank_in_group FROM d QUALIFY rank_in_group <= 3) SELECT vec_id, label, rank_in_group, row_number() OVER (ORDER BY rank_in_group, label, vec_id) AS merged_rank, distance FROM r",
     "JOIN03_knn_overfetch": f"{_D}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 9), s AS (SELECT *, round(0.75 * greatest(0, 1 - distance) + 0.25 * {_SCORE}, 6) AS combined FROM r) SELECT vec_id, label, distance, combined, row_number() OVER (PARTITION BY label ORDER BY combined DESC, rank, vec_id) AS new_rank FROM s QUALIFY new_rank <= 3",
     "SRT02_rerank": f"{_D}, r AS (SELECT *, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 40), s AS (SELECT *, round(0.75 * greatest(0, 1 - distance) + 0.25 * {_SCORE}, 6) AS combined FROM r) SELECT vec_id, rank, combined, row_number() OVER (ORDER BY combined DESC, rank, vec_id) AS new_rank FROM s",
     "SET01_concat_results": f"{_D}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank FROM d WHERE label IN (0, 1) QUALIFY rank <= 5) SELECT row_number() OVER (ORDER BY label, rank) AS position, vec_id, label AS branch FROM r",
