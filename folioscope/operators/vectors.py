@@ -52,6 +52,27 @@ def knn_per_group(df: DataFrame, query: Column, k: int, key: str, group: str) ->
     return with_distance(df, query).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def distances_to_set(rows: DataFrame, queries: DataFrame, key: str, vector: str = "embedding", blocks: tuple[int, int] = (4, 4)) -> DataFrame:
+    """(query_id, columns of rows, distance) of every row to every query, joined block against block: neither side is broadcast.
+
+    A query goes to all blocks of rows and a row to all blocks of queries, so that each pair meets once.
+    """
+    def side(df: DataFrame, own: str, other: str, n: int, others: int, name: str) -> DataFrame:
+        scaled = df.withColumn(f"_norm_{name}", norm(F.col(vector))).withColumnRenamed(vector, f"_{name}")
+        return scaled.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+
+    q = side(queries.select(key, vector), "_qb", "_rb", blocks[0], blocks[1], "q").withColumnRenamed(key, "query_id")
+    r = side(rows, "_rb", "_qb", blocks[1], blocks[0], "r")
+    distance = F.round(F.lit(1.0) - dot(F.col("_r"), F.col("_q")) / (F.col("_norm_r") * F.col("_norm_q")), 6)
+    return r.join(q, ["_qb", "_rb"]).withColumn("distance", distance).select("query_id", *[c for c in rows.columns if c != vector], "distance")
+
+
+def knn_set(rows: DataFrame, queries: DataFrame, k: int, key: str, group: str | None = None) -> DataFrame:
+    """The k nearest rows of each query, or of each query and group."""
+    w = Window.partitionBy("query_id", *[group] * bool(group)).orderBy("distance", key)
+    return distances_to_set(rows, queries, key).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def interleave(df: DataFrame, group: str, key: str, rank: str = "rank", per_group: int | None = None) -> DataFrame:
     """Best of each group, then second of each: position over (rank in group, group).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.operators import context, vectors
@@ -56,6 +56,53 @@ def concat_results(spark, sf):
     return a.unionByName(b).withColumn("position", F.row_number().over(Window.orderBy("branch", "rank"))).select("position", "vec_id", "branch")
 
 
+def _query_set(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All embeddings, and those of them that are the queries: every row whose id is divisible by 50."""
+    rows = table(spark, sf, _E, ["vec_id", "embedding", "label"])
+    return rows, rows.where("vec_id % 50 = 0")
+
+
+def _blend(near: DataFrame, *group: str) -> DataFrame:
+    """The re-ranking of rerank() within each query, in decimals: the blend of a rounded distance often ends in a half."""
+    def exact(x: str) -> Column:
+        return F.lit(x).cast("decimal(5,4)")
+
+    similar = F.greatest(exact("0"), exact("1") - F.col("distance").cast("decimal(9,6)"))
+    combined = F.round(exact("0.75") * similar + exact("0.0625") * F.least(F.col("vec_id") % 7, F.lit(4)).cast("decimal(5,4)"), 6).cast("double")
+    w = Window.partitionBy("query_id", *group).orderBy(F.desc("combined"), "rank", "vec_id")
+    return near.withColumn("combined", combined).withColumn("new_rank", F.row_number().over(w))
+
+
+def knn_topk_set(spark, sf):
+    return vectors.knn_set(*_query_set(spark, sf), 25, "vec_id").select("query_id", "vec_id", "label", "distance", "rank")
+
+
+def typed_knn_set(spark, sf):
+    rows, queries = _query_set(spark, sf)
+    return vectors.knn_set(rows.where(F.col("label").isin(1, 2)), queries, 10, "vec_id").select("query_id", "vec_id", "label", "distance", "rank")
+
+
+def knn_per_group_set(spark, sf):
+    near = vectors.knn_set(*_query_set(spark, sf), 3, "vec_id", "label")
+    merged = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "label", "vec_id"))
+    return near.select("query_id", "vec_id", "label", F.col("rank").alias("rank_in_group"), merged.alias("merged_rank"), "distance")
+
+
+def knn_overfetch_set(spark, sf):
+    again = _blend(vectors.knn_set(*_query_set(spark, sf), 9, "vec_id", "label"), "label")
+    return again.where("new_rank <= 3").select("query_id", "vec_id", "label", "distance", "combined", "new_rank")
+
+
+def rerank_set(spark, sf):
+    return _blend(vectors.knn_set(*_query_set(spark, sf), 40, "vec_id")).select("query_id", "vec_id", "rank", "combined", "new_rank")
+
+
+def concat_results_set(spark, sf):
+    rows, queries = _query_set(spark, sf)
+    both = vectors.knn_set(rows.where(F.col("label").isin(0, 1)), queries, 5, "vec_id", "label")
+    return both.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("label", "rank")).alias("position"), "vec_id", F.col("label").alias("branch"))
+
+
 def keep_first(spark, sf):
     """Repeated rows of one id keep their first position."""
     docs = table(spark, sf, "documents", ["doc_id", "text", "source"]).where("text is not null")
@@ -114,8 +161,11 @@ QUERIES = {
     "JOIN01_knn": knn_topk, "JOIN02_knn_per_group": knn_per_group, "JOIN03_knn_overfetch": knn_overfetch, "JOIN04_neighbour_offset": neighbour_offset, "SRT01_topk_distance": typed_knn, "SRT02_rerank": rerank,
     "SET01_concat_results": concat_results, "SET03_keep_first": keep_first, "MATH_unit_vectors": unit_vectors, "WIN02_budget_prefix": budget_prefix, "WIN03_budget_share": budget_share, "PRJ14_used_prefix": used_prefix,
     "SRT09_longest_label": longest_label, "SRT15_offset_paging": offset_paging, "SET02_interleave": interleave_sources,
+    "JOIN01_knn_set": knn_topk_set, "JOIN02_knn_per_group_set": knn_per_group_set, "JOIN03_knn_overfetch_set": knn_overfetch_set, "SRT01_topk_distance_set": typed_knn_set, "SRT02_rerank_set": rerank_set,
+    "SET01_concat_results_set": concat_results_set,
 }
 _D = "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)), 6) AS distance FROM embeddings)"
+_S = "WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)"
 _SCORE = "least(vec_id % 7, 4) / 4.0"
 _PARAS = "b AS (SELECT block_id, any_value(source_file) AS source_file, any_value(seq) AS seq, any_value(text) AS text FROM blocks WHERE kind = 'para' GROUP BY block_id)"
 ORACLES = {
@@ -135,4 +185,13 @@ ORACLES = {
     "WIN03_budget_share": "WITH d AS (SELECT doc_id, CASE source WHEN 'plenary_reports' THEN 'a' ELSE 'b' END AS side, n_chars + 2 AS size FROM documents WHERE n_chars > 0 AND source IN ('plenary_reports', 'web_crawl_a')), r AS (SELECT *, sum(size) OVER (PARTITION BY side ORDER BY doc_id) AS running FROM d), n AS (SELECT least(coalesce(max(running) FILTER (side = 'b'), 0), 20000) AS reserved FROM r), u AS (SELECT coalesce(max(running), 0) AS used FROM r, n WHERE side = 'a' AND running <= 60000 - reserved), k AS (SELECT doc_id, side, CASE side WHEN 'a' THEN running <= 60000 - reserved ELSE running <= 60000 - used END AS kept FROM r, n, u) SELECT doc_id, side, kept, row_number() OVER (ORDER BY NOT kept, side, doc_id) AS place FROM k",
     "JOIN04_neighbour_offset": f"WITH {_PARAS}, h AS (SELECT * FROM b WHERE contains(text, 'households') OR contains(text, 'ménages')), w AS (SELECT h.block_id AS hit, h.source_file, h.seq + o AS seq, o FROM h, (SELECT unnest([-1, 0, 1]) AS o)), f AS (SELECT b.block_id, b.source_file, b.seq, w.hit AS hit_order, CASE WHEN o <> 0 THEN w.hit END AS neighbour_of, row_number() OVER (PARTITION BY b.block_id ORDER BY w.hit, o) AS n FROM w JOIN b USING (source_file, seq)) SELECT block_id, source_file, seq, hit_order, neighbour_of FROM f WHERE n = 1",
 }
+_BLEND = "s AS (SELECT *, CAST(round(0.75 * greatest(0, 1 - CAST(distance AS DECIMAL(9, 6))) + 0.0625 * least(vec_id % 7, 4), 6) AS DOUBLE) AS combined FROM r)"
+ORACLES |= {
+    "JOIN01_knn_set": f"{_S} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 25",
+    "SRT01_topk_distance_set": f"{_S} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d WHERE label IN (1, 2) QUALIFY rank <= 10",
+    "JOIN02_knn_per_group_set": f"{_S}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, vec_id) AS rank_in_group FROM d QUALIFY rank_in_group <= 3) SELECT query_id, vec_id, label, rank_in_group, row_number() OVER (PARTITION BY query_id ORDER BY rank_in_group, label, vec_id) AS merged_rank, distance FROM r",
+    "JOIN03_knn_overfetch_set": f"{_S}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 9), {_BLEND} SELECT query_id, vec_id, label, distance, combined, row_number() OVER (PARTITION BY query_id, label ORDER BY combined DESC, rank, vec_id) AS new_rank FROM s QUALIFY new_rank <= 3",
+    "SRT02_rerank_set": f"{_S}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 40), {_BLEND} SELECT query_id, vec_id, rank, combined, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, rank, vec_id) AS new_rank FROM s",
+    "SET01_concat_results_set": f"{_S}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, vec_id) AS rank FROM d WHERE label IN (0, 1) QUALIFY rank <= 5) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY label, rank) AS position, vec_id, label AS branch FROM r",
+}
 ORACLES = {name: typed(s) for name, s in ORACLES.items()}
