@@ -1,6 +1,6 @@
 import random
 
-from folioscope.llm.spam import spam_pages
+from folioscope.llm.spam import page_features, spam_pages
 
 PROSE = "The committee reviewed the survey of river basins. It found that wetlands store water in dry years and that farmers depend on them. Several members asked for a second round of field work before the rains. "
 SPAM = {
@@ -31,3 +31,15 @@ def test_pages(spark):
 def test_long_text(spark):
     df = spark.createDataFrame([(1, "h", PROSE * 2000), (2, "h", SPAM[1] * 2000), (3, "h", "x" * 200000)], "doc_id long, host string, text string")
     assert {r.doc_id for r in spam_pages(df).where("spam").collect()} == {2}
+
+
+def test_every_shingle_counts(spark):
+    words = [f"{a}{b}" for a in ("brood", "clear", "drift") for b in "abcdefghijklmnopqrstuvwxyzabcdefghijklmn"][:120]
+    keywords = [w for i in range(27) for w in ("cheaper", "lodging", f"resort{'abcdefghijklmnopqrstuvwxyzz'[i]}")]
+    texts = {1: " ".join(words), 2: " ".join(keywords + words), 3: "one two. three, four\nfive six", 4: "one two three four", 5: None}
+    df = spark.createDataFrame([(i, f"h{i}", t) for i, t in texts.items()], "doc_id long, host string, text string")
+    found = {r.doc_id: list(r.phrases) for r in page_features(df).collect()}
+    assert {i: len(x) for i, x in found.items()} == {1: 116, 2: 197, 3: 2, 4: 0, 5: 0}
+    assert set(found[1]) < set(found[2])
+    page = spam_pages(df).where("doc_id = 2").first()
+    assert 0.35 < page.density < 0.5 and page.stitched > 0.5 and page.spam
