@@ -4,7 +4,8 @@ Each record's attributes (title with first author and year; title; author and ye
 fixed length. Pairs of records within a radius of each other in one of them are found exactly by multi-index Hamming
 hashing: a vector is cut into one chunk more than the radius, of which close vectors share at least one, so an equality
 join on (chunk number, chunk) finds them all, and a population count verifies. The radius is 0 for author and year and
-for the DOI, which leaves one chunk, the whole attribute. Field-weighted Dice scores of the pairs become
+for the DOI, which leaves one chunk, the whole attribute. Titles of one year of which one begins as the other are found
+exactly by pigeonhole segments, as a cut-off end leaves q-gram vectors far apart. Field-weighted Dice scores of the pairs become
 confidences by isotonic calibration against the pairs whose two DOIs agree or disagree, over all such pairs. An exact
 check then removes works that resemble each other: another part, edition, reply or erratum, another year, other authors,
 a title that differs by more than misprints or a missing end.
@@ -27,9 +28,12 @@ from pyspark.sql import functions as F
 
 from folioscope.plans.session import cut
 
-#: Bits of a chunk; and, for titles with author and year and for titles alone, the bits by which close vectors may differ.
-#: A vector has one chunk more than that. Two misprints are within the first, one within the second.
-WIDTH, RADIUS, BARE_RADIUS = 48, 11, 7
+#: Bits of a vector's word; and, for titles with author and year and for titles alone, the bits by which close vectors may
+#: differ: two misprints. The first have RADIUS + 1 words, titles alone TITLE_WORDS.
+WIDTH, RADIUS, BARE_RADIUS, TITLE_WORDS = 48, 11, 11, 8
+#: Letters of a title's segment, of a beginning, and for each of which a beginning may have one misprint. A beginning of n
+#: letters has n // SEGMENT segments, always more than its ceil(n / MISPRINT) misprints.
+SEGMENT, BEGINNING, MISPRINT = 8, 24, 16
 #: Weights of the fields' Dice scores, and the confidence of a match.
 WEIGHTS = {"title": 4.0, "author": 2.0, "year": 2.0, "doi": 3.0}
 CONFIDENT = 0.5
@@ -82,7 +86,7 @@ def vector(parts: list[str], chunks: int) -> list[int]:
     return np.packbits(padded, axis=1).view(">u8").astype(np.int64).ravel().tolist()
 
 
-COLUMNS = "id string, title string, tags string, cut_off boolean, names array<string>, year int, doi string, by_title array<long>, by_all array<array<long>>, bare boolean"
+COLUMNS = "id string, title string, tags string, cut_off boolean, names array<string>, year int, doi string, by_title array<long>, by_all array<array<long>>"
 
 
 def _row(key, title, names, year, doi) -> tuple:
@@ -91,7 +95,7 @@ def _row(key, title, names, year, doi) -> tuple:
     y = int(m.group()) if m else None
     # An inserted first name is common, so either of the first two names may be the first.
     full = [vector([*grams(letters), *[f"n{g}" for g in grams("^" + n + "$")], *[f"y{g}" for g in grams(str(y))]], RADIUS + 1) for n in names[:2]] if letters and y else []
-    return (str(key), letters, tags, cut_off, names, y, doi, vector(grams(letters), BARE_RADIUS + 1) if letters else None, full, not full)
+    return (str(key), letters, tags, cut_off, names, y, doi, vector(grams(letters), TITLE_WORDS) if letters else None, full)
 
 
 def items(df: DataFrame) -> DataFrame:
@@ -132,15 +136,48 @@ def _bits(n: int, word) -> Column:
     return sum((F.bit_count(word(i)) for i in range(1, n)), F.bit_count(word(0)))
 
 
+def _chunks(code: str, n: int) -> Column:
+    """The words of a vector cut anew into n chunks of nearly equal width, each at most 64 bits."""
+    pieces = F.flatten(F.transform(code, lambda w: F.array(F.shiftright(w, 32), F.shiftright(w, 16).bitwiseAND(F.lit(0xFFFF)), w.bitwiseAND(F.lit(0xFFFF)))))
+
+    def chunk(all_pieces: Column, i: Column) -> Column:
+        at = F.floor(i * F.size(all_pieces) / n).cast("int")
+        return F.aggregate(F.slice(all_pieces, at + 1, F.floor((i + 1) * F.size(all_pieces) / n).cast("int") - at), F.lit(0).cast("long"), lambda s, x: s * 65536 + x)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: chunk(pieces, i))
+
+
 def close_pairs(a: DataFrame, b: DataFrame, code: str, radius: int) -> DataFrame:
-    """(id_a, id_b): all pairs of records whose vectors `code`, of radius + 1 chunks, differ in at most radius bits."""
+    """(id_a, id_b): all pairs of records whose vectors `code`, of at most radius + 1 words, differ in at most radius bits."""
     def chunks(rows: DataFrame, side: str) -> DataFrame:
-        return rows.where(F.col(code).isNotNull()).select(F.col("id").alias(f"id_{side}"), F.col(code).alias(f"v_{side}"), F.posexplode(code).alias("i", "chunk"))
+        return rows.where(F.col(code).isNotNull()).select(F.col("id").alias(f"id_{side}"), F.col(code).alias(f"v_{side}"), F.posexplode(_chunks(code, radius + 1)).alias("i", "chunk"))
 
-    distance = _bits(radius + 1, lambda i: F.get("v_a", F.lit(i)).bitwiseXOR(F.get("v_b", F.lit(i))))
+    distance = _bits(radius + 1, lambda i: F.coalesce(F.get("v_a", F.lit(i)).bitwiseXOR(F.get("v_b", F.lit(i))), F.lit(0).cast("long")))
     return chunks(a, "a").join(chunks(b, "b"), ["i", "chunk"]).where(distance <= radius).select("id_a", "id_b").distinct()
 
 
+def begins(x: Column, y: Column) -> Column:
+    """Whether the shorter title is the beginning of the longer but for misprints."""
+    n = F.least(F.length(x), F.length(y))
+    return (F.levenshtein(x.substr(F.lit(1), n), y.substr(F.lit(1), n)) <= F.ceil(n / MISPRINT)) & (n >= BEGINNING)
+
+
+def same_beginnings(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id_a, id_b): all pairs of records of one year whose titles begin alike.
+
+    Misprints in the beginning leave one of its segments whole, which stands in the other title, moved by at most as many letters.
+    """
+    def cut_up(rows: DataFrame, side: str, step: int) -> DataFrame:
+        at = F.sequence(F.lit(1), F.length("title") - SEGMENT + 1, F.lit(step))
+        placed = rows.where(f"length(title) >= {BEGINNING} and year is not null").select(F.col("id").alias(f"id_{side}"), F.col("title").alias(f"t_{side}"), "year", F.explode(at).alias(f"at_{side}"))
+        return placed.withColumn("part", F.col(f"t_{side}").substr(F.col(f"at_{side}"), F.lit(SEGMENT)))
+
+    n = F.least(F.length("t_a"), F.length("t_b"))
+    moved = (F.abs(F.col("at_a") - F.col("at_b")) <= F.ceil(n / MISPRINT)) & (F.col("at_a") + SEGMENT - 1 <= n)
+    both = cut_up(a, "a", SEGMENT).join(cut_up(b, "b", 1), ["year", "part"])
+    return both.where(moved).where(begins(F.col("t_a"), F.col("t_b"))).select("id_a", "id_b").distinct()
+
+
 def same_people(a: DataFrame, b: DataFrame) -> DataFrame:
     """(id_a, id_b): records with one of their first two names in common and years at most one apart, whose titles overlap.
 
@@ -156,7 +193,7 @@ def same_people(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def _dice(x: Column, y: Column) -> Column:
     """Dice score of two title vectors."""
-    n = BARE_RADIUS + 1
+    n = TITLE_WORDS
     both = _bits(n, lambda i: F.get(x, F.lit(i)).bitwiseAND(F.get(y, F.lit(i))))
     return 2 * both / F.nullif(_bits(n, lambda i: F.get(x, F.lit(i))) + _bits(n, lambda i: F.get(y, F.lit(i))), F.lit(0))
 
@@ -165,13 +202,12 @@ def scored(a: DataFrame, b: DataFrame) -> DataFrame:
     """Close pairs with the Dice score of each field (null if unknown on a side) and their weighted mean."""
     same_doi = a.where("doi is not null").select(F.col("id").alias("id_a"), "doi").join(b.where("doi is not null").select(F.col("id").alias("id_b"), "doi"), "doi").select("id_a", "id_b")
     full = [rows.select("id", F.explode("by_all").alias("by_all")) for rows in (a, b)]
-    # Titles alone are compared where a side lacks author or year.
-    alone = close_pairs(a.where("bare"), b, "by_title", BARE_RADIUS).unionByName(close_pairs(a.where("not bare"), b.where("bare"), "by_title", BARE_RADIUS))
-    pairs = cut(close_pairs(*full, "by_all", RADIUS).unionByName(same_people(a, b)).unionByName(alone).unionByName(same_doi).distinct())
+    alone = close_pairs(a, b, "by_title", BARE_RADIUS)
+    found = close_pairs(*full, "by_all", RADIUS).unionByName(same_people(a, b)).unionByName(alone).unionByName(same_beginnings(a, b)).unionByName(same_doi)
+    pairs = cut(found.distinct())
     sides = [rows.select(*[F.col(c).alias("id_" + s if c == "id" else f"{c}_{s}") for c in rows.columns]) for rows, s in ((a, "a"), (b, "b"))]
     full = pairs.join(sides[0], "id_a").join(sides[1], "id_b")
-    shorter = F.least(F.length("title_a"), F.length("title_b"))
-    beginning = (F.substring("title_a", 1, 1 << 30) != "") & (F.levenshtein(F.col("title_a").substr(F.lit(1), shorter), F.col("title_b").substr(F.lit(1), shorter)) <= F.ceil(shorter / 16)) & (shorter >= 24)
+    beginning = begins(F.col("title_a"), F.col("title_b"))
     names = F.size("names_a") * F.size("names_b") > 0
     n = F.least(F.size("names_a"), F.size("names_b"))
 

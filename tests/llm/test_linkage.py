@@ -56,3 +56,32 @@ def test_close_pairs_are_exact(spark):
 def test_isotonic_rises():
     pooled = dict(linkage.isotonic([(1, 1, 2), (2, 0, 2), (3, 3, 3), (4, 2, 3)]))
     assert [pooled[i] for i in (1, 2, 3, 4)] == sorted(pooled.values())
+
+
+def test_cut_off_and_misprinted_titles_are_reached(spark):
+    long = "The decline of seagrass meadows and what fishers in the northern bays make of it"
+    swapped = TITLE.replace("water", "wader").replace("grazing", "grasing")  # two substituted letters
+    items = [("L", long, [], "1970", None, None), ("T", TITLE, ["Berg"], "1994", None, None)]
+    sources = [(1, {"title": long[:54] + "...", "year": "1970"}), (2, {"title": "x" + long[:54] + "...", "year": "1970"}), (3, {"title": long[:54] + "...", "year": "1971"}), (4, {"title": swapped, "by": "Borg", "issued": "1994"})]
+    a = spark.createDataFrame(items, "item_key string, title string, creators array<string>, item_date string, doi string, url string")
+    b = spark.createDataFrame(sources, "source_id long, metadata map<string,string>")
+    got = {(r.id_a, int(r.id_b)) for r in linkage.match(a, b).where("same").collect()}
+    assert got == {("L", 1), ("L", 2), ("T", 4)}
+
+
+def test_beginnings_are_exact(spark):
+    rng = random.Random(5)
+    whole = "thedeclineofseagrassmeadowsandwhatfishersinthenorthernbaysmakeofit"
+
+    def misprinted(n, times):
+        t = list(whole[:n])
+        for _ in range(times):
+            at = rng.randrange(len(t))
+            t[at : at + 1] = rng.choice([[], ["q"], [t[at], "q"]])
+        return "".join(t)
+
+    titles = [misprinted(rng.randrange(24, len(whole)), rng.randrange(7)) for _ in range(60)]
+    df = spark.createDataFrame([(str(i), t, 1990 + i % 2) for i, t in enumerate(titles)], "id string, title string, year int")
+    pairs = df.selectExpr("id AS id_a", "title AS x", "year").join(df.selectExpr("id AS id_b", "title AS y", "year"), "year")
+    want = {tuple(r) for r in pairs.where(linkage.begins(pairs.x, pairs.y)).select("id_a", "id_b").collect()}
+    assert {tuple(r) for r in linkage.same_beginnings(df, df).collect()} == want
