@@ -1,9 +1,13 @@
 """Parent-child links to full hierarchies: tops, depths, paths, descendants and loops.
 
 Links are a DataFrame (part, parent, child): `part` names the graph (several graphs are closed in the same jobs),
-parent and child are ids of `members` (part, id). The frontier of each record climbs to its ancestors. Joining the
-frontier with itself doubles the number of levels that a round covers, so a chain of n records takes log2(n) rounds,
-not n, and a round shuffles one row per record and ancestor at the frontier, not all ancestor pairs.
+parent and child are ids of `members` (part, id).
+
+Frontiers go down from the tops. A round joins all pairs (top, record) found so far with the links, keeps the pairs that
+are new, and joins the links with themselves, so that the next round's links span twice as many levels: after k rounds
+all records less than 2^k levels below a top are found. A frontier of one level a round gives the same pairs, but needs
+as many dependent joins as the deepest tree has levels (hundreds here). Repeated pairs are dropped, which ends walks
+round loops; records from which and to which the links of ever more levels still lead are on loops or between loops.
 
 Defined results of odd input: null ids and links with an end that is no member are dropped; repeated links and members
 count once; a record without links is its own top at depth 0; an empty table gives an empty result; a record that only
@@ -15,120 +19,174 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.plans.session import cut
+from folioscope.plans.session import Rounds, cut
+
 
-KEY = ["part"]
+def _ids(members: DataFrame) -> DataFrame:
+    return members.select("part", "id").where("id is not null").distinct()
 
 
 def clean_links(members: DataFrame, links: DataFrame) -> DataFrame:
     """Distinct links whose both ends are members."""
-    ids = members.select("part", "id").where(F.col("id").isNotNull()).distinct()
-    return (
-        links.select("part", "parent", "child")
-        .distinct()
-        .join(ids.select("part", F.col("id").alias("parent")), ["part", "parent"], "left_semi")
-        .join(ids.select("part", F.col("id").alias("child")), ["part", "child"], "left_semi")
-        .select("part", "parent", "child")
-    )
-
-
-def _climb(state: DataFrame, with_path: bool) -> DataFrame:
-    """Double the frontier until no round adds anything.
-
-    state: rows (part, id, up, depth, final[, path]). Final rows hold a top of the record and the fewest steps to it.
-    The others are the frontier: the ancestors exactly 2^k levels up. A record whose frontier never empties has an
-    endless walk upwards (it is on a loop or below one); an ancestor that stays in the frontier has an endless walk
-    downwards.
-
-    A shortest climb of more than 2^(k+1) levels has a part of more than 2^k and at most 2^(k+1) levels, and so have the
-    longest finite walks up and down: a round that changes none of the three counts is the last.
+    return _within(links.select("part", "parent", "child").distinct(), _ids(members))
+
+
+def _within(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """The links whose both ends are among ids."""
+    for end in ("parent", "child"):
+        links = links.join(ids.select("part", F.col("id").alias(end)), ["part", end], "left_semi")
+    return links.select("part", "parent", "child")
+
+
+def tops(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, id) of the members without a parent, not even themselves."""
+    return _ids(members).join(edges.select("part", F.col("child").alias("id")).distinct(), ["part", "id"], "left_anti")
+
+
+def _doubled(links: DataFrame) -> DataFrame:
+    """Links of twice as many levels."""
+    lower = links.select("part", F.col("parent").alias("_via"), F.col("child").alias("_below"))
+    return links.withColumnRenamed("child", "_via").join(lower, ["part", "_via"]).select("part", "parent", F.col("_below").alias("child")).distinct()
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _descend(rounds: Rounds, starts: DataFrame, edges: DataFrame) -> tuple[list[DataFrame], DataFrame, int]:
+    """Pairs (part, top, id, depth) with the fewest steps from each start to each record below it, the links of the last round and their levels.
+
+    A round that finds no pair is the last: the records on a shortest way down are one level apart, so there is none beyond.
     """
-    before = None
+    found = [rounds.write(starts.select("part", F.col("id").alias("top"), "id", F.lit(0).alias("depth")))]
+    links, levels = edges, 1
     while True:
-        now = state.agg(F.count_if("final"), F.count_distinct(F.when(~F.col("final"), F.struct("part", "id"))), F.count_distinct(F.when(~F.col("final"), F.struct("part", "up")))).first()
-        if not now[1] or tuple(now) == before:
-            return state
-        before = tuple(now)
-        below = state.where("not final").select("part", "id", F.col("up").alias("_at"), F.col("depth").alias("_steps"), *([F.col("path").alias("_path")] if with_path else []))
-        above = state.where("not final or depth > 0").withColumnRenamed("id", "_at")
-        joined = below.join(above, ["part", "_at"]).withColumn("depth", F.col("_steps") + F.col("depth"))
-        if with_path:
-            joined = joined.withColumn("path", F.concat("path", F.slice("_path", 2, 1 << 30)))
-        rows = joined.select(*state.columns).unionByName(state.where("final")).groupBy("part", "id", "up", "final")
-        rows = rows.agg(F.min(F.struct("depth", "path")).alias("_m")).select("part", "id", "up", "_m.depth", "final", "_m.path") if with_path else rows.agg(F.min("depth").alias("depth")).select(*state.columns)
-        state = cut(rows)
-
-
-def hierarchy(members: DataFrame, edges: DataFrame, with_path: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Tops and depths of all records, and what is left of the frontier.
-
-    edges: from clean_links. Returns (part, id, top, depth[, path]) with the fewest steps from each top that reaches the
-    record (path: ids from the top to the record, the smallest of the shortest), and the frontier (part, id, up): ids
-    with an endless walk upwards, and ancestors with an endless walk downwards.
-    """
-    ids = members.select("part", "id").where(F.col("id").isNotNull()).distinct()
-    tops = ids.join(edges.select("part", F.col("child").alias("id")).distinct(), ["part", "id"], "left_anti")
-    own = tops.select("part", "id", F.col("id").alias("up"), F.lit(0).alias("depth"), F.lit(True).alias("final"), *([F.array("id").alias("path")] if with_path else []))
-    # One level: a parent is in the frontier, and a final row too if it is a top.
-    up = edges.select("part", F.col("child").alias("id"), F.col("parent").alias("up"), F.lit(1).alias("depth"), F.lit(False).alias("final"), *([F.array("parent", "child").alias("path")] if with_path else []))
-    direct = up.join(tops.select("part", F.col("id").alias("up")), ["part", "up"], "left_semi").withColumn("final", F.lit(True))
-    state = _climb(cut(own.unionByName(up).unionByName(direct)), with_path)
-    done = state.where("final").select("part", "id", F.col("up").alias("top"), "depth", *(["path"] if with_path else []))
-    return done, state.where("not final").select("part", "id", "up")
-
-
-def _least_reached(ids: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
-    """(part, id, least): the smallest id that each record reaches along source -> target, itself included.
+        so_far = _union(found)
+        step = links.select("part", F.col("parent").alias("id"), F.col("child").alias("_to"))
+        met = so_far.join(step, ["part", "id"]).groupBy("part", "top", F.col("_to").alias("id")).agg((F.min("depth") + levels).cast("int").alias("depth"))
+        # Only pairs met again are looked up among those found, so that a small frontier moves no large table.
+        again = so_far.join(met.select("part", "top", "id"), ["part", "top", "id"], "left_semi").select("part", "top", "id")
+        new = rounds.write(met.join(again, ["part", "top", "id"], "left_anti").select("part", "top", "id", "depth"))
+        if new.isEmpty():
+            return found, links, levels
+        found.append(new)
+        links, levels = rounds.write(_doubled(links)), levels * 2
+
+
+def hierarchy(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, id, top, depth): the tops of each record with the fewest steps from each. edges: from clean_links."""
+    return reached(tops(members, edges), edges)
 
-    The stride doubles as in _climb; the records' own rows (to = id, least) and the frontier share one table.
+
+def reached(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, id, top, depth) of each start (part, id) and each record reached from it."""
+    rounds = Rounds(edges.sparkSession)
+    found, _, _ = _descend(rounds, starts, rounds.write(edges))
+    out = cut(_union(found).select("part", "id", "top", "depth"))
+    rounds.close()
+    return out
+
+
+def descendants(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, ancestor, descendant, steps): all pairs with the fewest steps, each record among its own at 0."""
+    return reached(_ids(members), edges).select("part", F.col("top").alias("ancestor"), F.col("id").alias("descendant"), F.col("depth").alias("steps"))
+
+
+def hierarchy_and_loops(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """hierarchy() and loops() of the same links; the rounds of the first serve the second."""
+    rounds = Rounds(edges.sparkSession)
+    edges = rounds.write(edges)
+    found, links, _ = _descend(rounds, tops(members, edges), edges)
+    done, rings = cut(_union(found).select("part", "id", "top", "depth")), cut(_loops(rounds, edges, links))
+    rounds.close()
+    return done, rings
+
+
+def loops(edges: DataFrame) -> DataFrame:
+    """(part, id, loop): each record on a loop with the smallest id of those that it reaches and that reach it."""
+    rounds = Rounds(edges.sparkSession)
+    edges = rounds.write(edges)
+    out = cut(_loops(rounds, edges, edges))
+    rounds.close()
+    return out
+
+
+def _endless(rounds: Rounds, links: DataFrame) -> DataFrame:
+    """(part, id) with endless walks both ways. links: of any number of levels.
+
+    If no record leaves when the levels double, none leaves later: a longest finite walk of more levels has a record
+    on it whose own longest walk is between the two numbers of levels.
     """
-    state = ids.select("part", "id", F.col("id").alias("to"), F.col("id").alias("least"), F.lit(True).alias("own")).unionByName(
-        edges.select("part", F.col(source).alias("id"), F.col(target).alias("to"), F.lit(None).cast("bigint").alias("least"), F.lit(False).alias("own")).distinct()
-    )
-    state, before = cut(state), None
+    before = None
     while True:
-        frontier = state.where("not own").select("part", "id", F.col("to").alias("_at"))
-        seen = frontier.join(state.withColumnRenamed("id", "_at"), ["part", "_at"]).select("part", "id", F.when(F.col("own"), F.col("id")).otherwise(F.col("to")).alias("to"), "least", "own")
-        state = cut(state.where("own").unionByName(seen).groupBy("part", "id", "to", "own").agg(F.min("least").alias("least")).select(*state.columns))
-        now = state.agg(F.sum(F.when(F.col("own"), F.col("least").cast("decimal(38,0)"))), F.count_if(~F.col("own"))).first()
-        if not now[1] or (before is not None and now[0] == before):
-            return state.where("own").select("part", "id", "least")
-        before = now[0]
+        now = tuple(links.agg(F.count_distinct("part", "parent"), F.count_distinct("part", "child")).first())
+        if not now[0] or now == before:
+            heads, tails = (links.select("part", F.col(end).alias("id")).distinct() for end in ("parent", "child"))
+            return heads.join(tails, ["part", "id"], "left_semi")
+        before = now
+        links = rounds.write(_doubled(links))
 
 
-def loops(edges: DataFrame, frontier: DataFrame) -> DataFrame:
-    """(part, id, loop): each record on a loop with the smallest id of those that it reaches and that reach it.
+def _loops(rounds: Rounds, edges: DataFrame, links: DataFrame) -> DataFrame:
+    """loops() of edges, links being those of more levels.
 
-    frontier: of hierarchy(). Records with endless walks both ways lie on a loop or between loops. There, colours (the
-    smallest id from which a record is reached) split them into classes, and the records of a class that reach its
-    colour form one loop with it. These are taken off, and the rest is done again until no link is left.
+    Among the records with endless walks both ways, colours (the smallest id from which a record is reached) split them
+    into classes, and the records of a class that reach its colour form one loop with it. These are taken off, and the
+    rest is done again until no link is left.
     """
-    found = edges.select("part", F.col("parent").alias("id"), F.col("parent").alias("loop")).limit(0)
+    found = [edges.select("part", F.col("parent").alias("id"), F.col("parent").alias("loop")).limit(0)]
     while True:
-        core = cut(frontier.select("part", "id").distinct().join(frontier.select("part", F.col("up").alias("id")).distinct(), ["part", "id"], "left_semi"))
-        near = cut(_within(edges, core))
-        if not near.limit(1).count():
-            return found
-        colour = _least_reached(core, near, "child", "parent")
-        inside = near.join(colour.select("part", F.col("id").alias("parent"), F.col("least").alias("_a")), ["part", "parent"]).join(colour.select("part", F.col("id").alias("child"), F.col("least").alias("_b")), ["part", "child"]).where("_a = _b").select("part", "parent", "child")
-        down = _least_reached(core, inside, "parent", "child")
+        core = rounds.write(_endless(rounds, links))
+        near = rounds.write(_within(edges, core))
+        if near.isEmpty():
+            return _union(found)
+        colour = _least_reached(rounds, core, near, "child", "parent")
+        ends = [colour.select("part", F.col("id").alias(end), F.col("least").alias(f"_{end}")) for end in ("parent", "child")]
+        inside = rounds.write(near.join(ends[0], ["part", "parent"]).join(ends[1], ["part", "child"]).where("_parent = _child").select("part", "parent", "child"))
+        down = _least_reached(rounds, core, inside, "parent", "child")
+        ring = rounds.write(down.join(colour.select("part", "id", F.col("least").alias("_colour")), ["part", "id"]).where("least = _colour").select("part", "id", F.col("least").alias("loop")))
         # A class of one record is a loop only if the record links to itself, as all links inside it then do.
-        linked = inside.select("part", F.col("parent").alias("id")).distinct()
-        ring = cut(down.join(colour.select("part", "id", F.col("least").alias("_colour")), ["part", "id"]).where("least = _colour").select("part", "id", F.col("least").alias("loop")))
-        found = cut(found.unionByName(ring.join(linked, ["part", "id"], "left_semi")))
-        edges = cut(_within(near, core.join(ring.select("part", "id"), ["part", "id"], "left_anti")))
-        if not edges.limit(1).count():
-            return found
-        none = edges.select("part", F.col("parent").alias("id")).limit(0)
-        frontier = hierarchy(none, edges)[1]
+        found.append(rounds.write(ring.join(inside.select("part", F.col("parent").alias("id")).distinct(), ["part", "id"], "left_semi")))
+        edges = links = rounds.write(_within(near, core.join(ring, ["part", "id"], "left_anti")))
 
 
-def _within(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """The links whose both ends are among ids."""
-    return edges.join(ids.select("part", F.col("id").alias("parent")), ["part", "parent"], "left_semi").join(ids.select("part", F.col("id").alias("child")), ["part", "child"], "left_semi").select("part", "parent", "child")
+def _least_reached(rounds: Rounds, ids: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(part, id, least): the smallest id that each record reaches along source -> target, itself included.
+
+    The levels of the links double. A round that lowers no id is the last, by the argument of _descend for the ways to the least ids.
+    """
+    least = rounds.write(ids.select("part", "id", F.col("id").alias("least")))
+    links, before = edges, None
+    while True:
+        now = least.agg(F.sum(F.col("least").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            return least
+        before = now
+        seen = links.select("part", F.col(source).alias("_id"), F.col(target).alias("id")).join(least, ["part", "id"]).select("part", F.col("_id").alias("id"), "least")
+        least = rounds.write(least.unionByName(seen).groupBy("part", "id").agg(F.min("least").alias("least")))
+        links = rounds.write(_doubled(links))
 
 
-def descendants(done: DataFrame) -> DataFrame:
-    """(part, ancestor, descendant, steps): ancestor pairs read off the paths, each record among its own descendants at 0."""
-    pairs = done.select("part", "id", "depth", F.posexplode("path").alias("_pos", "ancestor"))
-    return pairs.groupBy("part", "ancestor", F.col("id").alias("descendant")).agg(F.min(F.col("depth") - F.col("_pos")).alias("steps"))
+def paths(done: DataFrame, edges: DataFrame) -> DataFrame:
+    """done, from hierarchy(), with the path (ids from the top to the record): at each step up the smallest parent on a shortest way.
+
+    Each record first knows the step above it; joining what is unfinished with itself doubles the known part.
+    """
+    rounds = Rounds(done.sparkSession)
+    above = done.select("part", "top", F.col("id").alias("parent"), (F.col("depth") + 1).alias("depth"))
+    up = done.where("depth > 0").join(edges.select("part", "parent", F.col("child").alias("id")), ["part", "id"]).join(above, ["part", "top", "parent", "depth"])
+    up = up.groupBy("part", "id", "top", "depth").agg(F.min("parent").alias("up"))
+    whole = [rounds.write(done.where("depth = 0").select("part", "id", "top", "depth", F.lit(None).cast("bigint").alias("up"), F.array("id").alias("path")))]
+    open_ = rounds.write(up.withColumn("path", F.array("id")))
+    while not open_.isEmpty():
+        higher = _union([*whole, open_]).select("part", "top", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        longer = open_.join(higher, ["part", "top", "up"]).select("part", "id", "top", "depth", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"))
+        longer = rounds.write(longer)
+        whole.append(longer.where("up is null"))
+        open_ = longer.where("up is not null")
+    out = cut(_union(whole).select("part", "id", "top", "depth", "path"))
+    rounds.close()
+    return out

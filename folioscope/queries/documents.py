@@ -9,19 +9,13 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import graph, lexicon, packing
-from folioscope.plans.session import ensure_checkpoint_dir
+from folioscope.plans.session import shared_folder
 from folioscope.queries.relational import typed
 from folioscope.sources import markup
 from folioscope.sources.tables import first_delivery, table
 from folioscope.streaming import streams
 
 
-def _shared(spark: SparkSession) -> str:
-    """A folder that all executors share."""
-    ensure_checkpoint_dir(spark)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def _blocks(spark, sf) -> DataFrame:
     return first_delivery(table(spark, sf, "blocks", ["block_id", "source_file", "seq", "kind", "num", "fmt", "ilvl", "text", "loaded_at"]), "block_id")
 
@@ -173,13 +167,13 @@ def reading_order(spark, sf):
 def window_counts(spark, sf):
     """Events per hour and type, run as a stream over what is there."""
     stream = streams.read_parquet_stream(spark, f"{sf}/events.parquet")
-    rows = streams.run_to_table(streams.window_counts(stream), _shared(spark))
+    rows = streams.run_to_table(streams.window_counts(stream), shared_folder(spark))
     return rows.select(F.col("window.start").cast("string").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def csv_round_trip(spark, sf):
     """Written with all fields quoted and read back."""
-    path = f"{_shared(spark)}/csv-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     rows = first_delivery(table(spark, sf, "zotero", ["item_key", "title", "item_date", "loaded_at"]), "item_key").select("item_key", "title", "item_date")
     rows.write.csv(path, header=True, quoteAll=True, escape='"', nullValue="\\N", emptyValue="")
     return spark.read.csv(path, header=True, escape='"', multiLine=True, nullValue="\\N", emptyValue="", schema="item_key string, title string, item_date string")

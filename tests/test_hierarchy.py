@@ -1,11 +1,13 @@
 """Hierarchies against a breadth-first search, and the defined results of odd input."""
 
+import os
 import random
 from collections import defaultdict
 
 import pytest
 
-from folioscope.operators.hierarchy import clean_links, descendants, hierarchy, loops
+from folioscope.operators.hierarchy import clean_links, descendants, hierarchy, hierarchy_and_loops, loops, paths
+from folioscope.plans.session import shared_folder
 from folioscope.queries.hierarchies import uri_id
 
 
@@ -45,10 +47,8 @@ def brute(members, links):
 
 def solve(spark, members, links):
     m, raw = frames(spark, members, links)
-    edges = clean_links(m, raw)
-    done, frontier = hierarchy(m, edges)
-    rows = {(r.id, r.top, r.depth) for r in done.collect()}
-    return rows, {(r.id, r.loop) for r in loops(edges, frontier).collect()}
+    done, rings = hierarchy_and_loops(m, clean_links(m, raw))
+    return {(r.id, r.top, r.depth) for r in done.collect()}, {(r.id, r.loop) for r in rings.collect()}
 
 
 CASES = {
@@ -73,12 +73,39 @@ def test_random_graph(spark):
     assert solve(spark, members, links) == brute(members, links)
 
 
-def test_paths_and_descendants(spark):
-    m, raw = frames(spark, [1, 2, 3, 4, 5], [(1, 2), (2, 4), (1, 3), (3, 4), (4, 5)])
-    done, _ = hierarchy(m, clean_links(m, raw), with_path=True)
-    assert {(r.id, tuple(r.path)) for r in done.collect()} == {(1, (1,)), (2, (1, 2)), (3, (1, 3)), (4, (1, 2, 4)), (5, (1, 2, 4, 5))}
-    pairs = {(r.ancestor, r.descendant, r.steps) for r in descendants(done).collect()}
-    assert (1, 5, 3) in pairs and (2, 5, 2) in pairs and (4, 4, 0) in pairs
+def test_paths(spark):
+    m, raw = frames(spark, [1, 2, 3, 4, 5, 6], [(1, 2), (2, 4), (1, 3), (3, 4), (4, 5), (6, 6)])
+    edges = clean_links(m, raw)
+    found = {(r.id, r.depth, tuple(r.path)) for r in paths(hierarchy(m, edges), edges).collect()}
+    assert found == {(1, 0, (1,)), (2, 1, (1, 2)), (3, 1, (1, 3)), (4, 2, (1, 2, 4)), (5, 3, (1, 2, 4, 5))}
+
+
+def test_long_chain_has_whole_path(spark):
+    n = 70
+    m, raw = frames(spark, [*range(n)], [(i, i + 1) for i in range(n - 1)])
+    edges = clean_links(m, raw)
+    assert {r.id: tuple(r.path) for r in paths(hierarchy(m, edges), edges).collect()} == {i: tuple(range(i + 1)) for i in range(n)}
+
+
+def test_descendants_of_all_parents_and_of_loops(spark):
+    # 4 hangs below 2 and, a level lower, below 3 through 5; 7 and 8 form a loop with 9 below it.
+    m, raw = frames(spark, [1, 2, 3, 4, 5, 7, 8, 9], [(1, 2), (2, 4), (1, 3), (3, 5), (5, 4), (7, 8), (8, 7), (8, 9)])
+    pairs = {(r.ancestor, r.descendant, r.steps) for r in descendants(m, clean_links(m, raw)).collect()}
+    own = {(i, i, 0) for i in (1, 2, 3, 4, 5, 7, 8, 9)}
+    assert pairs == own | {(1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 5, 2), (2, 4, 1), (3, 5, 1), (3, 4, 2), (5, 4, 1), (7, 8, 1), (7, 9, 2), (8, 7, 1), (8, 9, 1)}
+
+
+def test_loops_alone(spark):
+    m, raw = frames(spark, [1, 2, 3, 4], [(1, 2), (2, 3), (3, 2), (3, 4)])
+    assert {(r.id, r.loop) for r in loops(clean_links(m, raw)).collect()} == {(2, 2), (3, 2)}
+
+
+def test_rounds_are_deleted(spark):
+    m, raw = frames(spark, [1, 2], [(1, 2)])
+    rows = hierarchy(m, clean_links(m, raw))
+    assert rows.count() == 2
+    folder = shared_folder(spark).removeprefix("file:")
+    assert not [d for d in os.listdir(folder) if d.startswith("rounds-")]
 
 
 def test_empty(spark):
