@@ -67,7 +67,8 @@ def _descend(rounds: Rounds, starts: DataFrame, edges: DataFrame) -> tuple[list[
         so_far = _union(found)
         step = links.select("part", F.col("parent").alias("id"), F.col("child").alias("_to"))
         met = so_far.join(step, ["part", "id"]).groupBy("part", "top", F.col("_to").alias("id")).agg((F.min("depth") + levels).cast("int").alias("depth"))
-        # Only pairs met again are looked up among those found, so that a small frontier moves no large table.
+        met = rounds.write(met)
+        # Only pairs met again are looked up among those found; as tables, few of them are known to be few and no large one moves.
         again = so_far.join(met.select("part", "top", "id"), ["part", "top", "id"], "left_semi").select("part", "top", "id")
         new = rounds.write(met.join(again, ["part", "top", "id"], "left_anti").select("part", "top", "id", "depth"))
         if new.isEmpty():
