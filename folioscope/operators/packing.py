@@ -1,131 +1,133 @@
-"""Order-dependent packing: the next decision needs the state that earlier ones left, so groups run as ordered rows in pandas."""
+"""Order-dependent packing and numbering.
 
-from __future__ import annotations
+Packing decides piece by piece, but each piece is one binary search in the running sums of its units, so the work is
+per piece and not per unit. Numbering is windows alone: an item's number is its rank among the items of its level since
+the last item of a higher level.
+"""
 
-import re
+from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from folioscope.functions import text as T
+
+
+def reach(sums: np.ndarray, start: int, limit: int, gap: int = 0) -> int:
+    """The end of the longest run of units from start whose sizes, with gap between them, are at most limit; one unit at least.
+
+    sums: running sums of (size + gap), with 0 in front.
+    """
+    return max(start + 1, int(np.searchsorted(sums, sums[start] + limit + gap, "right")) - 1)
+
+
+def running(sizes, gap: int = 0) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64) + gap)])
+
+
+def batches(sizes, max_items: int, max_size: int) -> np.ndarray:
+    """The batch of each item, at most max_items and max_size; a too large item is alone."""
+    sums, n, starts, at = running(sizes), len(sizes), [], 0
+    while at < n:
+        starts.append(at)
+        at = min(reach(sums, at, max_size), at + max_items)
+    return np.searchsorted(starts, np.arange(n), "right") - 1
 
-_END = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[\"'(\[A-Z])")
 
+def shortened(unit: str, limit: int, mark: str) -> list[str]:
+    """A unit in pieces of at most limit, each ended by the last mark in its second half if there is one."""
+    ends = [0]
+    while len(unit) - ends[-1] > limit:
+        half, full = ends[-1] + limit // 2, ends[-1] + limit
+        found = unit.rfind(mark, half, full)
+        ends.append(full if found < 0 else found + len(mark.rstrip()))
+    pieces = (unit[a:b].strip() for a, b in zip(ends, [*ends[1:], len(unit)]))
+    return [p for p in pieces if p]
 
-def batches(sizes: list[int], max_items: int, max_size: int) -> list[int]:
-    """The batch of each item: a batch is closed before an item that would overfill it; a too large item is alone."""
-    out, batch, items, size = [], 0, 0, 0
-    for n in sizes:
-        if items and (items == max_items or size + n > max_size):
-            batch, items, size = batch + 1, 0, 0
-        items, size = items + 1, size + n
-        out.append(batch)
+
+def packed(units: list[str], limit: int, glue: str, overlap: int = 0) -> list[str]:
+    """Units joined by glue into pieces of at most limit; a piece repeats the longest tail of the last that is at most overlap and leaves room for a new unit."""
+    sums, out, start, end = running([len(u) for u in units], len(glue)), [], 0, 0
+    while end < len(units):
+        end = reach(sums, start, limit, len(glue))
+        out.append(glue.join(units[start:end]))
+        if end == len(units):
+            break
+        room = min(overlap, limit - len(units[end]) - len(glue))
+        start = min(end, int(np.searchsorted(sums, sums[end] - room - len(glue), "left"))) if room > 0 else end
     return out
 
 
-def pack_sentences(text: str, size: int, overlap: int) -> list[str]:
-    """Whole sentences packed to size; a piece begins with the longest tail of the last that fits the overlap and the next sentence."""
-    parts = []
-    for s in _END.split(text.strip()):
-        while len(s) > size:
-            at = s.rfind(" ", size // 2, size)
-            at = at if at > 0 else size
-            parts.append(s[:at].strip())
-            s = s[at:].strip()
-        if s:
-            parts.append(s)
-    pieces, current = [], []
-    for s in parts:
-        if current and len(" ".join([*current, s])) > size:
-            pieces.append(" ".join(current))
-            tail = []
-            for t in reversed(current):
-                if len(" ".join([t, *tail, s])) > overlap + len(s):
-                    break
-                tail.insert(0, t)
-            current = tail if len(" ".join([*tail, s])) <= size else []
-        current.append(s)
-    return pieces + ([" ".join(current)] if current else [])
-
-
-def pack_paragraphs(body: str, limit: int) -> list[str]:
-    """Blank-line paragraphs packed to limit; a giant one is cut after its last sentence end past the half, else at the limit."""
-    parts = []
-    for p in re.split(r"\n\s*\n", body.strip()):
-        while len(p) > limit:
-            at = p.rfind(". ", limit // 2, limit)
-            at = at + 1 if at > 0 else limit
-            parts.append(p[:at].strip())
-            p = p[at:].strip()
-        if p:
-            parts.append(p)
-    pieces, current = [], ""
-    for p in parts:
-        if current and len(current) + 2 + len(p) > limit:
-            pieces.append(current)
-            current = p
-        else:
-            current = f"{current}\n\n{p}" if current else p
-    return pieces + ([current] if current else [])
-
-
-def _pieces(df: DataFrame, key: str, split) -> DataFrame:
-    kind = df.select(key).schema[0].dataType.simpleString()
+def _pieces(units: DataFrame, key: str, limit: int, mark: str, glue: str, overlap: int = 0) -> DataFrame:
+    """(key, part, parts, text) of rows (key, units)."""
+    kind = units.select(key).schema[0].dataType.simpleString()
 
     def run(frames):
         for f in frames:
-            rows = [(k, i, len(parts), p) for k, t in zip(f[key], f["text"]) if t for parts in [split(t)] for i, p in enumerate(parts, 1)]
-            yield pd.DataFrame(rows, columns=[key, "part", "parts", "text"])
+            packs = [packed([p for u in us for p in shortened(u.strip(), limit, mark)], limit, glue, overlap) for us in f["units"]]
+            f = pd.DataFrame({key: f[key], "parts": [len(p) for p in packs], "text": packs, "part": [range(1, len(p) + 1) for p in packs]})
+            yield f[f.parts > 0].explode(["part", "text"])[[key, "part", "parts", "text"]].astype({"part": "int32", "parts": "int32"})
 
-    return df.select(key, "text").mapInPandas(run, f"{key} {kind}, part int, parts int, text string")
+    return units.mapInPandas(run, f"{key} {kind}, part int, parts int, text string")
 
 
 def sentence_pieces(df: DataFrame, key: str, size: int = 2000, overlap: int = 300) -> DataFrame:
-    return _pieces(df, key, lambda t: pack_sentences(t, size, overlap))
+    """Whole sentences packed to size with an overlap of sentences; a longer sentence is cut at a space."""
+    return _pieces(df.where("text is not null").select(key, T.sentences(F.col("text")).alias("units")), key, size, " ", " ", overlap)
 
 
 def paragraph_pieces(df: DataFrame, key: str, limit: int = 2000) -> DataFrame:
-    return _pieces(df, key, lambda t: pack_paragraphs(t, limit))
+    """Paragraphs (between blank lines) packed to limit; a longer one is cut after a sentence."""
+    return _pieces(df.where("text is not null").select(key, F.split("text", r"\n\s*\n").alias("units")), key, limit, ". ", "\n\n")
 
 
 def greedy_batches(df: DataFrame, group: str, key: str, size: str, max_items: int = 64, max_size: int = 16000) -> DataFrame:
     """(group, key, batch) in order of key within each group."""
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(key)
-        return pd.DataFrame({group: f[group], key: f[key], "batch": batches(f[size].fillna(0).astype(int).tolist(), max_items, max_size)})
+        return f[[group, key]].assign(batch=batches(f[size].fillna(0).astype(int), max_items, max_size))
 
     kinds = {x.name: x.dataType.simpleString() for x in df.schema}
     return df.select(group, key, size).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, batch int")
 
 
-def numbering(levels: list[int], formats: list[str | None], starts: dict[int, int] | None = None) -> list[str]:
-    """Multi-level list numbers: a level counts on, a new item of a level clears the deeper ones; bullets have no text."""
-    counters: dict[int, int] = {}
-    out = []
-    for level, fmt in zip(levels, formats):
-        counters[level] = counters.get(level, (starts or {}).get(level, 1) - 1) + 1
-        for deeper in [x for x in counters if x > level]:
-            del counters[deeper]
-        out.append("" if fmt in (None, "bullet", "none") else format_number(counters[level], fmt))
-    return out
+#: The digits 0 to 9 in signs of one (1), five (5) and ten (0), and these signs of each decimal place.
+SHAPES = ["", "1", "11", "111", "15", "5", "51", "511", "5111", "10"]
+SIGNS = {1000: "m  ", 100: "cdm", 10: "xlc", 1: "ivx"}
 
 
-def format_number(n: int, fmt: str) -> str:
-    if fmt in ("lowerRoman", "upperRoman"):
-        out = ""
-        for value, letters in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
-            out += letters * (n // value)
-            n %= value
-        return out if fmt == "lowerRoman" else out.upper()
-    if fmt in ("lowerLetter", "upperLetter"):
-        letter = chr(97 + (n - 1) % 26) * ((n - 1) // 26 + 1)
-        return letter if fmt == "lowerLetter" else letter.upper()
-    return str(n)
+def numeral(n: Column) -> Column:
+    """A number below 4,000 in small Roman numerals, decimal place by decimal place."""
+    def place(value: int, signs: str) -> Column:
+        digit = F.floor(n / value) % 10
+        return F.element_at(F.array(*[F.lit(s.translate(str.maketrans("150", signs))) for s in SHAPES]), (digit + 1).cast("int"))
 
+    return F.concat(*[place(v, s) for v, s in SIGNS.items()])
+
+
+def letter(n: Column) -> Column:
+    """a to z, then aa to zz and so on."""
+    return F.repeat(F.char(97 + (n - 1) % 26), (F.floor((n - 1) / 26) + 1).cast("int"))
+
+
+def number_text(n: Column, fmt: Column) -> Column:
+    """A number as its list format shows it; bullets and unknown formats of none have no text."""
+    small = F.when(fmt.isin("lowerRoman", "upperRoman"), numeral(n)).when(fmt.isin("lowerLetter", "upperLetter"), letter(n)).otherwise(n.cast("string"))
+    shown = F.when(fmt.startswith("upper"), F.upper(small)).otherwise(small)
+    return F.when(fmt.isNull() | fmt.isin("bullet", "none"), F.lit("")).otherwise(shown)
+
+
+#: Levels of a list.
+LEVELS = 9
 
-def number_blocks(df: DataFrame, group: str, order: str, key: str) -> DataFrame:
-    """(key, number) of list paragraphs (ilvl, fmt) of each group, in order."""
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values([order, key])
-        return pd.DataFrame({key: f[key], "number": numbering(f["ilvl"].fillna(0).astype(int).tolist(), [x if isinstance(x, str) else None for x in f["fmt"]])})
 
-    kind = df.select(key).schema[0].dataType.simpleString()
-    return df.select(group, order, key, "ilvl", "fmt").groupBy(group).applyInPandas(run, f"{key} {kind}, number string")
+def number_blocks(df: DataFrame, group: str, order: str, key: str, first: int = 1) -> DataFrame:
+    """(key, number) of list paragraphs (ilvl, fmt) of each group, in order; a level counts on until an item of a higher level."""
+    rows = df.select(group, order, key, F.least(F.coalesce("ilvl", F.lit(0)), F.lit(LEVELS - 1)).alias("_level"), "fmt")
+    until = Window.partitionBy(group).orderBy(order, key).rowsBetween(Window.unboundedPreceding, 0)
+    higher = F.array(*[F.sum((F.col("_level") < level).cast("long")).over(until) for level in range(LEVELS)])
+    placed = rows.withColumn("_run", F.get(higher, F.col("_level")))
+    n = F.row_number().over(Window.partitionBy(group, "_level", "_run").orderBy(order, key)) + (first - 1)
+    return placed.withColumn("_n", n).select(key, number_text(F.col("_n"), F.col("fmt")).alias("number"))

@@ -219,4 +219,12 @@ ORACLES = {
     "SNK10_csv_round_trip": "SELECT item_key, any_value(title) AS title, any_value(item_date) AS item_date FROM zotero GROUP BY item_key",
     "SNK01_upsert": "SELECT doc_id, md5(coalesce(text, '')) AS hash FROM documents",
 }
+_PLACES = [["", "c", "cc", "ccc", "cd", "d", "dc", "dcc", "dccc", "cm"], ["", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"], ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"]]
+ORACLES["WIN10_list_numbering"] = (
+    "WITH b AS (SELECT block_id, any_value(source_file) AS f, any_value(seq) AS s, coalesce(any_value(ilvl), 0) AS l, any_value(fmt) AS fmt FROM blocks WHERE kind = 'para' GROUP BY block_id),"
+    " h AS (SELECT a.*, (SELECT max(struct_pack(s := o.s, k := o.block_id)) FROM b o WHERE o.f = a.f AND (o.s, o.block_id) < (a.s, a.block_id) AND o.l < a.l) AS up FROM b a),"
+    " c AS (SELECT block_id, fmt, (SELECT count(*) FROM b o WHERE o.f = h.f AND o.l = h.l AND (o.s, o.block_id) <= (h.s, h.block_id) AND (h.up IS NULL OR (o.s, o.block_id) > (h.up.s, h.up.k))) AS n FROM h),"
+    f" t AS (SELECT *, repeat(chr(CAST(97 + (n - 1) % 26 AS INTEGER)), CAST((n - 1) // 26 + 1 AS BIGINT)) AS letter, repeat('m', n // 1000) || {_PLACES[0]}[n // 100 % 10 + 1] || {_PLACES[1]}[n // 10 % 10 + 1] || {_PLACES[2]}[n % 10 + 1] AS roman FROM c)"
+    " SELECT block_id, CASE WHEN fmt IS NULL OR fmt IN ('bullet', 'none') THEN '' WHEN fmt = 'lowerRoman' THEN roman WHEN fmt = 'upperRoman' THEN upper(roman) WHEN fmt = 'lowerLetter' THEN letter WHEN fmt = 'upperLetter' THEN upper(letter) ELSE CAST(n AS VARCHAR) END AS number FROM t"
+)
 ORACLES = {name: typed(s) for name, s in ORACLES.items()}

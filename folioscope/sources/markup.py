@@ -9,13 +9,15 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from itertools import takewhile, zip_longest
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Elements whose text does not belong to the text around them.
 NOTES = {"authorialNote", "note"}
-CHUNK = "source_file string, chunk_id string, kind string, path string, num string, heading string, table_row int, text string"
+CHUNK = "source_file string, chunk_id string, kind string, path string, num string, heading string, table_row int, text string, cells array<string>, labels array<string>"
 RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
 TRIPLE = "source_file string, s string, p string, o string, o_kind string, o_lang string, o_datatype string"
 
@@ -27,73 +29,49 @@ def name(e: ET.Element) -> str:
 def text_of(e: ET.Element, skip: set[str] = NOTES) -> str:
     """The text of an element without that of skipped elements; the text after a skipped element stays."""
     parts: list[str] = []
-
-    def walk(x: ET.Element) -> None:
-        parts.append(x.text or "")
-        for child in x:
-            if name(child) not in skip:
-                walk(child)
-            parts.append(child.tail or "")
-
-    walk(e)
-    return re.sub(r"\s+", " ", "".join(parts)).strip()
-
-
-def span(e: ET.Element, attribute: str) -> int:
-    value = e.get(attribute, "1")
-    return max(1, int(value)) if value.isdigit() else 1
-
-
-def table_grid(table: ET.Element) -> list[tuple[list[str], bool]]:
-    """Rows of cell texts with spans filled in, and whether a row is a header; rows of nested tables are not taken."""
-    rows, carried = [], {}
-    for tr in _own_rows(table):
-        cells: list[str] = []
-        own = [c for c in tr if name(c) in ("td", "th")]
-
-        def place(text: str, width: int, height: int) -> None:
-            for _ in range(width):
-                if height > 1:
-                    carried[len(cells)] = (text, height - 1)
-                cells.append(text)
-
-        def take() -> None:
-            text, left = carried.pop(len(cells))
-            place(text, 1, left)
-
-        for cell in own:
-            while len(cells) in carried:
-                take()
-            place(text_of(cell, NOTES | {"table"}), span(cell, "colspan"), span(cell, "rowspan"))
-        while carried and max(carried) >= len(cells):
-            if len(cells) in carried:
-                take()
-            else:
-                cells.append("")
-        if any(cells):
-            rows.append((cells, bool(own) and all(name(c) == "th" for c in own)))
-    return rows
-
-
-def _own_rows(table: ET.Element) -> Iterator[ET.Element]:
-    for child in table:
-        if name(child) == "tr":
-            yield child
-        elif name(child) != "table":
-            yield from _own_rows(child)
-
-
-def column_labels(headers: list[list[str]]) -> list[str]:
-    """Per column, the distinct header texts from top to bottom joined by a dash."""
-    width = max((len(h) for h in headers), default=0)
-    return [" – ".join(dict.fromkeys(h[i] for h in headers if i < len(h) and h[i])) for i in range(width)]
-
-
-def format_row(cells: list[str], labels: list[str]) -> str:
+    todo: list[ET.Element | str] = [e]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            parts.append(x)
+            continue
+        after = [y for child in x for y in ([] if name(child) in skip else [child]) + [child.tail or ""]]
+        todo += reversed([x.text or "", *after])
+    return " ".join("".join(parts).split())
+
+
+def rows_of(table: ET.Element) -> list[ET.Element]:
+    """The rows of a table without those of tables in it."""
+    inner = {row for t in table.iter() if t is not table and name(t) == "table" for row in t.iter()}
+    return [x for x in table.iter() if name(x) == "tr" and x not in inner]
+
+
+def grid(table: ET.Element) -> list[tuple[list[str], bool]]:
+    """Cell texts by place, and whether a row has header cells only; rows without text are left out.
+
+    A cell takes the first free place of its row and stands at every place that it spans.
+    """
+    taken: dict[tuple[int, int], str] = {}
+    rows = rows_of(table)
+    heads = []
+    for r, row in enumerate(rows):
+        cells = [c for c in row if name(c) in ("td", "th")]
+        heads.append(bool(cells) and {name(c) for c in cells} == {"th"})
+        at = 0
+        for cell in cells:
+            while (r, at) in taken:
+                at += 1
+            down, across = (int(v) if (v := cell.get(a, "1")).isdigit() and int(v) else 1 for a in ("rowspan", "colspan"))
+            taken |= dict.fromkeys(((r + i, at + j) for i in range(min(down, len(rows) - r)) for j in range(across)), text_of(cell, NOTES | {"table"}))
+    widths = [max((c for q, c in taken if q == r), default=-1) + 1 for r in range(len(rows))]
+    lines = [([taken.get((r, c), "") for c in range(w)], head) for (r, w), head in zip(enumerate(widths), heads)]
+    return [line for line in lines if any(line[0])]
+
+
+def row_text(cells: Column, labels: Column) -> Column:
     """Values with their labels where there are as many labels as cells; empty values are left out."""
-    if len(cells) != len(labels):
-        return "; ".join(c for c in cells if c)
-    return "; ".join(f"{label}: {c}" if label else c for c, label in zip(cells, labels) if c)
+    with_label = F.zip_with(cells, labels, lambda c, x: F.when(c != "", F.concat(F.when(x != "", F.concat(x, F.lit(": "))).otherwise(""), c)).otherwise(""))
+    return F.array_join(F.filter(F.when(F.size(cells) == F.size(labels), with_label).otherwise(cells), lambda c: c != ""), "; ")
 
 
 def xpath(e: ET.Element, parents: dict[ET.Element, ET.Element]) -> str:
@@ -108,7 +86,11 @@ def xpath(e: ET.Element, parents: dict[ET.Element, ET.Element]) -> str:
 
 
 def akn_chunks(content: str) -> Iterator[tuple]:
-    """(kind, path, num, heading, table_row, text): paragraphs whole, table rows one by one, and text outside both."""
+    """(kind, path, num, heading, table_row, text, cells, labels): paragraphs whole, table rows one by one, and text outside both.
+
+    A table row has no text but its cells, and the labels of its columns: the distinct texts of the header rows above.
+    In a table without header rows, each row but the first has the first row as text.
+    """
     root = ET.fromstring(content)
     parents = {c: p for p in root.iter() for c in p}
 
@@ -132,21 +114,17 @@ def akn_chunks(content: str) -> Iterator[tuple]:
             num = next((text_of(c) for c in e if name(c) == "num"), "")
             text = " ".join(t for t in (text_of(c, NOTES | {"table"}) for c in e if name(c) not in ("num", "heading")) if t)
             if text:
-                yield "paragraph", xpath(e, parents), num, heading(e), None, text
+                yield "paragraph", xpath(e, parents), num, heading(e), None, text, None, None
         elif tag == "p" and above(e, {"paragraph", "table"}) is None:
             if text := text_of(e):
-                yield "standalone_p", xpath(e, parents), "", heading(e), None, text
+                yield "standalone_p", xpath(e, parents), "", heading(e), None, text, None, None
         elif tag == "table":
-            rows = table_grid(e)
-            headers = 0
-            while headers < len(rows) and rows[headers][1]:
-                headers += 1
-            labels = column_labels([c for c, _ in rows[:headers]])
-            shown = f"Header: {'; '.join(c for c in rows[0][0] if c)}\n" if rows and not headers else ""
-            for i, (cells, _) in enumerate(rows[headers:]):
-                text = format_row(cells, labels)
-                if text:
-                    yield "table_row", xpath(e, parents), "", heading(e), headers + i + 1, (shown if i else "") + text
+            rows = grid(e)
+            headers = [cells for cells, _ in takewhile(lambda row: row[1], rows)]
+            labels = [" – ".join(filter(None, dict.fromkeys(column))) for column in zip_longest(*headers, fillvalue="")]
+            for i, (cells, _) in enumerate(rows[len(headers) :], len(headers)):
+                shown = "; ".join(filter(None, rows[0][0])) if i and not headers else None
+                yield "table_row", xpath(e, parents), "", heading(e), i + 1, shown, cells, labels
 
 
 def parse_akn(files: DataFrame) -> DataFrame:
@@ -158,14 +136,17 @@ def parse_akn(files: DataFrame) -> DataFrame:
                 if content is None:
                     continue
                 try:
-                    for i, (kind, path, num, head, row, text) in enumerate(akn_chunks(content)):
-                        rows.append((file, f"{file}-{kind}-{i}", kind, path, num, head, row, text))
+                    for i, (kind, *rest) in enumerate(akn_chunks(content)):
+                        rows.append((file, f"{file}-{kind}-{i}", kind, *rest))
                 except ET.ParseError as x:
-                    rows.append((file, f"{file}-error-0", "error", None, None, None, None, str(x)))
+                    rows.append((file, f"{file}-error-0", "error", None, None, None, None, str(x), None, None))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNK.split(", ")])
             yield out.astype({"table_row": "Int32"})
 
-    return files.select("source_file", "content").mapInPandas(run, CHUNK)
+    chunks = files.select("source_file", "content").mapInPandas(run, CHUNK)
+    header = F.coalesce(F.concat(F.lit("Header: "), "text", F.lit("\n")), F.lit(""))
+    text = F.when(F.col("kind") == "table_row", F.concat(header, row_text(F.col("cells"), F.col("labels")))).otherwise(F.col("text"))
+    return chunks.withColumn("text", text).drop("cells", "labels")
 
 
 def parse_elements(files: DataFrame) -> DataFrame:

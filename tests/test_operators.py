@@ -19,28 +19,27 @@ from folioscope.streaming import streams
 ROOT = Path(__file__).resolve().parent.parent
 
 
-def chunks(xml):
-    return [(kind, row, text) for kind, _, _, _, row, text in markup.akn_chunks(f"<doc><body>{xml}</body></doc>")]
-
-
-@pytest.mark.parametrize(
-    ("xml", "expected"),
-    [
-        ("<paragraph><content><p>Rivers<authorialNote><p>a note</p></authorialNote> carry silt.</p></content></paragraph>", [("paragraph", None, "Rivers carry silt.")]),
-        ("<paragraph><content><p>We <i>note<authorialNote><p>x</p></authorialNote> this</i> well</p></content></paragraph>", [("paragraph", None, "We note this well")]),
-        ("<paragraph><intro><p>Agrees:</p></intro><paragraph><content><p>first</p></content></paragraph></paragraph>", [("paragraph", None, "Agrees: first")]),
-        ("<table><tr><td><p>cell</p></td></tr></table>", [("table_row", 1, "cell")]),
-        ("<paragraph><content><p>Before</p><table><tr><td>in</td></tr></table></content></paragraph>", [("paragraph", None, "Before"), ("table_row", 1, "in")]),
-        ("<p>Alone</p><p><authorialNote><p>only a note</p></authorialNote></p>", [("standalone_p", None, "Alone")]),
-        ("<table><tr><th>Name</th><th>Role</th></tr><tr><td>A</td><td>chair</td></tr><tr><td>B</td><td></td></tr></table>", [("table_row", 2, "Name: A; Role: chair"), ("table_row", 3, "Name: B")]),
-        ("<table><tr><th rowspan='2'>Area</th><th colspan='2'>Year</th></tr><tr><th>1</th><th>2</th></tr><tr><td>x</td><td>y</td><td>z</td></tr></table>", [("table_row", 3, "Area: x; Year – 1: y; Year – 2: z")]),
-        ("<table><tr><th>K</th><th>V</th></tr><tr><td rowspan='2'>k</td><td>1</td></tr><tr><td>2</td></tr></table>", [("table_row", 2, "K: k; V: 1"), ("table_row", 3, "K: k; V: 2")]),
-        ("<table><tr><td>a</td></tr><tr><td>b</td></tr></table>", [("table_row", 1, "a"), ("table_row", 2, "Header: a\nb")]),
-        ("<table><tr><td>out<table><tr><td>in</td></tr></table></td></tr></table>", [("table_row", 1, "out"), ("table_row", 1, "in")]),
-    ],
-)
-def test_document_chunks(xml, expected):
-    assert chunks(xml) == expected
+CASES = [
+    ("<paragraph><content><p>Rivers<authorialNote><p>a note</p></authorialNote> carry silt.</p></content></paragraph>", [("paragraph", None, "Rivers carry silt.")]),
+    ("<paragraph><content><p>We <i>note<authorialNote><p>x</p></authorialNote> this</i> well</p></content></paragraph>", [("paragraph", None, "We note this well")]),
+    ("<paragraph><intro><p>Agrees:</p></intro><paragraph><content><p>first</p></content></paragraph></paragraph>", [("paragraph", None, "Agrees: first")]),
+    ("<table><tr><td><p>cell</p></td></tr></table>", [("table_row", 1, "cell")]),
+    ("<paragraph><content><p>Before</p><table><tr><td>in</td></tr></table></content></paragraph>", [("paragraph", None, "Before"), ("table_row", 1, "in")]),
+    ("<p>Alone</p><p><authorialNote><p>only a note</p></authorialNote></p>", [("standalone_p", None, "Alone")]),
+    ("<table><tr><th>Name</th><th>Role</th></tr><tr><td>A</td><td>chair</td></tr><tr><td>B</td><td></td></tr></table>", [("table_row", 2, "Name: A; Role: chair"), ("table_row", 3, "Name: B")]),
+    ("<table><tr><th rowspan='2'>Area</th><th colspan='2'>Year</th></tr><tr><th>1</th><th>2</th></tr><tr><td>x</td><td>y</td><td>z</td></tr></table>", [("table_row", 3, "Area: x; Year – 1: y; Year – 2: z")]),
+    ("<table><tr><th>K</th><th>V</th></tr><tr><td rowspan='2'>k</td><td>1</td></tr><tr><td>2</td></tr></table>", [("table_row", 2, "K: k; V: 1"), ("table_row", 3, "K: k; V: 2")]),
+    ("<table><tr><td>a</td></tr><tr><td>b</td></tr></table>", [("table_row", 1, "a"), ("table_row", 2, "Header: a\nb")]),
+    ("<table><tr><td>out<table><tr><td>in</td></tr></table></td></tr></table>", [("table_row", 1, "out"), ("table_row", 1, "in")]),
+]
+
+
+def test_document_chunks(spark):
+    files = spark.createDataFrame([(str(i), f"<doc><body>{xml}</body></doc>") for i, (xml, _) in enumerate(CASES)], "source_file string, content string")
+    got = [[] for _ in CASES]
+    for r in sorted(markup.parse_akn(files).collect(), key=lambda r: int(r.chunk_id.rpartition("-")[2])):
+        got[int(r.source_file)].append((r.kind, r.table_row, r.text))
+    assert got == [expected for _, expected in CASES]
 
 
 def test_path_has_positions_only_among_equals():
@@ -63,12 +62,27 @@ def test_bad_and_null_files(spark):
     assert [(r.source_file, r.kind) for r in rows] == [("a", "error")]
 
 
-def test_packing():
-    assert packing.batches([5, 5, 5, 50, 1], 2, 12) == [0, 0, 1, 2, 3]
-    pieces = packing.pack_sentences("One two three. Four five six. Seven eight nine. " * 5, 60, 20)
-    assert all(len(p) <= 60 for p in pieces) and len(pieces) > 3
-    assert packing.pack_paragraphs("a" * 10 + "\n\n" + "b" * 10 + "\n\n" + "c" * 30, 25) == ["a" * 10 + "\n\n" + "b" * 10, "c" * 25, "c" * 5]
-    assert packing.numbering([0, 1, 1, 0, 1], ["decimal", "lowerLetter", "lowerLetter", "decimal", "lowerRoman"]) == ["1", "a", "b", "2", "i"]
+def test_packing(spark):
+    assert packing.batches([5, 5, 5, 50, 1], 2, 12).tolist() == [0, 0, 1, 2, 3]
+    assert packing.batches([], 2, 12).tolist() == []
+    assert packing.packed(["a" * 10, "b" * 10, "c" * 25, "c" * 5], 25, "\n\n") == ["a" * 10 + "\n\n" + "b" * 10, "c" * 25, "c" * 5]
+    assert packing.packed(["one.", "two.", "six.", "ten."], 14, " ", 9) == ["one. two. six.", "two. six. ten."]
+    assert packing.shortened("aaaa bbbb cccc", 8, " ") == ["aaaa", "bbbb", "cccc"]
+    df = spark.createDataFrame([(1, "One two three. Four five six. Seven eight nine. " * 5), (2, None), (3, " "), (4, "x" * 130)], "id long, text string")
+    rows = packing.sentence_pieces(df, "id", 60, 20).collect()
+    assert {r.id for r in rows} == {1, 4} and all(len(r.text) <= 60 for r in rows)
+    assert [r.text for r in packing.paragraph_pieces(df.where("id = 4"), "id", 60).orderBy("part").collect()] == ["x" * 60, "x" * 60, "x" * 10]
+
+
+def test_numbering(spark):
+    rows = [(i, level, fmt) for i, (level, fmt) in enumerate([(0, "decimal"), (1, "lowerLetter"), (1, "lowerLetter"), (0, "decimal"), (1, "upperRoman"), (None, "decimal"), (2, "bullet"), (1, "lowerLetter")])]
+    df = spark.createDataFrame([("f", *r) for r in rows], "f string, seq long, ilvl int, fmt string").withColumn("id", F.col("seq"))
+    assert [r.number for r in packing.number_blocks(df, "f", "seq", "id").orderBy("id").collect()] == ["1", "a", "b", "2", "I", "3", "", "a"]
+    n = spark.range(1, 3000).select(F.col("id"), packing.numeral(F.col("id")).alias("r"), packing.letter(F.col("id")).alias("l"))
+    got = {r.id: (r.r, r.l) for r in n.where("id in (4, 9, 27, 40, 53, 90, 444, 1999, 2026)").collect()}
+    assert {k: v[0] for k, v in got.items()} == {4: "iv", 9: "ix", 27: "xxvii", 40: "xl", 53: "liii", 90: "xc", 444: "cdxliv", 1999: "mcmxcix", 2026: "mmxxvi"}
+    assert (got[4][1], got[27][1], got[53][1]) == ("d", "aa", "aaa")
+    assert n.where(T.roman(F.col("r")) != F.col("id")).isEmpty()
 
 
 def test_components_and_closure(spark):
