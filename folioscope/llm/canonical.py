@@ -11,7 +11,8 @@ Defined results: null, empty and filler labels name nothing; a label that names
 a concept is mapped to the one entry that its labels name most closely, and not at all if two entries tie; abbreviations
 in capitals count where no written-out label of the concept names another thing. Repeated rows and labels count once;
 extra columns are not read; an empty table gives an empty result. Very long labels cannot be within k edits of a
-reference key of a third of their length and are reported as unmatched.
+reference key of a third of their length and are reported as unmatched. Keys of up to three letters are found only if spelled alike.
+A label that fails inside a mapped concept is reported with the reason.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import ACCENTED, PLAIN
 from folioscope.plans.session import cut
 
-#: Edits that a key may be away, by its length: a misprint or two a word.
-K = "CASE WHEN length(key) < 9 THEN 1 WHEN length(key) < 13 THEN 2 WHEN length(key) < 18 THEN 3 WHEN length(key) < 24 THEN 4 ELSE 5 END"
+#: Edits that a key may be away, by its length: a misprint or two a word, none in a few letters.
+K = "CASE WHEN length(key) < 4 THEN 0 WHEN length(key) < 9 THEN 1 WHEN length(key) < 13 THEN 2 WHEN length(key) < 18 THEN 3 WHEN length(key) < 24 THEN 4 ELSE 5 END"
 #: Entries of the reference list up to which its segments are sent to every executor; a longer list is shuffled.
 BROADCAST_ENTRIES = 50_000
 #: Abbreviations that are no beginnings of the word.
@@ -71,9 +72,10 @@ FROM (SELECT key AS ref_key, {K} AS k FROM {{keys}}) LATERAL VIEW explode(sequen
 """
 
 #: Substrings of a key that an unchanged segment i of a key of another length can be: the shift is at most i to either side of the start and k - i of the end.
+#: The segments' places are listed for each length of key that they can meet, so that keys meet them by equality.
 PROBES = """
 SELECT q.key, l.len, l.i, substring(q.key, p, l.width) AS piece
-FROM (SELECT key, length(key) AS n FROM {queries}) q JOIN (SELECT DISTINCT len, k, i, at, width FROM {segments}) l ON q.n BETWEEN l.len - l.k AND l.len + l.k
+FROM (SELECT key, length(key) AS n FROM {queries}) q JOIN (SELECT DISTINCT len, k, i, at, width, n FROM {segments} LATERAL VIEW explode(sequence(len - k, len + k)) e AS n) l ON q.n = l.n
 LATERAL VIEW explode(sequence(greatest(1, l.at - l.i, l.at + q.n - l.len - (l.k - l.i)), least(q.n - l.width + 1, l.at + l.i, l.at + q.n - l.len + (l.k - l.i)))) s AS p
 WHERE greatest(1, l.at - l.i, l.at + q.n - l.len - (l.k - l.i)) <= least(q.n - l.width + 1, l.at + l.i, l.at + q.n - l.len + (l.k - l.i))
 """
@@ -123,6 +125,11 @@ def map_labels(spark: SparkSession, labels: DataFrame, thesaurus: DataFrame) ->
 
     thesaurus is the reference list, whose size is that of the list and not of the data.
     """
+    return named(spark, *plausible_entries(spark, labels, thesaurus))
+
+
+def plausible_entries(spark: SparkSession, labels: DataFrame, thesaurus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(label, canon_id, edits) of all entries near a label, and of those that its capitals stand for."""
     listed = _sql(
         spark,
         "SELECT DISTINCT canon_id, label, hidden FROM (SELECT canon_id, pref_label AS label, false AS hidden FROM {t} UNION ALL SELECT canon_id, explode(alt_labels), false FROM {t} UNION ALL SELECT canon_id, explode(hidden_labels), true FROM {t})"
@@ -144,8 +151,8 @@ def map_labels(spark: SparkSession, labels: DataFrame, thesaurus: DataFrame) ->
         "SELECT label, transform(x, y -> y.word) AS tokens, transform(x, y -> y.known) AS known, array_join(transform(x, y -> y.word), '') AS key FROM (SELECT label, array_sort(collect_list(struct(pos, word, known))) AS x FROM {w} GROUP BY label)",
         w=words,
     )
-    label_keys = cut(_sql(spark, "SELECT * FROM {k} WHERE length(key) > 3", k=label_keys))
-    segments = cut(_sql(spark, SEGMENTS, keys=_sql(spark, "SELECT DISTINCT key FROM {r} WHERE length(key) > 3", r=reference)))
+    label_keys = cut(_sql(spark, "SELECT * FROM {k} WHERE key <> ''", k=label_keys))
+    segments = cut(_sql(spark, SEGMENTS, keys=_sql(spark, "SELECT DISTINCT key FROM {r} WHERE key <> ''", r=reference)))
     if thesaurus.count() <= BROADCAST_ENTRIES:
         segments = F.broadcast(segments)
     # Keys that the list spells alike need no search.
@@ -153,10 +160,15 @@ def map_labels(spark: SparkSession, labels: DataFrame, thesaurus: DataFrame) ->
     exact = _sql(spark, "SELECT q.key, r.key AS ref_key, 0 AS edits FROM {q} q JOIN {r} r ON r.key = q.key", q=own_keys, r=ref_keys)
     probes = _sql(spark, PROBES, queries=_sql(spark, "SELECT q.key FROM {q} q LEFT ANTI JOIN {r} r ON r.key = q.key", q=own_keys, r=ref_keys), segments=segments)
     verified = cut(_sql(spark, "SELECT * FROM {e} UNION ALL SELECT * FROM {v}", e=exact, v=_sql(spark, VERIFIED, pairs=_sql(spark, PAIRS, probes=probes, segments=segments))))
-    plausible = _plausible(spark, verified, label_keys, reference)
-    best = cut(_sql(spark, BEST, plausible=plausible))
+    plausible = cut(_plausible(spark, verified, label_keys, reference))
     abbreviations = _sql(spark, "SELECT label AS short, min(canon_id) AS canon_id FROM {l} WHERE label RLIKE '^\\\\p{Lu}{2,8}$' GROUP BY label HAVING count(DISTINCT canon_id) = 1", l=listed)
     in_capitals = _sql(spark, f"SELECT o.label, a.canon_id, -1 AS edits FROM (SELECT label, {capitals} AS short FROM {{o}}) o JOIN {{a}} a ON a.short = upper(o.short)", o=own, a=abbreviations)
+    return plausible, in_capitals
+
+
+def named(spark: SparkSession, plausible: DataFrame, in_capitals: DataFrame) -> DataFrame:
+    """The one nearest entry of each label, else the one that its capitals stand for."""
+    best = _sql(spark, BEST, plausible=plausible)
     return _sql(spark, "SELECT label, canon_id, edits FROM {b} UNION ALL SELECT c.* FROM {c} c LEFT ANTI JOIN {b} b2 ON b2.label = c.label", b=best, b2=best, c=in_capitals)
 
 
@@ -190,22 +202,33 @@ WHERE place = 1 AND ties = 1
 """
 
 
-def _mapped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Labels of concepts that came to no entry, and why: nothing written, no entry near, several entries equally near, or another entry than the concept's.
+UNMATCHED = """
+SELECT l.concept_id, l.label, CASE WHEN NOT l.label RLIKE '[\\\\p{L}\\\\p{N}]' THEN 'blank' WHEN n.label IS NULL THEN 'none near' WHEN m.label IS NULL THEN 'several near' WHEN f.concept_id IS NULL THEN 'labels disagree' ELSE 'another entry' END AS reason
+FROM {l} l LEFT JOIN (SELECT DISTINCT label FROM {near}) n ON n.label = l.label LEFT JOIN {m} m ON m.label = l.label LEFT JOIN {f} f ON f.concept_id = l.concept_id
+WHERE m.label IS NULL OR f.concept_id IS NULL OR f.canon_id <> m.canon_id
+"""
+
+
+def _labels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     concepts = spark.read.parquet(f"{sf}/concepts.parquet").select("concept_id", "pref_label", "alt_labels", "hidden_labels")
-    labels = _sql(spark, CONCEPT_LABELS, c=concepts)
-    labels = cut(labels)
-    mapped = map_labels(spark, labels, spark.read.parquet(f"{sf}/thesaurus.parquet"))
-    return concepts, labels, _sql(spark, FOUND, l=labels, m=mapped)
+    return cut(_sql(spark, CONCEPT_LABELS, c=concepts)), spark.read.parquet(f"{sf}/thesaurus.parquet")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _mapped(spark, sf)[2].distinct()
+    labels, thesaurus = _labels(spark, sf)
+    return _sql(spark, FOUND, l=labels, m=map_labels(spark, labels, thesaurus)).distinct()
+
+
+def unmatched(spark: SparkSession, labels: DataFrame, thesaurus: DataFrame) -> DataFrame:
+    """(concept_id, label, reason) of the labels (concept_id, label) that come to no entry or not to their concept's."""
+    near = plausible_entries(spark, labels, thesaurus)
+    mapped = cut(named(spark, *near))
+    return _sql(spark, UNMATCHED, l=labels, near=near[0], m=mapped, f=_sql(spark, FOUND, l=labels, m=mapped))
 
 
 def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
-    """Concepts that name no entry, with their preferred label."""
-    concepts, _, found = _mapped(spark, sf)
-    return _sql(spark, "SELECT c.concept_id, max(c.pref_label) AS pref_label FROM {c} c LEFT ANTI JOIN {f} f ON f.concept_id = c.concept_id GROUP BY c.concept_id", c=concepts, f=found)
+    return unmatched(spark, *_labels(spark, sf))
 
 
 QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched}

@@ -57,33 +57,34 @@ def mapping() -> list[tuple[str, list[tuple[str, int]]]]:
     rows = []
     for n in range(0x30000):
         c = chr(n)
-        if 0xD800 <= n < 0xE000 or 0xAC00 <= n < 0xD7A4:
+        if 0xD800 <= n < 0xE000:
             continue
-        points = _points(c)
+        # A Hangul syllable stands for its letters; _hangul puts them together again.
+        points = list(unicodedata.normalize("NFD", c)) if 0xAC00 <= n < 0xD7A4 else _points(c)
         if points != [c] or unicodedata.combining(c):
             rows.append((c, [(p, unicodedata.combining(p)) for p in points]))
     return rows + [(chr(n), []) for n in range(0xE0000, 0xE0200) if n < 0xE0080 or n >= 0xE0100]
 
 
 @cache
-def compositions() -> dict[str, str]:
-    """Two code points and the one that they compose to."""
-    pairs = {}
+def compositions() -> dict[str, dict[str, str]]:
+    """By mark, the code points that it composes with and what they compose to."""
+    pairs: dict[str, dict[str, str]] = {}
     for n in range(0x30000):
         parts = unicodedata.decomposition(chr(n)).split()
         if len(parts) == 2 and not parts[0].startswith("<"):
-            pair = chr(int(parts[0], 16)) + chr(int(parts[1], 16))
-            if unicodedata.normalize("NFC", pair) == chr(n):
-                pairs[pair] = chr(n)
+            base, mark = (chr(int(x, 16)) for x in parts)
+            if unicodedata.normalize("NFC", base + mark) == chr(n):
+                pairs.setdefault(mark, {})[base] = chr(n)
     return pairs
 
 
-def _stable(rows: list, pairs: dict[str, str]) -> set[str]:
+def _stable(rows: list, pairs: dict[str, dict[str, str]]) -> set[str]:
     """Code points of the mapping that recompose to themselves when no mark follows."""
     def whole(points: list[str]) -> str:
         out = points[0]
         for p in points[1:]:
-            out = pairs.get(out + p, "") if out else ""
+            out = pairs.get(p, {}).get(out, "")
         return out
 
     return {c for c, points in rows if len(points) > 1 and whole([p for p, _ in points]) == c}
@@ -110,7 +111,7 @@ def odd_pattern() -> str:
 def _compose(base: Column, marks: Column, pairs: Column) -> Column:
     """A base and its ordered marks, composed where a pair composes and no mark of the same class stands between."""
     def step(state: Column, mark: Column) -> Column:
-        made = F.try_element_at(pairs, F.concat(state["base"], mark["c"]))
+        made = F.try_element_at(F.try_element_at(pairs, mark["c"]), state["base"])
         free = (state["rest"] == "") | (state["last"] < mark["ccc"])
         done = made.isNotNull() & free
         return F.struct(F.when(done, made).otherwise(state["base"]).alias("base"), F.when(done, state["rest"]).otherwise(F.concat(state["rest"], mark["c"])).alias("rest"), F.when(done, state["last"]).otherwise(mark["ccc"]).alias("last"))
@@ -120,24 +121,40 @@ def _compose(base: Column, marks: Column, pairs: Column) -> Column:
 
 
 def _rebuild(points: Column, pairs: Column) -> Column:
-    """The string of ordered (c, ccc) points, with marks ordered by class and recomposed."""
-    mark = "struct<ccc:int,i:int,c:string>"
-    start = F.struct(F.lit("").alias("out"), F.lit("").alias("base"), F.array().cast(f"array<{mark}>").alias("marks"))
+    """The string of ordered (c, ccc) points, cut before each point that is no mark; the marks of a part are ordered by class and recomposed."""
+    n = F.size(points)
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(points, i)["ccc"] == 0))
 
-    def step(state: Column, p: Column) -> Column:
-        flushed = F.concat(state["out"], _compose(state["base"], F.array_sort(state["marks"]), pairs))
-        return F.when(p["ccc"] == 0, F.struct(flushed.alias("out"), p["c"].alias("base"), F.array().cast(f"array<{mark}>").alias("marks"))).otherwise(
-            F.struct(state["out"].alias("out"), state["base"].alias("base"), F.array_append(state["marks"], F.struct(p["ccc"].alias("ccc"), F.size(state["marks"]).alias("i"), p["c"].alias("c"))).alias("marks"))
-        )
+    def part(start: Column, k: Column) -> Column:
+        own = F.slice(points, start, F.coalesce(F.get(starts, k + 1), n + 1) - start)
+        bare = F.get(own, F.lit(0))["ccc"] == 0
+        marks = F.filter(F.transform(own, lambda p, i: F.struct(p["ccc"].alias("ccc"), i.alias("i"), p["c"].alias("c"))), lambda p: p["ccc"] > 0)
+        return F.when(F.size(own) == 1, F.get(own, F.lit(0))["c"]).otherwise(_compose(F.when(bare, F.get(own, F.lit(0))["c"]).otherwise(F.lit("")), F.array_sort(marks), pairs))
 
-    whole = F.aggregate(points, start, step, lambda s: F.concat(s["out"], _compose(s["base"], F.array_sort(s["marks"]), pairs)))
-    return F.when(F.exists(points, lambda p: p["ccc"] > 0), whole).otherwise(F.array_join(F.transform(points, lambda p: p["c"]), ""))
+    plain = F.transform(points, lambda p: p["c"])
+    return F.array_join(_hangul(F.when(F.exists(points, lambda p: p["ccc"] > 0), F.transform(starts, part)).otherwise(plain)), "")
+
+
+def _hangul(letters: Column) -> Column:
+    """Leading, vowel and trailing letters put together to syllables, by the arithmetic of their code points."""
+    def number(i: Column, first: int, count: int) -> Column:
+        n = F.ascii(F.coalesce(F.get(letters, i), F.lit(""))) - first
+        return F.when((n >= 0) & (n < count), n)
+
+    def place(c: Column, i: Column) -> Column:
+        lead, vowel = number(i, 0x1100, 19), number(i + 1, 0x1161, 21)
+        syllable = 0xAC00 + (lead * 21 + vowel) * 28 + F.coalesce(number(i + 2, 0x11A7, 28), F.lit(0))
+        made = F.decode(F.unhex(F.hex(syllable)), "UTF-16BE")
+        inside = (number(i - 1, 0x1100, 19).isNotNull() & number(i, 0x1161, 21).isNotNull()) | (number(i - 2, 0x1100, 19).isNotNull() & number(i - 1, 0x1161, 21).isNotNull() & (number(i, 0x11A7, 28) > 0))
+        return F.when(lead.isNotNull() & vowel.isNotNull(), made).when(inside, F.lit("")).otherwise(c)
+
+    return F.when(F.exists(letters, lambda c: (c >= "\u1100") & (c < "\u1113")), F.transform(letters, place)).otherwise(letters)
 
 
 def forms(df: DataFrame, text: str = "text") -> DataFrame:
     """(text, form) of the distinct texts that may not be their own form; any other text is."""
     table = df.sparkSession.createDataFrame(mapping(), "c string, points array<struct<c:string,ccc:int>>")
-    pair_map = F.from_json(F.lit(json.dumps(compositions())), "map<string,string>")
+    pair_map = F.from_json(F.lit(json.dumps(compositions())), "map<string,map<string,string>>")
     odd = df.select(F.col(text).alias("text")).where(F.col("text").rlike(odd_pattern())).distinct()
     odd = odd.withColumn("id", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.length("text")))
     # The table has one row per code point that does not stand for itself, whatever the data.

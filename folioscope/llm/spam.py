@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.encoding import LETTER, NUMBER, _groups, classes
+from folioscope.plans.session import cut
 
 #: Words of a window and of a phrase.
 WINDOW, PHRASE = 40, 5
@@ -54,7 +55,7 @@ def _per_text(texts: pa.StringArray) -> tuple[np.ndarray, list[np.ndarray]]:
     """For texts without nulls: list density of each, and the hashes of its phrases (with repeats) as (counts, values)."""
     n = len(texts)
     bare = pc.replace_substring_regex(texts, LINK, " \x01 ")
-    cut = pc.subtract(pc.utf8_length(texts), pc.utf8_length(bare)).to_numpy(zero_copy_only=False).astype(np.int64)
+    removed = pc.subtract(pc.utf8_length(texts), pc.utf8_length(bare)).to_numpy(zero_copy_only=False).astype(np.int64)
     low = pc.utf8_lower(bare)
     at = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + n + 1]
     data = low.buffers()[2].slice(int(at[0]), int(at[-1] - at[0])) if at[-1] > at[0] else pa.py_buffer(b"")
@@ -102,7 +103,7 @@ def _per_text(texts: pa.StringArray) -> tuple[np.ndarray, list[np.ndarray]]:
 
     letters = per_window(alpha[code])
     links = np.bincount(text_of, weights=is_link, minlength=n)
-    link_room = np.where(links > 0, (cut + 3 * links) / np.maximum(links, 1), 0)
+    link_room = np.where(links > 0, (removed + 3 * links) / np.maximum(links, 1), 0)
     room_words = np.where(is_link, 0, size[code] + 1)
     room_links = np.where(is_link, link_room[text_of], 0)
     room = per_window(room_words + room_links)
@@ -169,7 +170,8 @@ def spam_pages(df: DataFrame) -> DataFrame:
     phrases = pages.select("host", F.explode(F.array_distinct("phrases")).alias("phrase"))
     # The least and the largest host tell whether a phrase has two, and combine before the shuffle.
     hosts = phrases.groupBy("phrase").agg(F.min("host").alias("_least"), F.max("host").alias("_most"))
-    suspects = pages.where(F.col("density") >= LOOKED_AT)
+    # Few pages have list density; kept once, they need no second reading of the corpus for their phrases and a third for their density.
+    suspects = cut(pages.where(F.col("density") >= LOOKED_AT))
     own = suspects.select("doc_id", "host", F.explode("phrases").alias("phrase")).groupBy("doc_id", "host", "phrase").agg(F.count("*").alias("n"))
     elsewhere = own.join(hosts.where("_least <> _most"), "phrase", "left")
     stitched = elsewhere.groupBy("doc_id").agg((F.sum(F.when(F.col("_least").isNotNull() | (F.col("n") >= 3), F.col("n")).otherwise(0)) / F.sum("n")).alias("stitched"))

@@ -3,8 +3,8 @@
 A text over the limit is cut along a hierarchy of separators: sections (a line that is a heading, or a form feed),
 paragraphs, lines, sentences, words, characters. A part that still exceeds the limit is cut at the next finer level;
 the parts are then packed greedily, in order, into pieces of at most `limit` code points. Each piece but the first
-begins with the end of the piece before, at most `overlap` code points, that starts at the coarsest boundary that lies
-there, or at any code point if none does.
+begins with the end of the piece before, at most `overlap` code points and as many as the next whole part leaves room
+for, that starts at the coarsest boundary that lies there, or at any code point if none does.
 
 Defined results: sizes are counted in code points without white space at either end; a text within the limit stays one
 piece (index 0 of 1), untouched but for its outer white space; null and blank texts have no piece; a text without any
@@ -41,16 +41,19 @@ def _inner(text: str, at: int) -> bool:
     return unicodedata.combining(c) > 0 or c in "\u200c\u200d" or "\ufe00" <= c <= "\ufe0f" or text[at - 1] == "\u200d"
 
 
-def _cuts(text: str, start: int, end: int, level: int, limit: int) -> Iterator[tuple[int, int]]:
-    """(place, level) of the cuts that bring text[start:end] into parts of at most limit, without those at its ends."""
+def _cuts(text: str, start: int, end: int, level: int, limit: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(place, level) of the cuts that bring text[start:end] into parts of at most limit, without those at its ends.
+
+    Parts between boundaries may fill a piece; parts of single characters leave room for the overlap before them.
+    """
     if end - start <= limit:
         return
     if level == len(LEVELS):
         at = start
-        while end - at > limit:
-            to = at + limit
+        while end - at > limit - overlap:
+            to = at + limit - overlap
             back = to
-            while back > at + limit // 2 and _inner(text, back):
+            while back > at + (limit - overlap) // 2 and _inner(text, back):
                 back -= 1
             at = to if _inner(text, back) else back
             yield at, level
@@ -58,10 +61,10 @@ def _cuts(text: str, start: int, end: int, level: int, limit: int) -> Iterator[t
     before = start
     for m in LEVELS[level].finditer(text, start, end):
         if before < m.end() < end:
-            yield from _cuts(text, before, m.end(), level + 1, limit)
+            yield from _cuts(text, before, m.end(), level + 1, limit, overlap)
             yield m.end(), level
             before = m.end()
-    yield from _cuts(text, before, end, level + 1, limit)
+    yield from _cuts(text, before, end, level + 1, limit, overlap)
 
 
 def split(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
@@ -71,8 +74,7 @@ def split(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[
     first, last = len(text) - len(text.lstrip()), len(text.rstrip())
     if last - first <= limit:
         return [(first, first, last)]
-    # Parts leave room for the overlap, so that a piece can hold one part and the overlap before it.
-    cuts = [*_cuts(text, first, last, 0, limit - overlap), (last, 0)]
+    cuts = [*_cuts(text, first, last, 0, limit, overlap), (last, 0)]
     levels = dict(cuts)
     pieces, start, fresh, at, i = [], first, first, first, 0
     places = [c for c, _ in cuts]

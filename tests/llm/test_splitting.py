@@ -35,6 +35,14 @@ def test_prefers_coarse_boundaries():
     assert text[end:fresh].strip() == "" and "\n\n" in text[end:fresh]
 
 
+def test_whole_paragraphs_stay_whole():
+    short, long_ = "Short sentence here. " * 17, "Another sentence now. " * 83
+    text = short + "\n\n" + long_
+    pieces = split(text, 2000, 300)
+    assert [text[b:c] for _, b, c in pieces] == [short.strip(), long_.strip()]
+    assert 0 < pieces[1][1] - pieces[1][0] <= 2000 - len(long_.strip())
+
+
 def test_table(spark):
     rows = [("paras", "1", "x" * 2500), ("paras", "1", "x" * 2500), ("paras", "2", None), ("paras", "3", "  "), ("paras", None, "x"), ("pdf", "1", "short")]
     df = spark.createDataFrame(rows, "item_table string, item_key string, text string").selectExpr("*", "7 AS chunk_index")
