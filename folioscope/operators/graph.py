@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.plans.session import cut
+from folioscope.plans.session import Rounds, cut
 
 
 def closure(edges: DataFrame, max_depth: int = 10) -> DataFrame:
@@ -32,14 +32,16 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among neighbours and then the label of that label, so long chains shrink fast.
     Records without an edge are not in the result. Ids are compared as they sort.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("_b")).select("id", F.least("id", "_b").alias("label")))
+    rounds = Rounds(edges.sparkSession)
+    both = rounds.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
+    labels = rounds.write(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("_b")).select("id", F.least("id", "_b").alias("label")))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("_near"))
-        hooked = labels.join(near, "id").select("id", F.least("label", "_near").alias("label"))
-        jumped = hooked.join(labels.select(F.col("id").alias("label"), F.col("label").alias("_far")), "label", "left").select("id", F.least("label", F.coalesce("_far", "label")).alias("label"))
-        new = cut(jumped)
-        changed = new.join(labels.withColumnRenamed("label", "_old"), "id").where("label <> _old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+        hooked = labels.join(near, "id").select("id", F.least("label", "_near").alias("label"), F.col("label").alias("_old"))
+        jumped = hooked.join(labels.select(F.col("id").alias("label"), F.col("label").alias("_far")), "label", "left")
+        new = rounds.write(jumped.select("id", F.least("label", F.coalesce("_far", "label")).alias("label"), "_old"))
+        labels = new.drop("_old")
+        if new.where("label <> _old").isEmpty():
+            out = cut(labels.withColumnRenamed("label", "component"))
+            rounds.close()
+            return out
