@@ -2,12 +2,12 @@
 
 1. Sentences of both languages that alone in their report hold the same number or name are taken as first pairs. Over
    these, log-likelihood ratios of word co-occurrence give a lexicon per pair of languages.
-2. Sentences of one report that share a number, a name or a lexicon pair are scored by the weight of what they share
-   over the weight of all their words (weights are inverse sentence frequencies), raised a little for equal paragraph
-   numbers.
-3. Per report (in a large report, per connected group of candidates) the sentence pairs of the largest total score are
-   chosen by Hungarian assignment, where a sentence may stay alone at a null cost. A neighbour left alone joins a pair
-   if the merged span scores better than the pair (a sentence split or merged in translation).
+2. Sentences of one report, and merged spans (a sentence and the one that follows it, on either side), are scored by the
+   weight of what they share (numbers, names, lexicon pairs) over the weight of all their words (weights are inverse
+   sentence frequencies), raised a little for an equal paragraph number. A report's sentences meet in stretches, in
+   arrays; only what scores above staying alone leaves the task.
+3. Per connected group of candidates, sentences and spans of the largest total score are chosen by Hungarian
+   assignment, where a sentence may stay alone at a null cost.
 
 Order plays no part, so moved sentences are found; omissions stay alone.
 
@@ -27,14 +27,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.lookalike import LOOK_ALIKE
+from folioscope.operators.graph import components
 from folioscope.plans.session import cut
 
 #: Least log-likelihood ratio and least association of a lexicon pair.
 LLR, ASSOCIATION = 12.0, 0.15
 #: Score that a sentence must reach to be better paired than alone; what equal paragraph numbers add; gain asked of a merged span.
 NULL_COST, SAME_NUMBER, MERGE_GAIN = 0.38, 0.04, 0.04
-#: Candidate pairs of a report from which on its groups are solved apart.
-LARGE_REPORT = 20_000
+#: Paragraphs of a report that one task scores against as many of the other language; how far apart the paragraphs of a merged span may be.
+STRETCH, NEAR = 500, 2
+#: Words up to which a vocabulary is sent to every executor; candidates of a bucket of connected groups.
+BROADCAST_WORDS, BUCKET = 500_000, 10_000
 
 _SENTENCE = re.compile(r"(?<=[.!?;])[\"'”’»)]*\s+(?=[\"'“‘«(]*[A-ZÀ-ÖØ-Þ0-9])")
 _TOKEN = re.compile(r"[0-9]+(?:[.,\s][0-9]+)*|[^\W\d_]+", re.UNICODE)
@@ -68,7 +71,7 @@ def tokens(sentence: str) -> tuple[list[str], list[str]]:
 
 
 def sentence_rows(blocks: DataFrame) -> DataFrame:
-    """(report_id, lang, sid, block_id, seq, idx, num, words, anchors) of the paragraphs' sentences; sid is unique."""
+    """(report_id, lang, sid, block_id, seq, idx, nums, words, anchors) of the paragraphs' sentences; sid is unique."""
     def run(frames):
         for frame in frames:
             rows = []
@@ -76,10 +79,10 @@ def sentence_rows(blocks: DataFrame) -> DataFrame:
                 for i, s in enumerate(sentences(r.text)):
                     words, anchors = tokens(s)
                     if words or anchors:
-                        rows.append((r.report_id, r.lang, f"{r.block_id}:{i}", r.block_id, r.seq, i, r.num, words, anchors))
-            yield pd.DataFrame(rows, columns=["report_id", "lang", "sid", "block_id", "seq", "idx", "num", "words", "anchors"])
+                        rows.append((r.report_id, r.lang, f"{r.block_id}:{i}", r.block_id, 0 if pd.isna(r.seq) else int(r.seq), i, r.nums, words, anchors))
+            yield pd.DataFrame(rows, columns=["report_id", "lang", "sid", "block_id", "seq", "idx", "nums", "words", "anchors"])
 
-    return blocks.mapInPandas(run, "report_id string, lang string, sid string, block_id long, seq int, idx int, num string, words array<string>, anchors array<string>")
+    return blocks.mapInPandas(run, "report_id string, lang string, sid string, block_id long, seq int, idx int, nums array<string>, words array<string>, anchors array<string>")
 
 
 def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,15 +95,20 @@ def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def lexicon(left: DataFrame, right: DataFrame) -> DataFrame:
     """(la, lb, w, v, p): words of two languages that translate each other, with weights that add up to at most 1 per word."""
     def lone(rows: DataFrame, name: str) -> DataFrame:
-        exploded = rows.select("report_id", F.col("lang").alias(f"l{name}"), F.col("sid").alias(name), "words", F.explode("anchors").alias("anchor"))
-        return exploded.groupBy("report_id", f"l{name}", "anchor").agg(F.count("*").alias("_n"), F.first(name).alias(name), F.first("words").alias(f"words_{name}")).where("_n = 1").drop("_n")
+        exploded = rows.select("report_id", F.col("lang").alias(f"l{name}"), F.col("sid").alias(name), F.explode("anchors").alias("anchor"))
+        return exploded.groupBy("report_id", f"l{name}", "anchor").agg(F.count("*").alias("_n"), F.first(name).alias(name)).where("_n = 1").drop("_n")
 
-    pairs = cut(lone(left, "a").join(lone(right, "b"), ["report_id", "anchor"]).groupBy("la", "lb", "a", "b").agg(F.first("words_a").alias("words_a"), F.first("words_b").alias("words_b")))
+    pairs = cut(lone(left, "a").join(lone(right, "b"), ["report_id", "anchor"]).select("la", "lb", "a", "b").distinct())
     total = pairs.groupBy("la", "lb").agg(F.count("*").alias("n"))
-    count_a = pairs.select("la", "lb", F.explode("words_a").alias("w")).groupBy("la", "lb", "w").agg(F.count("*").alias("n_w"))
-    count_b = pairs.select("la", "lb", F.explode("words_b").alias("v")).groupBy("la", "lb", "v").agg(F.count("*").alias("n_v"))
-    joint = pairs.select("la", "lb", F.explode("words_a").alias("w"), "words_b").select("la", "lb", "w", F.explode("words_b").alias("v")).groupBy("la", "lb", "w", "v").agg(F.count("*").alias("n_wv")).where("n_wv > 1")
-    table = joint.join(count_a, ["la", "lb", "w"]).join(count_b, ["la", "lb", "v"]).join(total, ["la", "lb"])
+
+    def counted(rows: DataFrame, side: str, word: str) -> DataFrame:
+        words = cut(pairs.join(rows.select(F.col("sid").alias(side), F.explode("words").alias(word)), side))
+        return words.join(words.groupBy("la", "lb", word).agg(F.count("*").alias(f"n_{word}")).where(f"n_{word} > 1"), ["la", "lb", word])
+
+    # A pair of words is associated by sqrt(least / most of the two counts) at most, so most pairs with a frequent word need no count.
+    may = (F.col("n_w") >= ASSOCIATION**2 * F.col("n_v")) & (F.col("n_v") >= ASSOCIATION**2 * F.col("n_w"))
+    met = counted(left, "a", "w").join(counted(right, "b", "v"), ["la", "lb", "a", "b"]).where(may)
+    table = met.groupBy("la", "lb", "w", "v").agg(F.count("*").alias("n_wv"), F.first("n_w").alias("n_w"), F.first("n_v").alias("n_v")).where("n_wv > 1").join(total, ["la", "lb"])
     k = [F.col("n_wv"), F.col("n_w") - F.col("n_wv"), F.col("n_v") - F.col("n_wv"), F.col("n") - F.col("n_w") - F.col("n_v") + F.col("n_wv")]
     expected = [F.col("n_w") * F.col("n_v"), F.col("n_w") * (F.col("n") - F.col("n_v")), (F.col("n") - F.col("n_w")) * F.col("n_v"), (F.col("n") - F.col("n_w")) * (F.col("n") - F.col("n_v"))]
     ratio = sum((F.when(o > 0, o * F.log(o * F.col("n") / e)).otherwise(0.0) for o, e in zip(k, expected)), F.lit(0.0)) * 2
@@ -112,27 +120,133 @@ def lexicon(left: DataFrame, right: DataFrame) -> DataFrame:
     return kept.withColumn("p", F.col("a") / share).select("la", "lb", "w", "v", "p")
 
 
-def candidates(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(report_id, lb, a, b, score): sentence pairs of a report that share something, with the weight of it."""
-    def weighed(rows: DataFrame) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    """A vocabulary table, sent to every executor if it has few rows; df is written, so that counting is cheap."""
+    return F.broadcast(df) if df.count() <= BROADCAST_WORDS else df
+
+
+def weighed(left: DataFrame, right: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sentences of both sides with size (weight of all words) and the terms by which they can meet.
+
+    terms: (key, weight, p) with p times the word's own weight; a left word's terms are its translations, an anchor's itself.
+    """
+    def idf_of(rows: DataFrame) -> DataFrame:
         # An anchor is marked, so that it never meets a word.
-        every = rows.select("report_id", "lang", "sid", F.explode(F.concat("words", F.transform("anchors", lambda x: F.concat(F.lit("\1"), x)))).alias("t"))
+        every = rows.select("lang", F.explode(F.concat("words", F.transform("anchors", lambda x: F.concat(F.lit("\1"), x)))).alias("t"))
         n = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-        idf = every.groupBy("lang", "t").agg(F.count("*").alias("_f")).join(n, "lang").select("lang", "t", F.log((F.col("_n") + 1) / F.col("_f")).alias("idf"))
-        return every.join(idf, ["lang", "t"])
+        return every.groupBy("lang", "t").agg(F.count("*").alias("_f")).join(n, "lang").select("lang", "t", F.log((F.col("_n") + 1) / F.col("_f")).alias("idf"))
+
+    def gathered(rows: DataFrame, words: DataFrame, terms, by: list[str]) -> DataFrame:
+        each = rows.select("sid", *by, F.explode(F.concat("words", F.transform("anchors", lambda x: F.concat(F.lit("\1"), x)))).alias("t")).join(words, [*by, "t"])
+        sums = each.groupBy("sid", *by).agg(F.sum("idf").alias("size"), F.flatten(F.collect_list(terms)).alias("terms"))
+        return rows.select("report_id", *by, "sid", "block_id", "seq", "idx", "nums").join(sums, ["sid", *by])
+
+    def term(key, weight, p):
+        return F.struct(F.xxhash64(key).alias("key"), weight.alias("weight"), p.alias("p"))
 
-    a, b = weighed(left), weighed(right)
     langs = right.select("report_id", F.col("lang").alias("lb")).distinct()
-    in_a = a.withColumnRenamed("lang", "la").join(langs, "report_id")
-    translated = in_a.join(pairs.withColumnRenamed("w", "t"), ["la", "lb", "t"]).select("report_id", "lb", F.col("sid").alias("a"), F.col("idf").alias("_ia"), F.col("v").alias("t"), "p")
-    same = in_a.where(F.col("t").startswith("\1")).select("report_id", "lb", F.col("sid").alias("a"), F.col("idf").alias("_ia"), "t", F.lit(1.0).alias("p"))
-    shared = translated.unionByName(same).join(b.select("report_id", F.col("lang").alias("lb"), F.col("sid").alias("b"), "t", F.col("idf").alias("_ib")), ["report_id", "lb", "t"])
-    got = shared.groupBy("report_id", "lb", "a", "b").agg(F.sum(F.col("p") * (F.col("_ia") + F.col("_ib"))).alias("_got"))
-    sum_a, sum_b = (x.groupBy(F.col("sid").alias(name)).agg(F.sum("idf").alias(f"size_{name}")) for x, name in ((a, "a"), (b, "b")))
-    scored = got.join(sum_a, "a").join(sum_b, "b").withColumn("score", F.col("_got") / (F.col("size_a") + F.col("size_b")))
-    numbers = [rows.select(F.col("sid").alias(name), F.nullif(F.lower(F.regexp_replace("num", r"[^\p{L}\p{N}]", "")), F.lit("")).alias(f"num_{name}"), F.col("block_id").alias(f"block_{name}"), F.col("seq").alias(f"seq_{name}")) for rows, name in ((left, "a"), (right, "b"))]
-    full = scored.join(numbers[0], "a").join(numbers[1], "b")
-    return full.withColumn("score", F.col("score") + F.when(F.col("num_a") == F.col("num_b"), SAME_NUMBER).otherwise(0.0)).select("report_id", "lb", "a", "b", "size_a", "size_b", "score", "block_a", "block_b", "seq_a", "seq_b")
+    to = pairs.groupBy(F.col("la").alias("lang"), "lb", F.col("w").alias("t")).agg(F.collect_list(F.struct("v", "p")).alias("to"))
+    a = left.join(langs, "report_id")
+    words_a = _small(cut(idf_of(left).join(a.select("lang", "lb").distinct(), "lang").join(to, ["lang", "lb", "t"], "left")))
+    own = F.when(F.col("t").startswith("\1"), F.array(term(F.col("t"), F.col("idf"), F.lit(1.0))))
+    translated = F.transform("to", lambda x: term(x["v"], x["p"] * F.col("idf"), x["p"]))
+    one = F.array(term(F.col("t"), F.col("idf"), F.lit(1.0)))
+    sides = gathered(a, words_a, F.coalesce(own, translated, F.array().cast(TERMS)), ["lang", "lb"]).drop("lang")
+    return sides, gathered(right, _small(cut(idf_of(right))), one, ["lang"]).withColumnRenamed("lang", "lb")
+
+
+TERMS = "array<struct<key:bigint,weight:double,p:double>>"
+CANDIDATE = "report_id string, lb string, a string, b string, a2 string, b2 string, block_a long, block_b long, block_a2 long, block_b2 long, score double"
+PAIR = [c.split()[0] for c in CANDIDATE.split(", ")]
+
+
+def _blocked(mine: DataFrame, others: DataFrame, own: str, other: str) -> DataFrame:
+    """Sentences in stretches of STRETCH paragraphs, with the few before each, once for each stretch of the other side.
+
+    So no task gets more than a stretch of either side, however long a report is, and every two sentences meet.
+    """
+    at = F.floor(F.col("seq") / STRETCH).cast("int")
+    next_too = F.when(F.col("seq") % STRETCH >= STRETCH - NEAR, F.array(at, at + 1)).otherwise(F.array(at))
+    stretches = others.select("report_id", "lb", at.alias(other)).distinct()
+    return mine.withColumn(own, F.explode(next_too)).join(stretches, ["report_id", "lb"])
+
+
+def _arrays(side: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sentences in reading order, and row, key, weight and p of all their terms."""
+    side = side.sort_values(["seq", "idx", "sid"]).reset_index(drop=True)
+    counts = np.fromiter((len(t) for t in side.terms), np.int64, len(side))
+    flat = [x for t in side.terms for x in t]
+    return side, np.repeat(np.arange(len(side)), counts), *(np.array([x[k] for x in flat], kind) for k, kind in (("key", np.int64), ("weight", float), ("p", float)))
+
+
+def score_group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Sentence pairs and merged spans (a sentence and the next one, on one side) of two stretches that score above staying alone."""
+    left, ra, ka, wa, pa = _arrays(left)
+    right, rb, kb, wb, _ = _arrays(right)
+    n, m = len(left), len(right)
+    order = np.argsort(kb, kind="stable")
+    kb, rb, wb = kb[order], rb[order], wb[order]
+    first, last = np.searchsorted(kb, ka, "left"), np.searchsorted(kb, ka, "right")
+    times = last - first
+    got = np.zeros(n * m)
+    # Terms meet a part at a time, so that frequent words need no more room than the result.
+    for part in np.array_split(np.arange(len(ka)), max(1, int(times.sum() // 2_000_000))):
+        t = times[part]
+        mine = np.repeat(part, t)
+        theirs = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t) + np.repeat(first[part], t)
+        got += np.bincount(ra[mine] * m + rb[theirs], weights=wa[mine] + pa[mine] * wb[theirs], minlength=n * m)
+    got = got.reshape(n, m)
+    size_a, size_b = left["size"].to_numpy(), right["size"].to_numpy()
+
+    def numbered(score: np.ndarray) -> np.ndarray:
+        """Scores raised where a number of both paragraphs is equal; only where that can matter."""
+        for i, j in zip(*np.nonzero(score > NULL_COST - SAME_NUMBER)):
+            if not set(left.nums[i]).isdisjoint(right.nums[j]):
+                score[i, j] += SAME_NUMBER
+        return score
+
+    single = numbered(got / (size_a[:, None] + size_b))
+    found = [(i, j, -1, -1, single[i, j]) for i, j in zip(*np.nonzero(single > NULL_COST))]
+
+    def spans(own: pd.DataFrame, got: np.ndarray, mine: np.ndarray, other: np.ndarray, one: np.ndarray) -> list[tuple[int, int, float]]:
+        """(first, partner, score) of merged spans of own that beat both their sentences."""
+        if len(own) < 2:
+            return []
+        near = np.diff(own.seq.to_numpy()) <= NEAR
+        score = (got[:-1] + got[1:]) / ((mine[:-1] + mine[1:])[:, None] + other)
+        alone = np.maximum(one[:-1], one[1:])
+        fits = near[:, None] & (score > NULL_COST - SAME_NUMBER) & (score >= alone + MERGE_GAIN - SAME_NUMBER)
+        for i, j in zip(*np.nonzero(fits)):
+            score[i, j] += SAME_NUMBER * (alone[i, j] > max(got[i, j] / (mine[i] + other[j]), got[i + 1, j] / (mine[i + 1] + other[j])) + SAME_NUMBER / 2)
+        return [(i, j, score[i, j]) for i, j in zip(*np.nonzero(fits & (score > NULL_COST) & (score >= alone + MERGE_GAIN)))]
+
+    found += [(i, j, i + 1, -1, s) if single[i, j] >= single[i + 1, j] else (i + 1, j, i, -1, s) for i, j, s in spans(left, got, size_a, size_b, single)]
+    found += [(i, j, -1, j + 1, s) if single[i, j] >= single[i, j + 1] else (i, j + 1, -1, j, s) for j, i, s in spans(right, got.T, size_b, size_a, single.T)]
+    rows = pd.DataFrame(found, columns=["i", "j", "i2", "j2", "score"])
+
+    def pick(side: pd.DataFrame, column: str, at: str) -> list:
+        values = side[column].tolist()
+        return [values[k] if k >= 0 else None for k in rows[at]]
+
+    out = {"report_id": left.report_id.iloc[0], "lb": left.lb.iloc[0]}
+    out |= {"a": pick(left, "sid", "i"), "b": pick(right, "sid", "j"), "a2": pick(left, "sid", "i2"), "b2": pick(right, "sid", "j2")}
+    out |= {"block_a": pick(left, "block_id", "i"), "block_b": pick(right, "block_id", "j"), "block_a2": pick(left, "block_id", "i2"), "block_b2": pick(right, "block_id", "j2")}
+    kinds = {c: "Int64" if c.startswith("block") else object for c in PAIR if c != "score"}
+    return pd.DataFrame(out | {"score": rows.score}).astype(kinds)
+
+
+def candidates(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """CANDIDATE rows: sentence pairs of a report, and merged spans (a with a2, or b with b2), that score above staying alone."""
+    a, b = weighed(left, right, pairs)
+    keys = ["report_id", "lb", "_sa", "_sb"]
+    a, b = _blocked(a, b, "_sa", "_sb"), _blocked(b, a, "_sb", "_sa")
+    # Both come from one table of sentences; new names for one side tell them apart.
+    b = b.toDF(*b.columns)
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return score_group(x, y) if len(x) and len(y) else pd.DataFrame(columns=PAIR)
+
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, CANDIDATE).distinct()
 
 
 def hungarian(weight: np.ndarray) -> list[tuple[int, int]]:
@@ -168,89 +282,66 @@ def hungarian(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(int(match[c]), c) for c in range(m) if match[c] < n and weight[match[c], c] > 0]
 
 
-PAIR = ["report_id", "lb", "a", "b", "size_a", "size_b", "score", "block_a", "block_b", "seq_a", "seq_b"]
-
-
 def solve(frame: pd.DataFrame) -> pd.DataFrame:
-    """The one-to-one pairs of one report and language pair, or of one group of its candidates."""
-    strong = frame[frame.score > NULL_COST].sort_values(["a", "b"])
-    parent: dict[str, str] = {}
-
-    def root(x: str) -> str:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for a, b in zip(strong.a, strong.b):
-        parent[root("a" + a)] = root("b" + b)
-    chosen = set()
-    for _, part in strong.groupby([root("a" + a) for a in strong.a], sort=True):
-        if len(part) == 1:
-            chosen.add((part.a.iloc[0], part.b.iloc[0]))
-            continue
-        rows, columns = sorted(set(part.a)), sorted(set(part.b))
-        weight = np.zeros((len(rows), len(columns)))
-        weight[[rows.index(x) for x in part.a], [columns.index(x) for x in part.b]] = part.score.to_numpy() - NULL_COST
-        chosen |= {(rows[i], columns[j]) for i, j in hungarian(weight)}
-    return strong[[p in chosen for p in zip(strong.a, strong.b)]][PAIR]
+    """The rows of largest total score over staying alone, each sentence in one row at most; frame is one connected group.
 
-
-def merged(chosen: DataFrame, weak: DataFrame) -> DataFrame:
-    """Candidates by which a sentence left alone joins a pair near it, each sentence at most one.
-
-    The merged span shares with the partner what both share, and has the words of both.
+    A merged span stands for its pair where it scores better; if the sentence merged is better paired itself, the span
+    is taken back and the assignment made again.
     """
-    out = None
-    for side, other in (("a", "b"), ("b", "a")):
-        key = ["report_id", "lb", other]
-        main = chosen.select(*key, F.col("score").alias("_score"), F.col(f"size_{side}").alias("_size"), F.col(f"seq_{side}").alias("_seq"))
-        alone = weak.join(chosen.select("report_id", "lb", side), ["report_id", "lb", side], "left_anti").join(main, key)
-        size, partner, more = F.col("_size"), F.col(f"size_{other}"), F.col(f"size_{side}")
-        span = (F.col("_score") * (size + partner) + F.col("score") * (more + partner)) / (size + more + partner)
-        fit = alone.withColumn("_span", span).where((F.col("_span") >= F.col("_score") + MERGE_GAIN) & (F.col("_span") > NULL_COST) & (F.abs(F.col(f"seq_{side}") - F.col("_seq")) <= 2))
-        best = F.row_number().over(Window.partitionBy("report_id", "lb", side).orderBy(F.desc("_span"), "a", "b"))
-        rows = fit.withColumn("_n", best).where("_n = 1").select(*PAIR)
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def _grouped(pairs: DataFrame) -> DataFrame:
-    """Candidates with a group each: the report, or in a large report the connected group of sentences, found by spreading the least id."""
-    sizes = pairs.where(F.col("score") > NULL_COST).groupBy("report_id", "lb").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE_REPORT)
-    large = cut(sizes.select("report_id", "lb"))
-    if not large.limit(1).count():
-        return pairs.withColumn("part", F.lit(""))
-    inside = cut(pairs.join(large, ["report_id", "lb"], "left_semi"))
-    label = inside.select("report_id", "lb", "a", "b").where(inside.score > NULL_COST).withColumn("part", F.col("a"))
+    frame = frame.sort_values(["score", "a", "b"], ascending=[False, True, True]).reset_index(drop=True)
+    rows, columns = ({x: i for i, x in enumerate(sorted(set(frame[c])))} for c in ("a", "b"))
+    live = np.ones(len(frame), bool)
     while True:
-        by_a = Window.partitionBy("report_id", "lb", "a")
-        by_b = Window.partitionBy("report_id", "lb", "b")
-        new = cut(label.withColumn("_old", F.col("part")).withColumn("part", F.min("part").over(by_a)).withColumn("part", F.min("part").over(by_b)))
-        changed = new.where("part <> _old").limit(1).count()
-        label = new.drop("_old")
-        if not changed:
-            break
-    placed = inside.join(label, ["report_id", "lb", "a", "b"])
-    return pairs.join(large, ["report_id", "lb"], "left_anti").withColumn("part", F.lit("")).unionByName(placed.select(*pairs.columns, "part"))
+        left = frame[live]
+        best = left.drop_duplicates(["a", "b"])
+        weight = np.zeros((len(rows), len(columns)))
+        weight[best.a.map(rows), best.b.map(columns)] = best.score - NULL_COST
+        names_a, names_b = list(rows), list(columns)
+        chosen = best[pd.MultiIndex.from_frame(best[["a", "b"]]).isin([(names_a[i], names_b[j]) for i, j in hungarian(weight)])]
+        taken = pd.concat([chosen.a, chosen.b])
+        merged = pd.concat([chosen.a2.dropna(), chosen.b2.dropna()])
+        clash = set(merged[merged.isin(taken)]) | set(merged[merged.duplicated(keep=False)])
+        spans = chosen[chosen.a2.isin(clash) | chosen.b2.isin(clash)]
+        if spans.empty:
+            return chosen
+        live[spans.index[-1]] = False
+
+
+def assigned(pairs: DataFrame) -> DataFrame:
+    """The candidates chosen: those that share no sentence with another at once, the others per connected group."""
+    ends = F.array_compact(F.array("a", "b", "a2", "b2"))
+    each = pairs.select("report_id", "lb", "a", "b", F.explode(ends).alias("_s"))
+    often = each.groupBy("report_id", "lb", "_s").agg(F.count("*").alias("_n")).where("_n > 1")
+    tied = cut(pairs.join(each.join(often, ["report_id", "lb", "_s"]).select("report_id", "lb", "a", "b").distinct(), ["report_id", "lb", "a", "b"], "left_semi"))
+    free = pairs.join(tied.select("report_id", "lb", "a", "b").distinct(), ["report_id", "lb", "a", "b"], "left_anti")
+    name = lambda c: F.concat_ws("\1", "lb", c)
+    links = tied.select(name("a").alias("a"), F.explode(F.array_compact(F.array("b", "a2", "b2"))).alias("_b"), "lb").select("a", name("_b").alias("b"))
+    grouped = tied.join(components(links).withColumnRenamed("id", "_a"), F.col("_a") == name("a")).drop("_a")
+    # Many small groups share a task; a group is never split.
+    buckets = max(1, tied.count() // BUCKET)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([solve(g) for _, g in frame.groupby("component", sort=False)])[PAIR].astype({c: object for c in PAIR if c != "score"})
+
+    return free.unionByName(grouped.withColumn("_bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).groupBy("_bucket").applyInPandas(run, CANDIDATE))
 
 
 def align(blocks: DataFrame) -> DataFrame:
-    """(report_id, lb, a, b, block_a, block_b, score) of the aligned sentences of blocks (report_id, lang, block_id, seq, num, text)."""
+    """(report_id, lb, a, b, block_a, block_b, score) of the aligned sentences of blocks (report_id, lang, block_id, seq, nums, text); a merged span gives a row per sentence."""
     rows = cut(sentence_rows(blocks.where("report_id is not null and lang is not null and block_id is not null and text is not null").dropDuplicates(["block_id"])))
     left, right = _sides(rows)
-    pairs = candidates(left, right, cut(lexicon(left, right)))
-    weak = cut(pairs.where(F.col("score") > NULL_COST / 3))
-    schema = weak.select(*PAIR).schema
-    chosen = cut(_grouped(weak.where(F.col("score") > NULL_COST)).groupBy("report_id", "lb", "part").applyInPandas(lambda f: solve(f), schema))
-    return chosen.unionByName(merged(chosen, weak)).select("report_id", "lb", "a", "b", "block_a", "block_b", "score")
+    chosen = cut(assigned(cut(candidates(left, right, cut(lexicon(left, right))))))
+    span = chosen.where("a2 is not null or b2 is not null").withColumns({x: F.coalesce(x.replace("_a", "_a2").replace("_b", "_b2") if "_" in x else x + "2", x) for x in ("a", "b", "block_a", "block_b")})
+    return chosen.unionByName(span).select("report_id", "lb", "a", "b", "block_a", "block_b", "score")
 
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Paragraphs with their number: as shown if it differs, else as stored, else that of the node made from the block."""
+    """Paragraphs with their numbers: as stored, as shown, and that of the node made from the block, letters and digits only."""
     blocks = spark.read.parquet(f"{sf}/blocks.parquet").where("kind = 'para'").select("report_id", "lang", "block_id", "seq", "num", "display", "text")
     nodes = spark.read.parquet(f"{sf}/nodes.parquet").where("block_id is not null").select("block_id", F.col("num").alias("_node")).groupBy("block_id").agg(F.max("_node").alias("_node"))
-    shown = [F.nullif(F.trim(c), F.lit("")) for c in ("display", "num", "_node")]
-    return blocks.join(nodes, "block_id", "left").select("report_id", "lang", "block_id", "seq", F.coalesce(*shown).alias("num"), "text")
+    plain = [F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", "")) for c in ("num", "display", "_node")]
+    nums = F.array_distinct(F.filter(F.array(*plain), lambda x: x.isNotNull() & (x != "")))
+    return blocks.join(nodes, "block_id", "left").select("report_id", "lang", "block_id", "seq", nums.alias("nums"), "text")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import itertools
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 from folioscope.llm import alignment
 
@@ -44,15 +46,41 @@ def blocks(spark, reports=60):
 def test_finds_moved_sentences(spark):
     rows, true = blocks(spark)
     rows += [("r0", "en", 9001, 90, "", None), ("r0", None, 9002, 91, "", "Stray."), (None, "en", 9003, 1, "", "Stray."), ("alone", "en", 9004, 1, "", "Only one language."), rows[0]]
-    df = spark.createDataFrame(rows, "report_id string, lang string, block_id long, seq int, num string, text string").selectExpr("*", "0 AS score")
+    df = spark.createDataFrame(rows, "report_id string, lang string, block_id long, seq int, num string, text string").withColumn("nums", F.array("num")).selectExpr("*", "0 AS score")
     got = {(r.block_a, r.block_b) for r in alignment.align(df).collect()}
     assert len(got & true) >= 0.9 * len(true) and len(got - true) <= 0.1 * len(got)
     assert alignment.align(df.limit(0)).count() == 0
 
 
-def test_large_reports_are_solved_in_groups(spark, monkeypatch):
+def test_long_reports_meet_in_stretches(spark, monkeypatch):
     rows, true = blocks(spark)
-    df = spark.createDataFrame(rows, "report_id string, lang string, block_id long, seq int, num string, text string")
+    df = spark.createDataFrame(rows, "report_id string, lang string, block_id long, seq int, num string, text string").withColumn("nums", F.array("num"))
     whole = {(r.a, r.b) for r in alignment.align(df).collect()}
-    monkeypatch.setattr(alignment, "LARGE_REPORT", 3)
+    monkeypatch.setattr(alignment, "STRETCH", 3)
+    monkeypatch.setattr(alignment, "BROADCAST_WORDS", 0)
     assert {(r.a, r.b) for r in alignment.align(df).collect()} == whole
+
+
+def candidate(a, b, score, a2=None, b2=None):
+    return ("r", "fr", a, b, a2, b2, 1, 2, None, None, score)
+
+
+def test_spans_compete_in_the_assignment():
+    def chosen(*rows):
+        out = alignment.solve(pd.DataFrame(rows, columns=alignment.PAIR))
+        return {(r.a, r.b, r.a2, r.b2) for r in out.itertuples()}
+
+    # A span that beats its pair wins, unless the sentence merged is worth more in a pair of its own.
+    assert chosen(candidate("a1", "b1", 0.5), candidate("a1", "b1", 0.6, a2="a2")) == {("a1", "b1", "a2", None)}
+    assert chosen(candidate("a1", "b1", 0.5), candidate("a1", "b1", 0.6, a2="a2"), candidate("a2", "b2", 0.9)) == {("a1", "b1", None, None), ("a2", "b2", None, None)}
+    assert chosen(candidate("a1", "b1", 0.6, b2="b2"), candidate("a3", "b3", 0.5, b2="b2")) in [{("a1", "b1", None, "b2")}, {("a1", "b1", None, "b2"), ("a3", "b3", None, None)}]
+
+
+def test_scores_of_pairs_and_spans():
+    def side(rows):
+        return pd.DataFrame([("r", "fr", f"{k}:0", k, k, 0, nums, float(sum(w for _, w in terms)), [{"key": key, "weight": w, "p": 1.0} for key, w in terms]) for k, nums, terms in rows], columns=["report_id", "lb", "sid", "block_id", "seq", "idx", "nums", "size", "terms"])
+
+    left = side([(1, [], [(1, 2.0), (2, 2.0)]), (2, [], [(3, 2.0), (4, 2.0)]), (3, ["7"], [(9, 1.0), (8, 1.8)])])
+    right = side([(11, [], [(1, 2.0), (2, 2.0), (3, 2.0), (4, 2.0)]), (12, ["7"], [(9, 1.0), (5, 1.8)])])
+    got = {(r.a, r.b, r.a2 if isinstance(r.a2, str) else None): round(r.score, 4) for r in alignment.score_group(left, right).itertuples()}
+    assert got == {("1:0", "11:0", None): round(8 / 12, 4), ("2:0", "11:0", None): round(8 / 12, 4), ("1:0", "11:0", "2:0"): 1.0, ("3:0", "12:0", None): round(2 / 5.6 + 0.04, 4)}
