@@ -18,17 +18,33 @@ def labels_of(thesaurus: DataFrame) -> DataFrame:
     return fit.withColumn("_n", first).where("_n = 1 and key <> ''").select("uri", "label", "key", (F.size(F.split("key", " "))).alias("n"))
 
 
-def mentions(texts: DataFrame, key: str, labels: DataFrame, longest: int) -> DataFrame:
-    """(key, uri, label): labels whose words stand in a text one after another; per concept the longest, then the first.
+def places(texts: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """(key, uri, label, at, n): where the words of a label stand in a text (at: the first word, from 1; n: words).
 
-    n-grams of the text meet the labels in an equality join; no text is compared with every label.
+    Each word of a text, with as many after it as the longest label has, meets the labels that begin with it. A label in
+    capitals is only found in capitals.
     """
-    words = texts.select(key, normal_words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    found = words.select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
-    hits = found.join(labels.withColumnRenamed("key", "_gram"), "_gram")
-    best = F.row_number().over(Window.partitionBy(key, "uri").orderBy(F.length("label").desc(), "label"))
-    return hits.withColumn("_n", best).where("_n = 1").select(key, "uri", "label")
+    longest = labels.agg(F.max("n")).first()[0] or 0
+    words = texts.select(key, F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
+    ahead = F.transform("w", lambda _, i: F.slice("w", i + 1, longest)) if longest else F.array().cast("array<array<string>>")
+    at = words.select(key, F.posexplode(ahead).alias("at", "ahead")).withColumn("at", F.col("at") + 1).withColumn("_first", F.lower(F.get("ahead", F.lit(0))))
+    starts = labels.select("uri", "label", F.col("key").alias("_key"), "n", F.split("key", " ")[0].alias("_first"), F.col("label").rlike("^[A-Z]{2,6}$").alias("_code"))
+    met = at.join(starts, "_first")
+    same = F.lower(F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ")) == F.col("_key")
+    return met.where(same & (~F.col("_code") | (F.get("ahead", F.lit(0)) == F.col("label")))).select(key, "uri", "label", "at", "n")
+
+
+def longest_places(found: DataFrame, key: str) -> DataFrame:
+    """places() without those inside a longer one."""
+    before = Window.partitionBy(key).orderBy("at", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("at") + F.col("n")
+    return found.withColumn("_end", F.max(end).over(before)).where(F.col("_end").isNull() | (end > F.col("_end"))).drop("_end")
+
+
+def mentions(texts: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """(key, uri, label): labels whose words stand in a text one after another; per concept the longest, then the first."""
+    best = F.max_by("label", F.struct(F.length("label"), F.transform(F.split("label", ""), lambda c: -F.ascii(c))))
+    return places(texts, key, labels).groupBy(key, "uri").agg(best.alias("label"))
 
 
 def document_frequency(hits: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.operators import graph, lexicon, packing
 from folioscope.plans.session import shared_folder
+from folioscope.queries.hierarchies import concept_graph
 from folioscope.queries.relational import typed
 from folioscope.sources import markup
 from folioscope.sources.tables import first_delivery, table
@@ -38,6 +39,44 @@ def element_scan(spark, sf):
     return markup.parse_elements(_akn_files(spark, sf)).groupBy("source_file", "element").agg(F.count("*").alias("n"))
 
 
+def excluded_subtree(spark, sf):
+    """Paragraphs of the documents, and how many still hold the text of the note inside them."""
+    rows = markup.parse_akn(_akn_files(spark, sf)).where("kind = 'paragraph'")
+    return rows.groupBy("source_file").agg(F.count("*").alias("n"), F.count_if(F.col("text").contains("A note.")).alias("with_note"))
+
+
+def _tables(spark, sf, headers: str) -> DataFrame:
+    """Each report's blocks as a table whose first cell spans the rows of one kind."""
+    text = F.concat(F.lit("<td>"), F.col("block_id").cast("string"), F.lit("</td></tr>"))
+    kinds = _blocks(spark, sf).select("source_file", "kind", "block_id", text.alias("cell")).where("kind is not null").groupBy("source_file", "kind").agg(F.array_sort(F.collect_list(F.struct("block_id", "cell"))).alias("cells"))
+    body = F.concat(F.lit("<tr><td rowspan='"), F.size("cells").cast("string"), F.lit("'>"), "kind", F.lit("</td>"), F.array_join(F.transform("cells", lambda x: x["cell"]), "<tr>"))
+    files = kinds.select("source_file", "kind", body.alias("body")).groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "body"))), lambda x: x["body"]), "").alias("body"))
+    return files.select("source_file", F.concat(F.lit("<doc><body><table>" + headers), "body", F.lit("</table></body></doc>")).alias("content"))
+
+
+def span_carry(spark, sf):
+    rows = markup.parse_akn(_tables(spark, sf, "<tr><th>Kind</th><th>Block</th></tr>"))
+    return rows.select("source_file", "table_row", "text")
+
+
+def column_labels(spark, sf):
+    """Rows labelled by two header rows, of which one cell spans both columns."""
+    rows = markup.parse_akn(_tables(spark, sf, "<tr><th colspan='2'>Report</th></tr><tr><th>Kind</th><th>Block</th></tr>"))
+    return rows.select("source_file", "text")
+
+
+def rdfxml_scan(spark, sf):
+    rows = table(spark, sf, "thesaurus", ["uri", "pref_label", "alt_labels"])
+    quote = lambda name, c: F.concat(F.lit(f'<s:{name} xml:lang="en">'), T.html_escape(c), F.lit(f"</s:{name}>"))
+    alts = F.array_join(F.transform(F.coalesce("alt_labels", F.array().cast("array<string>")), lambda x: quote("altLabel", x)), "")
+    one = F.concat(F.lit('<s:Concept rdf:about="'), "uri", F.lit('">'), quote("prefLabel", F.col("pref_label")), alts, F.lit("</s:Concept>"))
+    files = rows.select(F.concat(F.lit("part-"), F.element_at(F.split("uri", "/"), -1).cast("int") % 8, F.lit(".rdf")).alias("source_file"), one.alias("block")).groupBy("source_file").agg(F.array_join(F.collect_list("block"), "").alias("blocks"))
+    head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:s="http://www.w3.org/2004/02/skos/core#">'
+    content = files.select("source_file", F.concat(F.lit(head), "blocks", F.lit("</rdf:RDF>")).alias("content"))
+    triples = markup.parse_triples(content).where("o_kind = 'literal'")
+    return triples.select(F.col("s").alias("uri"), F.regexp_extract("p", "#(.*)$", 1).alias("property"), F.col("o").alias("value")).distinct()
+
+
 def _turtle(spark, sf) -> DataFrame:
     rows = table(spark, sf, "thesaurus", ["uri", "pref_label", "alt_labels", "definition"])
     quote = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"@en'))
@@ -92,25 +131,69 @@ def entity_merge(spark, sf):
     return graph.components(edges).select(F.col("id").alias("item_key"), "component")
 
 
+def _texts(spark, sf) -> DataFrame:
+    """(text_id, text): all documents, labels of records, and definitions."""
+    docs = table(spark, sf, "documents", [F.concat(F.lit("document-"), F.col("doc_id").cast("string")).alias("text_id"), "text"])
+    records = table(spark, sf, "concepts", ["concept_id", "pref_label", "alt_labels", "definitions"])
+    each = F.explode(F.concat(F.array("pref_label"), F.coalesce("alt_labels", F.array().cast("array<string>")), F.coalesce("definitions", F.array().cast("array<string>"))))
+    labels = records.select(F.col("concept_id"), each.alias("text")).where("text is not null").distinct()
+    entries = table(spark, sf, "thesaurus", [F.concat(F.lit("entry-"), F.col("canon_id").cast("string")).alias("text_id"), F.col("definition").alias("text")])
+    return docs.unionByName(labels.select(F.concat(F.lit("record-"), F.col("concept_id").cast("string"), F.lit("-"), F.md5("text")).alias("text_id"), "text")).unionByName(entries)
+
+
 def _mentions(spark, sf):
-    labels = lexicon.labels_of(table(spark, sf, "thesaurus"))
-    return lexicon.mentions(table(spark, sf, "concepts").select("concept_id", F.col("pref_label").alias("text")).where("text is not null").distinct(), "concept_id", labels, 5)
+    return lexicon.mentions(_texts(spark, sf), "text_id", lexicon.labels_of(table(spark, sf, "thesaurus")))
 
 
 def dictionary_ngram(spark, sf):
-    return _mentions(spark, sf).select("concept_id", "uri").distinct()
+    return _mentions(spark, sf).select("text_id", "uri")
 
 
 def document_frequency(spark, sf):
-    return lexicon.document_frequency(_mentions(spark, sf), "concept_id")
+    """In how many texts each entry is named."""
+    return lexicon.document_frequency(_mentions(spark, sf), "text_id")
+
+
+def generic_concepts(spark, sf, most: int = 30):
+    """Entries that at most so many texts name, with how many do."""
+    named = document_frequency(spark, sf)
+    return table(spark, sf, "thesaurus", ["uri"]).join(named, "uri", "left").select("uri", F.coalesce("n_texts", F.lit(0)).alias("named")).where(F.col("named") <= most)
+
+
+def inferred_links(spark, sf, most: int = 8):
+    """For each entry, the other entries whose definition names it, the shortest definitions first."""
+    entries = table(spark, sf, "thesaurus", ["uri", "definition"]).where("definition is not null")
+    found = lexicon.mentions(entries.select(F.col("uri").alias("defined_by"), F.col("definition").alias("text")), "defined_by", lexicon.labels_of(table(spark, sf, "thesaurus")))
+    sized = found.where("uri <> defined_by").join(entries.select(F.col("uri").alias("defined_by"), F.length("definition").alias("size")), "defined_by")
+    return sized.withColumn("place", F.row_number().over(Window.partitionBy("uri").orderBy("size", "defined_by"))).where(F.col("place") <= most).select("uri", "defined_by", "place")
+
+
+def label_places(spark, sf):
+    """Labels in texts with their places, those inside a longer label dropped."""
+    found = lexicon.places(_texts(spark, sf), "text_id", lexicon.labels_of(table(spark, sf, "thesaurus")))
+    return lexicon.longest_places(found, "text_id").select("text_id", "uri", F.col("at").alias("place"), "n")
 
 
 def term_hits(spark, sf):
-    return lexicon.term_score(_mentions(spark, sf), "concept_id")
+    return lexicon.term_score(_mentions(spark, sf), "text_id")
 
 
 def expand_query(spark, sf):
-    return lexicon.expand(_mentions(spark, sf), table(spark, sf, "thesaurus"), "concept_id")
+    return lexicon.expand(_mentions(spark, sf), table(spark, sf, "thesaurus"), "text_id")
+
+
+def graph_expansion(spark, sf):
+    """The entries nearest to each query text's mentions, widened over the concept graph: parents, children and siblings of the records mapped by label."""
+    rows = table(spark, sf, "concepts", ["concept_id", "broader", "narrower", "pref_label"])
+    label = rows.where("pref_label is not null").select("concept_id", F.lower(F.trim("pref_label")).alias("label")).distinct()
+    _, links = concept_graph(spark, sf)
+    edges = links.select("parent", "child").distinct().where("parent is not null and child is not null and parent <> child")
+    entry = table(spark, sf, "thesaurus", ["uri", "pref_label"]).select("uri", F.lower("pref_label").alias("label"))
+    hits = label.join(entry, "label").select("uri", "concept_id").distinct()
+    up = hits.join(edges, hits.concept_id == edges.child).select("uri", F.lit("above").alias("how"), F.col("parent").alias("other"))
+    down = hits.join(edges, hits.concept_id == edges.parent).select("uri", F.lit("below").alias("how"), F.col("child").alias("other"))
+    sides = up.select("uri", F.col("other").alias("parent")).distinct().join(edges, "parent").select("uri", F.lit("beside").alias("how"), F.col("child").alias("other"))
+    return up.unionByName(down).unionByName(sides.join(hits.select("uri", F.col("concept_id").alias("other")), ["uri", "other"], "left_anti")).groupBy("uri", "how").agg(F.count_distinct("other").alias("n"))
 
 
 def containment(spark, sf):
@@ -188,7 +271,8 @@ def upsert(spark, sf):
 
 
 QUERIES = {
-    "SRC10_akn_scan": akn_scan, "SRC12_element_scan": element_scan, "SRC05_turtle_scan": turtle_scan, "JOIN05_triple_star": triple_star,
+    "SRC10_akn_scan": akn_scan, "SRC12_element_scan": element_scan, "SRC07_rdfxml_scan": rdfxml_scan, "FLT15_excluded_subtree": excluded_subtree, "WIN15_span_carry": span_carry, "STR32_column_labels": column_labels,
+    "FLT13_generic_concept": generic_concepts, "JOIN45_inferred_links": inferred_links, "JOIN14_label_places": label_places, "JOIN15_label_mention": dictionary_ngram, "JOIN44_graph_expansion": graph_expansion, "SRC05_turtle_scan": turtle_scan, "JOIN05_triple_star": triple_star,
     "JOIN09_ancestors": ancestors, "JOIN10_descendants": descendants, "JOIN11_siblings": siblings, "JOIN30_entity_merge": entity_merge,
     "JOIN08_dictionary_ngram": dictionary_ngram, "AGG10_document_frequency": document_frequency, "AGG11_term_hits": term_hits, "STR10_expand_query": expand_query,
     "JOIN40_containment": containment, "JOIN41_sentence_fidelity": fidelity,
@@ -197,7 +281,18 @@ QUERIES = {
 }
 _B = "(SELECT block_id, any_value(source_file) AS source_file, any_value(seq) AS seq, any_value(kind) AS kind, any_value(text) AS text FROM blocks GROUP BY block_id)"
 _NE = "WITH RECURSIVE e AS (SELECT DISTINCT parent, child FROM (SELECT node_id AS parent, unnest(children) AS child FROM nodes) WHERE child IN (SELECT node_id FROM nodes))"
-_LAB = "l AS (SELECT uri, key FROM (SELECT uri, trim(regexp_replace(lower(label), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS key, label FROM (SELECT uri, pref_label AS label FROM thesaurus UNION ALL SELECT uri, unnest(alt_labels) FROM thesaurus) WHERE length(label) >= 5 OR regexp_full_match(label, '[A-Z]{2,6}')) WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY uri, label) = 1), t AS (SELECT DISTINCT concept_id, ' ' || trim(regexp_replace(lower(pref_label), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS w FROM concepts WHERE pref_label IS NOT NULL), h AS (SELECT DISTINCT concept_id, uri FROM t JOIN l ON contains(w, ' ' || key || ' '))"
+_WORDS = "regexp_replace(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), '^ +| +$', '', 'g')"
+_L = f"l AS (SELECT uri, key, label, regexp_full_match(label, '[A-Z]{{2,6}}') AS code FROM (SELECT uri, {_WORDS.format('lower(label)')} AS key, label FROM (SELECT uri, pref_label AS label FROM thesaurus UNION ALL SELECT uri, unnest(alt_labels) FROM thesaurus) WHERE length(label) >= 5 OR regexp_full_match(label, '[A-Z]{{2,6}}')) WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY uri, label) = 1)"
+
+
+def _named(texts: str, key: str) -> str:
+    """SQL of l, the labels, and h: which of them are named in texts (key, text); a text is a string of words between blanks."""
+    words = _WORDS.format("text")
+    return f"{_L}, t AS (SELECT {key}, ' ' || {words} || ' ' AS w, ' ' || lower({words}) || ' ' AS low FROM {texts} WHERE text IS NOT NULL), h AS (SELECT DISTINCT {key}, uri FROM t JOIN l ON CASE WHEN code THEN contains(w, ' ' || label || ' ') ELSE contains(low, ' ' || key || ' ') END)"
+
+
+_TEXTS = "(SELECT 'document-' || doc_id AS text_id, text FROM documents UNION ALL SELECT DISTINCT 'record-' || concept_id || '-' || md5(text), text FROM (SELECT concept_id, pref_label AS text FROM concepts UNION ALL SELECT concept_id, unnest(alt_labels) FROM concepts UNION ALL SELECT concept_id, unnest(definitions) FROM concepts) WHERE text IS NOT NULL UNION ALL SELECT 'entry-' || canon_id, definition FROM thesaurus)"
+_LAB = _named(_TEXTS, "text_id")
 _SENT = "SELECT {0} regexp_replace(lower(unnest(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+([A-Z])', '\\1\x01\\2', 'g'), '\x01'))), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k FROM {1}"
 _PG = f"p AS (SELECT DISTINCT * FROM ({_SENT.format('chunk_id,', 'pdf_documents')}) WHERE length(k) >= 30), d AS (SELECT DISTINCT * FROM ({_SENT.format('', 'documents')}) WHERE length(k) >= 30)"
 ORACLES = {
@@ -208,10 +303,19 @@ ORACLES = {
     "JOIN10_descendants": f"{_NE}, r AS (SELECT parent AS node_id, child AS descendant, 1 AS depth FROM e UNION SELECT r.node_id, e.child, r.depth + 1 FROM r JOIN e ON e.parent = r.descendant WHERE r.depth < 10) SELECT node_id, descendant, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE node_id <> descendant GROUP BY ALL",
     "JOIN11_siblings": f"{_NE} SELECT a.child AS node_id, count(DISTINCT b.child) AS n_siblings FROM e a JOIN e b ON a.parent = b.parent AND a.child <> b.child GROUP BY a.child",
     "JOIN30_entity_merge": "WITH RECURSIVE z AS (SELECT item_key, any_value(title) AS title, any_value(doi) AS doi FROM zotero GROUP BY item_key), k AS (SELECT item_key, 't:' || regexp_replace(strip_accents(lower(title)), '[^a-z0-9]', '', 'g') AS k FROM z UNION ALL SELECT item_key, 'd:' || regexp_replace(nullif(regexp_extract(lower(doi), '(10\\.[0-9]{4,9}/[^ \"<>]+)', 1), ''), '[.,;)]+$', '') FROM z), f AS (SELECT * FROM k WHERE length(k) > 2), e AS (SELECT DISTINCT a.item_key AS a, b.item_key AS b FROM f a JOIN f b ON a.k = b.k AND a.item_key <> b.item_key), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS item_key, least(a, min(b)) AS component FROM r GROUP BY a",
-    "JOIN08_dictionary_ngram": f"WITH {_LAB} SELECT concept_id, uri FROM h",
-    "AGG10_document_frequency": f"WITH {_LAB} SELECT uri, count(DISTINCT concept_id) AS n_texts FROM h GROUP BY uri",
-    "AGG11_term_hits": f"WITH {_LAB} SELECT concept_id, least(count(DISTINCT uri), 4) / 4.0 AS score FROM h GROUP BY concept_id",
-    "STR10_expand_query": f"WITH {_LAB}, m AS (SELECT h.concept_id, h.uri, unnest(list_concat([pref_label], coalesce(alt_labels, [])[:2])) AS term, generate_subscripts(list_concat([pref_label], coalesce(alt_labels, [])[:2]), 1) AS i FROM h JOIN thesaurus USING (uri)) SELECT concept_id, row_number() OVER (PARTITION BY concept_id ORDER BY uri, i) AS n, term FROM m QUALIFY n <= 6",
+    "JOIN08_dictionary_ngram": f"WITH {_LAB} SELECT text_id, uri FROM h",
+    "JOIN15_label_mention": f"WITH {_LAB} SELECT text_id, uri FROM h",
+    "AGG10_document_frequency": f"WITH {_LAB} SELECT uri, count(*) AS n_texts FROM h GROUP BY uri",
+    "FLT13_generic_concept": f"WITH {_LAB} SELECT t.uri, count(h.uri) AS named FROM thesaurus t LEFT JOIN h ON h.uri = t.uri GROUP BY t.uri HAVING count(h.uri) <= 30",
+    "JOIN45_inferred_links": f"WITH {_named('(SELECT uri AS defined_by, definition AS text FROM thesaurus)', 'defined_by')} SELECT h.uri, h.defined_by, row_number() OVER (PARTITION BY h.uri ORDER BY length(t.definition), h.defined_by) AS place FROM h JOIN thesaurus t ON t.uri = h.defined_by WHERE h.uri <> h.defined_by QUALIFY place <= 8",
+    "JOIN14_label_places": f"WITH {_LAB}, w AS (SELECT text_id, string_split({_WORDS.format('text')}, ' ') AS w FROM {_TEXTS} WHERE text IS NOT NULL), p AS (SELECT text_id, w, unnest(range(1, len(w) + 1)) AS spot FROM w), m AS (SELECT p.text_id, l.uri, p.spot, len(string_split(l.key, ' ')) AS n FROM p JOIN l ON lower(array_to_string(list_slice(w, spot, spot + len(string_split(l.key, ' ')) - 1), ' ')) = l.key AND (NOT l.code OR w[spot] = l.label)) SELECT text_id, uri, CAST(spot AS INTEGER) AS place, CAST(n AS INTEGER) AS n FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.text_id = m.text_id AND o.n > m.n AND o.spot <= m.spot AND o.spot + o.n >= m.spot + m.n)",
+    "JOIN44_graph_expansion": "WITH g AS (SELECT DISTINCT p, c FROM (SELECT TRY_CAST(regexp_extract(u, '(?:^|/)0*([0-9]{1,18})/?\\s*$', 1) AS BIGINT) AS p, concept_id AS c FROM (SELECT concept_id, unnest(broader) AS u FROM concepts) UNION ALL SELECT concept_id, TRY_CAST(regexp_extract(u, '(?:^|/)0*([0-9]{1,18})/?\\s*$', 1) AS BIGINT) FROM (SELECT concept_id, unnest(narrower) AS u FROM concepts)) WHERE p <> c), h AS (SELECT DISTINCT t.uri, c.concept_id AS x FROM concepts c JOIN thesaurus t ON lower(trim(c.pref_label)) = lower(t.pref_label)), u AS (SELECT h.uri, g.p AS o FROM h JOIN g ON g.c = h.x), r AS (SELECT uri, 'above' AS how, o FROM u UNION SELECT h.uri, 'below', g.c FROM h JOIN g ON g.p = h.x UNION SELECT u.uri, 'beside', g.c FROM u JOIN g ON g.p = u.o WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.uri = u.uri AND h.x = g.c)) SELECT uri, how, count(*) AS n FROM r GROUP BY uri, how",
+    "SRC07_rdfxml_scan": "SELECT DISTINCT uri, 'prefLabel' AS property, pref_label AS value FROM thesaurus UNION SELECT uri, 'altLabel', unnest(alt_labels) FROM thesaurus",
+    "FLT15_excluded_subtree": f"SELECT source_file, count(*) AS n, CAST(0 AS BIGINT) AS with_note FROM {_B} WHERE kind = 'para' AND trim(coalesce(text, '')) <> '' GROUP BY source_file",
+    "WIN15_span_carry": f"SELECT source_file, CAST(1 + row_number() OVER (PARTITION BY source_file ORDER BY kind, block_id) AS INTEGER) AS table_row, 'Kind: ' || kind || '; Block: ' || block_id AS text FROM {_B} WHERE kind IS NOT NULL",
+    "STR32_column_labels": f"SELECT source_file, 'Report – Kind: ' || kind || '; Report – Block: ' || block_id AS text FROM {_B} WHERE kind IS NOT NULL",
+    "AGG11_term_hits": f"WITH {_LAB} SELECT text_id, least(count(DISTINCT uri), 4) / 4.0 AS score FROM h GROUP BY text_id",
+    "STR10_expand_query": f"WITH {_LAB}, m AS (SELECT h.text_id, h.uri, unnest(list_concat([pref_label], coalesce(alt_labels, [])[:2])) AS term, generate_subscripts(list_concat([pref_label], coalesce(alt_labels, [])[:2]), 1) AS i FROM h JOIN thesaurus USING (uri)) SELECT text_id, row_number() OVER (PARTITION BY text_id ORDER BY uri, i) AS n, term FROM m QUALIFY n <= 6",
     "JOIN40_containment": f"WITH {_PG} SELECT chunk_id, count(*) AS n_found FROM p SEMI JOIN d USING (k) GROUP BY chunk_id",
     "JOIN41_sentence_fidelity": f"WITH {_PG} SELECT chunk_id, round(count(d.k) / count(*), 6) AS share FROM p LEFT JOIN d ON d.k = p.k GROUP BY chunk_id",
     "WIN13_reading_order": "WITH p AS (SELECT para_id, any_value(source_file) AS source_file, any_value(page) AS page, any_value(x0) AS x0, any_value(y0) AS y0 FROM paras GROUP BY para_id), c AS (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY source_file, page ORDER BY x0, para_id) > 60 THEN 1 ELSE 0 END AS fresh FROM p WHERE x0 IS NOT NULL AND y0 IS NOT NULL), d AS (SELECT *, sum(fresh) OVER (PARTITION BY source_file, page ORDER BY x0, para_id ROWS UNBOUNDED PRECEDING) AS col FROM c) SELECT para_id, CAST(col AS BIGINT) AS col, row_number() OVER (PARTITION BY source_file, page ORDER BY col, y0, para_id) AS place FROM d",

@@ -32,15 +32,12 @@ STATEMENTS = {
     "FLT04_named_group": "SELECT doc_id, assessment FROM {documents} WHERE lower(assessment) IN ('assessment-1', 'assessment-2') OR assessment LIKE '%global%'",
     "FLT08_expert_choice": "SELECT s_suppkey, s_name, n_name FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE n_regionkey IN (1, 3) AND lower(s_name) LIKE '%1%' AND s_acctbal > 0",
     "FLT12_strict_country": "SELECT c_nationkey, count(*) AS n FROM {customer} LEFT ANTI JOIN (SELECT n_nationkey FROM {nation} WHERE n_regionkey < 4) n ON n_nationkey = c_nationkey GROUP BY c_nationkey",
-    "FLT13_generic_concept": "WITH d AS (SELECT concept_id, lower(definition) AS definition FROM (SELECT concept_id, {explode_definitions} AS definition FROM {concepts}) x), l AS (SELECT canon_id, lower(pref_label) AS label FROM {thesaurus}), n AS (SELECT l.canon_id, count(DISTINCT d.concept_id) AS named FROM l JOIN d ON d.definition LIKE concat('%', l.label, '%') GROUP BY l.canon_id) SELECT l.canon_id, coalesce(n.named, 0) AS named FROM l LEFT JOIN n ON n.canon_id = l.canon_id WHERE coalesce(n.named, 0) <= 30",
     "FLT18_null_key_drop": "SELECT DISTINCT source_id, e.key AS k, e.value AS v FROM (SELECT source_id, {explode_meta} AS e FROM {sources}) x",
     "FLT19_quote_length": f"SELECT para_id, length(quote) AS size FROM (SELECT para_id, regexp_extract(text, '[“\"]([^”\"]+)[”\"]', 1) AS quote FROM {PARAS} p) x WHERE length(quote) BETWEEN 3 AND 1500",
     "PRJ01_ttl_metadata": "SELECT doc_id, assessment, chapter, lang, source, concat_ws(';', nullif(lang, ''), nullif(assessment, '')) AS codes FROM {documents}",
     "PRJ05_gather": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM {documents}) SELECT place, doc_id FROM r WHERE place IN (5, 3, 8, 1)",
     "PRJ10_concept_profile": "SELECT canon_id, concat_ws(' | ', pref_label, {alts_text}, definition) AS profile FROM {thesaurus}",
     "PRJ13_document_metadata": f"SELECT report_id, lang, min(text) AS title, min(substring(report_id, 1, 4)) AS year FROM {BLOCKS} b WHERE kind = 'title' GROUP BY report_id, lang",
-    "JOIN14_region_mention": "SELECT n_name, r_name FROM {nation} JOIN {region} ON concat(' ', lower(n_name), ' ') LIKE concat('%', substring(lower(r_name), 1, 3), '%')",
-    "JOIN15_country_mention": "SELECT c_custkey, n_name FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey AND upper(n_name) = n_name",
     "JOIN17_multi_value_split": "WITH w AS (SELECT DISTINCT item_key, {explode_creators} AS name FROM {zotero}), k AS (SELECT DISTINCT name FROM w WHERE length(name) > 4) SELECT w.item_key, count(*) AS names, count(k.name) AS resolved FROM w LEFT JOIN k ON k.name = w.name GROUP BY w.item_key",
     "JOIN19_future_sessions": f"WITH h AS (SELECT DISTINCT source_file FROM {BLOCKS} b WHERE kind = 'heading' AND (text LIKE '%session%' OR text LIKE '%venue%')) SELECT b.block_id, CASE WHEN b.kind = 'heading' THEN 0 ELSE 1 END AS part FROM {BLOCKS} b LEFT SEMI JOIN h ON h.source_file = b.source_file",
     "JOIN21_traceability": "WITH t AS (SELECT DISTINCT doc_id, regexp_extract(text, 'section ([0-9]+[.][0-9]+)', 1) AS trace FROM {documents} WHERE text LIKE '%section %'), s AS (SELECT DISTINCT regexp_extract(text, '^Section ([0-9]+[.][0-9]+)', 1) AS number FROM {documents} WHERE text LIKE 'Section %') SELECT t.doc_id, t.trace, max(CASE WHEN s.number = t.trace THEN s.number END) AS exact_section, max(CASE WHEN s.number LIKE concat(regexp_extract(t.trace, '^([0-9]+)', 1), '.%') THEN s.number END) AS near_section FROM t LEFT JOIN s ON regexp_extract(s.number, '^([0-9]+)', 1) = regexp_extract(t.trace, '^([0-9]+)', 1) WHERE t.trace <> '' GROUP BY t.doc_id, t.trace",
@@ -48,17 +45,14 @@ STATEMENTS = {
     "JOIN25_reference_cascade": f"WITH s AS (SELECT source_id, max(coalesce(metadata['title'], metadata['name'], metadata['ref_title'])) AS title, max({_DOI.format(chr(39).join(['coalesce(metadata[', 'doi', '], metadata[', 'url', '], metadata[', 'identifier', '])']))}) AS doi FROM {{sources}} GROUP BY source_id), z AS (SELECT item_key, {{strip}} AS k, {_DOI.format('doi')} AS doi FROM {_WORKS} w), t AS (SELECT source_id, {{strip}} AS k, doi FROM s), m AS (SELECT t.source_id, z.item_key, 1 AS tier FROM t JOIN z ON t.doi = z.doi AND t.doi <> '' UNION ALL SELECT t.source_id, z.item_key, 2 FROM t JOIN z ON t.k = z.k AND length(t.k) >= 8 UNION ALL SELECT t.source_id, z.item_key, 3 FROM t JOIN z ON substring(t.k, 1, 34) = substring(z.k, 1, 34) AND length(t.k) >= 34) SELECT source_id, item_key, min(tier) AS tier FROM m GROUP BY source_id, item_key",
     "JOIN28_people_reconcile": "WITH a AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM {supplier} GROUP BY s_nationkey), b AS (SELECT c_nationkey AS k, count(*) AS customers FROM {customer} GROUP BY c_nationkey) SELECT coalesce(a.k, b.k) AS nation, coalesce(suppliers, customers) AS filled, CASE WHEN suppliers IS NULL OR customers IS NULL THEN 'one source' WHEN suppliers = customers THEN 'agree' ELSE 'disagree' END AS state FROM a FULL OUTER JOIN b ON a.k = b.k",
     "JOIN29_broken_links": "WITH r AS (SELECT concept_id, u, CAST(nullif(regexp_extract(u, '/([0-9]+)/?$', 1), '') AS BIGINT) AS target FROM (SELECT concept_id, {explode_broader} AS u FROM {concepts}) x) SELECT DISTINCT r.concept_id, r.u FROM r LEFT ANTI JOIN (SELECT DISTINCT concept_id AS id FROM {concepts}) c ON c.id = r.target",
-    "JOIN32_close_match": "WITH p AS (SELECT a.canon_id, b.canon_id AS other, 1 - levenshtein(a.pref_label, b.pref_label) / greatest(length(a.pref_label), length(b.pref_label)) AS ratio FROM {thesaurus} a JOIN {thesaurus} b ON substring(a.pref_label, 1, 5) = substring(b.pref_label, 1, 5) AND a.canon_id <> b.canon_id), r AS (SELECT *, row_number() OVER (PARTITION BY canon_id ORDER BY round(ratio, 6) DESC, other) AS place FROM p WHERE ratio >= 0.75) SELECT canon_id, other, place FROM r WHERE place <= 3",
     "JOIN34_spatial": f"SELECT a.para_id, min_by(b.para_id, CAST(abs(a.y0 - b.y0) AS DOUBLE) * 1000000 + b.para_id) AS nearest FROM {PARAS} a JOIN {PARAS} b ON a.source_file = b.source_file AND a.page = b.page AND a.para_id <> b.para_id AND abs(a.y0 - b.y0) < 60 AND abs(a.x0 - b.x0) < 60 GROUP BY a.para_id",
     "JOIN36_containment_part": f"WITH b AS (SELECT * FROM {BLOCKS} x WHERE text IS NOT NULL AND lang = 'en') SELECT p.block_id AS whole, c.block_id AS part FROM b p JOIN b c ON p.report_id = c.report_id AND p.block_id <> c.block_id AND length(c.text) >= 30 AND length(p.text) > length(c.text) AND contains(p.text, c.text)",
     "JOIN38_paragraph_match": f"WITH e AS (SELECT report_id, num, min(seq) AS seq FROM {BLOCKS} b WHERE lang = 'en' AND kind = 'para' AND num <> '' GROUP BY report_id, num), o AS (SELECT report_id, num, min(seq) AS seq FROM {BLOCKS} b WHERE lang <> 'en' AND kind = 'para' AND num <> '' GROUP BY report_id, num) SELECT e.report_id, count(*) AS same_number, count_if(abs(e.seq - o.seq) <= 2) AS near_place FROM e JOIN o ON o.report_id = e.report_id AND o.num = e.num GROUP BY e.report_id",
     "JOIN43_enrichment": f"WITH p AS (SELECT para_id, source_file, page, role, label FROM {PARAS} x WHERE label IS NOT NULL AND label <> ''), c AS (SELECT source_file, page, min(para_id) AS caption FROM {PARAS} x WHERE role = 'caption' GROUP BY source_file, page) SELECT p.para_id, p.label, c.caption, c.caption IS NULL AS missing FROM p LEFT JOIN c ON c.source_file = p.source_file AND c.page = p.page",
-    "JOIN45_inferred_links": "WITH d AS (SELECT canon_id, lower(definition) AS definition FROM {thesaurus} WHERE definition IS NOT NULL), h AS (SELECT l.canon_id, d.canon_id AS defined_by, length(d.definition) AS size FROM {thesaurus} l JOIN d ON d.canon_id <> l.canon_id AND contains(d.definition, split_part(lower(l.pref_label), ' ', 2)) WHERE split_part(lower(l.pref_label), ' ', 2) <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY canon_id ORDER BY size, defined_by) AS place FROM h) SELECT canon_id, defined_by FROM r WHERE place <= 8",
     "JOIN46_heading_context": f"WITH e AS (SELECT DISTINCT node_id AS parent, child FROM (SELECT node_id, {{explode_children}} AS child FROM {{nodes}}) x), n AS (SELECT * FROM {NODES} y) SELECT c.node_id, max(p.heading) AS heading, max(g.heading) AS above FROM n c JOIN e ON e.child = c.node_id JOIN n p ON p.node_id = e.parent LEFT JOIN e f ON f.child = p.node_id LEFT JOIN n g ON g.node_id = f.parent GROUP BY c.node_id",
     "AGG06_hyphen_evidence": "WITH w AS (SELECT lower(w) AS w FROM (SELECT {words_of_text} AS w FROM {documents} WHERE lang = 'en') x), h AS (SELECT w, count(*) AS hyphened FROM w WHERE w LIKE '%_-_%' GROUP BY w), j AS (SELECT w, count(*) AS joined FROM w WHERE w NOT LIKE '%-%' GROUP BY w) SELECT h.w, h.hyphened, coalesce(j.joined, 0) AS joined FROM h LEFT JOIN j ON j.w = replace(h.w, '-', '')",
     "AGG08_casing_mode": "WITH w AS (SELECT w, lower(w) AS k, count(*) AS n FROM (SELECT {words_of_text} AS w FROM {documents} WHERE lang = 'fr') x WHERE length(w) > 3 GROUP BY w), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, w) AS place, sum(n) OVER (PARTITION BY k) AS total FROM w) SELECT k, w, n FROM r WHERE place = 1 AND total >= 3 AND n * 2 > total",
     "AGG19_catalogue_block": f"SELECT report_id, count(*) AS decisions, [[substring(text, 1, 30) ; / ; seq]] AS listing FROM {BLOCKS} b WHERE lang = 'en' AND (text LIKE 'Approves%' OR text LIKE 'Requests%' OR text LIKE 'Decides%') GROUP BY report_id",
-    "AGG29_spelling_vote": "WITH s AS (SELECT lower(w) AS w, count(*) AS n FROM (SELECT {explode_title_words} AS w FROM {zotero}) x WHERE length(w) >= 8 GROUP BY lower(w)) SELECT a.w AS rare, min_by(b.w, CAST(-b.n AS DOUBLE) * 1000 + length(b.w)) AS usual FROM s a JOIN s b ON substring(a.w, 1, 4) = substring(b.w, 1, 4) AND a.w <> b.w AND b.n >= 5 AND a.n = 1 AND levenshtein(a.w, b.w) = 1 GROUP BY a.w",
     "WIN17_group_by_mark": f"SELECT source_file, grp, count(*) AS members FROM (SELECT source_file, CAST(sum(CASE WHEN text LIKE '%section%' THEN 1 ELSE 0 END) OVER (PARTITION BY source_file ORDER BY seq, block_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM {BLOCKS} b WHERE kind = 'para') x GROUP BY source_file, grp",
     "WIN20_split_sections": f"WITH h AS (SELECT source_file, seq, block_id, CAST(sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY source_file ORDER BY seq, block_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section, kind FROM {BLOCKS} b) SELECT source_file, section, count(*) AS blocks, min(block_id) AS first_block FROM h GROUP BY source_file, section",
     "WIN21_table_title": f"SELECT block_id, title FROM (SELECT block_id, kind, lag(text) OVER (PARTITION BY source_file ORDER BY seq, block_id) AS title FROM {BLOCKS} b) x WHERE kind = 'table'",

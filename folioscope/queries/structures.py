@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.operators import fuzzy
 from folioscope.queries import documents as D
 from folioscope.queries.relational import typed
 from folioscope.sources import markup
@@ -42,10 +43,25 @@ def split_people(spark, sf):
 
 
 def person_fuzzy(spark, sf):
-    """Surnames that differ by one edit, compared within their first three letters only."""
-    names = table(spark, sf, "zotero", ["creators"]).select(F.explode(F.transform("creators", T.fold)).alias("name")).where("length(name) >= 6").distinct().withColumn("block", F.substring("name", 1, 3))
-    other = names.select("block", F.col("name").alias("close"))
-    return names.join(other, "block").where((F.col("name") < F.col("close")) & (F.levenshtein("name", "close") <= 1)).select("name", "close")
+    """Surnames of six letters or more that differ by one edit, wherever it is."""
+    names = table(spark, sf, "zotero", ["creators"]).select(F.explode(F.transform("creators", T.fold)).alias("name")).where("length(name) >= 6")
+    return fuzzy.one_edit_apart(names, names).where("word < close").withColumnRenamed("word", "name")
+
+
+def close_match(spark, sf):
+    """The three labels most like each label, from three quarters on."""
+    labels = table(spark, sf, "thesaurus", ["canon_id", "pref_label"])
+    sizes = [labels.select(F.col("canon_id").alias(c), F.length("pref_label").alias(f"_{c}")) for c in ("id", "other")]
+    pairs = fuzzy.alike(labels, 0.75).join(sizes[0], "id").join(sizes[1], "other").withColumn("_ratio", F.round(1 - F.col("edits") / F.greatest("_id", "_other"), 6))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_ratio"), "other"))
+    return pairs.withColumn("place", place).where("place <= 3").select(F.col("id").alias("canon_id"), "other", "place")
+
+
+def spelling_vote(spark, sf):
+    """Words of titles that stand only once, with the usual word one edit away."""
+    words = table(spark, sf, "zotero", ["title"]).select(F.explode(F.split(F.lower("title"), " ")).alias("w")).where("length(w) >= 8").groupBy("w").agg(F.count("*").alias("n"))
+    near = fuzzy.one_edit_apart(words.where("n = 1").select("w"), words.where("n >= 5").select("w")).join(words.withColumnRenamed("w", "close"), "close")
+    return near.groupBy(F.col("word").alias("rare")).agg(F.min_by("close", F.struct(-F.col("n"), F.col("close"))).alias("usual"))
 
 
 def json_scan(spark, sf):
@@ -80,8 +96,8 @@ def standalone(spark, sf):
 def glossary(spark, sf):
     """At most six concepts of a text, then those with a definition."""
     hits = D._mentions(spark, sf)
-    ranked = hits.withColumn("n", F.row_number().over(Window.partitionBy("concept_id").orderBy("uri"))).where("n <= 6")
-    return ranked.join(table(spark, sf, "thesaurus", ["uri", "definition"]).where("definition is not null"), "uri").select("concept_id", "uri", "definition")
+    ranked = hits.withColumn("n", F.row_number().over(Window.partitionBy("text_id").orderBy("uri"))).where("n <= 6")
+    return ranked.join(table(spark, sf, "thesaurus", ["uri", "definition"]).where("definition is not null"), "uri").select("text_id", "uri", "definition")
 
 
 def greedy_pairing(spark, sf):
@@ -112,7 +128,7 @@ def turtle_write(spark, sf):
 
 
 QUERIES = {
-    "SRC24_table_scan": table_scan, "STR25_people_lists": people_lists, "AGG18_elected_chairs": elected_chairs, "STR37_split_people": split_people, "JOIN27_person_fuzzy": person_fuzzy, "SRC17_json_scan": json_scan, "SRC06_namespace_discovery": namespaces,
+    "SRC24_table_scan": table_scan, "STR25_people_lists": people_lists, "AGG18_elected_chairs": elected_chairs, "STR37_split_people": split_people, "JOIN27_person_fuzzy": person_fuzzy, "JOIN32_close_match": close_match, "AGG29_spelling_vote": spelling_vote, "SRC17_json_scan": json_scan, "SRC06_namespace_discovery": namespaces,
     "FLT09_scalar_metadata": scalar_metadata, "FLT22_label_language": label_language, "FLT16_standalone_only": standalone, "RTE13_glossary": glossary, "JOIN33_greedy_pairing": greedy_pairing, "SNK08_akn_write": akn_write, "SNK07_turtle_write": turtle_write,
 }
 _PEOPLE = "p AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\\p{Lu}\\. [^\\n,]+, [^\\n(]+\\([a-z-]+\\))', 1)) AS entry FROM documents WHERE text LIKE 'List of participants%'), q AS (SELECT DISTINCT doc_id, regexp_extract(entry, '^(\\p{Lu}\\. [^,]+),', 1) AS name, regexp_extract(entry, '\\(([a-z-]+)\\)$', 1) AS role FROM p)"
@@ -121,13 +137,15 @@ ORACLES = {
     "STR25_people_lists": f"WITH {_PEOPLE} SELECT * FROM q",
     "AGG18_elected_chairs": f"WITH {_PEOPLE} SELECT DISTINCT name FROM q WHERE role = 'co-chair'",
     "STR37_split_people": "SELECT source_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS place, unnest(s) AS person FROM (SELECT DISTINCT source_id, string_split_regex(coalesce(metadata['authors'], metadata['creator'], metadata['by']), ' and |; | & ') AS s FROM sources WHERE coalesce(metadata['authors'], metadata['creator'], metadata['by']) <> '')",
-    "JOIN27_person_fuzzy": "WITH n AS (SELECT DISTINCT strip_accents(lower(c)) AS name FROM (SELECT unnest(creators) AS c FROM zotero) WHERE length(c) >= 6) SELECT a.name, b.name AS close FROM n a JOIN n b ON a.name[:3] = b.name[:3] AND a.name < b.name AND levenshtein(a.name, b.name) <= 1",
+    "JOIN27_person_fuzzy": "WITH n AS (SELECT DISTINCT strip_accents(lower(c)) AS name FROM (SELECT unnest(creators) AS c FROM zotero) WHERE length(c) >= 6) SELECT a.name, b.name AS close FROM n a JOIN n b ON a.name < b.name AND abs(length(a.name) - length(b.name)) <= 1 AND levenshtein(a.name, b.name) <= 1",
+    "JOIN32_close_match": "WITH p AS (SELECT a.canon_id, b.canon_id AS other, round(1 - levenshtein(a.pref_label, b.pref_label) / greatest(length(a.pref_label), length(b.pref_label)), 6) AS ratio FROM thesaurus a JOIN thesaurus b ON a.canon_id <> b.canon_id) SELECT canon_id, other, row_number() OVER (PARTITION BY canon_id ORDER BY ratio DESC, other) AS place FROM p WHERE ratio >= 0.75 QUALIFY place <= 3",
+    "AGG29_spelling_vote": "WITH s AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(lower(title), ' ')) AS w FROM zotero) WHERE length(w) >= 8 GROUP BY w) SELECT a.w AS rare, arg_min(b.w, (-b.n, b.w)) AS usual FROM s a JOIN s b ON a.n = 1 AND b.n >= 5 AND a.w <> b.w AND levenshtein(a.w, b.w) = 1 GROUP BY a.w",
     "SRC17_json_scan": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "SRC06_namespace_discovery": "SELECT arg_min(ns, length(ns)) AS ns FROM (SELECT DISTINCT regexp_extract(uri, '^(.*/)[^/]+$', 1) AS ns FROM thesaurus)",
     "FLT09_scalar_metadata": "SELECT e.key AS key, count(*) AS n, count(*) FILTER (TRY_CAST(e.value AS DOUBLE) IS NULL) AS not_numeric FROM (SELECT unnest(map_entries(metadata)) AS e FROM sources) WHERE e.value IS NOT NULL GROUP BY e.key",
     "FLT22_label_language": "SELECT 'prefLabel' AS property, count(*) AS n FROM thesaurus UNION ALL SELECT 'altLabel', sum(len(alt_labels))::BIGINT FROM thesaurus",
     "FLT16_standalone_only": "SELECT source_file, count(*) AS n FROM (SELECT block_id, any_value(source_file) AS source_file, any_value(kind) AS kind, any_value(text) AS text FROM blocks GROUP BY block_id) WHERE kind NOT IN ('para', 'table') AND trim(coalesce(text, '')) <> '' GROUP BY source_file",
-    "RTE13_glossary": f"WITH {D._LAB} SELECT concept_id, uri, definition FROM (SELECT concept_id, uri FROM h QUALIFY row_number() OVER (PARTITION BY concept_id ORDER BY uri) <= 6) JOIN thesaurus USING (uri) WHERE definition IS NOT NULL",
+    "RTE13_glossary": f"WITH {D._LAB} SELECT text_id, uri, definition FROM (SELECT text_id, uri FROM h QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY uri) <= 6) JOIN thesaurus USING (uri) WHERE definition IS NOT NULL",
     "SNK07_turtle_write": "SELECT 'part-' || (canon_id % 8) || '.ttl' AS source_file, CAST(count(*) AS INTEGER) AS concepts FROM thesaurus GROUP BY ALL",
 }
 ORACLES = {name: typed(s) for name, s in ORACLES.items()}

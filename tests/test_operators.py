@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import context, graph, lexicon, packing, vectors
+from folioscope.operators import context, fuzzy, graph, lexicon, packing, vectors
 from folioscope.operators.ranking import global_rank
 from folioscope.sources import markup
 from folioscope.streaming import streams
@@ -131,7 +131,37 @@ def test_global_rank(spark):
 def test_mentions(spark):
     thesaurus = spark.createDataFrame([("u1", "Coral Reef", ["CRX"]), ("u2", "reef", None)], "uri string, pref_label string, alt_labels array<string>")
     texts = spark.createDataFrame([(1, "The coral reef, and CRX."), (2, "reefs"), (3, None)], "id long, text string")
-    assert {tuple(r) for r in lexicon.mentions(texts, "id", lexicon.labels_of(thesaurus), 3).collect()} == {(1, "u1", "Coral Reef")}
+    assert {tuple(r) for r in lexicon.mentions(texts, "id", lexicon.labels_of(thesaurus)).collect()} == {(1, "u1", "Coral Reef")}
+
+
+def test_places_keep_the_longest(spark):
+    thesaurus = spark.createDataFrame([("u1", "coral reef care", ["CRX"]), ("u2", "reefs", ["coral reef"]), ("u3", "a b c d e f g", None)], "uri string, pref_label string, alt_labels array<string>")
+    texts = spark.createDataFrame([(1, "Coral-Reef care of a coral reef; crx. A b c d e f g"), (2, None)], "id long, text string")
+    labels = lexicon.labels_of(thesaurus)
+    found = lexicon.longest_places(lexicon.places(texts, "id", labels), "id")
+    assert {(r.uri, r["at"], r.n) for r in found.collect()} == {("u1", 1, 3), ("u2", 6, 2), ("u3", 9, 7)}
+    assert lexicon.places(texts, "id", labels.limit(0)).count() == 0
+
+
+def lev(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_near_strings_against_all_pairs(spark):
+    rng = random.Random(8)
+    words = {"".join(rng.choices("abc", k=rng.randrange(0, 8))) for _ in range(120)}
+    df = spark.createDataFrame([(w,) for w in [*words, None]], "w string")
+    assert {tuple(r) for r in fuzzy.one_edit_apart(df, df).collect()} == {(a, b) for a in words for b in words if lev(a, b) == 1}
+    rows = [(i, "".join(rng.choices("abcd", k=rng.randrange(1, 16)))) for i in range(90)] + [(90, None), (91, ""), (92, "abcabcabc"), (93, "abcabcabc")]
+    real = [(i, x) for i, x in rows if x]
+    for ratio in (0.6, 0.75):
+        got = {tuple(r) for r in fuzzy.alike(spark.createDataFrame(rows, "id long, label string"), ratio).collect()}
+        assert got == {(i, j, lev(x, y)) for i, x in real for j, y in real if i != j and lev(x, y) <= int(max(len(x), len(y)) * (1 - ratio) + 1e-9)}
 
 
 def test_merge_is_idempotent(spark):
