@@ -37,7 +37,7 @@ NULL_COST, SAME_NUMBER, MERGE_GAIN = 0.38, 0.04, 0.04
 #: Paragraphs of a report that one task scores against as many of the other language; how far apart the paragraphs of a merged span may be.
 STRETCH, NEAR = 500, 2
 #: Words up to which a vocabulary is sent to every executor; candidates of a bucket of connected groups.
-BROADCAST_WORDS, BUCKET = 500_000, 10_000
+BROADCAST_WORDS, BUCKET = 500_000, 1_000
 
 _SENTENCE = re.compile(r"(?<=[.!?;])[\"'”’»)]*\s+(?=[\"'“‘«(]*[A-ZÀ-ÖØ-Þ0-9])")
 _TOKEN = re.compile(r"[0-9]+(?:[.,\s][0-9]+)*|[^\W\d_]+", re.UNICODE)
@@ -128,7 +128,8 @@ def _small(df: DataFrame) -> DataFrame:
 def weighed(left: DataFrame, right: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sentences of both sides with size (weight of all words) and the terms by which they can meet.
 
-    terms: (key, weight, p) with p times the word's own weight; a left word's terms are its translations, an anchor's itself.
+    Terms are three arrays (key, weight, p), the weight being p times the word's own; a left word's terms are its
+    translations, an anchor's itself.
     """
     def idf_of(rows: DataFrame) -> DataFrame:
         # An anchor is marked, so that it never meets a word.
@@ -139,7 +140,7 @@ def weighed(left: DataFrame, right: DataFrame, pairs: DataFrame) -> tuple[DataFr
     def gathered(rows: DataFrame, words: DataFrame, terms, by: list[str]) -> DataFrame:
         each = rows.select("sid", *by, F.explode(F.concat("words", F.transform("anchors", lambda x: F.concat(F.lit("\1"), x)))).alias("t")).join(words, [*by, "t"])
         sums = each.groupBy("sid", *by).agg(F.sum("idf").alias("size"), F.flatten(F.collect_list(terms)).alias("terms"))
-        return rows.select("report_id", *by, "sid", "block_id", "seq", "idx", "nums").join(sums, ["sid", *by])
+        return rows.select("report_id", *by, "sid", "block_id", "seq", "idx", "nums").join(sums, ["sid", *by]).select("*", *[F.col(f"terms.{x}") for x in ("key", "weight", "p")]).drop("terms")
 
     def term(key, weight, p):
         return F.struct(F.xxhash64(key).alias("key"), weight.alias("weight"), p.alias("p"))
@@ -174,9 +175,8 @@ def _blocked(mine: DataFrame, others: DataFrame, own: str, other: str) -> DataFr
 def _arrays(side: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The sentences in reading order, and row, key, weight and p of all their terms."""
     side = side.sort_values(["seq", "idx", "sid"]).reset_index(drop=True)
-    counts = np.fromiter((len(t) for t in side.terms), np.int64, len(side))
-    flat = [x for t in side.terms for x in t]
-    return side, np.repeat(np.arange(len(side)), counts), *(np.array([x[k] for x in flat], kind) for k, kind in (("key", np.int64), ("weight", float), ("p", float)))
+    rows = np.repeat(np.arange(len(side)), [len(k) for k in side.key])
+    return side, rows, *(np.concatenate([np.asarray(x, kind) for x in side[c]]) for c, kind in (("key", np.int64), ("weight", float), ("p", float)))
 
 
 def score_group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -282,29 +282,38 @@ def hungarian(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(int(match[c]), c) for c in range(m) if match[c] < n and weight[match[c], c] > 0]
 
 
-def solve(frame: pd.DataFrame) -> pd.DataFrame:
-    """The rows of largest total score over staying alone, each sentence in one row at most; frame is one connected group.
+def solve(rows: list[tuple]) -> list[int]:
+    """Which rows (a, b, a2, b2, score) of a connected group have the largest total score over staying alone, each sentence in one at most.
 
     A merged span stands for its pair where it scores better; if the sentence merged is better paired itself, the span
     is taken back and the assignment made again.
     """
-    frame = frame.sort_values(["score", "a", "b"], ascending=[False, True, True]).reset_index(drop=True)
-    rows, columns = ({x: i for i, x in enumerate(sorted(set(frame[c])))} for c in ("a", "b"))
-    live = np.ones(len(frame), bool)
+    order = sorted(range(len(rows)), key=lambda i: (-rows[i][4], rows[i][0], rows[i][1]))
+    at_a, at_b = ({x: i for i, x in enumerate(sorted({r[side] for r in rows}))} for side in (0, 1))
     while True:
-        left = frame[live]
-        best = left.drop_duplicates(["a", "b"])
-        weight = np.zeros((len(rows), len(columns)))
-        weight[best.a.map(rows), best.b.map(columns)] = best.score - NULL_COST
-        names_a, names_b = list(rows), list(columns)
-        chosen = best[pd.MultiIndex.from_frame(best[["a", "b"]]).isin([(names_a[i], names_b[j]) for i, j in hungarian(weight)])]
-        taken = pd.concat([chosen.a, chosen.b])
-        merged = pd.concat([chosen.a2.dropna(), chosen.b2.dropna()])
-        clash = set(merged[merged.isin(taken)]) | set(merged[merged.duplicated(keep=False)])
-        spans = chosen[chosen.a2.isin(clash) | chosen.b2.isin(clash)]
-        if spans.empty:
+        best: dict[tuple[int, int], int] = {}
+        for i in order:
+            best.setdefault((at_a[rows[i][0]], at_b[rows[i][1]]), i)
+        weight = np.zeros((len(at_a), len(at_b)))
+        for place, i in best.items():
+            weight[place] = rows[i][4] - NULL_COST
+        chosen = [best[place] for place in hungarian(weight)]
+        taken = {x for i in chosen for x in rows[i][:2]}
+        merged = [x for i in chosen for x in rows[i][2:4] if x is not None]
+        clash = [i for i in chosen if any(x is not None and (x in taken or merged.count(x) > 1) for x in rows[i][2:4])]
+        if not clash:
             return chosen
-        live[spans.index[-1]] = False
+        order.remove(min(clash, key=lambda i: (rows[i][4], rows[i][:2])))
+
+
+def solve_groups(frame: pd.DataFrame) -> pd.DataFrame:
+    """solve() for each component of a frame."""
+    frame = frame.sort_values("component", kind="stable").reset_index(drop=True)
+    whole = frame[["a", "b", "a2", "b2"]].astype(object)
+    rows = list(zip(whole.a, whole.b, whole.a2.where(whole.a2.notna(), None), whole.b2.where(whole.b2.notna(), None), frame.score))
+    edges = np.flatnonzero(np.concatenate([[True], (frame.component.to_numpy()[1:] != frame.component.to_numpy()[:-1]), [True]])) if len(frame) else [0]
+    kept = [start + i for start, end in zip(edges, edges[1:]) for i in solve(rows[start:end])]
+    return frame.iloc[kept][PAIR].astype({c: object for c in PAIR if c != "score"})
 
 
 def assigned(pairs: DataFrame) -> DataFrame:
@@ -318,12 +327,8 @@ def assigned(pairs: DataFrame) -> DataFrame:
     links = tied.select(name("a").alias("a"), F.explode(F.array_compact(F.array("b", "a2", "b2"))).alias("_b"), "lb").select("a", name("_b").alias("b"))
     grouped = tied.join(components(links).withColumnRenamed("id", "_a"), F.col("_a") == name("a")).drop("_a")
     # Many small groups share a task; a group is never split.
-    buckets = max(1, tied.count() // BUCKET)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([solve(g) for _, g in frame.groupby("component", sort=False)])[PAIR].astype({c: object for c in PAIR if c != "score"})
-
-    return free.unionByName(grouped.withColumn("_bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).groupBy("_bucket").applyInPandas(run, CANDIDATE))
+    buckets = 1 + tied.count() // BUCKET
+    return free.unionByName(grouped.withColumn("_bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).groupBy("_bucket").applyInPandas(solve_groups, CANDIDATE))
 
 
 def align(blocks: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def candidate(a, b, score, a2=None, b2=None):
 
 def test_spans_compete_in_the_assignment():
     def chosen(*rows):
-        out = alignment.solve(pd.DataFrame(rows, columns=alignment.PAIR))
+        out = alignment.solve_groups(pd.DataFrame(rows, columns=alignment.PAIR).assign(component="c"))
         return {(r.a, r.b, r.a2, r.b2) for r in out.itertuples()}
 
     # A span that beats its pair wins, unless the sentence merged is worth more in a pair of its own.
@@ -78,7 +78,7 @@ def test_spans_compete_in_the_assignment():
 
 def test_scores_of_pairs_and_spans():
     def side(rows):
-        return pd.DataFrame([("r", "fr", f"{k}:0", k, k, 0, nums, float(sum(w for _, w in terms)), [{"key": key, "weight": w, "p": 1.0} for key, w in terms]) for k, nums, terms in rows], columns=["report_id", "lb", "sid", "block_id", "seq", "idx", "nums", "size", "terms"])
+        return pd.DataFrame([("r", "fr", f"{k}:0", k, k, 0, nums, float(sum(w for _, w in terms)), [k for k, _ in terms], [w for _, w in terms], [1.0] * len(terms)) for k, nums, terms in rows], columns=["report_id", "lb", "sid", "block_id", "seq", "idx", "nums", "size", "key", "weight", "p"])
 
     left = side([(1, [], [(1, 2.0), (2, 2.0)]), (2, [], [(3, 2.0), (4, 2.0)]), (3, ["7"], [(9, 1.0), (8, 1.8)])])
     right = side([(11, [], [(1, 2.0), (2, 2.0), (3, 2.0), (4, 2.0)]), (12, ["7"], [(9, 1.0), (5, 1.8)])])
