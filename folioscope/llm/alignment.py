@@ -23,6 +23,8 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -159,6 +161,7 @@ def weighed(left: DataFrame, right: DataFrame, pairs: DataFrame) -> tuple[DataFr
 TERMS = "array<struct<key:bigint,weight:double,p:double>>"
 CANDIDATE = "report_id string, lb string, a string, b string, a2 string, b2 string, block_a long, block_b long, block_a2 long, block_b2 long, score double"
 PAIR = [c.split()[0] for c in CANDIDATE.split(", ")]
+TEXTS = {c.split()[0] for c in CANDIDATE.split(", ") if c.endswith("string")}
 
 
 def _blocked(mine: DataFrame, others: DataFrame, own: str, other: str) -> DataFrame:
@@ -172,18 +175,24 @@ def _blocked(mine: DataFrame, others: DataFrame, own: str, other: str) -> DataFr
     return mine.withColumn(own, F.explode(next_too)).join(stretches, ["report_id", "lb"])
 
 
-def _arrays(side: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The sentences in reading order, and row, key, weight and p of all their terms."""
-    side = side.sort_values(["seq", "idx", "sid"]).reset_index(drop=True)
-    rows = np.repeat(np.arange(len(side)), [len(k) for k in side.key])
-    return side, rows, *(np.concatenate([np.asarray(x, kind) for x in side[c]]) for c, kind in (("key", np.int64), ("weight", float), ("p", float)))
+def _arrays(side: pa.Table) -> tuple[dict[str, list], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sentences in reading order by column, their sizes, and row, key, weight and p of all their terms."""
+    side = side.sort_by([("seq", "ascending"), ("idx", "ascending"), ("sid", "ascending")]).combine_chunks()
+    key, weight, p = (side[c].combine_chunks() for c in ("key", "weight", "p"))
+    rows = np.repeat(np.arange(len(side)), pc.list_value_length(key).to_numpy(zero_copy_only=False))
+    texts = {c: side[c].to_pylist() for c in ("sid", "block_id", "nums", "seq")}
+    return texts, side["size"].to_numpy(), rows, *(x.flatten().to_numpy(zero_copy_only=False) for x in (key, weight, p))
 
 
-def score_group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def score_group(left: pa.Table, right: pa.Table) -> pa.Table:
     """Sentence pairs and merged spans (a sentence and the next one, on one side) of two stretches that score above staying alone."""
-    left, ra, ka, wa, pa = _arrays(left)
-    right, rb, kb, wb, _ = _arrays(right)
-    n, m = len(left), len(right)
+    schema = pa.schema([(c, pa.string() if c in TEXTS else pa.float64() if c == "score" else pa.int64()) for c in PAIR])
+    if not len(left) or not len(right):
+        return schema.empty_table()
+    report, lang = left["report_id"][0].as_py(), left["lb"][0].as_py()
+    left, size_a, ra, ka, wa, pa_ = _arrays(left)
+    right, size_b, rb, kb, wb, _ = _arrays(right)
+    n, m = len(size_a), len(size_b)
     order = np.argsort(kb, kind="stable")
     kb, rb, wb = kb[order], rb[order], wb[order]
     first, last = np.searchsorted(kb, ka, "left"), np.searchsorted(kb, ka, "right")
@@ -194,25 +203,24 @@ def score_group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         t = times[part]
         mine = np.repeat(part, t)
         theirs = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t) + np.repeat(first[part], t)
-        got += np.bincount(ra[mine] * m + rb[theirs], weights=wa[mine] + pa[mine] * wb[theirs], minlength=n * m)
+        got += np.bincount(ra[mine] * m + rb[theirs], weights=wa[mine] + pa_[mine] * wb[theirs], minlength=n * m)
     got = got.reshape(n, m)
-    size_a, size_b = left["size"].to_numpy(), right["size"].to_numpy()
 
     def numbered(score: np.ndarray) -> np.ndarray:
         """Scores raised where a number of both paragraphs is equal; only where that can matter."""
         for i, j in zip(*np.nonzero(score > NULL_COST - SAME_NUMBER)):
-            if not set(left.nums[i]).isdisjoint(right.nums[j]):
+            if not set(left["nums"][i]).isdisjoint(right["nums"][j]):
                 score[i, j] += SAME_NUMBER
         return score
 
     single = numbered(got / (size_a[:, None] + size_b))
     found = [(i, j, -1, -1, single[i, j]) for i, j in zip(*np.nonzero(single > NULL_COST))]
 
-    def spans(own: pd.DataFrame, got: np.ndarray, mine: np.ndarray, other: np.ndarray, one: np.ndarray) -> list[tuple[int, int, float]]:
-        """(first, partner, score) of merged spans of own that beat both their sentences."""
-        if len(own) < 2:
+    def spans(seq: list[int], got: np.ndarray, mine: np.ndarray, other: np.ndarray, one: np.ndarray) -> list[tuple[int, int, float]]:
+        """(first, partner, score) of merged spans that beat both their sentences."""
+        if len(seq) < 2:
             return []
-        near = np.diff(own.seq.to_numpy()) <= NEAR
+        near = np.diff(seq) <= NEAR
         score = (got[:-1] + got[1:]) / ((mine[:-1] + mine[1:])[:, None] + other)
         alone = np.maximum(one[:-1], one[1:])
         fits = near[:, None] & (score > NULL_COST - SAME_NUMBER) & (score >= alone + MERGE_GAIN - SAME_NUMBER)
@@ -220,19 +228,16 @@ def score_group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             score[i, j] += SAME_NUMBER * (alone[i, j] > max(got[i, j] / (mine[i] + other[j]), got[i + 1, j] / (mine[i + 1] + other[j])) + SAME_NUMBER / 2)
         return [(i, j, score[i, j]) for i, j in zip(*np.nonzero(fits & (score > NULL_COST) & (score >= alone + MERGE_GAIN)))]
 
-    found += [(i, j, i + 1, -1, s) if single[i, j] >= single[i + 1, j] else (i + 1, j, i, -1, s) for i, j, s in spans(left, got, size_a, size_b, single)]
-    found += [(i, j, -1, j + 1, s) if single[i, j] >= single[i, j + 1] else (i, j + 1, -1, j, s) for j, i, s in spans(right, got.T, size_b, size_a, single.T)]
-    rows = pd.DataFrame(found, columns=["i", "j", "i2", "j2", "score"])
+    found += [(i, j, i + 1, -1, s) if single[i, j] >= single[i + 1, j] else (i + 1, j, i, -1, s) for i, j, s in spans(left["seq"], got, size_a, size_b, single)]
+    found += [(i, j, -1, j + 1, s) if single[i, j] >= single[i, j + 1] else (i, j + 1, -1, j, s) for j, i, s in spans(right["seq"], got.T, size_b, size_a, single.T)]
 
-    def pick(side: pd.DataFrame, column: str, at: str) -> list:
-        values = side[column].tolist()
-        return [values[k] if k >= 0 else None for k in rows[at]]
+    def pick(side: dict[str, list], column: str, at: int) -> list:
+        return [side[column][f[at]] if f[at] >= 0 else None for f in found]
 
-    out = {"report_id": left.report_id.iloc[0], "lb": left.lb.iloc[0]}
-    out |= {"a": pick(left, "sid", "i"), "b": pick(right, "sid", "j"), "a2": pick(left, "sid", "i2"), "b2": pick(right, "sid", "j2")}
-    out |= {"block_a": pick(left, "block_id", "i"), "block_b": pick(right, "block_id", "j"), "block_a2": pick(left, "block_id", "i2"), "block_b2": pick(right, "block_id", "j2")}
-    kinds = {c: "Int64" if c.startswith("block") else object for c in PAIR if c != "score"}
-    return pd.DataFrame(out | {"score": rows.score}).astype(kinds)
+    columns = {"report_id": [report] * len(found), "lb": [lang] * len(found), "score": [float(f[4]) for f in found]}
+    for name, side, at in (("a", left, 0), ("b", right, 1), ("a2", left, 2), ("b2", right, 3)):
+        columns |= {name: pick(side, "sid", at), f"block_{name}": pick(side, "block_id", at)}
+    return pa.table(columns, schema=schema)
 
 
 def candidates(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -243,10 +248,7 @@ def candidates(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame
     # Both come from one table of sentences; new names for one side tell them apart.
     b = b.toDF(*b.columns)
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return score_group(x, y) if len(x) and len(y) else pd.DataFrame(columns=PAIR)
-
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, CANDIDATE).distinct()
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(score_group, CANDIDATE).distinct()
 
 
 def hungarian(weight: np.ndarray) -> list[tuple[int, int]]:

@@ -1,14 +1,13 @@
 """p4: matching works across sources without keys.
 
-Each record's attributes (title with first author and year; title; author and year; DOI) become q-gram bit vectors of
-fixed length. Pairs of records within a radius of each other in one of them are found exactly by multi-index Hamming
-hashing: a vector is cut into one chunk more than the radius, of which close vectors share at least one, so an equality
-join on (chunk number, chunk) finds them all, and a population count verifies. The radius is 0 for author and year and
-for the DOI, which leaves one chunk, the whole attribute. Titles of one year of which one begins as the other are found
-exactly by pigeonhole segments, as a cut-off end leaves q-gram vectors far apart. Field-weighted Dice scores of the pairs become
-confidences by isotonic calibration against the pairs whose two DOIs agree or disagree, over all such pairs. An exact
-check then removes works that resemble each other: another part, edition, reply or erratum, another year, other authors,
-a title that differs by more than misprints or a missing end.
+Titles become q-gram bit vectors of fixed length. Pairs of records whose vectors differ in at most RADIUS bits are found
+exactly by multi-index Hamming hashing: vectors are cut into chunks, of which close vectors share so many that two of
+one group are equal, so an equality join on the pairs of chunks of each group finds them all; a population count
+verifies. Two searches at radius 0 stand beside it: equal DOIs, and titles of one year of which one begins as the other,
+by pigeonhole segments, as a cut-off end leaves q-gram vectors far apart. Field-weighted Dice scores of the pairs (title,
+author, year, DOI) become confidences by isotonic calibration against the pairs whose two DOIs agree or disagree, over
+all such pairs. A pair is a match from CONFIDENT on, unless an exact check shows works that resemble each other: another
+part, edition, reply or erratum, another year, other authors, a title that differs by more than misprints or a missing end.
 
 Defined results: empty, null and unreadable attributes are unknown and neither speak for nor against a pair; records
 without a readable title and DOI match nothing; a source matches every item key under which its work is held;
@@ -28,15 +27,16 @@ from pyspark.sql import functions as F
 
 from folioscope.plans.session import cut
 
-#: Bits of a vector's word; and, for titles with author and year and for titles alone, the bits by which close vectors may
-#: differ: two misprints. The first have RADIUS + 1 words, titles alone TITLE_WORDS.
-WIDTH, RADIUS, BARE_RADIUS, TITLE_WORDS = 48, 11, 11, 8
+#: Bits of a vector's word, words of a vector, and bits by which close vectors may differ (two misprints and a little).
+WIDTH, WORDS, RADIUS = 48, 8, 11
+#: Chunks of a vector and groups of them, in each of which every two chunks make a key. CHUNKS - RADIUS is more than GROUPS.
+CHUNKS, GROUPS = 16, 4
 #: Letters of a title's segment, of a beginning, and for each of which a beginning may have one misprint. A beginning of n
 #: letters has n // SEGMENT segments, always more than its ceil(n / MISPRINT) misprints.
 SEGMENT, BEGINNING, MISPRINT = 8, 24, 16
 #: Weights of the fields' Dice scores, and the confidence of a match.
 WEIGHTS = {"title": 4.0, "author": 2.0, "year": 2.0, "doi": 3.0}
-CONFIDENT = 0.5
+CONFIDENT = 0.3
 #: Metadata keys by attribute.
 KEYS = {"title": ["title", "ref_title", "name"], "authors": ["authors", "creator", "by"], "year": ["year", "date", "issued"], "doi": ["doi", "identifier", "url"], "citation": ["citation"]}
 #: What makes a title another work.
@@ -86,16 +86,14 @@ def vector(parts: list[str], chunks: int) -> list[int]:
     return np.packbits(padded, axis=1).view(">u8").astype(np.int64).ravel().tolist()
 
 
-COLUMNS = "id string, title string, tags string, cut_off boolean, names array<string>, year int, doi string, by_title array<long>, by_all array<array<long>>"
+COLUMNS = "id string, title string, tags string, cut_off boolean, names array<string>, year int, doi string, by_title array<long>"
 
 
 def _row(key, title, names, year, doi) -> tuple:
     letters, tags, cut_off = read_title(title)
     m = _YEAR.search(year or "")
     y = int(m.group()) if m else None
-    # An inserted first name is common, so either of the first two names may be the first.
-    full = [vector([*grams(letters), *[f"n{g}" for g in grams("^" + n + "$")], *[f"y{g}" for g in grams(str(y))]], RADIUS + 1) for n in names[:2]] if letters and y else []
-    return (str(key), letters, tags, cut_off, names, y, doi, vector(grams(letters), TITLE_WORDS) if letters else None, full)
+    return (str(key), letters, tags, cut_off, names, y, doi, vector(grams(letters), WORDS) if letters else None)
 
 
 def items(df: DataFrame) -> DataFrame:
@@ -136,24 +134,34 @@ def _bits(n: int, word) -> Column:
     return sum((F.bit_count(word(i)) for i in range(1, n)), F.bit_count(word(0)))
 
 
-def _chunks(code: str, n: int) -> Column:
-    """The words of a vector cut anew into n chunks of nearly equal width, each at most 64 bits."""
-    pieces = F.flatten(F.transform(code, lambda w: F.array(F.shiftright(w, 32), F.shiftright(w, 16).bitwiseAND(F.lit(0xFFFF)), w.bitwiseAND(F.lit(0xFFFF)))))
+def _keys(code: str) -> Column:
+    """The keys by which vectors can meet: per pair of chunks of one group, the pair's number and its bits.
+
+    A vector has CHUNKS chunks in GROUPS groups. Of two vectors that differ in at most RADIUS bits, at most RADIUS chunks
+    differ, so more chunks are equal than there are groups, and one group has two equal chunks.
+    """
+    width = WORDS * WIDTH // CHUNKS
+    chunks = [_bits_at(code, i * width, width) for i in range(CHUNKS)]
+    pairs = [(i, j) for i in range(CHUNKS) for j in range(i + 1, CHUNKS) if i % GROUPS == j % GROUPS]
+    return F.array(*[F.struct(F.lit(n).alias("n"), F.shiftleft(chunks[i], width).bitwiseOR(chunks[j]).alias("bits")) for n, (i, j) in enumerate(pairs)])
 
-    def chunk(all_pieces: Column, i: Column) -> Column:
-        at = F.floor(i * F.size(all_pieces) / n).cast("int")
-        return F.aggregate(F.slice(all_pieces, at + 1, F.floor((i + 1) * F.size(all_pieces) / n).cast("int") - at), F.lit(0).cast("long"), lambda s, x: s * 65536 + x)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: chunk(pieces, i))
+def _bits_at(code: str, at: int, width: int) -> Column:
+    """width bits of a vector, which lie within one of its words."""
+    word, offset = divmod(at, WIDTH)
+    return F.shiftrightunsigned(F.get(code, F.lit(word)), WIDTH - offset - width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def close_pairs(a: DataFrame, b: DataFrame, code: str, radius: int) -> DataFrame:
-    """(id_a, id_b): all pairs of records whose vectors `code`, of at most radius + 1 words, differ in at most radius bits."""
-    def chunks(rows: DataFrame, side: str) -> DataFrame:
-        return rows.where(F.col(code).isNotNull()).select(F.col("id").alias(f"id_{side}"), F.col(code).alias(f"v_{side}"), F.posexplode(_chunks(code, radius + 1)).alias("i", "chunk"))
+def close_pairs(a: DataFrame, b: DataFrame, code: str) -> DataFrame:
+    """(id_a, id_b): all pairs of records whose vectors `code` differ in at most RADIUS bits.
 
-    distance = _bits(radius + 1, lambda i: F.coalesce(F.get("v_a", F.lit(i)).bitwiseXOR(F.get("v_b", F.lit(i))), F.lit(0).cast("long")))
-    return chunks(a, "a").join(chunks(b, "b"), ["i", "chunk"]).where(distance <= radius).select("id_a", "id_b").distinct()
+    Only ids and keys meet; the vectors are fetched once per pair.
+    """
+    sides = [rows.where(F.col(code).isNotNull()).select("id", code) for rows in (a, b)]
+    keyed = [rows.select(F.col("id").alias(f"id_{x}"), F.explode(_keys(code)).alias("key")).select(f"id_{x}", "key.*") for rows, x in zip(sides, "ab")]
+    met = keyed[0].join(keyed[1], ["n", "bits"]).select("id_a", "id_b").distinct()
+    full = met.join(sides[0].toDF("id_a", "v_a"), "id_a").join(sides[1].toDF("id_b", "v_b"), "id_b")
+    return full.where(_bits(WORDS, lambda i: F.get("v_a", F.lit(i)).bitwiseXOR(F.get("v_b", F.lit(i)))) <= RADIUS).select("id_a", "id_b")
 
 
 def begins(x: Column, y: Column) -> Column:
@@ -178,32 +186,25 @@ def same_beginnings(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where(moved).where(begins(F.col("t_a"), F.col("t_b"))).select("id_a", "id_b").distinct()
 
 
-def same_people(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(id_a, id_b): records with one of their first two names in common and years at most one apart, whose titles overlap.
-
-    Author and year are few q-grams, so their vectors are compared at radius 0, that is, for equality.
-    """
-    def keyed(rows: DataFrame, side: str, years) -> DataFrame:
-        return rows.where("title <> '' and year is not null and size(names) > 0").select(F.col("id").alias(f"id_{side}"), F.col("by_title").alias(f"v_{side}"), F.explode(F.slice("names", 1, 2)).alias("who"), years.alias("when"))
-
-    left = keyed(a, "a", F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).withColumn("when", F.explode("when"))
-    right = keyed(b, "b", F.col("year"))
-    return left.join(right, ["who", "when"]).where(_dice(F.col("v_a"), F.col("v_b")) >= 0.5).select("id_a", "id_b").distinct()
-
-
 def _dice(x: Column, y: Column) -> Column:
     """Dice score of two title vectors."""
-    n = TITLE_WORDS
+    n = WORDS
     both = _bits(n, lambda i: F.get(x, F.lit(i)).bitwiseAND(F.get(y, F.lit(i))))
     return 2 * both / F.nullif(_bits(n, lambda i: F.get(x, F.lit(i))) + _bits(n, lambda i: F.get(y, F.lit(i))), F.lit(0))
 
 
+def _gram_dice(x: str, y: str) -> Column:
+    """Dice score of the distinct pairs of neighbouring letters of two strings."""
+    def pairs(c: str) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, 2)))
+
+    return 2 * F.size(F.array_intersect(pairs(x), pairs(y))) / (F.size(pairs(x)) + F.size(pairs(y)))
+
+
 def scored(a: DataFrame, b: DataFrame) -> DataFrame:
     """Close pairs with the Dice score of each field (null if unknown on a side) and their weighted mean."""
     same_doi = a.where("doi is not null").select(F.col("id").alias("id_a"), "doi").join(b.where("doi is not null").select(F.col("id").alias("id_b"), "doi"), "doi").select("id_a", "id_b")
-    full = [rows.select("id", F.explode("by_all").alias("by_all")) for rows in (a, b)]
-    alone = close_pairs(a, b, "by_title", BARE_RADIUS)
-    found = close_pairs(*full, "by_all", RADIUS).unionByName(same_people(a, b)).unionByName(alone).unionByName(same_beginnings(a, b)).unionByName(same_doi)
+    found = close_pairs(a, b, "by_title").unionByName(same_beginnings(a, b)).unionByName(same_doi)
     pairs = cut(found.distinct())
     sides = [rows.select(*[F.col(c).alias("id_" + s if c == "id" else f"{c}_{s}") for c in rows.columns]) for rows, s in ((a, "a"), (b, "b"))]
     full = pairs.join(sides[0], "id_a").join(sides[1], "id_b")
@@ -224,7 +225,8 @@ def scored(a: DataFrame, b: DataFrame) -> DataFrame:
         "edits": F.when((F.col("title_a") != "") & (F.col("title_b") != ""), F.levenshtein("title_a", "title_b")),
         "gap": gap,
         "year": F.when(gap.isNotNull(), F.when(gap == 0, 1.0).when(gap == 1, 0.6).otherwise(0.0)),
-        "doi": F.when(F.col("doi_a").isNotNull() & F.col("doi_b").isNotNull(), (F.col("doi_a") == F.col("doi_b")).cast("double")),
+        # Equal DOIs have exactly 1 and no others do.
+        "doi": F.when(F.col("doi_a").isNotNull() & F.col("doi_b").isNotNull(), F.when(F.col("doi_a") == F.col("doi_b"), 1.0).otherwise(F.least(_gram_dice("doi_a", "doi_b"), F.lit(0.99)))),
     })
 
     def mean(names: list[str]) -> Column:
@@ -250,7 +252,7 @@ def calibrated(pairs: DataFrame) -> DataFrame:
 
     The score without DOI is read against all pairs with two DOIs; a DOI that agrees or not then moves the pair's own score.
     """
-    known = pairs.where("doi is not null and _blind is not null").groupBy(F.floor(F.col("_blind") * 100).cast("int").alias("bin")).agg(F.sum("doi").alias("p"), F.count("*").alias("n"))
+    known = pairs.where("doi is not null and _blind is not null").groupBy(F.floor(F.col("_blind") * 100).cast("int").alias("bin")).agg(F.count_if(F.col("doi") == 1.0).alias("p"), F.count("*").alias("n"))
     bins = [(r.bin, r.p + 0.5, r.n + 1.0) for r in known.collect()]  # at most 101 rows
     have = {b for b, _, _ in bins}
     bins += [(b, 0.5 * (b >= 85), 0.5) for b in range(101) if b not in have]
@@ -261,7 +263,7 @@ def calibrated(pairs: DataFrame) -> DataFrame:
 def match(library: DataFrame, sources: DataFrame) -> DataFrame:
     """(id_a, id_b, score, confidence, same): close pairs of records, and whether they are the same work."""
     a, b = cut(items(library)), cut(cited(sources))
-    pairs = calibrated(cut(scored(a, b).drop("by_title_a", "by_title_b", "by_all_a", "by_all_b")))
+    pairs = calibrated(cut(scored(a, b).drop("by_title_a", "by_title_b")))
     tags = (F.col("tags_a") == F.col("tags_b")) | ((F.col("cut_off_a") | F.col("cut_off_b")) & ((F.col("tags_a") == "") | (F.col("tags_b") == "")))
     year = F.coalesce(F.col("gap") <= 1, F.lit(True))
     author = F.coalesce(F.col("first_author"), F.lit(True))
@@ -274,7 +276,7 @@ def match(library: DataFrame, sources: DataFrame) -> DataFrame:
     titled = F.when(F.col("edits").isNull(), F.coalesce(F.col("doi") == 1.0, F.lit(False))).otherwise((F.col("edits") <= misprints) | short)
     # Years and authors that only one side states leave several editions possible.
     bare = F.col("gap").isNull() & F.coalesce(F.col("doi") != 1.0, F.lit(True))
-    fits = pairs.withColumn("_fits", F.coalesce(tags & year & author & doi & titled & ((F.col("confidence") >= CONFIDENT) | (F.col("title_a") == F.col("title_b")) | agree | unnamed | F.coalesce(F.col("doi") == 1.0, F.lit(False))), F.lit(False)))
+    fits = pairs.withColumn("_fits", F.coalesce(tags & year & author & doi & titled & (F.col("confidence") >= CONFIDENT), F.lit(False)))
     years = F.size(F.collect_set(F.when(F.col("_fits") & bare, F.col("year_a"))).over(Window.partitionBy("id_b")))
     return fits.withColumn("same", F.col("_fits") & (~bare | (years <= 1))).select("id_a", "id_b", "score", "confidence", "same", "title_a", "title_b", "names_a", "names_b", "year_a", "year_b", "doi_a", "doi_b", "tags_a", "tags_b")
 
@@ -293,5 +295,12 @@ def p4_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("id_a").alias("item_key"), F.col("id_b").cast("long").alias("source_id"), F.round("score", 4).alias("score"), F.round("confidence", 4).alias("confidence"), "same")
 
 
-QUERIES = {"p4_found": p4_found, "p4_scores": p4_scores}
+def p4_reliability(spark: SparkSession, sf: str) -> DataFrame:
+    """Per tenth of confidence, the close pairs whose DOIs are both known, the share of these that agree, and the pairs taken for the same work."""
+    rows = match(*_inputs(spark, sf)).withColumn("tenth", F.least(F.floor(F.col("confidence") * 10), F.lit(9)).cast("int"))
+    known = F.col("doi_a").isNotNull() & F.col("doi_b").isNotNull()
+    return rows.groupBy("tenth").agg(F.count("*").alias("pairs"), F.count_if(known).alias("with_dois"), F.round(F.avg(F.when(known, (F.col("doi_a") == F.col("doi_b")).cast("double"))), 4).alias("share_agreeing"), F.count_if("same").alias("same_work"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_scores": p4_scores, "p4_reliability": p4_reliability}
 ORACLES: dict[str, str] = {}

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioscope.llm import alignment
@@ -82,5 +83,5 @@ def test_scores_of_pairs_and_spans():
 
     left = side([(1, [], [(1, 2.0), (2, 2.0)]), (2, [], [(3, 2.0), (4, 2.0)]), (3, ["7"], [(9, 1.0), (8, 1.8)])])
     right = side([(11, [], [(1, 2.0), (2, 2.0), (3, 2.0), (4, 2.0)]), (12, ["7"], [(9, 1.0), (5, 1.8)])])
-    got = {(r.a, r.b, r.a2 if isinstance(r.a2, str) else None): round(r.score, 4) for r in alignment.score_group(left, right).itertuples()}
+    got = {(r.a, r.b, r.a2 if isinstance(r.a2, str) else None): round(r.score, 4) for r in alignment.score_group(pa.Table.from_pandas(left), pa.Table.from_pandas(right)).to_pandas().itertuples()}
     assert got == {("1:0", "11:0", None): round(8 / 12, 4), ("2:0", "11:0", None): round(8 / 12, 4), ("1:0", "11:0", "2:0"): 1.0, ("3:0", "12:0", None): round(2 / 5.6 + 0.04, 4)}

@@ -49,8 +49,8 @@ def test_close_pairs_are_exact(spark):
     vectors = [b ^ sum(1 << i for i in rng.sample(range(384), rng.randrange(20))) for b in base for _ in range(12)]
     rows = [(str(i), [(v >> (48 * k)) & 0xFFFFFFFFFFFF for k in range(8)]) for i, v in enumerate(vectors)]
     df = spark.createDataFrame(rows, "id string, by_title array<long>")
-    want = {(str(i), str(j)) for i, a in enumerate(vectors) for j, b in enumerate(vectors) if (a ^ b).bit_count() <= linkage.BARE_RADIUS}
-    assert {tuple(r) for r in linkage.close_pairs(df, df, "by_title", linkage.BARE_RADIUS).collect()} == want
+    want = {(str(i), str(j)) for i, a in enumerate(vectors) for j, b in enumerate(vectors) if (a ^ b).bit_count() <= linkage.RADIUS}
+    assert {tuple(r) for r in linkage.close_pairs(df, df, "by_title").collect()} == want
 
 
 def test_isotonic_rises():
