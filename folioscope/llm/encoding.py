@@ -15,6 +15,7 @@ Texts are encoded whole, whatever their length; special-token strings inside a t
 from __future__ import annotations
 
 import base64
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -191,15 +192,17 @@ class _Index(dict):
         return at
 
 
-_MERGERS: dict[int, Merger] = {}
+_MERGERS: dict[bytes, Merger] = {}
 
 
 def _merger(shared) -> Merger:
-    """One merger per Python worker and vocabulary."""
-    if id(shared) not in _MERGERS:
+    """One merger per Python worker, that of the last vocabulary used there; a vocabulary is known by its content."""
+    file = shared.value
+    name = hashlib.sha256(file).digest()
+    if name not in _MERGERS:
         _MERGERS.clear()
-        _MERGERS[id(shared)] = Merger(shared.value)
-    return _MERGERS[id(shared)]
+        _MERGERS[name] = Merger(file)
+    return _MERGERS[name]
 
 
 def _groups(texts: pa.StringArray) -> Iterator[tuple[int, pa.StringArray]]:

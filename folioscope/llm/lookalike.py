@@ -57,10 +57,10 @@ def mapping() -> list[tuple[str, list[tuple[str, int]]]]:
     rows = []
     for n in range(0x30000):
         c = chr(n)
-        if 0xD800 <= n < 0xE000:
+        # Hangul syllables stand for themselves; _hangul puts letters together to them.
+        if 0xD800 <= n < 0xE000 or 0xAC00 <= n < 0xD7A4:
             continue
-        # A Hangul syllable stands for its letters; _hangul puts them together again.
-        points = list(unicodedata.normalize("NFD", c)) if 0xAC00 <= n < 0xD7A4 else _points(c)
+        points = _points(c)
         if points != [c] or unicodedata.combining(c):
             rows.append((c, [(p, unicodedata.combining(p)) for p in points]))
     return rows + [(chr(n), []) for n in range(0xE0000, 0xE0200) if n < 0xE0080 or n >= 0xE0100]
@@ -136,19 +136,39 @@ def _rebuild(points: Column, pairs: Column) -> Column:
 
 
 def _hangul(letters: Column) -> Column:
-    """Leading, vowel and trailing letters put together to syllables, by the arithmetic of their code points."""
+    """Leading, vowel and trailing letters put together to syllables, by the arithmetic of their code points; a syllable without a trailing letter takes one that follows."""
     def number(i: Column, first: int, count: int) -> Column:
         n = F.ascii(F.coalesce(F.get(letters, i), F.lit(""))) - first
         return F.when((n >= 0) & (n < count), n)
 
-    def place(c: Column, i: Column) -> Column:
-        lead, vowel = number(i, 0x1100, 19), number(i + 1, 0x1161, 21)
-        syllable = 0xAC00 + (lead * 21 + vowel) * 28 + F.coalesce(number(i + 2, 0x11A7, 28), F.lit(0))
-        made = F.decode(F.unhex(F.hex(syllable)), "UTF-16BE")
-        inside = (number(i - 1, 0x1100, 19).isNotNull() & number(i, 0x1161, 21).isNotNull()) | (number(i - 2, 0x1100, 19).isNotNull() & number(i - 1, 0x1161, 21).isNotNull() & (number(i, 0x11A7, 28) > 0))
-        return F.when(lead.isNotNull() & vowel.isNotNull(), made).when(inside, F.lit("")).otherwise(c)
+    def bare(i: Column) -> Column:
+        """Whether no mark stands between a letter and the next."""
+        return F.length(F.get(letters, i)) == 1
+
+    def marks(i: Column) -> Column:
+        return F.substring(F.get(letters, i), F.lit(2), F.length(F.get(letters, i)))
+
+    def lead(i: Column) -> Column:
+        return F.when(bare(i), number(i, 0x1100, 19))
+
+    def vowel(i: Column) -> Column:
+        return number(i, 0x1161, 21)
 
-    return F.when(F.exists(letters, lambda c: (c >= "\u1100") & (c < "\u1113")), F.transform(letters, place)).otherwise(letters)
+    def trail(i: Column) -> Column:
+        return F.when(number(i, 0x11A7, 28) > 0, number(i, 0x11A7, 28))
+
+    def open_syllable(i: Column) -> Column:
+        return F.when(bare(i) & (number(i, 0xAC00, 11172) % 28 == 0), number(i, 0xAC00, 11172))
+
+    def place(c: Column, i: Column) -> Column:
+        two = (lead(i) * 21 + vowel(i + 1)) * 28
+        three = F.when(bare(i + 1), two + trail(i + 2))
+        number_, last = F.coalesce(open_syllable(i) + trail(i + 1), three, two), F.when(three.isNotNull(), i + 2).otherwise(i + 1)
+        made = F.concat(F.decode(F.unhex(F.hex(0xAC00 + number_)), "UTF-16BE"), marks(last))
+        taken = (vowel(i).isNotNull() & lead(i - 1).isNotNull()) | (trail(i).isNotNull() & (open_syllable(i - 1).isNotNull() | (vowel(i - 1).isNotNull() & bare(i - 1) & lead(i - 2).isNotNull())))
+        return F.when(number_.isNotNull(), made).when(taken, F.lit("")).otherwise(c)
+
+    return F.when(F.exists(letters, lambda c: (c >= "\u1100") & (c < "\u1200")), F.transform(letters, place)).otherwise(letters)
 
 
 def forms(df: DataFrame, text: str = "text") -> DataFrame:

@@ -3,7 +3,7 @@ import unicodedata
 
 from folioscope.llm.lookalike import compositions, forms, mapping, odd_pattern, same_looking
 
-TEXTS = ["plain text", "ｆｕｌｌ wіdth", "ﬁne\u00a0print", "e\u0323\u0301x", "e\u0301\u0323x", "é", "e\u0301", "zero\u200bwidth", "x²", "x2", " outer  space ", "", "K", "Ⅱ", "II", "on\u2010line", "a–b", "“q”", "Ñandú", "co\u00adop", "\u0301", "가각", "\u1100\u1161\u1100\u1161\u11a8", "\u1161가\u1100", "e\u0301" * 3000, "line\nfeed", "вы", "x" * 5000 + "ｘ"]
+TEXTS = ["plain text", "ｆｕｌｌ wіdth", "ﬁne\u00a0print", "e\u0323\u0301x", "e\u0301\u0323x", "é", "e\u0301", "zero\u200bwidth", "x²", "x2", " outer  space ", "", "K", "Ⅱ", "II", "on\u2010line", "a–b", "“q”", "Ñandú", "co\u00adop", "\u0301", "가각", "\u1100\u1161\u1100\u1161\u11a8", "\u1161가\u1100", "가\u11a8", "각\u11a8", "\u1100\u1161\u0301\u11a8", "e\u0301" * 3000, "line\nfeed", "вы", "x" * 5000 + "ｘ"]
 
 
 def form(text):
