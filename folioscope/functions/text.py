@@ -103,6 +103,24 @@ def dois(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"(10\.[0-9]{4,9}/[^ \"<>]+)"), 1), lambda x: F.regexp_replace(x, "[.,;)]+$", "")))
 
 
+def spell_sessions(c: Column, name: str) -> Column:
+    """"NAME-3" as "the third session"; numbers over twenty stay."""
+    out = c
+    for n in range(len(ORDINALS), 0, -1):
+        out = F.regexp_replace(out, rf"(?i)\b{name}[- ]0?{n}\b(?!\.?[0-9])", f"the {ORDINALS[n - 1]} session")
+    return out
+
+
+def split_names(c: Column) -> Column:
+    """The people of an author field, whatever separates them."""
+    return F.filter(F.transform(F.split(c, r"\s*(?:;| and | & )\s*"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def clean_caption(c: Column) -> Column:
+    """A caption on one line without its label and number."""
+    return F.regexp_replace(squash(c), r"^(?:Table|Figure|Box|Map) [0-9A-Z]+(?:\.[0-9A-Z]+)*[.:]? *", "")
+
+
 def is_reference_page(c: Column) -> Column:
     years = F.regexp_count(c, F.lit(r"\((19|20)[0-9][0-9][a-z]?\)"))
     links = F.regexp_count(c, F.lit("https?://"))

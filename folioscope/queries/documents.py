@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import graph, lexicon, packing
+from folioscope.operators import graph, lexicon, packing, people
 from folioscope.plans.session import shared_folder
 from folioscope.queries.hierarchies import concept_graph
 from folioscope.queries.relational import typed
 from folioscope.sources import markup
+from folioscope.sources.store import Store
 from folioscope.sources.tables import first_delivery, table
 from folioscope.streaming import streams
 
@@ -262,12 +263,65 @@ def csv_round_trip(spark, sf):
     return spark.read.csv(path, header=True, escape='"', multiLine=True, nullValue="\\N", emptyValue="", schema="item_key string, title string, item_date string")
 
 
+def _store(spark) -> Store:
+    return Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", "doc_id")
+
+
+def _hashed(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents", ["doc_id", "text", "source"]).select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("hash"), "source")
+
+
 def upsert(spark, sf):
-    """A second delivery merged into a first by fingerprint; merging it again changes nothing."""
-    docs = table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("hash"))
-    first = docs.where("doc_id % 3 <> 0").withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("hash")))
-    once = streams.merge(first, docs, "doc_id", "hash")
-    return streams.merge(once, docs, "doc_id", "hash")
+    """A store made from old rows, brought up to date by a second delivery; the same delivery again changes nothing."""
+    docs, store = _hashed(spark, sf), _store(spark)
+    store.upsert(docs.where("doc_id % 3 <> 0").withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("hash"))))
+    store.upsert(docs)
+    store.upsert(docs)
+    return store.read().select("doc_id", "hash")
+
+
+def retag(spark, sf):
+    """New metadata for part of a store; fingerprints stay."""
+    docs, store = _hashed(spark, sf), _store(spark)
+    store.upsert(docs)
+    store.retag(docs.where("source like 'web%'").select("doc_id", F.lit("web").alias("source")))
+    return store.read().select("doc_id", "hash", "source")
+
+
+def delete_stale(spark, sf):
+    """A store without the rows whose source is gone."""
+    docs, store = _hashed(spark, sf), _store(spark)
+    store.upsert(docs)
+    store.delete_stale(docs.where("source <> 'web_crawl_a'"))
+    return store.read().select("doc_id", "hash")
+
+
+def drop_and_create(spark, sf):
+    """A store dropped and made anew holds the new rows alone."""
+    docs, store = _hashed(spark, sf), _store(spark)
+    store.upsert(docs)
+    store.drop()
+    store.upsert(docs.where("source = 'glossaries'"))
+    return store.read().select("doc_id", "hash")
+
+
+def failed_rows(spark, sf):
+    """Rows that cannot be indexed, written aside with the reason and read back."""
+    path = f"{shared_folder(spark)}/failed-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "documents", ["doc_id", "text", "n_chars"])
+    reason = F.when(F.col("text").isNull(), "no text").when(F.trim("text") == "", "blank").when(F.col("n_chars") > 20000, "too long")
+    rows.select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("size"), reason.alias("reason")).where("reason is not null").write.json(path)
+    return spark.read.schema("doc_id long, size long, reason string").json(path)
+
+
+def people_reconcile(spark, sf):
+    """Surnames of library items, cited sources and lists of participants: the first source's spelling, and where they differ."""
+    items = table(spark, sf, "zotero", ["creators"]).select(F.explode("creators").alias("name"))
+    field = F.coalesce(*[F.col("metadata")[k] for k in ("authors", "creator", "by")])
+    cited = table(spark, sf, "sources", ["metadata"]).select(F.explode(T.split_names(field)).alias("name"))
+    entry = F.explode(F.regexp_extract_all("text", F.lit(r"(\p{Lu}\. [^\n,]+), [^\n(]+\([a-z-]+\)"), 1))
+    listed = table(spark, sf, "documents", ["text"]).where("text like 'List of participants%'").select(entry.alias("name"))
+    return people.reconciled([df.select(people.surname(F.col("name")).alias("key"), "name") for df in (listed, items, cited)], ["name"])
 
 
 QUERIES = {
@@ -277,7 +331,7 @@ QUERIES = {
     "JOIN08_dictionary_ngram": dictionary_ngram, "AGG10_document_frequency": document_frequency, "AGG11_term_hits": term_hits, "STR10_expand_query": expand_query,
     "JOIN40_containment": containment, "JOIN41_sentence_fidelity": fidelity,
     "WIN04_greedy_batching": batches, "AGG30_heaviest_batch": heaviest_batch, "WIN05_sentence_packing": sentence_pieces, "WIN06_paragraph_packing": paragraph_pieces, "WIN10_list_numbering": list_numbering, "WIN13_reading_order": reading_order,
-    "STREAM_window_counts": window_counts, "SNK10_csv_round_trip": csv_round_trip, "SNK01_upsert": upsert,
+    "STREAM_window_counts": window_counts, "SNK10_csv_round_trip": csv_round_trip, "SNK01_upsert": upsert, "SNK02_metadata_retag": retag, "SNK03_delete_stale": delete_stale, "SNK04_drop_create": drop_and_create, "SNK06_failed_rows": failed_rows, "JOIN28_people_reconcile": people_reconcile,
 }
 _B = "(SELECT block_id, any_value(source_file) AS source_file, any_value(seq) AS seq, any_value(kind) AS kind, any_value(text) AS text FROM blocks GROUP BY block_id)"
 _NE = "WITH RECURSIVE e AS (SELECT DISTINCT parent, child FROM (SELECT node_id AS parent, unnest(children) AS child FROM nodes) WHERE child IN (SELECT node_id FROM nodes))"
@@ -308,7 +362,7 @@ ORACLES = {
     "AGG10_document_frequency": f"WITH {_LAB} SELECT uri, count(*) AS n_texts FROM h GROUP BY uri",
     "FLT13_generic_concept": f"WITH {_LAB} SELECT t.uri, count(h.uri) AS named FROM thesaurus t LEFT JOIN h ON h.uri = t.uri GROUP BY t.uri HAVING count(h.uri) <= 30",
     "JOIN45_inferred_links": f"WITH {_named('(SELECT uri AS defined_by, definition AS text FROM thesaurus)', 'defined_by')} SELECT h.uri, h.defined_by, row_number() OVER (PARTITION BY h.uri ORDER BY length(t.definition), h.defined_by) AS place FROM h JOIN thesaurus t ON t.uri = h.defined_by WHERE h.uri <> h.defined_by QUALIFY place <= 8",
-    "JOIN14_label_places": f"WITH {_LAB}, w AS (SELECT text_id, string_split({_WORDS.format('text')}, ' ') AS w FROM {_TEXTS} WHERE text IS NOT NULL), p AS (SELECT text_id, w, unnest(range(1, len(w) + 1)) AS spot FROM w), m AS (SELECT p.text_id, l.uri, p.spot, len(string_split(l.key, ' ')) AS n FROM p JOIN l ON lower(array_to_string(list_slice(w, spot, spot + len(string_split(l.key, ' ')) - 1), ' ')) = l.key AND (NOT l.code OR w[spot] = l.label)) SELECT text_id, uri, CAST(spot AS INTEGER) AS place, CAST(n AS INTEGER) AS n FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.text_id = m.text_id AND o.n > m.n AND o.spot <= m.spot AND o.spot + o.n >= m.spot + m.n)",
+    "JOIN14_label_places": f"WITH {_LAB}, w AS (SELECT text_id, string_split({_WORDS.format('text')}, ' ') AS w FROM {_TEXTS} WHERE text IS NOT NULL), p AS (SELECT text_id, w, unnest(range(1, len(w) + 1)) AS spot FROM w), m AS (SELECT p.text_id, l.uri, p.spot, len(string_split(l.key, ' ')) AS n FROM p JOIN l ON lower(w[spot]) = string_split(l.key, ' ')[1] AND lower(array_to_string(list_slice(w, spot, spot + len(string_split(l.key, ' ')) - 1), ' ')) = l.key AND (NOT l.code OR w[spot] = l.label)) SELECT text_id, uri, CAST(spot AS INTEGER) AS place, CAST(n AS INTEGER) AS n FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.text_id = m.text_id AND o.n > m.n AND o.spot <= m.spot AND o.spot + o.n >= m.spot + m.n)",
     "JOIN44_graph_expansion": "WITH g AS (SELECT DISTINCT p, c FROM (SELECT TRY_CAST(regexp_extract(u, '(?:^|/)0*([0-9]{1,18})/?\\s*$', 1) AS BIGINT) AS p, concept_id AS c FROM (SELECT concept_id, unnest(broader) AS u FROM concepts) UNION ALL SELECT concept_id, TRY_CAST(regexp_extract(u, '(?:^|/)0*([0-9]{1,18})/?\\s*$', 1) AS BIGINT) FROM (SELECT concept_id, unnest(narrower) AS u FROM concepts)) WHERE p <> c), h AS (SELECT DISTINCT t.uri, c.concept_id AS x FROM concepts c JOIN thesaurus t ON lower(trim(c.pref_label)) = lower(t.pref_label)), u AS (SELECT h.uri, g.p AS o FROM h JOIN g ON g.c = h.x), r AS (SELECT uri, 'above' AS how, o FROM u UNION SELECT h.uri, 'below', g.c FROM h JOIN g ON g.p = h.x UNION SELECT u.uri, 'beside', g.c FROM u JOIN g ON g.p = u.o WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.uri = u.uri AND h.x = g.c)) SELECT uri, how, count(*) AS n FROM r GROUP BY uri, how",
     "SRC07_rdfxml_scan": "SELECT DISTINCT uri, 'prefLabel' AS property, pref_label AS value FROM thesaurus UNION SELECT uri, 'altLabel', unnest(alt_labels) FROM thesaurus",
     "FLT15_excluded_subtree": f"SELECT source_file, count(*) AS n, CAST(0 AS BIGINT) AS with_note FROM {_B} WHERE kind = 'para' AND trim(coalesce(text, '')) <> '' GROUP BY source_file",
@@ -322,6 +376,10 @@ ORACLES = {
     "STREAM_window_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "SNK10_csv_round_trip": "SELECT item_key, any_value(title) AS title, any_value(item_date) AS item_date FROM zotero GROUP BY item_key",
     "SNK01_upsert": "SELECT doc_id, md5(coalesce(text, '')) AS hash FROM documents",
+    "SNK02_metadata_retag": "SELECT doc_id, md5(coalesce(text, '')) AS hash, CASE WHEN source LIKE 'web%' THEN 'web' ELSE source END AS source FROM documents",
+    "SNK03_delete_stale": "SELECT doc_id, md5(coalesce(text, '')) AS hash FROM documents WHERE source <> 'web_crawl_a'",
+    "SNK04_drop_create": "SELECT doc_id, md5(coalesce(text, '')) AS hash FROM documents WHERE source = 'glossaries'",
+    "SNK06_failed_rows": "SELECT doc_id, coalesce(n_chars, 0) AS size, CASE WHEN text IS NULL THEN 'no text' WHEN trim(text, ' ') = '' THEN 'blank' ELSE 'too long' END AS reason FROM documents WHERE text IS NULL OR trim(text, ' ') = '' OR n_chars > 20000",
 }
 _PLACES = [["", "c", "cc", "ccc", "cd", "d", "dc", "dcc", "dccc", "cm"], ["", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"], ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"]]
 ORACLES["WIN10_list_numbering"] = (

@@ -35,7 +35,6 @@ STATEMENTS = {
     "FLT18_null_key_drop": "SELECT DISTINCT source_id, e.key AS k, e.value AS v FROM (SELECT source_id, {explode_meta} AS e FROM {sources}) x",
     "FLT19_quote_length": f"SELECT para_id, length(quote) AS size FROM (SELECT para_id, regexp_extract(text, '[“\"]([^”\"]+)[”\"]', 1) AS quote FROM {PARAS} p) x WHERE length(quote) BETWEEN 3 AND 1500",
     "PRJ01_ttl_metadata": "SELECT doc_id, assessment, chapter, lang, source, concat_ws(';', nullif(lang, ''), nullif(assessment, '')) AS codes FROM {documents}",
-    "PRJ05_gather": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM {documents}) SELECT place, doc_id FROM r WHERE place IN (5, 3, 8, 1)",
     "PRJ10_concept_profile": "SELECT canon_id, concat_ws(' | ', pref_label, {alts_text}, definition) AS profile FROM {thesaurus}",
     "PRJ13_document_metadata": f"SELECT report_id, lang, min(text) AS title, min(substring(report_id, 1, 4)) AS year FROM {BLOCKS} b WHERE kind = 'title' GROUP BY report_id, lang",
     "JOIN17_multi_value_split": "WITH w AS (SELECT DISTINCT item_key, {explode_creators} AS name FROM {zotero}), k AS (SELECT DISTINCT name FROM w WHERE length(name) > 4) SELECT w.item_key, count(*) AS names, count(k.name) AS resolved FROM w LEFT JOIN k ON k.name = w.name GROUP BY w.item_key",
@@ -43,27 +42,24 @@ STATEMENTS = {
     "JOIN21_traceability": "WITH t AS (SELECT DISTINCT doc_id, regexp_extract(text, 'section ([0-9]+[.][0-9]+)', 1) AS trace FROM {documents} WHERE text LIKE '%section %'), s AS (SELECT DISTINCT regexp_extract(text, '^Section ([0-9]+[.][0-9]+)', 1) AS number FROM {documents} WHERE text LIKE 'Section %') SELECT t.doc_id, t.trace, max(CASE WHEN s.number = t.trace THEN s.number END) AS exact_section, max(CASE WHEN s.number LIKE concat(regexp_extract(t.trace, '^([0-9]+)', 1), '.%') THEN s.number END) AS near_section FROM t LEFT JOIN s ON regexp_extract(s.number, '^([0-9]+)', 1) = regexp_extract(t.trace, '^([0-9]+)', 1) WHERE t.trace <> '' GROUP BY t.doc_id, t.trace",
     "JOIN23_key_to_background": "WITH k AS (SELECT doc_id, assessment, chapter FROM {documents} WHERE text LIKE 'Key message%'), g AS (SELECT doc_id AS background, assessment, chapter FROM {documents} WHERE source = 'policy_summaries'), a AS (SELECT k.doc_id, g.background, 1 AS tier FROM k JOIN g ON g.assessment = k.assessment AND g.chapter = k.chapter UNION ALL SELECT k.doc_id, g.background, 2 FROM k JOIN g ON g.assessment = k.assessment) SELECT doc_id, min(tier) AS tier, count(DISTINCT CASE WHEN tier = 1 THEN background END) AS same_chapter, count(DISTINCT background) AS linked FROM a GROUP BY doc_id",
     "JOIN25_reference_cascade": f"WITH s AS (SELECT source_id, max(coalesce(metadata['title'], metadata['name'], metadata['ref_title'])) AS title, max({_DOI.format(chr(39).join(['coalesce(metadata[', 'doi', '], metadata[', 'url', '], metadata[', 'identifier', '])']))}) AS doi FROM {{sources}} GROUP BY source_id), z AS (SELECT item_key, {{strip}} AS k, {_DOI.format('doi')} AS doi FROM {_WORKS} w), t AS (SELECT source_id, {{strip}} AS k, doi FROM s), m AS (SELECT t.source_id, z.item_key, 1 AS tier FROM t JOIN z ON t.doi = z.doi AND t.doi <> '' UNION ALL SELECT t.source_id, z.item_key, 2 FROM t JOIN z ON t.k = z.k AND length(t.k) >= 8 UNION ALL SELECT t.source_id, z.item_key, 3 FROM t JOIN z ON substring(t.k, 1, 34) = substring(z.k, 1, 34) AND length(t.k) >= 34) SELECT source_id, item_key, min(tier) AS tier FROM m GROUP BY source_id, item_key",
-    "JOIN28_people_reconcile": "WITH a AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM {supplier} GROUP BY s_nationkey), b AS (SELECT c_nationkey AS k, count(*) AS customers FROM {customer} GROUP BY c_nationkey) SELECT coalesce(a.k, b.k) AS nation, coalesce(suppliers, customers) AS filled, CASE WHEN suppliers IS NULL OR customers IS NULL THEN 'one source' WHEN suppliers = customers THEN 'agree' ELSE 'disagree' END AS state FROM a FULL OUTER JOIN b ON a.k = b.k",
     "JOIN29_broken_links": "WITH r AS (SELECT concept_id, u, CAST(nullif(regexp_extract(u, '/([0-9]+)/?$', 1), '') AS BIGINT) AS target FROM (SELECT concept_id, {explode_broader} AS u FROM {concepts}) x) SELECT DISTINCT r.concept_id, r.u FROM r LEFT ANTI JOIN (SELECT DISTINCT concept_id AS id FROM {concepts}) c ON c.id = r.target",
     "JOIN34_spatial": f"SELECT a.para_id, min_by(b.para_id, CAST(abs(a.y0 - b.y0) AS DOUBLE) * 1000000 + b.para_id) AS nearest FROM {PARAS} a JOIN {PARAS} b ON a.source_file = b.source_file AND a.page = b.page AND a.para_id <> b.para_id AND abs(a.y0 - b.y0) < 60 AND abs(a.x0 - b.x0) < 60 GROUP BY a.para_id",
     "JOIN36_containment_part": f"WITH b AS (SELECT * FROM {BLOCKS} x WHERE text IS NOT NULL AND lang = 'en') SELECT p.block_id AS whole, c.block_id AS part FROM b p JOIN b c ON p.report_id = c.report_id AND p.block_id <> c.block_id AND length(c.text) >= 30 AND length(p.text) > length(c.text) AND contains(p.text, c.text)",
     "JOIN38_paragraph_match": f"WITH e AS (SELECT report_id, num, min(seq) AS seq FROM {BLOCKS} b WHERE lang = 'en' AND kind = 'para' AND num <> '' GROUP BY report_id, num), o AS (SELECT report_id, num, min(seq) AS seq FROM {BLOCKS} b WHERE lang <> 'en' AND kind = 'para' AND num <> '' GROUP BY report_id, num) SELECT e.report_id, count(*) AS same_number, count_if(abs(e.seq - o.seq) <= 2) AS near_place FROM e JOIN o ON o.report_id = e.report_id AND o.num = e.num GROUP BY e.report_id",
     "JOIN43_enrichment": f"WITH p AS (SELECT para_id, source_file, page, role, label FROM {PARAS} x WHERE label IS NOT NULL AND label <> ''), c AS (SELECT source_file, page, min(para_id) AS caption FROM {PARAS} x WHERE role = 'caption' GROUP BY source_file, page) SELECT p.para_id, p.label, c.caption, c.caption IS NULL AS missing FROM p LEFT JOIN c ON c.source_file = p.source_file AND c.page = p.page",
     "JOIN46_heading_context": f"WITH e AS (SELECT DISTINCT node_id AS parent, child FROM (SELECT node_id, {{explode_children}} AS child FROM {{nodes}}) x), n AS (SELECT * FROM {NODES} y) SELECT c.node_id, max(p.heading) AS heading, max(g.heading) AS above FROM n c JOIN e ON e.child = c.node_id JOIN n p ON p.node_id = e.parent LEFT JOIN e f ON f.child = p.node_id LEFT JOIN n g ON g.node_id = f.parent GROUP BY c.node_id",
-    "AGG06_hyphen_evidence": "WITH w AS (SELECT lower(w) AS w FROM (SELECT {words_of_text} AS w FROM {documents} WHERE lang = 'en') x), h AS (SELECT w, count(*) AS hyphened FROM w WHERE w LIKE '%_-_%' GROUP BY w), j AS (SELECT w, count(*) AS joined FROM w WHERE w NOT LIKE '%-%' GROUP BY w) SELECT h.w, h.hyphened, coalesce(j.joined, 0) AS joined FROM h LEFT JOIN j ON j.w = replace(h.w, '-', '')",
-    "AGG08_casing_mode": "WITH w AS (SELECT w, lower(w) AS k, count(*) AS n FROM (SELECT {words_of_text} AS w FROM {documents} WHERE lang = 'fr') x WHERE length(w) > 3 GROUP BY w), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, w) AS place, sum(n) OVER (PARTITION BY k) AS total FROM w) SELECT k, w, n FROM r WHERE place = 1 AND total >= 3 AND n * 2 > total",
-    "AGG19_catalogue_block": f"SELECT report_id, count(*) AS decisions, [[substring(text, 1, 30) ; / ; seq]] AS listing FROM {BLOCKS} b WHERE lang = 'en' AND (text LIKE 'Approves%' OR text LIKE 'Requests%' OR text LIKE 'Decides%') GROUP BY report_id",
+    "AGG06_hyphen_evidence": "WITH w AS (SELECT lang, lower(w) AS w FROM (SELECT coalesce(lang, '-') AS lang, {words_of_text} AS w FROM {documents}) x), h AS (SELECT lang, w, count(*) AS hyphened FROM w WHERE w LIKE '%_-_%' GROUP BY lang, w), j AS (SELECT lang, w, count(*) AS joined FROM w WHERE w NOT LIKE '%-%' GROUP BY lang, w) SELECT h.lang, h.w, h.hyphened, coalesce(j.joined, 0) AS joined FROM h LEFT JOIN j ON j.lang = h.lang AND j.w = replace(h.w, '-', '')",
+    "AGG08_casing_mode": "WITH w AS (SELECT lang, w, lower(w) AS k, count(*) AS n FROM (SELECT coalesce(lang, '-') AS lang, {words_of_text} AS w FROM {documents}) x WHERE length(w) > 3 GROUP BY lang, w), r AS (SELECT *, row_number() OVER (PARTITION BY lang, k ORDER BY n DESC, w) AS place, sum(n) OVER (PARTITION BY lang, k) AS total FROM w) SELECT lang, k, w, n FROM r WHERE place = 1 AND total >= 3 AND n * 2 > total",
+    "AGG19_catalogue_block": f"SELECT report_id, count(*) AS decisions, [[text ; / ; seq]] AS listing FROM {BLOCKS} b WHERE lang = 'en' AND (text LIKE 'Approves%' OR text LIKE 'Requests%' OR text LIKE 'Decides%') GROUP BY report_id",
     "WIN17_group_by_mark": f"SELECT source_file, grp, count(*) AS members FROM (SELECT source_file, CAST(sum(CASE WHEN text LIKE '%section%' THEN 1 ELSE 0 END) OVER (PARTITION BY source_file ORDER BY seq, block_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM {BLOCKS} b WHERE kind = 'para') x GROUP BY source_file, grp",
     "WIN20_split_sections": f"WITH h AS (SELECT source_file, seq, block_id, CAST(sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY source_file ORDER BY seq, block_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section, kind FROM {BLOCKS} b) SELECT source_file, section, count(*) AS blocks, min(block_id) AS first_block FROM h GROUP BY source_file, section",
     "WIN21_table_title": f"SELECT block_id, title FROM (SELECT block_id, kind, lag(text) OVER (PARTITION BY source_file ORDER BY seq, block_id) AS title FROM {BLOCKS} b) x WHERE kind = 'table'",
-    "SRT05_gap_sort": "SELECT doc_id, row_number() OVER (ORDER BY coalesce(chapter, -1) DESC, coalesce(assessment, ''), doc_id) AS place FROM {documents} WHERE source = 'knowledge_gaps'",
-    "SRT06_guidance_sort": "SELECT doc_id, row_number() OVER (ORDER BY coalesce(assessment, ''), CASE WHEN text LIKE '%platform%' THEN 0 ELSE 1 END, doc_id) AS place FROM {documents} WHERE source = 'guidance_notes'",
     "SRT10_inferred_caps": "SELECT scheme, concept_id, place FROM (SELECT scheme, concept_id, row_number() OVER (PARTITION BY scheme ORDER BY concept_id) AS place FROM (SELECT DISTINCT scheme, concept_id FROM {concepts} WHERE scheme IS NOT NULL) x) y WHERE place <= 8",
     "SRT11_quality_max": "WITH k AS (SELECT {strip} AS k, title, concat(CASE WHEN title LIKE '%...%' THEN '0' ELSE '1' END, CASE WHEN upper(title) = title THEN '0' ELSE '1' END, lpad(CAST(length(title) AS STRING), 4, '0'), title) AS quality FROM {zotero}) SELECT k, max_by(title, quality) AS best, count(*) AS variants FROM k GROUP BY k",
     "SRT13_examples": "SELECT source, [[CAST(doc_id AS STRING) ; / ; doc_id]] AS examples FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM {documents}) x WHERE place <= 3 GROUP BY source",
     "SRT14_plan_k": "SELECT source, CASE source WHEN 'reference_lists' THEN 30 WHEN 'knowledge_gaps' THEN 100 ELSE 3 END AS k FROM (SELECT DISTINCT source FROM {documents}) x",
     "SET07_subset_test": "WITH w AS (SELECT DISTINCT canon_id, {explode_words} AS w FROM {thesaurus}), n AS (SELECT canon_id, count(*) AS n FROM w GROUP BY canon_id), b AS (SELECT a.canon_id AS part, c.canon_id AS whole, count(*) AS common FROM w a JOIN w c ON c.w = a.w AND c.canon_id <> a.canon_id GROUP BY a.canon_id, c.canon_id) SELECT b.part, b.whole FROM b JOIN n ON n.canon_id = b.part AND n.n = b.common",
-    "STR15_dehyphenate": "SELECT doc_id, length({dehyphenate}) AS size FROM {documents} WHERE text IS NOT NULL",
+    "STR15_dehyphenate": "SELECT doc_id, md5({dehyphenate}) AS hash FROM {documents} WHERE text IS NOT NULL",
     "STR18_superscripts": f"SELECT span_id, translate(text, '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789') AS lowered, sup FROM {SPANS} s WHERE sup OR text <> translate(text, '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789')",
     "STR25_role_parse": "SELECT DISTINCT doc_id, regexp_extract(text, '[(](co-chair|reviewer|member|observer)[)]', 1) AS first_role FROM {documents} WHERE text LIKE 'List of participants%'",
     "STR31_child_position": "SELECT DISTINCT node_id, child, pos FROM (SELECT node_id, {children_index} FROM {nodes}) x",
@@ -74,16 +70,12 @@ STATEMENTS = {
     "RTE07_followup_input": "SELECT user_id, [[event_type ; > ; place]] AS earlier FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM {events}) x WHERE place <= 6 GROUP BY user_id",
     "RTE08_table_answer": "SELECT assessment, count(*) AS gaps, [[CAST(doc_id AS STRING) ; , ; doc_id]] AS ids FROM {documents} WHERE source = 'knowledge_gaps' AND assessment IS NOT NULL GROUP BY assessment",
     "RTE09_select_gaps": "SELECT d.doc_id FROM {documents} d LEFT SEMI JOIN (SELECT DISTINCT assessment FROM {documents} WHERE source = 'policy_summaries' AND assessment IS NOT NULL) c ON c.assessment = d.assessment WHERE d.source = 'knowledge_gaps'",
-    "RTE11_prompt": "SELECT doc_id, concat('Task: list the facts.', chr(10), 'Context: ', substring(text, 1, 80), chr(10), 'Source: ', coalesce(source, '-')) AS prompt FROM {documents} WHERE text IS NOT NULL AND doc_id IS NOT NULL",
+    "RTE11_prompt": "SELECT doc_id, concat('Task: list the facts.', chr(10), 'Context: ', text, chr(10), 'Source: ', coalesce(source, '-')) AS prompt FROM {documents} WHERE text IS NOT NULL AND doc_id IS NOT NULL",
     "RTE14_definitions_block": "SELECT canon_id, concat(pref_label, ': ', coalesce(definition, 'no definition'), CASE WHEN {alts_text} <> '' THEN concat(' (also ', {alts_text}, ')') ELSE '' END) AS entry FROM {thesaurus}",
     "RTE17_quote_report": "SELECT source, count(*) AS answers, count_if(text LIKE '%“%') AS with_quotes, count_if(text LIKE '%10.99%') AS with_dois FROM {documents} GROUP BY source",
-    "RTE18_comparison_run": "SELECT m.mix_name, m.source, count(d.doc_id) AS passages FROM {mix_targets} m LEFT JOIN {documents} d ON d.source = m.source GROUP BY m.mix_name, m.source",
-    "SNK02_metadata_retag": "SELECT doc_id, md5(concat_ws('|', coalesce(source, ''), coalesce(lang, ''), CAST(coalesce(chapter, 0) AS STRING))) AS meta_hash FROM {documents}",
-    "SNK03_delete_stale": "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN (SELECT doc_id FROM {documents} WHERE source <> 'web_crawl_a') s ON s.doc_id = d.doc_id",
     "SNK05_manifest": f"SELECT source_file, min(file_sha256) AS hash, count(*) AS chunks, count_if(section = 'references') AS reference_chunks, count(*) = max(page_count) AS one_per_page FROM {PAGES} p GROUP BY source_file",
-    "SNK06_failed_rows": "SELECT doc_id, coalesce(n_chars, 0) AS size, CASE WHEN text IS NULL THEN 'no text' WHEN trim(text) = '' THEN 'blank' ELSE 'too long' END AS reason FROM {documents} WHERE text IS NULL OR trim(text) = '' OR n_chars > 20000",
     "SNK09_markdown": f"SELECT source_file, [[concat(CASE kind WHEN 'title' THEN '# ' WHEN 'heading' THEN '## ' ELSE '' END, text) ; / ; seq]] AS markdown FROM {BLOCKS} b WHERE text IS NOT NULL GROUP BY source_file",
-    "SNK15_conversations": "SELECT user_id, turns, place FROM (SELECT user_id, count(*) AS turns, row_number() OVER (ORDER BY max(ts) DESC, user_id) AS place FROM {events} GROUP BY user_id) x WHERE place <= 50",
+    "SNK15_conversations": "SELECT user_id, turns, row_number() OVER (ORDER BY last_ts DESC, user_id) AS place FROM (SELECT user_id, count(*) AS turns, max(ts) AS last_ts FROM {events} GROUP BY user_id ORDER BY last_ts DESC, user_id LIMIT 50) x",
     "DOC01_line_role": f"SELECT span_id, CASE WHEN font_size >= 16 THEN 'h1' WHEN font_size >= 13 AND bold THEN 'h2' WHEN sup THEN 'mark' WHEN font_size < 8 THEN 'small' WHEN bold THEN 'strong' ELSE 'body' END AS role FROM {SPANS} s WHERE text IS NOT NULL",
     "DOC02_build_paras": f"SELECT source_file, page, block, count(*) AS spans, [[text ; / ; seq]] AS text FROM {SPANS} s WHERE text IS NOT NULL GROUP BY source_file, page, block",
     "DOC07_glossary_entries": f"SELECT source_file, block, min_by(text, seq) AS term, count(*) AS parts FROM {SPANS} s WHERE text IS NOT NULL AND bold GROUP BY source_file, block",

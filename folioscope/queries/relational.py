@@ -65,11 +65,11 @@ STATEMENTS = {
     # projections
     "PRJ02_xml_metadata": f"SELECT block_id, source_file, lang, kind, num, CAST(seq AS STRING) AS position, length(text) AS size FROM {BLOCKS} b",
     "PRJ03_pdf_metadata": f"SELECT chunk_id, source_file, page, printed_page, page_count, section, file_sha256 FROM {PAGES} p",
-    "PRJ04_replace_semantics": "SELECT doc_id, source, CASE WHEN lang = 'en' THEN assessment END AS assessment, CAST(NULL AS STRING) AS dropped FROM {documents}",
+    "PRJ04_replace_semantics": "SELECT doc_id, source, nullif(trim(assessment), '') AS assessment, CAST(NULL AS STRING) AS dropped FROM {documents}",
     "PRJ06_annotate_country": "SELECT s_suppkey, coalesce(n_name, 'unknown') AS country FROM {supplier} LEFT JOIN {nation} ON s_nationkey = n_nationkey",
     "PRJ07_context_line": "SELECT doc_id, concat_ws(' ', 'id=' || CAST(doc_id AS STRING), 'type=' || nullif(source, ''), 'assessment=' || nullif(assessment, ''), 'chapter=' || CAST(chapter AS STRING), 'lang=' || lang) AS line FROM {documents}",
     "PRJ08_location_block": f"SELECT block_id, concat('[', source_file, ' ', lang, ', ', coalesce(nullif(display, ''), nullif(num, ''), '-'), '] ', coalesce(text, '')) AS block FROM {BLOCKS} b WHERE kind = 'para'",
-    "PRJ09_chunk_text": "SELECT doc_id, concat(concat_ws(chr(10), 'Assessment: ' || assessment, 'Chapter: ' || CAST(chapter AS STRING)), chr(10), chr(10), substring(text, 1, 100)) AS chunk FROM {documents} WHERE text IS NOT NULL",
+    "PRJ09_chunk_text": "SELECT doc_id, concat(concat_ws(chr(10), 'Assessment: ' || assessment, 'Chapter: ' || CAST(chapter AS STRING)), chr(10), chr(10), text) AS chunk FROM {documents} WHERE text IS NOT NULL",
     "PRJ11_page_label": f"SELECT chunk_id, concat(CAST(page AS STRING), ' of ', CAST(page_count AS STRING), CASE WHEN printed_page IS NOT NULL AND printed_page <> page THEN concat(' (printed page ', CAST(printed_page AS STRING), ')') ELSE '' END) AS label FROM {PAGES} p",
     "PRJ12_source_title": "SELECT DISTINCT source_id, CASE source_type WHEN 'pdf' THEN concat('Report page, ', coalesce(nullif(location, ''), 'unknown')) WHEN 'xml' THEN concat('Plenary, ', coalesce(nullif(location, ''), 'unknown')) ELSE concat('Assessment, ', source_file) END AS title FROM {sources}",
     "PRJ15_scoped_question": "SELECT mix_name, source, concat('Which gaps are named? (Answer for ', source, ' only.)') AS question FROM {mix_targets}",
@@ -80,8 +80,8 @@ STATEMENTS = {
     "JOIN16_country_lookup": "SELECT c_custkey, n_name, r_name FROM {customer} LEFT JOIN {nation} ON c_nationkey = n_nationkey LEFT JOIN {region} ON n_regionkey = r_regionkey",
     "JOIN12_collection_expand": "SELECT r_name AS collection, n_name AS member FROM {region} JOIN {nation} ON n_regionkey = r_regionkey",
     "JOIN13_region_resolve": "WITH q AS (SELECT lower(substring(n_name, 1, 3)) AS q FROM {nation}), m AS (SELECT q, n_name, CASE WHEN lower(n_name) = q THEN 0 WHEN lower(n_name) LIKE concat(q, '%') THEN 1 ELSE 2 END AS tier FROM q JOIN {nation} ON lower(n_name) LIKE concat('%', q, '%')) SELECT q, min_by(n_name, concat(CAST(tier AS STRING), CAST(1000 - length(n_name) AS STRING), n_name)) AS resolved FROM m GROUP BY q",
-    "JOIN18_chapter_title": "WITH t AS (SELECT assessment, chapter, min(substring(text, 1, 30)) AS title FROM {documents} WHERE text IS NOT NULL GROUP BY assessment, chapter) SELECT d.doc_id, coalesce(t.title, CAST(d.chapter AS STRING), '-') AS title FROM {documents} d LEFT JOIN t ON t.assessment = d.assessment AND t.chapter = d.chapter AND d.lang = 'en'",
-    "JOIN20_list_items": f"WITH b AS (SELECT * FROM {BLOCKS} x WHERE kind = 'para') SELECT a.block_id, count(*) AS n_items, [[substring(b.text, 1, 20) ; / ; b.seq]] AS items FROM b a JOIN b ON b.source_file = a.source_file AND b.seq BETWEEN a.seq + 1 AND a.seq + 4 AND b.ilvl > a.ilvl WHERE a.ilvl = 0 AND b.text IS NOT NULL GROUP BY a.block_id",
+    "JOIN18_chapter_title": "WITH t AS (SELECT assessment, chapter, min(text) AS title FROM {documents} WHERE text IS NOT NULL GROUP BY assessment, chapter) SELECT d.doc_id, md5(coalesce(t.title, CAST(d.chapter AS STRING), '-')) AS title FROM {documents} d LEFT JOIN t ON t.assessment = d.assessment AND t.chapter = d.chapter",
+    "JOIN20_list_items": f"WITH b AS (SELECT * FROM {BLOCKS} x WHERE kind = 'para') SELECT a.block_id, count(*) AS n_items, [[b.text ; / ; b.seq]] AS items FROM b a JOIN b ON b.source_file = a.source_file AND b.seq BETWEEN a.seq + 1 AND a.seq + 4 AND b.ilvl > a.ilvl WHERE a.ilvl = 0 AND b.text IS NOT NULL GROUP BY a.block_id",
     "JOIN22_parent_section": "WITH s AS (SELECT DISTINCT regexp_extract(text, 'section ([0-9]+[.][0-9]+)', 1) AS number FROM {documents} WHERE text LIKE '%section %'), k AS (SELECT number, regexp_extract(number, '^([0-9]+)', 1) AS parent FROM s WHERE number <> '') SELECT k.number, coalesce(max(p.number), k.parent) AS nearest FROM k LEFT JOIN k p ON p.parent = k.parent AND length(p.number) < length(k.number) GROUP BY k.number, k.parent",
     "JOIN26_citation_link": "WITH c AS (SELECT DISTINCT source_id, lower(regexp_extract(metadata['citation'], '^([^,;.( ]+)', 1)) AS name, regexp_extract(metadata['citation'], '((?:19|20)[0-9][0-9])', 1) AS year FROM {sources} WHERE metadata['citation'] IS NOT NULL), z AS (SELECT DISTINCT item_key, lower({first_creator}) AS name, regexp_extract(item_date, '((?:19|20)[0-9][0-9])', 1) AS year FROM {zotero} WHERE item_date IS NOT NULL) SELECT source_id, item_key FROM c JOIN z ON z.year = c.year AND z.name = c.name WHERE c.name <> ''",
     "JOIN31_glossary_anti": "WITH c AS (SELECT concept_id, lower(trim(pref_label)) AS k FROM {concepts} WHERE pref_label IS NOT NULL), t AS (SELECT lower(pref_label) AS k FROM {thesaurus}) SELECT DISTINCT c.concept_id, c.k FROM c LEFT ANTI JOIN t ON t.k = c.k",
@@ -101,7 +101,7 @@ STATEMENTS = {
     "AGG14_ordered_set": "SELECT assessment, [[source ; | ; source]] AS sources FROM (SELECT DISTINCT assessment, source FROM {documents} WHERE source IS NOT NULL AND assessment IS NOT NULL) GROUP BY assessment",
     "AGG15_first_non_empty": "SELECT source_file, min_by(title, chunk_id) AS title, min(chunk_id) AS chunk FROM {pdf_documents} WHERE trim(coalesce(title, '')) <> '' GROUP BY source_file",
     "AGG16_contiguous": "WITH y AS (SELECT DISTINCT CAST(substring(report_id, 1, 4) AS INT) AS year FROM {blocks} WHERE report_id IS NOT NULL) SELECT min(year) AS first_year, max(year) AS last_year, count(*) AS n, max(year) - min(year) + 1 = count(*) AS contiguous FROM y",
-    "AGG17_decision_catalogue": f"SELECT DISTINCT source_file, lang, CASE WHEN text LIKE 'Approves%' THEN 'approved' WHEN text LIKE 'Requests%' THEN 'requested' WHEN text LIKE 'Decides%' THEN 'decided' ELSE 'welcomed' END AS stage, substring(text, 1, 60) AS wording FROM {BLOCKS} b WHERE lang = 'en' AND (text LIKE 'Approves%' OR text LIKE 'Requests%' OR text LIKE 'Decides%' OR text LIKE 'Welcomes%')",
+    "AGG17_decision_catalogue": f"SELECT DISTINCT source_file, lang, CASE WHEN text LIKE 'Approves%' THEN 'approved' WHEN text LIKE 'Requests%' THEN 'requested' WHEN text LIKE 'Decides%' THEN 'decided' ELSE 'welcomed' END AS stage, text AS wording FROM {BLOCKS} b WHERE lang = 'en' AND (text LIKE 'Approves%' OR text LIKE 'Requests%' OR text LIKE 'Decides%' OR text LIKE 'Welcomes%')",
     "AGG20_country_quality": "SELECT coalesce(n_name, 'unresolved') AS country, count(*) AS n FROM {customer} LEFT JOIN (SELECT * FROM {nation} WHERE n_regionkey <> 2) ON n_nationkey = c_nationkey GROUP BY coalesce(n_name, 'unresolved')",
     "AGG21_quality_checks": "SELECT 'null text' AS finding, count(*) AS n, min(doc_id) AS example FROM {documents} WHERE text IS NULL UNION ALL SELECT 'empty text', count(*), min(doc_id) FROM {documents} WHERE trim(text) = '' UNION ALL SELECT 'null language', count(*), min(doc_id) FROM {documents} WHERE lang IS NULL UNION ALL SELECT 'wrong length', count(*), min(doc_id) FROM {documents} WHERE length(text) <> n_chars",
     "AGG22_property_coverage": "SELECT source, CAST(floor(100 * count(lang) / count(*)) AS INT) AS lang_percent, CAST(floor(100 * count(assessment) / count(*)) AS INT) AS assessment_percent, CAST(floor(100 * count(chapter) / count(*)) AS INT) AS chapter_percent FROM {documents} GROUP BY source",
@@ -126,11 +126,10 @@ STATEMENTS = {
     "WIN23_group_break": "SELECT doc_id, assessment, row_number() OVER (PARTITION BY assessment ORDER BY doc_id) = 1 AS new_group FROM {documents} WHERE assessment IS NOT NULL",
     "WIN24_per_kind_counter": f"SELECT block_id, row_number() OVER (PARTITION BY source_file, kind ORDER BY seq, block_id) AS component FROM {BLOCKS} b WHERE kind IN ('annex_header', 'annex_title', 'table')",
     "WIN18_last_n_events": "SELECT user_id, event_id, back FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM {events}) WHERE back <= 6 AND event_type <> 'error'",
-    "WIN19_recent_first_cap": "SELECT user_id, place FROM (SELECT user_id, row_number() OVER (ORDER BY last_ts DESC, user_id) AS place FROM (SELECT user_id, max(ts) AS last_ts FROM {events} GROUP BY user_id)) WHERE place <= 50",
+    "WIN19_recent_first_cap": "SELECT user_id, row_number() OVER (ORDER BY last_ts DESC, user_id) AS place FROM (SELECT user_id, max(ts) AS last_ts FROM {events} GROUP BY user_id ORDER BY last_ts DESC, user_id LIMIT 50) x",
     # sorts
     "SRT03_natural_path": f"SELECT block_id, row_number() OVER (PARTITION BY source_file ORDER BY lpad(regexp_extract(num, '([0-9]+)', 1), 10, '0'), num, block_id) AS place FROM {BLOCKS} b WHERE kind = 'para' AND num IS NOT NULL",
-    "SRT04_identifier": "SELECT s_suppkey, row_number() OVER (ORDER BY regexp_extract(s_name, '^([A-Za-z]+)', 1), CAST(regexp_extract(s_name, '([0-9]+)$', 1) AS BIGINT)) AS place FROM {supplier}",
-    "SRT07_expert_sort": "SELECT s_suppkey, place FROM (SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_acctbal < 0 THEN 0 ELSE 1 END, n_name, s_name, s_suppkey) AS place FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey) WHERE place <= 500",
+    "SRT07_expert_sort": "SELECT s_suppkey, row_number() OVER (ORDER BY debt, n_name, s_name, s_suppkey) AS place FROM (SELECT s_suppkey, s_name, n_name, CASE WHEN s_acctbal < 0 THEN 0 ELSE 1 END AS debt FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey ORDER BY debt, n_name, s_name, s_suppkey LIMIT 500) x",
     "SRT08_part_rank": f"SELECT block_id, CASE kind WHEN 'para' THEN 0 WHEN 'annex_title' THEN 1 WHEN 'annex_header' THEN 1 ELSE 2 END AS part_rank FROM {BLOCKS} b",
     "SRT12_trailing_number": "SELECT item_key, coalesce(CAST(nullif(regexp_extract({first_collection}, '([0-9]+)$', 1), '') AS INT), 1000000) AS place FROM {zotero}",
     # sets

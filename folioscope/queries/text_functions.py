@@ -35,7 +35,7 @@ def str08(spark, sf):
 
 def str14(spark, sf):
     docs = table(spark, sf, "documents", ["doc_id", "text"]).where("text is not null")
-    return docs.select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"), F.length(F.element_at(T.sentences(F.col("text")), 1)).alias("first_length"))
+    return docs.select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"), F.md5(F.array_join(T.sentences(F.col("text")), "\n\n")).alias("hash"))
 
 
 def str22(spark, sf):
@@ -82,7 +82,25 @@ def colour_bits(spark, sf):
     return rows.select("color", r.alias("red"), g.alias("green"), b.alias("blue"), ((F.greatest(r, g, b) - F.least(r, g, b)) <= 16).alias("grey"))
 
 
+def check_digits(spark, sf):
+    """Numbers made of each document's key, with a last sign that is right for some of them."""
+    digits = F.substring(F.translate(F.md5(F.col("doc_id").cast("string")), "abcdef", "012345"), 1, 15)
+    last = F.when(F.col("doc_id") % 11 == 10, F.lit("X")).otherwise((F.col("doc_id") % 11).cast("string"))
+    made = F.concat_ws("-", *[F.substring(F.concat(digits, last), 4 * i + 1, 4) for i in range(4)])
+    rows = table(spark, sf, "documents", ["doc_id"]).select("doc_id", made.alias("orcid"))
+    return rows.select("doc_id", "orcid", T.orcid_valid(F.col("orcid")).alias("valid"))
+
+
+def session_words(spark, sf):
+    """Meetings named by number, spelled out in every block."""
+    named = F.concat(F.coalesce("text", F.lit("")), F.lit(" (see Plenary-"), (F.col("seq") % 25).cast("string"), F.lit(")"))
+    return table(spark, sf, "blocks", ["block_id", "seq", "text"]).select("block_id", F.md5(T.spell_sessions(named, "Plenary")).alias("hash")).distinct()
+
+
 QUERIES = {
+    "FLT21_orcid_check": check_digits, "STR19_spell_sessions": session_words,
+    "STR34_names_split": _distinct("sources", lambda: dict(source_id=F.col("source_id"), names=F.array_join(T.split_names(F.coalesce(*[F.col("metadata")[k] for k in ("authors", "creator", "by")])), "|"))),
+    "STR35_clean_caption": _distinct("paras", lambda: dict(para_id=F.col("para_id"), caption=F.md5(T.clean_caption(F.col("text"))))),
     "STR01_ws_squash": _over("documents", "doc_id", lambda: dict(hash=F.md5(T.squash(F.col("text"))))),
     "STR02_letters_only": _over("documents", "doc_id", lambda: dict(hash=F.md5(T.letters_only(F.col("text"))))),
     "STR03_fold_accents": _over("zotero", "item_key", lambda: dict(folded=T.loose(F.col("title")))),
@@ -98,7 +116,7 @@ QUERIES = {
     "STR16_title_case": _distinct("paras", lambda: dict(para_id=F.col("para_id"), title=F.concat(F.upper(F.substring("text", 1, 1)), F.lower(F.substring("text", 2, 60))))),
     "STR17_controls": _over("documents", "doc_id", lambda: dict(n_removed=F.length("text") - F.length(F.regexp_replace("text", "[\\x{AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]", "")))),
     "STR20_session_extract": str20,
-    "STR21_citation_strip": _over("documents", "doc_id", lambda: dict(length=F.length(T.strip_citations(F.col("text"))))),
+    "STR21_citation_strip": _over("documents", "doc_id", lambda: dict(hash=F.md5(T.strip_citations(F.col("text"))))),
     "STR22_doi_extract": str22,
     "STR23_reference_page": _over("documents", "doc_id", lambda: dict(reference=T.is_reference_page(F.col("text")))),
     "STR24_ref_fields": str24,
@@ -114,6 +132,10 @@ QUERIES = {
 }
 _FOLD = _ACCENTS
 ORACLES = {
+    "FLT21_orcid_check": "WITH d AS (SELECT doc_id, translate(md5(CAST(doc_id AS VARCHAR)), 'abcdef', '012345')[:15] || CASE doc_id % 11 WHEN 10 THEN 'X' ELSE CAST(doc_id % 11 AS VARCHAR) END AS x FROM documents), w AS (SELECT doc_id, x, sum(CAST(x[i] AS INTEGER) * (CAST(power(2, 16 - i) AS BIGINT) % 11)) AS total FROM d, (SELECT unnest(range(1, 16)) AS i) GROUP BY doc_id, x) SELECT doc_id, x[1:4] || '-' || x[5:8] || '-' || x[9:12] || '-' || x[13:16] AS orcid, (total + CASE x[16] WHEN 'X' THEN 10 ELSE CAST(x[16] AS INTEGER) END) % 11 = 1 AS valid FROM w",
+    "STR19_spell_sessions": "SELECT DISTINCT block_id, md5(coalesce(text, '') || ' (see ' || CASE WHEN seq % 25 BETWEEN 1 AND 20 THEN 'the ' || [" + ", ".join(f"'{x}'" for x in T.ORDINALS) + "][seq % 25] || ' session' ELSE 'Plenary-' || (seq % 25) END || ')') AS hash FROM blocks",
+    "STR34_names_split": "SELECT DISTINCT source_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(c, '\\s*(;| and | & )\\s*', '|', 'g'), '|'), lambda x: trim(x)), lambda x: x <> ''), '|') AS names FROM (SELECT source_id, coalesce(metadata['authors'], metadata['creator'], metadata['by']) AS c FROM sources)",
+    "STR35_clean_caption": f"SELECT DISTINCT para_id, md5(regexp_replace({_SQUASH.format('text')}, '^(Table|Figure|Box|Map) [0-9A-Z]+(\\.[0-9A-Z]+)*[.:]? *', '')) AS caption FROM paras",
     "STR01_ws_squash": f"SELECT doc_id, md5({_SQUASH.format('text')}) AS hash FROM documents",
     "STR02_letters_only": "SELECT doc_id, md5(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g')) AS hash FROM documents",
     "STR03_fold_accents": "SELECT item_key, regexp_replace(strip_accents(lower(title)), '[^a-z0-9]', '', 'g') AS folded FROM zotero",
@@ -125,11 +147,11 @@ ORACLES = {
     "STR09_strip_corpus_words": f"SELECT chunk_id, page, CASE WHEN length(s) < 3 THEN 'report ' || title ELSE s END AS title FROM (SELECT *, {_SQUASH.format(chr(39).join(['regexp_replace(', 'report ', ' || title, ', '(?i)\\b(' + '|'.join(GENERIC) + ')\\b', ', ', ' ', ', ', 'g', ')']))} AS s FROM pdf_documents)",
     "STR12_local_name": "SELECT DISTINCT concept_id, string_split(rtrim(trim(uri), '/'), '/')[-1] AS name FROM concepts",
     "STR13_chapter_key": "SELECT DISTINCT source_file, array_to_string(list_transform(regexp_extract_all(source_file, '([0-9]+)'), lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), '-') AS key FROM sources",
-    "STR14_sentence_split": "SELECT doc_id, CAST(len(s) AS INTEGER) AS n_sentences, CAST(length(s[1]) AS INTEGER) AS first_length FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+([A-Z])', '\\1\x01\\2', 'g'), '\x01') AS s FROM documents WHERE text IS NOT NULL)",
+    "STR14_sentence_split": "SELECT doc_id, CAST(len(s) AS INTEGER) AS n_sentences, md5(array_to_string(s, chr(10) || chr(10))) AS hash FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+([A-Z])', '\\1\x01\\2', 'g'), '\x01') AS s FROM documents WHERE text IS NOT NULL)",
     "STR16_title_case": "SELECT DISTINCT para_id, upper(text[1:1]) || lower(substring(text, 2, 60)) AS title FROM paras",
     "STR17_controls": "SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '[\\x{AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g')) AS INTEGER) AS n_removed FROM documents",
     "STR20_session_extract": "SELECT DISTINCT block_id, session, CASE WHEN session BETWEEN 1 AND 20 THEN [" + ", ".join(f"'{x}'" for x in T.ORDINALS) + "][session] WHEN session = 0 THEN 'first' ELSE 'later' END AS ordinal FROM (SELECT block_id, CAST(unnest(regexp_extract_all(text, '\\b([0-9]{1,2}) (?:meeting|session)', 1)) AS INTEGER) AS session FROM blocks WHERE text IS NOT NULL)",
-    "STR21_citation_strip": "SELECT doc_id, CAST(length(regexp_replace(text, ' ?\\([^()]*, (19|20)[0-9][0-9]\\)', '', 'g')) AS INTEGER) AS length FROM documents",
+    "STR21_citation_strip": "SELECT doc_id, md5(regexp_replace(text, ' ?\\([^()]*, (19|20)[0-9][0-9]\\)', '', 'g')) AS hash FROM documents",
     "STR22_doi_extract": "SELECT DISTINCT source_id, regexp_replace(d, '[.,;)]+$', '') AS doi FROM (SELECT source_id, unnest(regexp_extract_all(lower(v), '(10\\.[0-9]{4,9}/[^ \"<>]+)', 1)) AS d FROM (SELECT source_id, unnest(map_values(metadata)) AS v FROM sources))",
     "STR23_reference_page": "SELECT doc_id, (y >= 15 AND l >= 3) OR (y >= 8 AND e >= 8) AS reference FROM (SELECT doc_id, len(regexp_extract_all(text, '\\((19|20)[0-9][0-9][a-z]?\\)')) AS y, len(regexp_extract_all(text, 'https?://')) AS l, len(regexp_extract_all(text, '(?m)^\\p{Lu}[^\\n]{2,60}, \\p{Lu}\\.')) AS e FROM documents)",
     "STR24_ref_fields": "SELECT DISTINCT source_id, regexp_extract(c, '((?:19|20)[0-9][0-9])[a-z]?', 1) AS year, regexp_extract(c, '^([^,;.(]+)', 1) AS first_author, regexp_extract(lower(c), '(10\\.[0-9]{4,9}/[^ ]+)', 1) AS doi FROM (SELECT source_id, metadata['citation'] AS c FROM sources) WHERE c IS NOT NULL",

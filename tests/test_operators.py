@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import context, fuzzy, graph, lexicon, packing, vectors
+from folioscope.operators import context, fuzzy, graph, lexicon, packing, people, vectors
 from folioscope.operators.ranking import global_rank
 from folioscope.sources import markup
+from folioscope.sources.store import Store
 from folioscope.streaming import streams
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -172,6 +173,44 @@ def test_merge_is_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_store_keeps_whole_versions(spark, tmp_path):
+    store = Store(spark, f"file:{tmp_path}/s", "id", "h")
+
+    def rows(*values):
+        return spark.createDataFrame(values, "id long, h string, tag string")
+
+    assert store.versions() == []
+    store.upsert(rows((1, "a", "x"), (2, "b", "x"), (2, "b", "x")))
+    store.upsert(rows((2, "c", "y"), (3, "d", "y")))
+    store.upsert(rows((2, "c", "y"), (3, "d", "y")))
+    assert sorted(map(tuple, store.read().collect())) == [(1, "a", "x"), (2, "c", "y"), (3, "d", "y")]
+    store.retag(spark.createDataFrame([(1, None), (9, "z")], "id long, tag string"))
+    store.delete_stale(rows((1, "", ""), (3, "", "")))
+    assert sorted(map(tuple, store.read().collect())) == [(1, "a", None), (3, "d", "y")]
+    # A version that was cut off is not read, and the next change takes its place.
+    (tmp_path / "s" / "v6").mkdir()
+    assert store.versions()[-1] == 5
+    store.prune()
+    assert store.versions() == [5]
+    store.drop()
+    assert store.versions() == []
+
+
+def test_people_by_precedence(spark):
+    def names(*values):
+        return spark.createDataFrame([(v,) for v in values], "name string").select(people.surname(F.col("name")).alias("key"), "name")
+
+    got = {(r.key, r.name, r.n_sources, r.disagree) for r in people.reconciled([names("A. Kalin", None), names("KALIN", "de Mörane, G."), names("Kalin")], ["name"]).collect()}
+    assert got == {("kalin", "A. Kalin", 3, "name"), ("morane", "de Mörane, G.", 1, "")}
+
+
+def test_small_text_functions(spark):
+    df = spark.createDataFrame([("See IPX-3 and ipx 12, not IPX-30 or IPX-3.1", "Figure SPM.2. Water\n use", "Berg, A. and Olsen, T.; Moss")], "a string, b string, c string")
+    row = df.select(T.spell_sessions(F.col("a"), "IPX"), T.clean_caption(F.col("b")), T.split_names(F.col("c"))).first()
+    assert row[0] == "See the third session and the twelfth session, not IPX-30 or IPX-3.1"
+    assert row[1] == "Water use" and row[2] == ["Berg, A.", "Olsen, T.", "Moss"]
+
+
 def test_core_does_not_import_llm():
     for path in (ROOT / "folioscope").rglob("*.py"):
         if "llm" in path.parts:
