@@ -120,19 +120,25 @@ def _compose(base: Column, marks: Column, pairs: Column) -> Column:
     return F.aggregate(marks, start, step, lambda s: F.concat(s["base"], s["rest"]))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _rebuild(points: Column, pairs: Column) -> Column:
     """The string of ordered (c, ccc) points, cut before each point that is no mark; the marks of a part are ordered by class and recomposed."""
     n = F.size(points)
     starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(points, i)["ccc"] == 0))
 
-    def part(start: Column, k: Column) -> Column:
-        own = F.slice(points, start, F.coalesce(F.get(starts, k + 1), n + 1) - start)
+    def part(own: Column) -> Column:
         bare = F.get(own, F.lit(0))["ccc"] == 0
         marks = F.filter(F.transform(own, lambda p, i: F.struct(p["ccc"].alias("ccc"), i.alias("i"), p["c"].alias("c"))), lambda p: p["ccc"] > 0)
         return F.when(F.size(own) == 1, F.get(own, F.lit(0))["c"]).otherwise(_compose(F.when(bare, F.get(own, F.lit(0))["c"]).otherwise(F.lit("")), F.array_sort(marks), pairs))
 
-    plain = F.transform(points, lambda p: p["c"])
-    return F.array_join(_hangul(F.when(F.exists(points, lambda p: p["ccc"] > 0), F.transform(starts, part)).otherwise(plain)), "")
+    parts = _let(starts, lambda s: F.transform(s, lambda at, k: F.slice(points, at, F.coalesce(F.get(s, k + 1), n + 1) - at)))
+    letters = F.when(F.exists(points, lambda p: p["ccc"] > 0), F.transform(parts, part)).otherwise(F.transform(points, lambda p: p["c"]))
+    jamo = F.exists(points, lambda p: (p["c"] >= "\u1100") & (p["c"] < "\u1200"))
+    return F.array_join(F.when(jamo, _let(letters, _hangul)).otherwise(letters), "")
 
 
 def _hangul(letters: Column) -> Column:
@@ -168,7 +174,7 @@ def _hangul(letters: Column) -> Column:
         taken = (vowel(i).isNotNull() & lead(i - 1).isNotNull()) | (trail(i).isNotNull() & (open_syllable(i - 1).isNotNull() | (vowel(i - 1).isNotNull() & bare(i - 1) & lead(i - 2).isNotNull())))
         return F.when(number_.isNotNull(), made).when(taken, F.lit("")).otherwise(c)
 
-    return F.when(F.exists(letters, lambda c: (c >= "\u1100") & (c < "\u1200")), F.transform(letters, place)).otherwise(letters)
+    return F.transform(letters, place)
 
 
 def forms(df: DataFrame, text: str = "text") -> DataFrame:
