@@ -3,7 +3,7 @@
 Titles become q-gram bit vectors of fixed length. Pairs of records whose vectors differ in at most RADIUS bits are found
 exactly by multi-index Hamming hashing: vectors are cut into chunks, of which close vectors share so many that two of
 one group are equal, so an equality join on the pairs of chunks of each group finds them all; a population count
-verifies. Two searches at radius 0 stand beside it: equal DOIs, and titles of one year of which one begins as the other,
+verifies. Years that are known must be near and are part of the key. Two searches at radius 0 stand beside it: equal DOIs, and titles of one year of which one begins as the other,
 by pigeonhole segments, as a cut-off end leaves q-gram vectors far apart. Field-weighted Dice scores of the pairs (title,
 author, year, DOI) become confidences by isotonic calibration against the pairs whose two DOIs agree or disagree, over
 all such pairs. A pair is a match from CONFIDENT on, unless an exact check shows works that resemble each other: another
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,8 @@ from folioscope.plans.session import cut
 WIDTH, WORDS, RADIUS = 48, 8, 11
 #: Chunks of a vector and groups of them, in each of which every two chunks make a key. CHUNKS - RADIUS is more than GROUPS.
 CHUNKS, GROUPS = 16, 4
-#: Letters of a title's segment, of a beginning, and for each of which a beginning may have one misprint. A beginning of n
-#: letters has n // SEGMENT segments, always more than its ceil(n / MISPRINT) misprints.
+#: Letters of a title's segment, of a beginning, and for each of which a beginning may have one misprint. A beginning of
+#: n letters, or of one less, has (n - 1) // SEGMENT segments, always more than its (n - 1) // MISPRINT misprints.
 SEGMENT, BEGINNING, MISPRINT = 8, 24, 16
 #: Weights of the fields' Dice scores, and the confidence of a match.
 WEIGHTS = {"title": 4.0, "author": 2.0, "year": 2.0, "doi": 3.0}
@@ -153,21 +154,34 @@ def _bits_at(code: str, at: int, width: int) -> Column:
 
 
 def close_pairs(a: DataFrame, b: DataFrame, code: str) -> DataFrame:
-    """(id_a, id_b): all pairs of records whose vectors `code` differ in at most RADIUS bits.
+    """(id_a, id_b): all pairs of records whose vectors `code` differ in at most RADIUS bits and whose years, if both are known, differ by one at most.
 
-    Only ids and keys meet; the vectors are fetched once per pair.
+    Records of a known year meet by key and year; those without one meet all others by key alone.
     """
-    sides = [rows.where(F.col(code).isNotNull()).select("id", code) for rows in (a, b)]
-    keyed = [rows.select(F.col("id").alias(f"id_{x}"), F.explode(_keys(code)).alias("key")).select(f"id_{x}", "key.*") for rows, x in zip(sides, "ab")]
-    met = keyed[0].join(keyed[1], ["n", "bits"]).select("id_a", "id_b").distinct()
-    full = met.join(sides[0].toDF("id_a", "v_a"), "id_a").join(sides[1].toDF("id_b", "v_b"), "id_b")
-    return full.where(_bits(WORDS, lambda i: F.get("v_a", F.lit(i)).bitwiseXOR(F.get("v_b", F.lit(i)))) <= RADIUS).select("id_a", "id_b")
+    def keyed(rows: DataFrame, side: str, when: Column) -> DataFrame:
+        each = rows.where(F.col(code).isNotNull()).select(F.col("id").alias(f"id_{side}"), F.col(code).alias(f"v_{side}"), when.alias("when"), _keys(code).alias("keys"))
+        return each.select(f"id_{side}", f"v_{side}", F.explode("when").alias("when"), "keys").select(f"id_{side}", f"v_{side}", "when", F.explode("keys").alias("key")).select(f"id_{side}", f"v_{side}", "when", "key.*")
+
+    year, none = F.col("year"), F.array(F.lit(-1))
+    parts = [
+        (keyed(a.where("year is not null"), "a", F.array(year - 1, year, year + 1)), keyed(b.where("year is not null"), "b", F.array(year))),
+        (keyed(a.where("year is null"), "a", none), keyed(b, "b", none)),
+        (keyed(a.where("year is not null"), "a", none), keyed(b.where("year is null"), "b", none)),
+    ]
+    distance = _bits(WORDS, lambda i: F.get("v_a", F.lit(i)).bitwiseXOR(F.get("v_b", F.lit(i))))
+    return reduce(DataFrame.unionByName, [x.join(y, ["when", "n", "bits"]).where(distance <= RADIUS).select("id_a", "id_b") for x, y in parts]).distinct()
+
+
+def _misprints(n: Column) -> Column:
+    return F.floor((n - 1) / MISPRINT).cast("int")
 
 
 def begins(x: Column, y: Column) -> Column:
-    """Whether the shorter title is the beginning of the longer but for misprints."""
+    """Whether the shorter title is the beginning of the longer but for misprints; a letter too many or too few is one."""
     n = F.least(F.length(x), F.length(y))
-    return (F.levenshtein(x.substr(F.lit(1), n), y.substr(F.lit(1), n)) <= F.ceil(n / MISPRINT)) & (n >= BEGINNING)
+    short, whole = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
+    edits = F.least(*[F.levenshtein(short, whole.substr(F.lit(1), n + d)) for d in (-1, 0, 1)])
+    return (n >= BEGINNING) & (edits <= _misprints(n))
 
 
 def same_beginnings(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -175,15 +189,16 @@ def same_beginnings(a: DataFrame, b: DataFrame) -> DataFrame:
 
     Misprints in the beginning leave one of its segments whole, which stands in the other title, moved by at most as many letters.
     """
-    def cut_up(rows: DataFrame, side: str, step: int) -> DataFrame:
-        at = F.sequence(F.lit(1), F.length("title") - SEGMENT + 1, F.lit(step))
-        placed = rows.where(f"length(title) >= {BEGINNING} and year is not null").select(F.col("id").alias(f"id_{side}"), F.col("title").alias(f"t_{side}"), "year", F.explode(at).alias(f"at_{side}"))
-        return placed.withColumn("part", F.col(f"t_{side}").substr(F.col(f"at_{side}"), F.lit(SEGMENT)))
-
-    n = F.least(F.length("t_a"), F.length("t_b"))
-    moved = (F.abs(F.col("at_a") - F.col("at_b")) <= F.ceil(n / MISPRINT)) & (F.col("at_a") + SEGMENT - 1 <= n)
-    both = cut_up(a, "a", SEGMENT).join(cut_up(b, "b", 1), ["year", "part"])
-    return both.where(moved).where(begins(F.col("t_a"), F.col("t_b"))).select("id_a", "id_b").distinct()
+    def placed(rows: DataFrame, side: str, at: Column) -> DataFrame:
+        each = rows.where(f"length(title) >= {BEGINNING} and year is not null").select(F.col("id").alias(f"id_{side}"), F.col("title").alias(f"t_{side}"), "year", F.explode(at).alias("place"))
+        return each.select(f"id_{side}", f"t_{side}", "year", F.col("place.at").alias("at"), F.col(f"t_{side}").substr(F.col("place.from") + 1, F.lit(SEGMENT)).alias("part"))
+
+    starts = F.sequence(F.lit(0), F.length("title") - SEGMENT, F.lit(SEGMENT))
+    most = _misprints(F.length("title"))
+    own = F.transform(starts, lambda p: F.struct(p.alias("at"), p.alias("from")))
+    moved = F.flatten(F.transform(starts, lambda p: F.transform(F.sequence(F.greatest(p - most, F.lit(0)), p + most), lambda q: F.struct(p.alias("at"), q.alias("from")))))
+    both = placed(a, "a", own).join(placed(b, "b", moved), ["year", "at", "part"])
+    return both.where(begins(F.col("t_a"), F.col("t_b"))).select("id_a", "id_b").distinct()
 
 
 def _dice(x: Column, y: Column) -> Column:

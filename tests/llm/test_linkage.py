@@ -47,9 +47,10 @@ def test_close_pairs_are_exact(spark):
     rng = random.Random(7)
     base = [rng.getrandbits(384) for _ in range(10)]
     vectors = [b ^ sum(1 << i for i in rng.sample(range(384), rng.randrange(20))) for b in base for _ in range(12)]
-    rows = [(str(i), [(v >> (48 * k)) & 0xFFFFFFFFFFFF for k in range(8)]) for i, v in enumerate(vectors)]
-    df = spark.createDataFrame(rows, "id string, by_title array<long>")
-    want = {(str(i), str(j)) for i, a in enumerate(vectors) for j, b in enumerate(vectors) if (a ^ b).bit_count() <= linkage.RADIUS}
+    years = [rng.choice([None, 1999, 2000, 2001, 2002]) for _ in vectors]
+    rows = [(str(i), [(v >> (48 * k)) & 0xFFFFFFFFFFFF for k in range(8)], y) for (i, v), y in zip(enumerate(vectors), years)]
+    df = spark.createDataFrame(rows, "id string, by_title array<long>, year int")
+    want = {(str(i), str(j)) for i, a in enumerate(vectors) for j, b in enumerate(vectors) if (a ^ b).bit_count() <= linkage.RADIUS and (years[i] is None or years[j] is None or abs(years[i] - years[j]) <= 1)}
     assert {tuple(r) for r in linkage.close_pairs(df, df, "by_title").collect()} == want
 
 
