@@ -74,11 +74,13 @@ def fit(lengths: list[int], counts: list[int], budget: int, seed: int) -> list[i
             n = min(counts[i] - taken[i], rest // lengths[i])
             taken[i] += n
             rest -= n * lengths[i]
-    # Some of what is taken is given back, one of each length, so that the last step has something to choose from.
-    for i in order:
-        if taken[i] and rest + lengths[i] <= DP_CAPACITY:
-            taken[i] -= 1
-            rest += lengths[i]
+    # What is taken is given back as far as the last step can choose from it, one of each length first; a budget within its
+    # capacity is so met by the best choice of all.
+    for most in (1, size):
+        for i in order:
+            n = max(0, min(taken[i], most, (DP_CAPACITY - rest) // lengths[i]))
+            taken[i] -= n
+            rest += n * lengths[i]
     if rest <= DP_CAPACITY:
         more = knapsack([lengths[i] for i in order], [counts[i] - taken[i] for i in order], rest)
         for i, n in zip(order, more):
@@ -125,11 +127,11 @@ def choose(lengths: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[Da
 
 
 def reached(budgets: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Per mix and source: target and reached share, budget and reached tokens, and the most copies of a document."""
+    """Per mix and source: target and reached share, budget, reached tokens and what they fall short of it, and the most copies of a document."""
     got = chosen.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"), F.count("*").alias("n_documents"))
     rows = budgets.join(got, ["mix_name", "source"], "left").na.fill(0, ["tokens", "most_copies", "n_documents"])
     share = F.col("tokens") / F.nullif(F.sum("tokens").over(Window.partitionBy("mix_name")), F.lit(0))
-    return rows.select("mix_name", "source", "target_share", F.coalesce(share, F.lit(0.0)).alias("reached_share"), "budget", "tokens", "max_repeats", "most_copies", "n_documents")
+    return rows.select("mix_name", "source", "target_share", F.coalesce(share, F.lit(0.0)).alias("reached_share"), "budget", "tokens", (F.col("budget") - F.col("tokens")).alias("shortfall"), "max_repeats", "most_copies", "n_documents")
 
 
 def _inputs(spark: SparkSession, sf: str, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:

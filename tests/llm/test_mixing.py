@@ -28,6 +28,16 @@ def test_fit_comes_near_large_budgets():
     assert mixing.fit([100_000, 70_000], [3, 3], 250_000, 1) == [1, 2] or sum(a * b for a, b in zip(mixing.fit([100_000, 70_000], [3, 3], 250_000, 1), [100_000, 70_000])) >= 240_000
 
 
+def test_fit_against_all_choices():
+    rng = random.Random(7)
+    for _ in range(100):
+        lengths = sorted(rng.sample(range(1, 40), 4))
+        counts = [rng.randrange(1, 4) for _ in lengths]
+        budget = rng.randrange(sum(a * b for a, b in zip(lengths, counts)) + 1)
+        best = max(t for c in itertools.product(*[range(n + 1) for n in counts]) if (t := sum(a * b for a, b in zip(c, lengths))) <= budget)
+        assert sum(a * b for a, b in zip(mixing.fit(lengths, counts, budget, 3), lengths)) == best
+
+
 def test_mix(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice("aab"), rng.randrange(0, 50)) for i in range(600)] + [(1000 + i, None, 5) for i in range(5)] + [(2000 + i, "unused", 5) for i in range(5)]
@@ -42,6 +52,7 @@ def test_mix(spark):
     total = min(3 * size["a"] / 0.5, 2 * size["b"] / 0.4)
     assert abs(report["m", "a"].tokens - 0.5 * total) <= 2 and abs(report["m", "b"].tokens - 0.4 * total) <= 2
     assert report["m", "a"].most_copies <= 3 and report["m", "b"].most_copies <= 2 and report["n", "b"].most_copies == 1
+    assert all(r.shortfall == r.budget - r.tokens >= 0 for r in report.values())
     assert report["m", "missing"].tokens == 0 and report["n", "b"].tokens == size["b"]
     again = mixing.choose(lengths, targets)[1]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))
