@@ -199,12 +199,13 @@ def same_looking(df: DataFrame) -> DataFrame:
     are salted. Null texts are left out; a null source_file is a file of its own.
     """
     rows = df.where("text is not null and id is not null").withColumn("source_file", F.coalesce("source_file", F.lit("\0")))
-    made = forms(rows).withColumnRenamed("form", "_form")
-    formed = cut(rows.join(made, "text").select("kind", "source_file", F.col("_form").alias("form"), "id", "text").distinct())
+    # One reading finds the texts that may not be their own form; the second needs no pattern, as a text that is another's form stands for itself.
+    odd = cut(rows.where(F.col("text").rlike(odd_pattern())))
+    made = forms(odd).withColumnRenamed("form", "_form")
+    formed = cut(odd.join(made, "text").select("kind", "source_file", F.col("_form").alias("form"), "id", "text").distinct())
     active = formed.select("kind", "source_file", "form").distinct()
-    odd = odd_pattern()
-    plain = rows.where(~F.col("text").rlike(odd)).withColumn("form", F.col("text")).join(active, ["kind", "source_file", "form"], "left_semi")
-    every = cut(formed.unionByName(plain.select(*formed.columns).distinct()))
+    plain = rows.withColumn("form", F.col("text")).join(active, ["kind", "source_file", "form"], "left_semi")
+    every = cut(formed.unionByName(plain.select(*formed.columns)).distinct())
     key = ["kind", "source_file", "form"]
     many = every.groupBy(*key).agg(F.count("*").alias("_n"), F.count_distinct("text").alias("_texts")).where("_texts > 1").withColumn("_salts", F.ceil(F.col("_n") / HOT).cast("int")).drop("_n", "_texts")
     keyed = cut(every.join(many, key))
