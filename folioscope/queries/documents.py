@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import graph, lexicon, packing, people
-from folioscope.plans.session import shared_folder
-from folioscope.queries.hierarchies import concept_graph
+from folioscope.operators import graph, lexicon, outline, packing, people, routing
+from folioscope.operators.hierarchy import clean_links, reached
+from folioscope.plans.session import cut, shared_folder
+from folioscope.queries.hierarchies import concept_graph, node_graph
 from folioscope.queries.relational import typed
-from folioscope.sources import markup
+from folioscope.sources import folders, markup
 from folioscope.sources.store import Store
 from folioscope.sources.tables import first_delivery, table
 from folioscope.streaming import streams
@@ -78,6 +79,77 @@ def rdfxml_scan(spark, sf):
     return triples.select(F.col("s").alias("uri"), F.regexp_extract("p", "#(.*)$", 1).alias("property"), F.col("o").alias("value")).distinct()
 
 
+def _folder(spark, files: DataFrame) -> DataFrame:
+    """The files written to a shared folder and read from there."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    folders.write_files(files, path)
+    return folders.read_folder(spark, path, "*.txt").withColumn("source_file", F.regexp_extract("source_file", "file=([^/]*)/", 1))
+
+
+def folder_scan(spark, sf):
+    """Chunks of a folder of documents, one of which cannot be read and comes out as an error row."""
+    broken = spark.createDataFrame([("broken", "<akomaNtoso><body>")], "source_file string, content string")
+    rows = markup.parse_akn(_folder(spark, _akn_files(spark, sf).unionByName(broken)))
+    return rows.groupBy("source_file", "kind").agg(F.count("*").alias("n"))
+
+
+def turtle_folder_scan(spark, sf):
+    triples = markup.parse_triples(_folder(spark, _turtle(spark, sf))).where("o_kind = 'literal' and s not like '_:%'")
+    return triples.groupBy("source_file").agg(F.count_distinct("s").alias("entries"), F.count("*").alias("labels"))
+
+
+def collection_expand(spark, sf):
+    """The paragraphs under each division or attachment, however nested; loops do no harm."""
+    rows = table(spark, sf, "nodes", ["node_id", "tag"]).distinct()
+    members, links = node_graph(spark, sf)
+    starts = rows.where("tag in ('division', 'attachment')").select(F.lit("node").alias("part"), F.col("node_id").alias("id"))
+    below = reached(starts, cut(clean_links(members, links)))
+    leaves = rows.where("tag = 'paragraph'").select(F.col("node_id").alias("id"))
+    return below.join(leaves, "id", "left_semi").groupBy(F.col("top").alias("collection")).agg(F.count("*").alias("n_members"))
+
+
+#: Ranks of the kinds of blocks in a report; headings go down by their level, paragraphs by theirs.
+RANK = "CASE kind WHEN 'title' THEN 0 WHEN 'annex_header' THEN 1 WHEN 'annex_title' THEN 1 WHEN 'heading' THEN 2 + least(coalesce(ilvl, 0), 2) WHEN 'para' THEN 5 + least(coalesce(ilvl, 0), 2) WHEN 'table' THEN 7 END"
+
+
+def block_tree(spark, sf):
+    """Each block with the block that it stands under."""
+    return outline.parents(_blocks(spark, sf), "source_file", ["seq"], "block_id", F.expr(RANK), 8)
+
+
+def traceability(spark, sf):
+    """All section numbers that a text names, with the most specific section there is."""
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
+    named = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"section ([0-9]+(?:\.[0-9]+)+)"), 1)).alias("reference"))
+    places = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|\n)Section ([0-9]+(?:\.[0-9]+)+)"), 1)).alias("place")).unionByName(table(spark, sf, "nodes", [F.regexp_extract("num", r"^([0-9]+(?:\.[0-9]+)+)", 1).alias("place")]))
+    return outline.most_specific(named, places.where("place <> ''")).withColumnRenamed("id", "doc_id")
+
+
+def _questions(spark, sf) -> DataFrame:
+    """The first line of every text as a question put."""
+    return table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("question"))
+
+
+def question_route(spark, sf):
+    return _questions(spark, sf).select("doc_id", routing.route(F.col("question")).alias("route"))
+
+
+def question_kind(spark, sf):
+    return _questions(spark, sf).select("doc_id", routing.kind(F.col("question")).alias("kind"))
+
+
+def question_plan(spark, sf):
+    return _questions(spark, sf).select("doc_id", routing.plan(F.col("question")).alias("p")).select("doc_id", "p.k", "p.per_group")
+
+
+def relative_session(spark, sf):
+    """Questions about the last or next meeting, with the number that the reports give."""
+    latest = table(spark, sf, "blocks", ["report_id"]).agg(F.max(F.regexp_extract("report_id", "([0-9]+)$", 1).cast("int")).alias("latest"))
+    asked = _questions(spark, sf).where("question is not null").withColumn("question", F.concat(F.col("question"), F.when(F.col("doc_id") % 3 == 0, " What of the last session?").when(F.col("doc_id") % 3 == 1, " And the next meeting?").otherwise("")))
+    # One row, the highest number.
+    return asked.join(F.broadcast(latest), how="cross").select("doc_id", F.md5(routing.with_latest(F.col("question"), F.col("latest"))).alias("hash"))
+
+
 def _turtle(spark, sf) -> DataFrame:
     rows = table(spark, sf, "thesaurus", ["uri", "pref_label", "alt_labels", "definition"])
     quote = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"@en'))
@@ -325,6 +397,8 @@ def people_reconcile(spark, sf):
 
 
 QUERIES = {
+    "SRC11_folder_scan": folder_scan, "SRC04_turtle_folder_scan": turtle_folder_scan, "JOIN12_collection_expand": collection_expand, "DOC09_block_tree": block_tree, "JOIN21_traceability": traceability,
+    "RTE01_route": question_route, "RTE03_chunk_type": question_kind, "RTE06_plan_query": question_plan, "RTE05_relative_session": relative_session,
     "SRC10_akn_scan": akn_scan, "SRC12_element_scan": element_scan, "SRC07_rdfxml_scan": rdfxml_scan, "FLT15_excluded_subtree": excluded_subtree, "WIN15_span_carry": span_carry, "STR32_column_labels": column_labels,
     "FLT13_generic_concept": generic_concepts, "JOIN45_inferred_links": inferred_links, "JOIN14_label_places": label_places, "JOIN15_label_mention": dictionary_ngram, "JOIN44_graph_expansion": graph_expansion, "SRC05_turtle_scan": turtle_scan, "JOIN05_triple_star": triple_star,
     "JOIN09_ancestors": ancestors, "JOIN10_descendants": descendants, "JOIN11_siblings": siblings, "JOIN30_entity_merge": entity_merge,
@@ -389,4 +463,17 @@ ORACLES["WIN10_list_numbering"] = (
     f" t AS (SELECT *, repeat(chr(CAST(97 + (n - 1) % 26 AS INTEGER)), CAST((n - 1) // 26 + 1 AS BIGINT)) AS letter, repeat('m', n // 1000) || {_PLACES[0]}[n // 100 % 10 + 1] || {_PLACES[1]}[n // 10 % 10 + 1] || {_PLACES[2]}[n % 10 + 1] AS roman FROM c)"
     " SELECT block_id, CASE WHEN fmt IS NULL OR fmt IN ('bullet', 'none') THEN '' WHEN fmt = 'lowerRoman' THEN roman WHEN fmt = 'upperRoman' THEN upper(roman) WHEN fmt = 'lowerLetter' THEN letter WHEN fmt = 'upperLetter' THEN upper(letter) ELSE CAST(n AS VARCHAR) END AS number FROM t"
 )
+_Q = "q AS (SELECT doc_id, string_split(text, chr(10))[1] AS question, lower(string_split(text, chr(10))[1]) AS low FROM documents)"
+_KIND = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(low, '{p}')" for p in parts) + f" THEN '{name}'" for name, parts in routing.KINDS) + " END"
+ORACLES |= {
+    "SRC11_folder_scan": f"SELECT source_file, CASE kind WHEN 'para' THEN 'paragraph' WHEN 'table' THEN 'table_row' ELSE 'standalone_p' END AS kind, count(*) AS n FROM {_B} WHERE trim(coalesce(text, '')) <> '' GROUP BY ALL UNION ALL SELECT 'broken', 'error', 1",
+    "SRC04_turtle_folder_scan": "SELECT 'part-' || (canon_id % 8) || '.ttl' AS source_file, count(*) AS entries, CAST(sum(1 + coalesce(len(alt_labels), 0)) AS BIGINT) AS labels FROM thesaurus GROUP BY ALL",
+    "JOIN12_collection_expand": "WITH RECURSIVE n AS (SELECT DISTINCT node_id, tag FROM nodes), e AS (SELECT DISTINCT p, c FROM (SELECT node_id AS p, unnest(children) AS c FROM nodes) WHERE c IN (SELECT node_id FROM n)), r AS (SELECT node_id AS top, node_id AS x FROM n WHERE tag IN ('division', 'attachment') UNION SELECT r.top, e.c FROM r JOIN e ON e.p = r.x) SELECT top AS collection, count(*) AS n_members FROM r JOIN n ON n.node_id = r.x WHERE n.tag = 'paragraph' GROUP BY top",
+    "DOC09_block_tree": f"WITH b AS (SELECT block_id, source_file AS f, seq AS s, {RANK} AS r FROM (SELECT block_id, any_value(source_file) AS source_file, any_value(seq) AS seq, any_value(kind) AS kind, any_value(ilvl) AS ilvl FROM blocks GROUP BY block_id)) SELECT a.block_id, (SELECT arg_max(o.block_id, (o.s, o.block_id)) FROM b o WHERE o.f = a.f AND o.r < a.r AND (o.s, o.block_id) < (a.s, a.block_id)) AS parent FROM b a",
+    "JOIN21_traceability": "WITH n AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, 'section ([0-9]+(?:\\.[0-9]+)+)', 1)) AS reference FROM documents), p AS (SELECT DISTINCT place FROM (SELECT unnest(regexp_extract_all(text, '(?:^|\\n)Section ([0-9]+(?:\\.[0-9]+)+)', 1)) AS place FROM documents UNION ALL SELECT regexp_extract(num, '^([0-9]+(?:\\.[0-9]+)+)', 1) FROM nodes) WHERE place <> '') SELECT doc_id, reference, arg_max(place, length(place)) AS place FROM n LEFT JOIN p ON reference = place OR starts_with(reference, place || '.') GROUP BY doc_id, reference",
+    "RTE01_route": f"WITH {_Q} SELECT doc_id, CASE WHEN question IS NULL THEN NULL WHEN {' OR '.join(f'contains(low, {chr(39)}{m}{chr(39)})' for m in routing.MEETINGS)} THEN 'plenary' WHEN {_KIND} IS NOT NULL THEN 'assessments' ELSE 'both' END AS route FROM q",
+    "RTE03_chunk_type": f"WITH {_Q} SELECT doc_id, {_KIND} AS kind FROM q",
+    "RTE06_plan_query": f"WITH {_Q}, k AS (SELECT doc_id, {_KIND} AS kind FROM q) SELECT doc_id, CAST(CASE kind WHEN 'ref' THEN 30 WHEN 'key' THEN 100 WHEN 'kg' THEN 100 WHEN 'person' THEN 200 ELSE 3 END AS INTEGER) AS k, coalesce(kind NOT IN ('key', 'ref'), true) AS per_group FROM k",
+    "RTE05_relative_session": f"WITH {_Q}, l AS (SELECT max(CAST(nullif(regexp_extract(report_id, '([0-9]+)$', 1), '') AS INTEGER)) AS latest FROM blocks), a AS (SELECT doc_id, question || CASE doc_id % 3 WHEN 0 THEN ' What of the last session?' WHEN 1 THEN ' And the next meeting?' ELSE '' END AS x FROM q WHERE question IS NOT NULL) SELECT doc_id, md5(CASE WHEN regexp_matches(lower(x), '\\b(last|latest|most recent) (session|meeting)\\b') THEN x || ' (session ' || latest || ')' WHEN regexp_matches(lower(x), '\\b(next|coming) (session|meeting)\\b') THEN x || ' (session ' || (latest + 1) || ')' ELSE x END) AS hash FROM a, l",
+}
 ORACLES = {name: typed(s) for name, s in ORACLES.items()}

@@ -39,7 +39,6 @@ STATEMENTS = {
     "PRJ13_document_metadata": f"SELECT report_id, lang, min(text) AS title, min(substring(report_id, 1, 4)) AS year FROM {BLOCKS} b WHERE kind = 'title' GROUP BY report_id, lang",
     "JOIN17_multi_value_split": "WITH w AS (SELECT DISTINCT item_key, {explode_creators} AS name FROM {zotero}), k AS (SELECT DISTINCT name FROM w WHERE length(name) > 4) SELECT w.item_key, count(*) AS names, count(k.name) AS resolved FROM w LEFT JOIN k ON k.name = w.name GROUP BY w.item_key",
     "JOIN19_future_sessions": f"WITH h AS (SELECT DISTINCT source_file FROM {BLOCKS} b WHERE kind = 'heading' AND (text LIKE '%session%' OR text LIKE '%venue%')) SELECT b.block_id, CASE WHEN b.kind = 'heading' THEN 0 ELSE 1 END AS part FROM {BLOCKS} b LEFT SEMI JOIN h ON h.source_file = b.source_file",
-    "JOIN21_traceability": "WITH t AS (SELECT DISTINCT doc_id, regexp_extract(text, 'section ([0-9]+[.][0-9]+)', 1) AS trace FROM {documents} WHERE text LIKE '%section %'), s AS (SELECT DISTINCT regexp_extract(text, '^Section ([0-9]+[.][0-9]+)', 1) AS number FROM {documents} WHERE text LIKE 'Section %') SELECT t.doc_id, t.trace, max(CASE WHEN s.number = t.trace THEN s.number END) AS exact_section, max(CASE WHEN s.number LIKE concat(regexp_extract(t.trace, '^([0-9]+)', 1), '.%') THEN s.number END) AS near_section FROM t LEFT JOIN s ON regexp_extract(s.number, '^([0-9]+)', 1) = regexp_extract(t.trace, '^([0-9]+)', 1) WHERE t.trace <> '' GROUP BY t.doc_id, t.trace",
     "JOIN23_key_to_background": "WITH k AS (SELECT doc_id, assessment, chapter FROM {documents} WHERE text LIKE 'Key message%'), g AS (SELECT doc_id AS background, assessment, chapter FROM {documents} WHERE source = 'policy_summaries'), a AS (SELECT k.doc_id, g.background, 1 AS tier FROM k JOIN g ON g.assessment = k.assessment AND g.chapter = k.chapter UNION ALL SELECT k.doc_id, g.background, 2 FROM k JOIN g ON g.assessment = k.assessment) SELECT doc_id, min(tier) AS tier, count(DISTINCT CASE WHEN tier = 1 THEN background END) AS same_chapter, count(DISTINCT background) AS linked FROM a GROUP BY doc_id",
     "JOIN25_reference_cascade": f"WITH s AS (SELECT source_id, max(coalesce(metadata['title'], metadata['name'], metadata['ref_title'])) AS title, max({_DOI.format(chr(39).join(['coalesce(metadata[', 'doi', '], metadata[', 'url', '], metadata[', 'identifier', '])']))}) AS doi FROM {{sources}} GROUP BY source_id), z AS (SELECT item_key, {{strip}} AS k, {_DOI.format('doi')} AS doi FROM {_WORKS} w), t AS (SELECT source_id, {{strip}} AS k, doi FROM s), m AS (SELECT t.source_id, z.item_key, 1 AS tier FROM t JOIN z ON t.doi = z.doi AND t.doi <> '' UNION ALL SELECT t.source_id, z.item_key, 2 FROM t JOIN z ON t.k = z.k AND length(t.k) >= 8 UNION ALL SELECT t.source_id, z.item_key, 3 FROM t JOIN z ON substring(t.k, 1, 34) = substring(z.k, 1, 34) AND length(t.k) >= 34) SELECT source_id, item_key, min(tier) AS tier FROM m GROUP BY source_id, item_key",
     "JOIN29_broken_links": "WITH r AS (SELECT concept_id, u, CAST(nullif(regexp_extract(u, '/([0-9]+)/?$', 1), '') AS BIGINT) AS target FROM (SELECT concept_id, {explode_broader} AS u FROM {concepts}) x) SELECT DISTINCT r.concept_id, r.u FROM r LEFT ANTI JOIN (SELECT DISTINCT concept_id AS id FROM {concepts}) c ON c.id = r.target",
@@ -66,7 +65,6 @@ STATEMENTS = {
     "STR36_role_prefix": f"SELECT DISTINCT style, CASE WHEN style LIKE 'Normal%' THEN 'normal' WHEN 'List Paragraph' LIKE concat(style, '%') THEN 'list' ELSE 'other' END AS role FROM {BLOCKS} b WHERE style IS NOT NULL",
     "STR38_reference_boundary": f"SELECT chunk_id, text LIKE '(____)%' OR lower(substring(text, 1, 1)) = substring(text, 1, 1) AS continues FROM {PAGES} p WHERE text IS NOT NULL",
     "RTE04_chapter_question": "SELECT doc_id, lower(text) LIKE '%chapter%' AND {n_years} > 0 AS about_chapter FROM {documents} WHERE text IS NOT NULL",
-    "RTE05_relative_session": "WITH latest AS (SELECT max(CAST(substring(report_id, 1, 4) AS INT)) AS year FROM {blocks}) SELECT DISTINCT report_id, year, CAST(substring(report_id, 1, 4) AS INT) = year AS is_latest FROM {blocks} CROSS JOIN latest WHERE report_id IS NOT NULL",
     "RTE07_followup_input": "SELECT user_id, [[event_type ; > ; place]] AS earlier FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM {events}) x WHERE place <= 6 GROUP BY user_id",
     "RTE08_table_answer": "SELECT assessment, count(*) AS gaps, [[CAST(doc_id AS STRING) ; , ; doc_id]] AS ids FROM {documents} WHERE source = 'knowledge_gaps' AND assessment IS NOT NULL GROUP BY assessment",
     "RTE09_select_gaps": "SELECT d.doc_id FROM {documents} d LEFT SEMI JOIN (SELECT DISTINCT assessment FROM {documents} WHERE source = 'policy_summaries' AND assessment IS NOT NULL) c ON c.assessment = d.assessment WHERE d.source = 'knowledge_gaps'",

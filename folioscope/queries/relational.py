@@ -78,7 +78,6 @@ STATEMENTS = {
     "JOIN06_incremental_diff": "WITH new AS (SELECT doc_id, md5(text) AS text_hash, md5(concat_ws('|', source, lang)) AS meta_hash FROM {documents} WHERE doc_id % 10 <> 3), old AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE md5(text) END AS text_hash, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE md5(concat_ws('|', source, lang)) END AS meta_hash FROM {documents} WHERE doc_id % 11 <> 4) SELECT coalesce(new.doc_id, old.doc_id) AS doc_id, CASE WHEN new.doc_id IS NULL THEN 'delete' WHEN old.doc_id IS NULL OR coalesce(old.text_hash, '') <> coalesce(new.text_hash, '') THEN 'embed' WHEN old.meta_hash <> new.meta_hash THEN 'retag' ELSE 'keep' END AS action FROM new FULL OUTER JOIN old ON old.doc_id = new.doc_id",
     "JOIN07_stale_anti": "SELECT o.o_orderkey FROM {orders} o LEFT ANTI JOIN (SELECT l_orderkey FROM {lineitem} WHERE l_returnflag = 'R') l ON l.l_orderkey = o.o_orderkey",
     "JOIN16_country_lookup": "SELECT c_custkey, n_name, r_name FROM {customer} LEFT JOIN {nation} ON c_nationkey = n_nationkey LEFT JOIN {region} ON n_regionkey = r_regionkey",
-    "JOIN12_collection_expand": "SELECT r_name AS collection, n_name AS member FROM {region} JOIN {nation} ON n_regionkey = r_regionkey",
     "JOIN13_region_resolve": "WITH q AS (SELECT lower(substring(n_name, 1, 3)) AS q FROM {nation}), m AS (SELECT q, n_name, CASE WHEN lower(n_name) = q THEN 0 WHEN lower(n_name) LIKE concat(q, '%') THEN 1 ELSE 2 END AS tier FROM q JOIN {nation} ON lower(n_name) LIKE concat('%', q, '%')) SELECT q, min_by(n_name, concat(CAST(tier AS STRING), CAST(1000 - length(n_name) AS STRING), n_name)) AS resolved FROM m GROUP BY q",
     "JOIN18_chapter_title": "WITH t AS (SELECT assessment, chapter, min(text) AS title FROM {documents} WHERE text IS NOT NULL GROUP BY assessment, chapter) SELECT d.doc_id, md5(coalesce(t.title, CAST(d.chapter AS STRING), '-')) AS title FROM {documents} d LEFT JOIN t ON t.assessment = d.assessment AND t.chapter = d.chapter",
     "JOIN20_list_items": f"WITH b AS (SELECT * FROM {BLOCKS} x WHERE kind = 'para') SELECT a.block_id, count(*) AS n_items, [[b.text ; / ; b.seq]] AS items FROM b a JOIN b ON b.source_file = a.source_file AND b.seq BETWEEN a.seq + 1 AND a.seq + 4 AND b.ilvl > a.ilvl WHERE a.ilvl = 0 AND b.text IS NOT NULL GROUP BY a.block_id",
@@ -139,9 +138,6 @@ STATEMENTS = {
     "SET08_dedup_bytes": "SELECT source_file, md5(text) AS content, count(*) AS copies FROM {pdf_documents} WHERE text IS NOT NULL GROUP BY source_file, md5(text)",
     "SET09_log_unique": "SELECT finding, topic, min(doc_id) AS first_doc FROM (SELECT doc_id, source AS topic, CASE WHEN text IS NULL THEN 'no text' WHEN lang IS NULL THEN 'no language' ELSE 'fine' END AS finding FROM {documents}) GROUP BY finding, topic",
     # routing
-    "RTE01_route": "SELECT doc_id, CASE WHEN lower(text) LIKE '%meeting%' OR lower(text) LIKE '%session%' THEN 'plenary' WHEN lower(text) LIKE '%knowledge gap%' OR lower(text) LIKE '%key message%' THEN 'assessments' ELSE 'both' END AS route FROM {documents} WHERE text IS NOT NULL",
-    "RTE03_chunk_type": "SELECT doc_id, CASE WHEN lower(text) LIKE '%key message%' THEN 'key' WHEN lower(text) LIKE '%knowledge gap%' THEN 'kg' WHEN lower(text) LIKE '%figure%' OR lower(text) LIKE '%illustration%' THEN 'il' WHEN lower(text) LIKE '%reference%' THEN 'ref' WHEN lower(text) LIKE '%expert%' OR lower(text) LIKE '%author%' THEN 'person' WHEN lower(text) LIKE '%chapter%' THEN 'chapter' END AS chunk_type FROM {documents} WHERE text IS NOT NULL",
-    "RTE06_plan_query": "SELECT doc_id, CASE WHEN lower(text) LIKE '%reference%' THEN 30 WHEN lower(text) LIKE '%key message%' THEN 100 WHEN lower(text) LIKE '%expert%' THEN 200 ELSE 3 END AS k, lower(text) NOT LIKE '%key message%' AS per_group FROM {documents} WHERE text IS NOT NULL",
     "CCH01_cache_key": "SELECT doc_id, sha2{bits}(concat_ws('|', 'v1', coalesce(source, ''), coalesce(lang, '')){bits_end}) AS cache_key FROM {documents}",
     "SNK14_rating_append": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM {events} GROUP BY event_type",
 }

@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import context, fuzzy, graph, lexicon, packing, people, vectors
+from folioscope.operators import context, fuzzy, graph, lexicon, outline, packing, people, routing, vectors
 from folioscope.operators.ranking import global_rank
-from folioscope.sources import markup
+from folioscope.sources import folders, markup
 from folioscope.sources.store import Store
 from folioscope.streaming import streams
 
@@ -173,6 +173,31 @@ def test_merge_is_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_outline(spark):
+    ranks = [0, 2, 3, 5, 5, 2, None, 5, 0, 5]
+    rows = spark.createDataFrame([("f", i, r) for i, r in enumerate(ranks)], "f string, i int, r int")
+    got = {r.i: r.parent for r in outline.parents(rows, "f", ["i"], "i", F.col("r"), 6).collect()}
+    assert got == {0: None, 1: 0, 2: 1, 3: 2, 4: 2, 5: 0, 6: None, 7: 5, 8: None, 9: 8}
+    references = spark.createDataFrame([(1, "3.3.4.1"), (1, "3.9"), (2, "3.3.4.1"), (3, "7.1")], "id int, reference string")
+    places = spark.createDataFrame([("3.3",), ("3.3.4",), ("3",), ("7.1",), ("7.1",)], "place string")
+    assert {tuple(r) for r in outline.most_specific(references, places).collect()} == {(1, "3.3.4.1", "3.3.4"), (2, "3.3.4.1", "3.3.4"), (1, "3.9", None), (3, "7.1", "7.1")}
+
+
+def test_questions(spark):
+    asked = {"List the key messages of chapter 2": ("assessments", "key", 100, False), "What did the Chair say?": ("plenary", None, 3, True), "Which authority decides?": ("assessments", "person", 200, True), "Where do eels go?": ("both", None, 3, True), None: (None, None, 3, True)}
+    df = spark.createDataFrame([(q,) for q in asked], "q string")
+    got = {r.q: (r.r, r.p.kind, r.p.k, r.p.per_group) for r in df.select("q", routing.route(F.col("q")).alias("r"), routing.plan(F.col("q")).alias("p")).collect()}
+    assert got == asked
+    assert spark.range(1).select(routing.with_latest(F.lit("And the next session?"), F.lit(11))).first()[0] == "And the next session? (session 12)"
+
+
+def test_folder(spark, tmp_path):
+    for name, text in {"a/one.txt": "\ufeffone\ntwo", "b/two.txt": "", "b/three.xml": "x"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert {tuple(r) for r in folders.read_folder(spark, f"file:{tmp_path}", "*.txt").collect()} - {("b/two.txt", "")} == {("a/one.txt", "one\ntwo")}
+
+
 def test_store_keeps_whole_versions(spark, tmp_path):
     store = Store(spark, f"file:{tmp_path}/s", "id", "h")
 
