@@ -82,7 +82,7 @@ def test_beginnings_are_exact(spark):
         return "".join(t)
 
     titles = [misprinted(rng.randrange(24, len(whole)), rng.randrange(7)) for _ in range(60)]
-    df = spark.createDataFrame([(str(i), t, 1990 + i % 2) for i, t in enumerate(titles)], "id string, title string, year int")
+    df = spark.createDataFrame([(str(i), t, 1990 + i % 2, linkage.vector(linkage.grams(t), linkage.WORDS)) for i, t in enumerate(titles)], "id string, title string, year int, by_title array<long>")
     pairs = df.selectExpr("id AS id_a", "title AS x", "year").join(df.selectExpr("id AS id_b", "title AS y", "year"), "year")
     want = {tuple(r) for r in pairs.where(linkage.begins(pairs.x, pairs.y)).select("id_a", "id_b").collect()}
     assert {tuple(r) for r in linkage.same_beginnings(df, df).collect()} == want
