@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import graph, lexicon, outline, packing, people, routing
+from folioscope.operators import graph, lexicon, outline, packing, people, routing, sequences
 from folioscope.operators.hierarchy import clean_links, reached
 from folioscope.plans.session import cut, shared_folder
 from folioscope.queries.hierarchies import concept_graph, node_graph
@@ -125,6 +125,14 @@ def traceability(spark, sf):
     return outline.most_specific(named, places.where("place <> ''")).withColumnRenamed("id", "doc_id")
 
 
+def language_order(spark, sf):
+    """How much of each report's structure (kinds and numbers) its two languages share, and how much of that in the same order."""
+    rows = first_delivery(table(spark, sf, "blocks", ["block_id", "report_id", "lang", "seq", "kind", "num", "loaded_at"]), "block_id").where("num <> ''")
+    keyed = rows.select(F.col("report_id").alias("group"), "lang", F.concat_ws(" ", "kind", "num").alias("value"), F.struct("seq", "block_id").alias("place"))
+    ranked = keyed.withColumn("at", F.row_number().over(Window.partitionBy("group", "lang").orderBy("place"))).drop("place")
+    return sequences.agreement(ranked.where("lang = 'en'").drop("lang"), ranked.where("lang <> 'en'").drop("lang")).withColumnRenamed("group", "report_id")
+
+
 def _questions(spark, sf) -> DataFrame:
     """The first line of every text as a question put."""
     return table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("question"))
@@ -397,7 +405,7 @@ def people_reconcile(spark, sf):
 
 
 QUERIES = {
-    "SRC11_folder_scan": folder_scan, "SRC04_turtle_folder_scan": turtle_folder_scan, "JOIN12_collection_expand": collection_expand, "DOC09_block_tree": block_tree, "JOIN21_traceability": traceability,
+    "SRC11_folder_scan": folder_scan, "SRC04_turtle_folder_scan": turtle_folder_scan, "JOIN12_collection_expand": collection_expand, "DOC09_block_tree": block_tree, "JOIN39_sequence_align": language_order, "JOIN21_traceability": traceability,
     "RTE01_route": question_route, "RTE03_chunk_type": question_kind, "RTE06_plan_query": question_plan, "RTE05_relative_session": relative_session,
     "SRC10_akn_scan": akn_scan, "SRC12_element_scan": element_scan, "SRC07_rdfxml_scan": rdfxml_scan, "FLT15_excluded_subtree": excluded_subtree, "WIN15_span_carry": span_carry, "STR32_column_labels": column_labels,
     "FLT13_generic_concept": generic_concepts, "JOIN45_inferred_links": inferred_links, "JOIN14_label_places": label_places, "JOIN15_label_mention": dictionary_ngram, "JOIN44_graph_expansion": graph_expansion, "SRC05_turtle_scan": turtle_scan, "JOIN05_triple_star": triple_star,

@@ -1,6 +1,7 @@
 """Operators of the core on small fixtures."""
 
 import ast
+import itertools
 import random
 import subprocess
 import sys
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import context, fuzzy, graph, lexicon, outline, packing, people, routing, vectors
+from folioscope.operators import context, fuzzy, graph, lexicon, outline, packing, people, routing, sequences, vectors
 from folioscope.operators.ranking import global_rank
 from folioscope.sources import folders, markup
 from folioscope.sources.store import Store
@@ -183,6 +184,19 @@ def test_outline(spark):
     assert {tuple(r) for r in outline.most_specific(references, places).collect()} == {(1, "3.3.4.1", "3.3.4"), (2, "3.3.4.1", "3.3.4"), (1, "3.9", None), (3, "7.1", "7.1")}
 
 
+def test_sequences(spark):
+    rng = random.Random(11)
+    for _ in range(200):
+        values = rng.sample(range(30), rng.randrange(9))
+        best = max(len(c) for n in range(len(values) + 1) for c in itertools.combinations(values, n) if list(c) == sorted(c))
+        places = sequences.longest_rising(values)
+        assert len(places) == best and [values[i] for i in places] == sorted(values[i] for i in places) and places == sorted(places)
+    left = spark.createDataFrame([("r", v, i) for i, v in enumerate(["a", "b", "c", "d", "d", None])] + [("s", "a", 0)], "group string, value string, at int")
+    right = spark.createDataFrame([("r", v, i) for i, v in enumerate(["b", "a", "c", "d", "e"])], "group string, value string, at int")
+    assert {tuple(r) for r in sequences.agreement(left, right).collect()} == {("r", 6, 5, 3, 2), ("s", 1, 0, 0, 0)}
+    assert sequences.agreement(left.limit(0), right.limit(0)).count() == 0
+
+
 def test_questions(spark):
     asked = {"List the key messages of chapter 2": ("assessments", "key", 100, False), "What did the Chair say?": ("plenary", None, 3, True), "Which authority decides?": ("assessments", "person", 200, True), "Where do eels go?": ("both", None, 3, True), None: (None, None, 3, True)}
     df = spark.createDataFrame([(q,) for q in asked], "q string")
