@@ -182,7 +182,7 @@ def forms(df: DataFrame, text: str = "text") -> DataFrame:
     table = df.sparkSession.createDataFrame(mapping(), "c string, points array<struct<c:string,ccc:int>>")
     pair_map = F.from_json(F.lit(json.dumps(compositions())), "map<string,map<string,string>>")
     odd = df.select(F.col(text).alias("text")).where(F.col("text").rlike(odd_pattern())).distinct()
-    odd = odd.withColumn("id", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.length("text")))
+    odd = odd.withColumn("id", _name("text"))
     # The table has one row per code point that does not stand for itself, whatever the data.
     exploded = odd.select("id", F.posexplode(F.split("text", "")).alias("pos", "c")).join(F.broadcast(table), "c", "left")
     mapped = exploded.select("id", "pos", F.coalesce("points", F.array(F.struct("c", F.lit(0).alias("ccc")))).alias("points")).where(F.size("points") > 0)
@@ -192,6 +192,11 @@ def forms(df: DataFrame, text: str = "text") -> DataFrame:
     return odd.join(built, "id", "left").select("text", squeezed.alias("form"))
 
 
+def _name(text: str) -> Column:
+    """What stands for a text where only equality counts: two hashes of 64 bits and the length."""
+    return F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text), F.length(text))
+
+
 def same_looking(df: DataFrame) -> DataFrame:
     """(kind, a_id, b_id): rows (kind, source_file, id, text) of one file with one form and different texts, a_id below b_id.
 
@@ -202,10 +207,11 @@ def same_looking(df: DataFrame) -> DataFrame:
     # One reading finds the texts that may not be their own form; the second needs no pattern, as a text that is another's form stands for itself.
     odd = cut(rows.where(F.col("text").rlike(odd_pattern())))
     made = forms(odd).withColumnRenamed("form", "_form")
-    formed = cut(odd.join(made, "text").select("kind", "source_file", F.col("_form").alias("form"), "id", "text").distinct())
+    formed = cut(odd.join(made, "text").select("kind", "source_file", _name("_form").alias("form"), "id", _name("text").alias("text")).distinct())
     active = formed.select("kind", "source_file", "form").distinct()
-    plain = rows.withColumn("form", F.col("text")).join(active, ["kind", "source_file", "form"], "left_semi")
-    every = cut(formed.unionByName(plain.select(*formed.columns)).distinct())
+    own = rows.select("kind", "source_file", _name("text").alias("form"), "id")
+    plain = own.join(active, ["kind", "source_file", "form"], "left_semi").select("kind", "source_file", "form", "id", F.col("form").alias("text"))
+    every = cut(formed.unionByName(plain).distinct())
     key = ["kind", "source_file", "form"]
     many = every.groupBy(*key).agg(F.count("*").alias("_n"), F.count_distinct("text").alias("_texts")).where("_texts > 1").withColumn("_salts", F.ceil(F.col("_n") / HOT).cast("int")).drop("_n", "_texts")
     keyed = cut(every.join(many, key))

@@ -147,5 +147,11 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return reached(*choose(*_inputs(spark, sf)))
 
 
-QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares}
-ORACLES: dict[str, str] = {}
+def p8_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Per mix and source: whether the budget and the repeats allowed are kept, and whether the budget is met but for less than 2,000 tokens."""
+    rows = p8_shares(spark, sf)
+    return rows.select("mix_name", "source", ((F.col("tokens") <= F.col("budget")) & (F.col("most_copies") <= F.col("max_repeats"))).alias("kept"), (F.col("shortfall") < 2000).alias("met"))
+
+
+QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p8_invariants": p8_invariants}
+ORACLES = {"p8_invariants": "SELECT mix_name, source, true AS kept, true AS met FROM mix_targets WHERE target_share > 0"}

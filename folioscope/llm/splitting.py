@@ -147,8 +147,26 @@ def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_texts(_rows(spark, sf)).select("item_table", "item_key", "chunk_index", "chunk_total", "text")
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces}
+def p5_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Per text, how many pieces are over the limit, how many repeat more than the overlap, and whether the pieces without what they repeat hold the whole text, white space apart."""
+    rows = _rows(spark, sf).where("item_key is not null").dropDuplicates(["item_table", "item_key"])
+    fresh = F.expr("substring(text, fresh - start + 1)")
+    pieces = split_texts(rows).groupBy("item_table", "item_key").agg(
+        F.count_if(F.length("text") > LIMIT).alias("too_long"), F.count_if(F.col("fresh") - F.col("start") > OVERLAP).alias("repeat_too_much"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", fresh.alias("own")))), lambda x: x["own"]), "").alias("_whole"),
+    )
+    bare = [F.regexp_replace(c, BLANK, "") for c in ("_whole", "text")]
+    return pieces.join(rows, ["item_table", "item_key"]).select("item_table", "item_key", "too_long", "repeat_too_much", (bare[0] == bare[1]).alias("whole"))
+
+
+#: White space as Python strips it.
+BLANK = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+QUERIES = {"p5_invariants": p5_invariants, "p5_found": p5_found, "p5_pieces": p5_pieces}
 _TRIM = r"length(regexp_replace(text, '^[\s\v\x1c-\x1f\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\v\x1c-\x1f\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')) > 2000"
 ORACLES = {
     "p5_found": f"SELECT DISTINCT 'paras' AS item_table, CAST(para_id AS VARCHAR) AS item_key FROM paras WHERE {_TRIM} UNION SELECT DISTINCT 'pdf_documents', chunk_id FROM pdf_documents WHERE {_TRIM}",
+    "p5_invariants": " UNION ".join(
+        f"SELECT DISTINCT '{t}' AS item_table, CAST({k} AS VARCHAR) AS item_key, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS repeat_too_much, true AS whole FROM {t} WHERE {k} IS NOT NULL AND {_TRIM.replace('> 2000', '> 0')}"
+        for t, k in (("paras", "para_id"), ("pdf_documents", "chunk_id"))
+    ),
 }
