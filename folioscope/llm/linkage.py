@@ -190,19 +190,21 @@ def same_beginnings(a: DataFrame, b: DataFrame) -> DataFrame:
     Misprints in the beginning leave one of its segments whole, which stands in the other title, moved by at most as many letters.
     """
     def placed(rows: DataFrame, side: str, at: Column) -> DataFrame:
-        each = rows.where(f"length(title) >= {BEGINNING} and year is not null").select(F.col("id").alias(f"id_{side}"), F.col("title").alias(f"t_{side}"), F.col("by_title").alias(f"v_{side}"), "year", F.explode(at).alias("place"))
-        return each.select(f"id_{side}", f"t_{side}", f"v_{side}", "year", F.col("place.at").alias("at"), F.col(f"t_{side}").substr(F.col("place.from") + 1, F.lit(SEGMENT)).alias("part"))
+        each = rows.where(f"length(title) >= {BEGINNING} and year is not null").select(F.col("id").alias(f"id_{side}"), F.col("title"), F.length("title").alias(f"n_{side}"), F.col("by_title").alias(f"v_{side}"), "year", F.explode(at).alias("place"))
+        return each.select(f"id_{side}", f"n_{side}", f"v_{side}", "year", F.col("place.at").alias("at"), F.col("title").substr(F.col("place.from") + 1, F.lit(SEGMENT)).alias("part"))
 
     starts = F.sequence(F.lit(0), F.length("title") - SEGMENT, F.lit(SEGMENT))
     most = _misprints(F.length("title"))
     own = F.transform(starts, lambda p: F.struct(p.alias("at"), p.alias("from")))
     moved = F.flatten(F.transform(starts, lambda p: F.transform(F.sequence(F.greatest(p - most, F.lit(0)), p + most), lambda q: F.struct(p.alias("at"), q.alias("from")))))
     both = placed(a, "a", own).join(placed(b, "b", moved), ["year", "at", "part"])
-    # A misprint takes two q-grams of the shorter title from the longer; all others stand in both, so their bits do. This spares most edit distances.
-    shorter = F.length("t_a") <= F.length("t_b")
+    # A misprint takes two q-grams of the shorter title from the longer; all others stand in both, so their bits do. Titles are
+    # only fetched for pairs whose bits agree so far.
+    shorter = F.col("n_a") <= F.col("n_b")
     missing = _bits(WORDS, lambda i: F.when(shorter, F.get("v_a", F.lit(i)).bitwiseAND(F.bitwise_not(F.get("v_b", F.lit(i))))).otherwise(F.get("v_b", F.lit(i)).bitwiseAND(F.bitwise_not(F.get("v_a", F.lit(i))))))
-    near = both.where(missing <= 2 * _misprints(F.least(F.length("t_a"), F.length("t_b"))))
-    return near.where(begins(F.col("t_a"), F.col("t_b"))).select("id_a", "id_b").distinct()
+    near = both.where(missing <= 2 * _misprints(F.least("n_a", "n_b"))).select("id_a", "id_b").distinct()
+    full = near.join(a.select(F.col("id").alias("id_a"), F.col("title").alias("t_a")), "id_a").join(b.select(F.col("id").alias("id_b"), F.col("title").alias("t_b")), "id_b")
+    return full.where(begins(F.col("t_a"), F.col("t_b"))).select("id_a", "id_b")
 
 
 def _dice(x: Column, y: Column) -> Column:
