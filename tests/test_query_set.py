@@ -19,10 +19,10 @@ def test_each_query_meets_each_row(spark, tmp_path):
 
     near = {q: sorted((distance(kept[q], v), i) for i, v in kept.items()) for q in range(0, 230, 50)}
     got = {}
-    for r in retrieval.knn_topk_set(spark, str(tmp_path)).collect():
+    for r in retrieval.knn_topk(spark, str(tmp_path)).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
     assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for _, i in x[:25]] for q, x in near.items()}
     pairs = vectors.distances_to_set(df, df.where("vec_id % 50 = 0"), "vec_id")
     assert pairs.count() == pairs.select("query_id", "vec_id").distinct().count() == 5 * 230
-    grouped = {(r.query_id, r.label, r.rank_in_group): r.vec_id for r in retrieval.knn_per_group_set(spark, str(tmp_path)).collect()}
+    grouped = {(r.query_id, r.label, r.rank_in_group): r.vec_id for r in retrieval.knn_per_group(spark, str(tmp_path)).collect()}
     assert grouped == {(q, g, n): i for q, x in near.items() for g in range(3) for n, i in enumerate([i for _, i in x if i % 3 == g][:3], 1)}
