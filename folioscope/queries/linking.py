@@ -60,7 +60,7 @@ STATEMENTS = {
     "SET07_subset_test": "WITH w AS (SELECT DISTINCT canon_id, {explode_words} AS w FROM {thesaurus}), n AS (SELECT canon_id, count(*) AS n FROM w GROUP BY canon_id), b AS (SELECT a.canon_id AS part, c.canon_id AS whole, count(*) AS common FROM w a JOIN w c ON c.w = a.w AND c.canon_id <> a.canon_id GROUP BY a.canon_id, c.canon_id) SELECT b.part, b.whole FROM b JOIN n ON n.canon_id = b.part AND n.n = b.common",
     "STR15_dehyphenate": "SELECT doc_id, md5({dehyphenate}) AS hash FROM {documents} WHERE text IS NOT NULL",
     "STR18_superscripts": f"SELECT span_id, translate(text, '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789') AS lowered, sup FROM {SPANS} s WHERE sup OR text <> translate(text, '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789')",
-    "STR25_role_parse": "SELECT DISTINCT doc_id, regexp_extract(text, '[(](co-chair|reviewer|member|observer)[)]', 1) AS first_role FROM {documents} WHERE text LIKE 'List of participants%'",
+    "STR25_role_parse": "SELECT DISTINCT doc_id, regexp_extract(text, '[(](co-chair|reviewer|member|observer)[)]', 1) AS first_role FROM {documents} WHERE text LIKE '%(co-chair)%' OR text LIKE '%(reviewer)%' OR text LIKE '%(member)%' OR text LIKE '%(observer)%'",
     "STR31_child_position": "SELECT DISTINCT node_id, child, pos FROM (SELECT node_id, {children_index} FROM {nodes}) x",
     "STR36_role_prefix": f"SELECT DISTINCT style, CASE WHEN style LIKE 'Normal%' THEN 'normal' WHEN 'List Paragraph' LIKE concat(style, '%') THEN 'list' ELSE 'other' END AS role FROM {BLOCKS} b WHERE style IS NOT NULL",
     "STR38_reference_boundary": f"SELECT chunk_id, text LIKE '(____)%' OR lower(substring(text, 1, 1)) = substring(text, 1, 1) AS continues FROM {PAGES} p WHERE text IS NOT NULL",

@@ -59,7 +59,7 @@ STATEMENTS = {
     "FLT10_length_guard": "SELECT doc_id, n_chars, n_chars > 20000 AS too_long FROM {documents} WHERE n_chars > 5000",
     "FLT11_duplicate_keys": "SELECT item_key, count(*) AS copies FROM {zotero} GROUP BY item_key HAVING count(*) > 1",
     "FLT14_short_labels": "SELECT canon_id, pref_label, length(pref_label) >= 5 OR (length(pref_label) BETWEEN 2 AND 6 AND upper(pref_label) = pref_label) AS eligible FROM {thesaurus}",
-    "FLT20_question_scope": "SELECT doc_id, source FROM {documents} WHERE source = 'question_answers' AND (doc_id BETWEEN 1 AND 500 OR doc_id = 800)",
+    "FLT20_question_scope": "SELECT doc_id, source FROM {documents} WHERE source = 'question_answers' AND (chapter BETWEEN 1 AND 5 OR chapter = 8)",
     "FLT23_page_bounds": f"SELECT para_id, page FROM {PARAS} p WHERE y0 BETWEEN 60 AND 780 AND x0 BETWEEN 40 AND 560",
     "FLT17_running_lines": f"WITH s AS (SELECT source_file, page, lower(regexp_replace(text, '[0-9]+', '#'{{g}})) AS line_key FROM {SPANS} x WHERE text IS NOT NULL), n AS (SELECT source_file, count(DISTINCT page) AS pages FROM s GROUP BY source_file), r AS (SELECT source_file, line_key, count(DISTINCT page) AS on_pages FROM s GROUP BY source_file, line_key) SELECT r.source_file, r.line_key, r.on_pages FROM r JOIN n ON n.source_file = r.source_file WHERE r.on_pages >= greatest(3, floor(n.pages / 50))",
     # projections
@@ -75,7 +75,7 @@ STATEMENTS = {
     "PRJ15_scoped_question": "SELECT mix_name, source, concat('Which gaps are named? (Answer for ', source, ' only.)') AS question FROM {mix_targets}",
     "PRJ16_short_title": "SELECT item_key, concat(upper(substring(regexp_replace(title, '^The ', ''), 1, 1)), substring(regexp_replace(title, '^The ', ''), 2, 59)) AS title FROM {zotero} WHERE title IS NOT NULL",
     # joins
-    "JOIN06_incremental_diff": "WITH new AS (SELECT doc_id, md5(text) AS text_hash, md5(concat_ws('|', source, lang)) AS meta_hash FROM {documents} WHERE doc_id % 10 <> 3), old AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE md5(text) END AS text_hash, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE md5(concat_ws('|', source, lang)) END AS meta_hash FROM {documents} WHERE doc_id % 11 <> 4) SELECT coalesce(new.doc_id, old.doc_id) AS doc_id, CASE WHEN new.doc_id IS NULL THEN 'delete' WHEN old.doc_id IS NULL OR coalesce(old.text_hash, '') <> coalesce(new.text_hash, '') THEN 'embed' WHEN old.meta_hash <> new.meta_hash THEN 'retag' ELSE 'keep' END AS action FROM new FULL OUTER JOIN old ON old.doc_id = new.doc_id",
+    "JOIN06_incremental_diff": "WITH new AS (SELECT doc_id, md5(text) AS text_hash, md5(concat_ws('|', source, lang)) AS meta_hash FROM {documents} WHERE coalesce(source, '') <> 'forum_posts'), old AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'x' ELSE md5(text) END AS text_hash, CASE WHEN chapter IS NULL THEN 'x' ELSE md5(concat_ws('|', source, lang)) END AS meta_hash FROM {documents} WHERE coalesce(source, '') <> 'footnotes') SELECT coalesce(new.doc_id, old.doc_id) AS doc_id, CASE WHEN new.doc_id IS NULL THEN 'delete' WHEN old.doc_id IS NULL OR coalesce(old.text_hash, '') <> coalesce(new.text_hash, '') THEN 'embed' WHEN old.meta_hash <> new.meta_hash THEN 'retag' ELSE 'keep' END AS action FROM new FULL OUTER JOIN old ON old.doc_id = new.doc_id",
     "JOIN07_stale_anti": "SELECT o.o_orderkey FROM {orders} o LEFT ANTI JOIN (SELECT l_orderkey FROM {lineitem} WHERE l_returnflag = 'R') l ON l.l_orderkey = o.o_orderkey",
     "JOIN16_country_lookup": "SELECT c_custkey, n_name, r_name FROM {customer} LEFT JOIN {nation} ON c_nationkey = n_nationkey LEFT JOIN {region} ON n_regionkey = r_regionkey",
     "JOIN13_region_resolve": "WITH q AS (SELECT lower(substring(n_name, 1, 3)) AS q FROM {nation}), m AS (SELECT q, n_name, CASE WHEN lower(n_name) = q THEN 0 WHEN lower(n_name) LIKE concat(q, '%') THEN 1 ELSE 2 END AS tier FROM q JOIN {nation} ON lower(n_name) LIKE concat('%', q, '%')) SELECT q, min_by(n_name, concat(CAST(tier AS STRING), CAST(1000 - length(n_name) AS STRING), n_name)) AS resolved FROM m GROUP BY q",

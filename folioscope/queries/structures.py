@@ -18,14 +18,14 @@ from folioscope.sources.tables import first_delivery, table
 
 def table_scan(spark, sf):
     """Cells of the pipe tables in texts."""
-    docs = table(spark, sf, "documents", ["doc_id", "text"]).where("text like 'Indicator | %'")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "line"))
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "line")).where("line like '% | %'")
     return lines.select("doc_id", "row", F.posexplode(F.split("line", r" \| ")).alias("col", "cell"))
 
 
 def people_lists(spark, sf):
     """Names and roles of the participants that a text lists."""
-    docs = table(spark, sf, "documents", ["doc_id", "text"]).where("text like 'List of participants%'")
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
     entries = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\p{Lu}\. [^\n,]+, [^\n(]+\([a-z-]+\))"), 1)).alias("entry"))
     return entries.select("doc_id", F.regexp_extract("entry", r"^(\p{Lu}\. [^,]+),", 1).alias("name"), F.regexp_extract("entry", r"\(([a-z-]+)\)$", 1).alias("role")).distinct()
 
@@ -131,9 +131,9 @@ QUERIES = {
     "SRC24_table_scan": table_scan, "STR25_people_lists": people_lists, "AGG18_elected_chairs": elected_chairs, "STR37_split_people": split_people, "JOIN27_person_fuzzy": person_fuzzy, "JOIN32_close_match": close_match, "AGG29_spelling_vote": spelling_vote, "SRC17_json_scan": json_scan, "SRC06_namespace_discovery": namespaces,
     "FLT09_scalar_metadata": scalar_metadata, "FLT22_label_language": label_language, "FLT16_standalone_only": standalone, "RTE13_glossary": glossary, "JOIN33_greedy_pairing": greedy_pairing, "SNK08_akn_write": akn_write, "SNK07_turtle_write": turtle_write,
 }
-_PEOPLE = "p AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\\p{Lu}\\. [^\\n,]+, [^\\n(]+\\([a-z-]+\\))', 1)) AS entry FROM documents WHERE text LIKE 'List of participants%'), q AS (SELECT DISTINCT doc_id, regexp_extract(entry, '^(\\p{Lu}\\. [^,]+),', 1) AS name, regexp_extract(entry, '\\(([a-z-]+)\\)$', 1) AS role FROM p)"
+_PEOPLE = "p AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\\p{Lu}\\. [^\\n,]+, [^\\n(]+\\([a-z-]+\\))', 1)) AS entry FROM documents), q AS (SELECT DISTINCT doc_id, regexp_extract(entry, '^(\\p{Lu}\\. [^,]+),', 1) AS name, regexp_extract(entry, '\\(([a-z-]+)\\)$', 1) AS role FROM p)"
 ORACLES = {
-    "SRC24_table_scan": "SELECT doc_id, CAST(row AS INTEGER) AS row, CAST(unnest(range(0, len(string_split(line, ' | ')))) AS INTEGER) AS col, unnest(string_split(line, ' | ')) AS cell FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS row, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text LIKE 'Indicator | %')",
+    "SRC24_table_scan": "SELECT doc_id, CAST(row AS INTEGER) AS row, CAST(unnest(range(0, len(string_split(line, ' | ')))) AS INTEGER) AS col, unnest(string_split(line, ' | ')) AS cell FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS row, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line LIKE '% | %'",
     "STR25_people_lists": f"WITH {_PEOPLE} SELECT * FROM q",
     "AGG18_elected_chairs": f"WITH {_PEOPLE} SELECT DISTINCT name FROM q WHERE role = 'co-chair'",
     "STR37_split_people": "SELECT source_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS place, unnest(s) AS person FROM (SELECT DISTINCT source_id, string_split_regex(coalesce(metadata['authors'], metadata['creator'], metadata['by']), ' and |; | & ') AS s FROM sources WHERE coalesce(metadata['authors'], metadata['creator'], metadata['by']) <> '')",

@@ -113,7 +113,7 @@ QUERIES = {
     "STR12_local_name": _distinct("concepts", lambda: dict(concept_id=F.col("concept_id"), name=T.local_name(F.col("uri")))),
     "STR13_chapter_key": _distinct("sources", lambda: dict(source_file=F.col("source_file"), key=T.chapter_key(F.col("source_file")))),
     "STR14_sentence_split": str14,
-    "STR16_title_case": _distinct("paras", lambda: dict(para_id=F.col("para_id"), title=F.concat(F.upper(F.substring("text", 1, 1)), F.lower(F.substring("text", 2, 60))))),
+    "STR16_title_case": _distinct("paras", lambda: dict(para_id=F.col("para_id"), title=F.md5(F.concat(F.upper(F.substring("text", 1, 1)), F.lower(F.expr("substring(text, 2)")))))),
     "STR17_controls": _over("documents", "doc_id", lambda: dict(n_removed=F.length("text") - F.length(F.regexp_replace("text", "[\\x{AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]", "")))),
     "STR20_session_extract": str20,
     "STR21_citation_strip": _over("documents", "doc_id", lambda: dict(hash=F.md5(T.strip_citations(F.col("text"))))),
@@ -148,7 +148,7 @@ ORACLES = {
     "STR12_local_name": "SELECT DISTINCT concept_id, string_split(rtrim(trim(uri), '/'), '/')[-1] AS name FROM concepts",
     "STR13_chapter_key": "SELECT DISTINCT source_file, array_to_string(list_transform(regexp_extract_all(source_file, '([0-9]+)'), lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), '-') AS key FROM sources",
     "STR14_sentence_split": "SELECT doc_id, CAST(len(s) AS INTEGER) AS n_sentences, md5(array_to_string(s, chr(10) || chr(10))) AS hash FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+([A-Z])', '\\1\x01\\2', 'g'), '\x01') AS s FROM documents WHERE text IS NOT NULL)",
-    "STR16_title_case": "SELECT DISTINCT para_id, upper(text[1:1]) || lower(substring(text, 2, 60)) AS title FROM paras",
+    "STR16_title_case": "SELECT DISTINCT para_id, md5(upper(text[1:1]) || lower(substring(text, 2))) AS title FROM paras",
     "STR17_controls": "SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '[\\x{AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g')) AS INTEGER) AS n_removed FROM documents",
     "STR20_session_extract": "SELECT DISTINCT block_id, session, CASE WHEN session BETWEEN 1 AND 20 THEN [" + ", ".join(f"'{x}'" for x in T.ORDINALS) + "][session] WHEN session = 0 THEN 'first' ELSE 'later' END AS ordinal FROM (SELECT block_id, CAST(unnest(regexp_extract_all(text, '\\b([0-9]{1,2}) (?:meeting|session)', 1)) AS INTEGER) AS session FROM blocks WHERE text IS NOT NULL)",
     "STR21_citation_strip": "SELECT doc_id, md5(regexp_replace(text, ' ?\\([^()]*, (19|20)[0-9][0-9]\\)', '', 'g')) AS hash FROM documents",
