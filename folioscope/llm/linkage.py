@@ -130,6 +130,15 @@ def cited(df: DataFrame) -> DataFrame:
     return df.select("source_id", *[first(v).alias(k) for k, v in KEYS.items()]).where("source_id is not null").dropDuplicates(["source_id"]).mapInPandas(run, COLUMNS)
 
 
+def _meet(x: DataFrame, y: DataFrame, on: str | list[str]) -> DataFrame:
+    """Inner join that never sends a side through the driver.
+
+    Records are estimated by the size of their files; the keys and vectors exploded from them take hundreds of times as much,
+    so a side that seems small enough to broadcast can be larger than the driver.
+    """
+    return x.join(y.hint("merge"), on)
+
+
 def _bits(n: int, word) -> Column:
     """Set bits over n chunks, spelled out chunk by chunk so that the sum is compiled."""
     return sum((F.bit_count(word(i)) for i in range(1, n)), F.bit_count(word(0)))
@@ -169,7 +178,7 @@ def close_pairs(a: DataFrame, b: DataFrame, code: str) -> DataFrame:
         (keyed(a.where("year is not null"), "a", none), keyed(b.where("year is null"), "b", none)),
     ]
     distance = _bits(WORDS, lambda i: F.get("v_a", F.lit(i)).bitwiseXOR(F.get("v_b", F.lit(i))))
-    return reduce(DataFrame.unionByName, [x.join(y, ["when", "n", "bits"]).where(distance <= RADIUS).select("id_a", "id_b") for x, y in parts]).distinct()
+    return reduce(DataFrame.unionByName, [_meet(x, y, ["when", "n", "bits"]).where(distance <= RADIUS).select("id_a", "id_b") for x, y in parts]).distinct()
 
 
 def _misprints(n: Column) -> Column:
@@ -197,13 +206,13 @@ def same_beginnings(a: DataFrame, b: DataFrame) -> DataFrame:
     most = _misprints(F.length("title"))
     own = F.transform(starts, lambda p: F.struct(p.alias("at"), p.alias("from")))
     moved = F.flatten(F.transform(starts, lambda p: F.transform(F.sequence(F.greatest(p - most, F.lit(0)), p + most), lambda q: F.struct(p.alias("at"), q.alias("from")))))
-    both = placed(a, "a", own).join(placed(b, "b", moved), ["year", "at", "part"])
+    both = _meet(placed(a, "a", own), placed(b, "b", moved), ["year", "at", "part"])
     # A misprint takes two q-grams of the shorter title from the longer; all others stand in both, so their bits do. Titles are
     # only fetched for pairs whose bits agree so far.
     shorter = F.col("n_a") <= F.col("n_b")
     missing = _bits(WORDS, lambda i: F.when(shorter, F.get("v_a", F.lit(i)).bitwiseAND(F.bitwise_not(F.get("v_b", F.lit(i))))).otherwise(F.get("v_b", F.lit(i)).bitwiseAND(F.bitwise_not(F.get("v_a", F.lit(i))))))
     near = both.where(missing <= 2 * _misprints(F.least("n_a", "n_b"))).select("id_a", "id_b").distinct()
-    full = near.join(a.select(F.col("id").alias("id_a"), F.col("title").alias("t_a")), "id_a").join(b.select(F.col("id").alias("id_b"), F.col("title").alias("t_b")), "id_b")
+    full = _meet(_meet(near, a.select(F.col("id").alias("id_a"), F.col("title").alias("t_a")), "id_a"), b.select(F.col("id").alias("id_b"), F.col("title").alias("t_b")), "id_b")
     return full.where(begins(F.col("t_a"), F.col("t_b"))).select("id_a", "id_b")
 
 
@@ -224,11 +233,11 @@ def _gram_dice(x: str, y: str) -> Column:
 
 def scored(a: DataFrame, b: DataFrame) -> DataFrame:
     """Close pairs with the Dice score of each field (null if unknown on a side) and their weighted mean."""
-    same_doi = a.where("doi is not null").select(F.col("id").alias("id_a"), "doi").join(b.where("doi is not null").select(F.col("id").alias("id_b"), "doi"), "doi").select("id_a", "id_b")
+    same_doi = _meet(a.where("doi is not null").select(F.col("id").alias("id_a"), "doi"), b.where("doi is not null").select(F.col("id").alias("id_b"), "doi"), "doi").select("id_a", "id_b")
     found = close_pairs(a, b, "by_title").unionByName(same_beginnings(a, b)).unionByName(same_doi)
     pairs = cut(found.distinct())
     sides = [rows.select(*[F.col(c).alias("id_" + s if c == "id" else f"{c}_{s}") for c in rows.columns]) for rows, s in ((a, "a"), (b, "b"))]
-    full = pairs.join(sides[0], "id_a").join(sides[1], "id_b")
+    full = _meet(_meet(pairs, sides[0], "id_a"), sides[1], "id_b")
     beginning = begins(F.col("title_a"), F.col("title_b"))
     names = F.size("names_a") * F.size("names_b") > 0
     n = F.least(F.size("names_a"), F.size("names_b"))

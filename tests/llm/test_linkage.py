@@ -86,3 +86,16 @@ def test_beginnings_are_exact(spark):
     pairs = df.selectExpr("id AS id_a", "title AS x", "year").join(df.selectExpr("id AS id_b", "title AS y", "year"), "year")
     want = {tuple(r) for r in pairs.where(linkage.begins(pairs.x, pairs.y)).select("id_a", "id_b").collect()}
     assert {tuple(r) for r in linkage.same_beginnings(df, df).collect()} == want
+
+
+def test_no_side_of_a_join_goes_through_the_driver(spark, tmp_path):
+    # Read from files, as only their sizes make the planner take a side for small.
+    read = []
+    for name, df in zip(("items", "sources"), frames(spark)):
+        df.write.parquet(f"{tmp_path}/{name}")
+        read.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    assert {(r.id_a, int(r.id_b)) for r in linkage.match(*read).where("same").collect()} == TRUE
+    a, b = linkage.items(read[0]), linkage.cited(read[1])
+    for df in (linkage.close_pairs(a, b, "by_title"), linkage.same_beginnings(a, b), linkage.scored(a, b)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
